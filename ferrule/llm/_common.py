@@ -54,6 +54,21 @@ def stage(df: DataFrame, name: str, compression: str = "lz4raw") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, name: str, key: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` in buckets by ``key`` to the shared folder: later groups by ``key`` need no shuffle of it.
+
+    Its entry in the catalogue is dropped at once; the files stay.
+    """
+    spark = df.sparkSession
+    table = f"ferrule_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = new_path(spark, name)
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", compression).saveAsTable(table)
+    staged = spark.table(table)
+    spark.sql(f"drop table {table}")
+    return staged
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in ``edges``; component is the least id reachable.
 

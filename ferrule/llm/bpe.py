@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._common import stage
+from ferrule.llm._common import stage_buckets
 
 #: White space as the tokenizer's regular expressions define it, without \x1c-\x1f.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -134,29 +134,52 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _encode_words(path: str):
+    """Rows (word, block, number) sorted by word: each distinct word is encoded once.
+
+    A batch's answers are put together by block: numbers, counts of ids and ids, packed.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _whole_piece_encoder(path)
+        last, ids = None, b""
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [np.array(encode(w), np.int32).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+            found = []
+            for word in batch.column(0).to_pylist():
+                if word != last:
+                    last, ids = word, np.array(encode(word), np.uint32)
+                found.append(ids)
+            blocks, numbers = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            cuts = np.concatenate((np.flatnonzero(np.diff(blocks[order], prepend=-1)), [len(order)]))
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                at = order[a:b]
+                at = at[np.argsort(numbers[at])]
+                mine = [found[i] for i in at]
+                steps = np.diff(numbers[at], prepend=0).astype(np.uint32)
+                out.append((blocks[at[0]], _pack(steps), _pack(np.array([len(x) for x in mine], np.uint32)), _pack(np.concatenate(mine))))
+            if out:
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "counts", "ids"])
 
     return run
 
 
-def _joined(docs: DataFrame, vocabulary: str, pattern: str, id_column: str, text_column: str) -> DataFrame:
-    """Rows (block, number, ids) of the blocks' dictionaries, then (block, id, codes) of their documents."""
+def _joined(docs: DataFrame, vocabulary: str, pattern: str, id_column: str, text_column: str, finish: Callable[[Document], tuple], fields: list) -> DataFrame:
     coded = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    coded = stage(
-        coded.mapInArrow(_code_blocks(pattern), "block long, id long, codes binary, word string, number int"),
-        "bpe-blocks",
-        "zstd",
+    coded = stage_buckets(
+        coded.mapInArrow(_code_blocks(pattern), "block long, id long, codes binary, word string, number int"), "bpe-blocks", "block"
     )
-    entries = coded.where("word is not null").select("block", "word", "number")
-    words = entries.select("word").distinct().mapInArrow(_encode_words(vocabulary), "word string, ids binary")
-    found = entries.join(words, "word").selectExpr("block", "number", "ids", "cast(null as long) id", "cast(null as binary) codes")
-    texts = coded.where("codes is not null").selectExpr("block", "cast(null as int) number", "cast(null as binary) ids", "id", "codes")
-    return found.union(texts).repartition("block").sortWithinPartitions("block", F.col("codes").isNotNull())
+    found = (
+        coded.where("word is not null")
+        .select("word", "block", "number")
+        .repartition("word")
+        .sortWithinPartitions("word")
+        .mapInArrow(_encode_words(vocabulary), "block long, numbers binary, counts binary, ids binary")
+    )
+    texts = coded.where("codes is not null").select("block", "id", "codes")
+    schema = ", ".join(f"{name} {kind}" for name, _, kind in fields)
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_assemble(vocabulary, finish, fields), schema)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -166,20 +189,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
     ``pattern`` splits the text. Null and empty texts have no tokens; rows that
     repeat an id, and null ids, are encoded each; other columns are ignored.
     """
-    joined = _joined(docs, vocabulary, pattern, id_column, text_column)
-    return joined.mapInArrow(
-        _assemble(vocabulary, Document.encoded, [(id_column, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))]),
-        f"{id_column} long, n_tokens long, ids array<int>",
-    )
+    fields = [(id_column, pa.int64(), "long"), ("n_tokens", pa.int64(), "long"), ("ids", pa.list_(pa.int32()), "array<int>")]
+    return _joined(docs, vocabulary, pattern, id_column, text_column, Document.encoded, fields)
 
 
 def token_digests(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the text decoded from them."""
-    joined = _joined(docs, vocabulary, pattern, id_column, text_column)
-    return joined.mapInArrow(
-        _assemble(vocabulary, Document.digest, [(id_column, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]),
-        f"{id_column} long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
+    fields = [(id_column, pa.int64(), "long"), ("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+    return _joined(docs, vocabulary, pattern, id_column, text_column, Document.digest, fields)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -202,18 +219,18 @@ def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id", ids_c
 class Document:
     """One document's pre-token numbers with its block's dictionary: ids of each number, and what was looked up for it."""
 
-    def __init__(self, numbers: np.ndarray, ids: list[bytes], table: dict[int, bytes], seen: dict[int, tuple[int, str, bytes]]):
+    def __init__(self, numbers: np.ndarray, ids: dict[int, np.ndarray], table: dict[int, bytes], seen: dict[int, tuple[int, str, bytes]]):
         self.numbers, self.dictionary, self.table, self.seen = numbers.tolist(), ids, table, seen
 
     def encoded(self) -> tuple:
-        ids = np.frombuffer(b"".join([self.dictionary[n] for n in self.numbers]), np.int32)
+        ids = np.concatenate([self.dictionary[n] for n in self.numbers]) if self.numbers else np.zeros(0, np.int32)
         return len(ids), ids
 
     def digest(self) -> tuple:
         """Each number's ids are joined with the token table once a block; the pieces follow in order."""
         seen = self.seen
         for n in set(self.numbers).difference(seen):
-            ids = np.frombuffer(self.dictionary[n], np.int32).tolist()
+            ids = self.dictionary[n].tolist()
             seen[n] = len(ids), " ".join(map(str, ids)), b"".join([self.table[i] for i in ids])
         found = [seen[n] for n in self.numbers]
         ids_digest, text_digest = hashlib.sha256(), hashlib.sha256()
@@ -224,25 +241,19 @@ class Document:
         return sum([x[0] for x in found]), ids_digest.hexdigest(), text_digest.hexdigest()
 
 
-def _assemble(path: str, finish: Callable[[Document], tuple], fields: list[tuple[str, pa.DataType]]):
-    schema = pa.schema(fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _token_bytes(path)
-        block, ids, seen = None, [], {}
-        for batch in batches:
-            out = []
-            for b, number, found, key, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != block:
-                    block, ids, seen = b, [], {}
-                if codes is None:
-                    if number >= len(ids):
-                        ids.extend([b""] * (number + 1 - len(ids)))
-                    ids[number] = found
-                else:
-                    out.append((key, *finish(Document(_unpack(codes), ids, table, seen))))
-            if out:
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _assemble(path: str, finish: Callable[[Document], tuple], fields: list):
+    schema = pa.schema([(name, kind) for name, kind, _ in fields])
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        table, ids, seen = _token_bytes(path), {}, {}
+        for numbers, counts, tokens in zip(*(found.column(c).to_pylist() for c in ("numbers", "counts", "ids")), strict=True):
+            pieces = np.split(_unpack(tokens).astype(np.int32), np.cumsum(_unpack(counts))[:-1])
+            ids.update(zip(np.cumsum(_unpack(numbers)).tolist(), pieces, strict=True))
+        out = [
+            (key, *finish(Document(_unpack(codes), ids, table, seen)))
+            for key, codes in zip(texts.column("id").to_pylist(), texts.column("codes").to_pylist(), strict=True)
+        ]
+        columns = zip(*out, strict=True) if out else [[]] * len(schema)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
