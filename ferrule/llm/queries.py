@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import bpe
+from ferrule.llm import bpe, quality, toxicity, warc
 from ferrule.llm._common import read_table
 
 
@@ -17,6 +17,39 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_bpe": op8_bpe}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.capture_history(read_table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-ORACLES: dict[str, str] = {}
+
+_BASE32_SQL = " || ".join(
+    f"substr('{warc.BASE32}', (((('0x' || substr(d, {5 * g + 1}, 5))::int) >> {15 - 5 * j}) & 31) + 1, 1)" for g in range(8) for j in range(4)
+)
+
+OP5_SQL = f"""
+with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) d from pages),
+q as (select page_id, strlen(h) n, {_BASE32_SQL} digest, min(page_id) over (partition by h) first from p)
+select page_id, n::bigint payload_bytes, digest payload_digest,
+       case when page_id = first then 'response' else 'revisit' end record_type,
+       case when page_id <> first then first end refers_to
+from q
+"""
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op5_warc": op5_warc,
+    "op6_quality": op6_quality,
+    "op8_bpe": op8_bpe,
+}
+
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
