@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import bpe, quality, toxicity, warc
+from ferrule.llm import bpe, ngram_join, quality, toxicity, warc
 from ferrule.llm._common import read_table
 
 
@@ -17,6 +17,29 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ngram_join.jaccard_groups(read_table(spark, sf_dir, "documents"), n=3, percent=90)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = """
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
+  from documents),
+g as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) s
+  from w),
+n as (select doc_id, count(*) n from g group by 1),
+o as (select a.doc_id x, b.doc_id y, count(*) c from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+e as materialized (
+  select x, y from o join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
+r(id, c) as (select doc_id, doc_id from w union select e.y, r.c from r join e on e.x = r.id)
+select r.id doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(r.c) component_id
+from r left join n on n.doc_id = r.id group by r.id
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = warc.capture_history(read_table(spark, sf_dir, "pages"))
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,9 +70,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op4_ngram_join": op4_ngram_join,
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op8_bpe": op8_bpe,
 }
 
-ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
+ORACLES: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_warc": OP5_SQL}
