@@ -2,14 +2,17 @@
 
 1. Rows with equal n-gram sets fall into one class, told by set size and two
    64-bit digests; only classes go on.
-2. Bounds from set sizes cut the matrix: sets with Jaccard >= t share an n-gram
-   among the first n - ceil(t n) + 1 of each in any one order of all n-grams.
-   N-grams that are frequent in a bounded sample come last in that order (the
-   order affects work only). Columns with one class go.
-3. In each remaining column, pairs of classes are dropped by sizes and by the
-   parity sketch, whose differing bits bound the symmetric difference from
-   below. What is left is kept as a spanning forest of the column, never as all
-   pairs; a very long column is cut into square tiles.
+2. Bounds from set sizes cut the matrix. Sets of sizes x and y with Jaccard >= t
+   overlap in a = ceil(t (x + y) / (1 + t)) n-grams, so in any one order of all
+   n-grams they share L among the first x - a + L of the one and y - a + L of
+   the other. L grows with the sizes. N-grams that are frequent in a bounded
+   sample come last in the order (the order affects work only). Columns with
+   one class go.
+3. Short columns add up these counts for their pairs, less those dropped by
+   sizes and by the parity sketch, whose differing bits bound the symmetric
+   difference from below; pairs with fewer than L go. Of a long column a
+   spanning forest of what sizes and sketch leave is kept, never all pairs; a
+   very long one is cut into square tiles.
 4. Components of these forests hold every link within one component. Each
    component's rows are multiplied with themselves in tiles of bounded size:
    the product's entries are the exact overlap counts. Links are counted and
@@ -30,9 +33,20 @@ from ferrule.llm._common import complete_groups, connected_components, fixed_byt
 
 SKETCH_BYTES = 64
 #: Bounds of the sample that finds frequent n-grams, of a column's tile, of a component's tile, and of a broadcast list of ids.
-SAMPLE_DOCS, FREQUENT_SHARE = 4_000, 0.005
+SAMPLE_DOCS, FREQUENT_SHARE = 16_000, 0.001
 COLUMN_TILE, TILE_CLASSES, TILE_GRAMS = 4_096, 256, 400_000
 BROADCAST_IDS = 4_000_000
+#: Columns of up to this many classes add up counts; above, they keep a forest.
+SHORT_COLUMN = 256
+
+
+def _level(n):
+    """L for a set of n n-grams; a pair takes the smaller one."""
+    return 1 + np.minimum(n // 150, 15)
+
+
+def _least_overlap(total, percent: int):
+    return (percent * total + 99 + percent) // (100 + percent)
 
 
 def _sets(column, n: int) -> Iterator[np.ndarray]:
@@ -67,7 +81,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1])], names=["h", "c"])
 
     counts = chosen.mapInArrow(grams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(10, int(FREQUENT_SHARE * SAMPLE_DOCS)))
-    found = counts.select("h").limit(200_000).toArrow().column("h").to_numpy()
+    found = counts.select("h").limit(500_000).toArrow().column("h").to_numpy()
     return np.sort(found.view(np.uint64))
 
 
@@ -84,7 +98,7 @@ def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 one.append(a)
                 two.append(b)
                 sketches.append(_sketch(s))
-                take = m - (percent * m + 99) // 100 + 1 if m else 0
+                take = min(m, m - (percent * m + 99) // 100 + int(_level(m)))
                 if len(last) and m:
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     late = last[at] == s
@@ -119,42 +133,50 @@ class _Forest:
 def _column_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in complete_groups(batches, ["h", "ti", "tj"]):
-            rep, n, part = (table.column(c).to_numpy() for c in ("rep", "n", "part"))
+            rep, n, part, pos = (table.column(c).to_numpy() for c in ("rep", "n", "part", "pos"))
             sketch = fixed_bytes(table.column("sketch"), SKETCH_BYTES).view(np.uint64)
             cross = table.column("ti").to_numpy() != table.column("tj").to_numpy()
+            level = _level(n)
+
+            def may_link(a, b):
+                total = n[a] + n[b]
+                spare = np.minimum(level[a], level[b]) - _least_overlap(total, percent)
+                ok = np.flatnonzero((pos[a] < n[a] + spare) & (pos[b] < n[b] + spare) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])))
+                a, b = (a if np.ndim(a) == 0 else a[ok]), b[ok]
+                odd = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+                return ok[odd * (100 + percent) <= total[ok] * (100 - percent)]
+
             sizes = np.diff(cuts)
-            found_a, found_b = [], []
-            small = ~cross[cuts[:-1]] & (sizes <= 16)
-            for m in np.unique(sizes[small]):
-                start = cuts[:-1][small & (sizes == m)]
+            found = []
+            short = ~cross[cuts[:-1]] & (sizes <= SHORT_COLUMN)
+            for m in np.unique(sizes[short]):
                 i, j = np.triu_indices(m, 1)
-                a, b = (start[:, None] + i).ravel(), (start[:, None] + j).ravel()
-                ok = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-                a, b = a[ok], b[ok]
-                odd = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
-                ok = odd * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
-                found_a.append(rep[a[ok]])
-                found_b.append(rep[b[ok]])
-            for g in np.flatnonzero(~small):
+                starts = cuts[:-1][short & (sizes == m)]
+                step = max(1, 500_000 // len(i)) if m > 1 else len(starts)
+                for k in range(0, len(starts), step):
+                    a, b = (starts[k : k + step, None] + i).ravel(), (starts[k : k + step, None] + j).ravel()
+                    ok = may_link(a, b)
+                    a, b = a[ok], b[ok]
+                    found.append(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]), np.minimum(level[a], level[b])], 1))
+            if found:
+                pairs, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts), pa.array(pairs[:, 2])], names=["a", "b", "overlap", "least"])
+            edges = []
+            for g in np.flatnonzero(~short):
                 rows = np.arange(cuts[g], cuts[g + 1])
                 side = part[rows]
                 forest = _Forest(len(rows))
                 for k, r in enumerate(rows):
                     others = np.arange(k) if not cross[r] else np.flatnonzero(side[:k] != side[k])
-                    others = others[100 * np.minimum(n[rows[others]], n[r]) >= percent * np.maximum(n[rows[others]], n[r])]
+                    others = others[may_link(r, rows[others])] if len(others) else others
                     if len(others):
-                        odd = np.bitwise_count(sketch[rows[others]] ^ sketch[r]).sum(1, dtype=np.int64)
-                        others = others[odd * (100 + percent) <= (n[rows[others]] + n[r]) * (100 - percent)]
-                        if len(others):
-                            forest.join(k, others)
+                        forest.join(k, others)
                 if forest.edges:
-                    e = rows[np.array(forest.edges)]
-                    found_a.append(rep[e[:, 0]])
-                    found_b.append(rep[e[:, 1]])
-            if found_a:
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    edges.append(rep[rows[np.array(forest.edges)]])
+            if edges:
+                e = np.concatenate(edges)
+                e = np.unique(np.stack([e.min(1), e.max(1)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(np.ones(len(e), np.int64)), pa.array(np.ones(len(e), np.int64))], names=["a", "b", "overlap", "least"])
 
     return run
 
@@ -183,15 +205,17 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _tile_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in complete_groups(batches, ["cluster", "ti", "tj"]):
-            rep, part, copies = (table.column(c).to_numpy() for c in ("rep", "part", "copies"))
+            rep, part, copies, s1 = (table.column(c).to_numpy() for c in ("rep", "part", "copies", "s1"))
             cross = table.column("ti").to_numpy() != table.column("tj").to_numpy()
             data, off = flat_bytes(table.column("grams"))
             out: list[tuple[int, int, int]] = []
             for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if end - start < 2:
+                rows = np.arange(start, end)
+                rows = rows[np.concatenate(([True], (rep[rows[1:]] != rep[rows[:-1]]) | (s1[rows[1:]] != s1[rows[:-1]])))]  # repeated rows
+                if len(rows) < 2:
                     continue
-                sets = [data[off[r] : off[r + 1]].view(np.uint64) for r in range(start, end)]
-                if end - start == 2:
+                sets = [data[off[r] : off[r + 1]].view(np.uint64) for r in rows]
+                if len(rows) == 2:
                     overlap = np.zeros((2, 2), np.int64)
                     overlap[0, 1] = overlap[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
                 else:
@@ -200,13 +224,13 @@ def _tile_links(percent: int):
                 link = 100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)
                 np.fill_diagonal(link, False)
                 if cross[start]:
-                    link &= part[start:end, None] != part[None, start:end]
-                ids, weight = rep[start:end], copies[start:end]
+                    link &= part[rows, None] != part[None, rows]
+                ids, weight = rep[rows], copies[rows]
                 link &= ids[:, None] != ids[None, :]
                 linked = link @ weight
                 out += [(int(ids[i]), None, int(linked[i])) for i in np.flatnonzero(linked)]
-                forest = _Forest(end - start)
-                for i in range(1, end - start):
+                forest = _Forest(len(rows))
+                for i in range(1, len(rows)):
                     js = np.flatnonzero(link[i, :i])
                     if len(js):
                         forest.join(i, js)
@@ -242,12 +266,13 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: st
     heads = known.alias("k").join(classes.alias("c"), (F.col("k.id") == F.col("c.rep")) & (F.col("k.s1") == F.col("c.s1")) & (F.col("k.s2") == F.col("c.s2")))
     heads = stage(heads.select("rep", F.col("k.n").alias("n"), "k.s1", "k.s2", "copies", "sketch", "first").dropDuplicates(["rep", "s1", "s2"]), "ngram-heads")
 
-    firsts = heads.select(F.explode("first").alias("h"), "rep", "s1")
+    firsts = heads.select(F.posexplode("first").alias("pos", "h"), "rep", "s1")
     columns = firsts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     cells = firsts.join(columns, "h").join(heads.select("rep", "s1", "n", "sketch"), ["rep", "s1"]).drop("s1")
-    cells = _tiled(cells, F.ceil(F.col("c") / COLUMN_TILE), "rep").select("h", "ti", "tj", "part", "rep", "n", "sketch")
+    cells = _tiled(cells, F.ceil(F.col("c") / COLUMN_TILE), "rep").select("h", "ti", "tj", "part", "rep", "n", "pos", "sketch")
     cells = cells.repartition("h", "ti", "tj").sortWithinPartitions("h", "ti", "tj")
-    near = cells.mapInArrow(_column_pairs(percent), "a long, b long").distinct()
+    near = cells.mapInArrow(_column_pairs(percent), "a long, b long, overlap long, least long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.min("least").alias("least"))
+    near = near.where("overlap >= least")
     clusters = connected_components(near).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
 
     chosen = heads.select("rep", "s1", "s2", "n", "copies").join(clusters, "rep")
@@ -269,9 +294,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: st
 
     sets = texts.mapInArrow(grams, "rep long, s1 long, s2 long, grams binary")
     small = chosen.select("rep", "s1", "s2", "cluster", "copies", "tiles")
-    cells = sets.join(F.broadcast(small) if few else small, ["rep", "s1", "s2"]).dropDuplicates(["rep", "s1", "s2"])
-    cells = _tiled(cells, F.col("tiles"), "rep").select("cluster", "ti", "tj", "part", "rep", "copies", "grams")
-    cells = cells.repartition("cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj")
+    cells = sets.join(F.broadcast(small) if few else small, ["rep", "s1", "s2"])
+    cells = _tiled(cells, F.col("tiles"), "rep").select("cluster", "ti", "tj", "part", "rep", "s1", "copies", "grams")
+    cells = cells.repartition("cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj", "rep", "s1")
     links = stage(cells.mapInArrow(_tile_links(percent), "a long, b long, links long"), "ngram-links")
 
     groups = connected_components(links.where("b is not null").select("a", "b"))
