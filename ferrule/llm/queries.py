@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import bpe, ngram_join, quality, toxicity, warc
+from ferrule.llm import bpe, decontaminate, embedding_dedup, ngram_join, quality, toxicity, warc
 from ferrule.llm._common import read_table
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -59,6 +63,23 @@ from q
 """
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+OP1_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+u as (select vec_id, len(e) d, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) e from v where list_dot_product(e, e) > 0),
+l as materialized (select a.vec_id x, b.vec_id y from u a join u b on a.vec_id <> b.vec_id and a.d = b.d where list_dot_product(a.e, b.e) >= 0.9),
+r(id, c) as (select vec_id, vec_id from embeddings union select l.y, r.c from r join l on l.x = r.id),
+n as (select x, count(*) n from l group by 1)
+select id vec_id, coalesce(any_value(n.n), 0)::bigint n_links, min(c) component_id, id = min(c) kept
+from r left join n on n.x = r.id group by id
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -69,11 +90,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
 }
 
-ORACLES: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_warc": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL, "op5_warc": OP5_SQL}
