@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm._common import stage
+
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Blocks of the fingerprint: one more than half the radius, so one differs in one bit at most.
 BLOCKS = 10
@@ -81,7 +83,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     of equally good windows, the first.
     """
     items = benchmark.where(F.col(item_column).isNotNull()).select(F.col(item_column).cast("long").alias("item"), F.col(item_text_column).alias("_t"))
-    items = shingles(items, "_t").where(F.size("s") > 0).select("item", F.col("s").alias("si"), F.size("s").alias("m"), F.col("_n").alias("item_words"))
+    items = shingles(items, "_t").select("item", F.col("s").alias("si"), F.size("s").alias("m"), F.col("_n").alias("item_words"), simhash(F.col("s")).alias("fi"))
+    items = stage(items, "decontaminate-items").where("m > 0")
     total = items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     parts = max(1, -(-total // MOST_SHINGLES))
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("_t"))
@@ -102,9 +105,12 @@ def _matches(rows: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     # One window for each run of shingles in line, at the run's first shingle.
     placed = placed.where("before is null or pos = 0 or get(s, pos - 1) <> before")
     placed = placed.withColumn("lo", F.greatest(F.col("pos") - F.col("o"), F.lit(0))).withColumn("hi", F.least(F.col("pos") - F.col("o") + F.col("m"), F.size("s")))
-    windows = placed.select("id", "m", "lo", F.slice("s", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("win")).distinct()
-    windows = windows.withColumn("f", simhash(F.col("win"))).select("*", F.explode(_block_values(F.col("f"), False)).alias("b"))
-    index = items.withColumn("fi", simhash(F.col("si"))).select("item", "m", "item_words", "si", "fi", F.explode(_block_values(F.col("fi"), True)).alias("b"))
+    windows = placed.select("id", "m", "lo", F.slice("s", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("win"))
+    # Written tables between the steps also keep the optimiser from pushing a step's expressions into the one below.
+    windows = stage(windows, "decontaminate-windows").distinct()
+    windows = stage(windows.withColumn("f", simhash(F.col("win"))), "decontaminate-fingerprints")
+    windows = windows.select("*", F.explode(_block_values(F.col("f"), False)).alias("b"))
+    index = items.select("item", "m", "item_words", "si", "fi", F.explode(_block_values(F.col("fi"), True)).alias("b"))
     pairs = windows.join(index, ["m", "b"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("fi"))) <= RADIUS)
     pairs = pairs.groupBy("id", "lo", "item").agg(F.first("win").alias("win"), F.first("si").alias("si"), F.first("item_words").alias("item_words"))
     scored = pairs.withColumn("similarity", weighted_jaccard(F.col("win"), F.col("si")))
