@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import bpe, decontaminate, embedding_dedup, ngram_join, quality, toxicity, warc
+from ferrule.llm import bpe, decontaminate, embedding_dedup, ngram_join, quality, substring_dedup, toxicity, warc
 from ferrule.llm._common import read_table
 
 
@@ -89,6 +89,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL, "op5_warc": OP5_SQL}
