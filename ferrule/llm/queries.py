@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import bpe, decontaminate, embedding_dedup, ngram_join, quality, substring_dedup, toxicity, warc
+from ferrule.llm import bpe, decontaminate, embedding_dedup, html_text, licenses, ngram_join, quality, substring_dedup, toxicity, warc
 from ferrule.llm._common import read_table
 
 
@@ -21,6 +21,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ngram_join.jaccard_groups(read_table(spark, sf_dir, "documents"), n=3, percent=90)
     return groups.select("doc_id", "n_shingles", "component_id")
@@ -89,6 +93,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(read_table(spark, sf_dir, "documents"))
 
@@ -96,11 +104,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
     "op4_ngram_join": op4_ngram_join,
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
+    "op9_licenses": op9_licenses,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
