@@ -1,10 +1,244 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries over the driver's tables and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ferrule.operators import graph, inference, ranking, scoring, spatial, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers the function under its name, with the SQL for the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+_BAG = "list_distinct(list_filter(list_transform(string_split_regex(lower({0}), '[ -]'), lambda w: regexp_replace(w, '[!-/:-@\\[-`{{-~]', '', 'g')), lambda w: w <> '' and w not in ('a', 'an', 'the')))"
+_SCORED = f"""
+s as (select p_partkey, p_brand, p_type, {_BAG.format('p_type')} p, {_BAG.format('p_name')} g from part),
+c as (select *, len(list_intersect(p, g))::double b from s),
+f as (select p_partkey, p_brand, p_type, (list_sort(p) = list_sort(g))::int::double em,
+  case when len(p) = 0 then 1.0 else b / len(p) end pr, case when len(g) = 0 then 1.0 else b / len(g) end re from c),
+x as (select p_partkey, p_brand, p_type, em, round_even(case when pr + re = 0 then 0 else 2 * pr * re / (pr + re) end, 2) f1 from f)
+"""
+
+
+@query(f"with {_SCORED} select p_brand, p_type, count(*) n, round(avg(em) * 100, 6) em, round(avg(f1) * 100, 6) f1 from x group by grouping sets ((p_brand), (p_type), ())")
+def answer_report(spark, d):
+    """EM and F1 overall and by slices."""
+    s = scoring.scored(_t(spark, d, "part"), "p_type", "p_name")
+    r = scoring.sliced_report(s, ["p_brand", "p_type"])
+    return r.select("p_brand", "p_type", "n", F.round("em", 6).alias("em"), F.round("f1", 6).alias("f1"))
+
+
+@query("""with o as (select l_orderkey k, list(l_suppkey order by l_linenumber) r, coalesce(list_distinct(list(l_suppkey) filter (l_returnflag = 'R')), []) g from lineitem group by 1),
+e as (select k, unnest([1, 2, 4, 5, 10]) cutoff, r, g from o)
+select cutoff, count(*) n, round(avg(case when len(g) = 0 then 0 else len(list_intersect(list_distinct(r[1:cutoff]), g)) / len(g) end), 9) recall from e group by 1""")
+def recall_at_k(spark, d):
+    """Document recall at 1, 2, 4, 5, 10."""
+    o = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"]).alias("r"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("g"))
+    ks = (1, 2, 4, 5, 10)
+    wide = o.agg(F.count("*").alias("n"), *[F.avg(scoring.recall_at(F.col("r"), F.col("g"), k)).alias(f"r{k}") for k in ks])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("cutoff"), "n", F.round(f"r{k}", 9).alias("recall")) for k in ks])).alias("x")).select("x.*")
+
+
+@query("select l_orderkey, l_linenumber, rn - 1 page_rank from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) rn from lineitem) where rn <= 3")
+def top_m_per_order(spark, d):
+    """Top-M by (-score, id)."""
+    return ranking.top_m(_t(spark, d, "lineitem"), ["l_orderkey"], "l_extendedprice", ["l_linenumber"], 3).select("l_orderkey", "l_linenumber", "page_rank")
+
+
+@query("""with q as (select label q, vec_id t, embedding::double[] qv from embeddings where vec_id % 100 = 0), r as (select vec_id id, vec_id // 5 page, embedding::double[] v from embeddings),
+s as (select q, t, id, page, list_dot_product(qv, v) score from q, r), k as (select *, row_number() over (partition by q, t order by score desc, id) rank from s)
+select q, t, id, page, rank, round(score, 6) score from k where rank <= 4""")
+def token_knn(spark, d):
+    """H1: exact k-NN of query tokens by inner product."""
+    return vectors.knn(*_tokens(spark, d), 4).select("q", "t", "id", "page", "rank", F.round("score", 6).alias("score"))
+
+
+@query("""with q as (select label q, vec_id t, embedding::double[] qv from embeddings where vec_id % 100 = 0), r as (select vec_id id, vec_id // 5 page, embedding::double[] v from embeddings),
+s as (select q, t, id, page, list_dot_product(qv, v) score from q, r), k as (select *, row_number() over (partition by q, t order by score desc, id) rank from s),
+m as (select q, t, page, max(score) s from k where rank <= 4 group by 1, 2, 3) select q, page, round(sum(s), 6) score from m group by 1, 2""")
+def indexed_maxsim(spark, d):
+    """H2: MaxSim over the hits of each token."""
+    return vectors.indexed_maxsim(vectors.knn(*_tokens(spark, d), 4)).select("q", "page", F.round("score", 6).alias("score"))
+
+
+@query("""with q as (select label q, vec_id t, embedding::double[] qv from embeddings where vec_id % 100 = 0), r as (select vec_id // 5 page, embedding::double[] v from embeddings),
+m as (select q, t, page, max(list_dot_product(qv, v)) s from q, r group by 1, 2, 3) select q, page, round(sum(s), 6) score from m group by 1, 2""")
+def full_maxsim(spark, d):
+    """H3: MaxSim over all rows."""
+    return vectors.full_maxsim(*_tokens(spark, d)).select("q", "page", F.round("score", 6).alias("score"))
+
+
+@query("""with q as (select embedding::double[] qv from embeddings where vec_id % 100 = 0)
+select vec_id, round(sum(case when sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(qv, qv)) = 0 then 0 else list_dot_product(embedding::double[], qv) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(qv, qv))) end), 6) relevance
+from embeddings, q group by 1""")
+def cosine_relevance(spark, d):
+    """H5: summed cosine with the query tokens."""
+    q, r = _tokens(spark, d)
+    scored = vectors.against_all(q, r, vectors.cosine(F.col("qv"), F.col("v")))
+    return scored.groupBy(F.col("id").alias("vec_id")).agg(F.round(F.sum("score"), 6).alias("relevance"))
+
+
+def _tokens(spark, d):
+    e = _t(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("label").alias("q"), F.col("vec_id").alias("t"), F.col("embedding").alias("qv"))
+    return q, e.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 5).alias("page"), F.col("embedding").alias("v"))
+
+
+_BOXES = """tok as (select p_partkey % 40 page, p_partkey token, (p_partkey * 7) % 60 tx0, (p_partkey * 11) % 60 ty0, (p_partkey * 7) % 60 + 4 tx1, (p_partkey * 11) % 60 + 4 ty1 from part),
+reg as (select s_suppkey % 40 page, s_suppkey region, (s_suppkey * 13) % 40 rx0, (s_suppkey * 17) % 40 ry0, (s_suppkey * 13) % 40 + 10 + s_suppkey % 20 rx1, (s_suppkey * 17) % 40 + 12 ry1 from supplier)"""
+
+
+@query(f"""with {_BOXES}, p as (select t.page, token, region, (least(tx1, rx1) - greatest(tx0, rx0)) * (least(ty1, ry1) - greatest(ty0, ry0)) area from tok t join reg r on t.page = r.page and least(tx1, rx1) > greatest(tx0, rx0) and least(ty1, ry1) > greatest(ty0, ry0)),
+b as (select *, row_number() over (partition by page, token order by area desc, region) n from p) select t.page, t.token, b.region, b.area from tok t left join b on b.page = t.page and b.token = t.token and n = 1""")
+def region_owners(spark, d):
+    """Spatial overlap join and largest-overlap ownership."""
+    p = _t(spark, d, "part").selectExpr("p_partkey % 40 page", "p_partkey token", "(p_partkey * 7) % 60 tx0", "(p_partkey * 11) % 60 ty0", "(p_partkey * 7) % 60 + 4 tx1", "(p_partkey * 11) % 60 + 4 ty1")
+    s = _t(spark, d, "supplier").selectExpr("s_suppkey % 40 page", "s_suppkey region", "(s_suppkey * 13) % 40 rx0", "(s_suppkey * 17) % 40 ry0", "(s_suppkey * 13) % 40 + 10 + s_suppkey % 20 rx1", "(s_suppkey * 17) % 40 + 12 ry1")
+    return spatial.owners(p, s)
+
+
+@query("""select l_suppkey, round(corr(x, y), 6) rho from (select l_suppkey, rank() over (partition by l_suppkey order by l_quantity) + (count(*) over (partition by l_suppkey, l_quantity) - 1) / 2 x,
+rank() over (partition by l_suppkey order by l_discount) + (count(*) over (partition by l_suppkey, l_discount) - 1) / 2 y from lineitem) group by 1""")
+def rank_correlation(spark, d):
+    """E5, K8: Spearman with averaged ties."""
+    return ranking.spearman(_t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_discount").select("l_suppkey", F.round("rho", 6).alias("rho"))
+
+
+@query("""select c_custkey, c_mktsegment, rn place from (select c_custkey, c_mktsegment, row_number() over (partition by c_mktsegment order by sha256('cohort:' || c_custkey), c_custkey) rn from customer) where rn <= 20""")
+def hash_cohort(spark, d):
+    """Stratified sample in hash order."""
+    return ranking.hash_sample(_t(spark, d, "customer"), ["c_mktsegment"], "c_custkey", 20, "cohort:").select("c_custkey", "c_mktsegment", "place")
+
+
+@query("""with c as (select o_orderpriority, count(*) n from orders group by 1), e as (select *, 101 * n / (select sum(n) from c) q from c), f as (select *, floor(q) fl from e)
+select o_orderpriority, n, (fl + (row_number() over (order by round(q - fl, 9) desc, o_orderpriority) <= 101 - (select sum(fl) from f))::int)::bigint seats from f""")
+def stratum_allocation(spark, d):
+    """L1: largest-remainder allocation."""
+    c = _t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return ranking.largest_remainder(c, "o_orderpriority", "n", 101)
+
+
+@query("""with p as (select l_returnflag g, l_linenumber i, count(*) * 1.0 / (select count(*) * 4 from lineitem) p from lineitem group by 1, 2),
+s as (select g, i, p, least(1.0, (count(*) over (partition by g) - row_number() over (partition by g order by p, i) + 1) * p) st from p)
+select g, i, round(max(st) over (partition by g order by p, i rows unbounded preceding), 9) adjusted from s""")
+def holm_adjusted(spark, d):
+    """Holm step-down."""
+    li = _t(spark, d, "lineitem")
+    n = li.agg((F.count("*") * 4).alias("n"))
+    p = li.groupBy(F.col("l_returnflag").alias("g"), F.col("l_linenumber").alias("i")).agg(F.count("*").alias("c")).join(F.broadcast(n)).withColumn("p", F.col("c") / F.col("n"))
+    return ranking.holm(p, ["g"], "p", "i").select("g", "i", F.round("adjusted", 9).alias("adjusted"))
+
+
+@query("""with x as (select user_id, event_id, event_type, case when event_type = lag(event_type) over (partition by user_id order by event_id) then 0 else 1 end nw from events),
+r as (select *, sum(nw) over (partition by user_id order by event_id rows unbounded preceding) run from x) select user_id, run::bigint run, event_type, min(event_id) start, max(event_id) "end", count(*) n from r group by 1, 2, 3""")
+def event_runs(spark, d):
+    """Contiguous runs."""
+    return ranking.runs(_t(spark, d, "events"), ["user_id"], "event_id", "event_type")
+
+
+@query()
+def greedy_budget(spark, d):
+    """Greedy budgeted prefix that skips what doesn't fit."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("p"), F.col("l_linenumber").cast("long").alias("id"), F.col("l_quantity").cast("long").alias("cost")))), lambda x: F.struct(x["id"].alias("id"), x["cost"].alias("cost")))
+    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(items.alias("items")).select("l_orderkey", ranking.greedy_prefix(F.col("items"), 60).alias("ids"))
+
+
+@query("""with recursive e as (select distinct l_orderkey % 500 x, 1000000 + l_partkey % 397 y from lineitem where l_orderkey % 7 = 0 and l_linenumber = 1), b as (select x, y from e union select y, x from e),
+r(id, c) as (select x, x from b union select b.y, r.c from r join b on b.x = r.id) select id, min(c) component from r group by 1""")
+def shared_components(spark, d):
+    """L3: components of questions that share documents."""
+    e = _t(spark, d, "lineitem").where("l_orderkey % 7 = 0 and l_linenumber = 1").selectExpr("l_orderkey % 500 a", "1000000 + l_partkey % 397 b")
+    return graph.components(e)
+
+
+@query("""select event_type, count(*) n, round(quantile_cont(value, 0.5), 6) median, round(quantile_cont(value, 0.95), 6) p95, round(avg(value), 6) mean, min(value) least, max(value) most from events group by 1""")
+def distribution(spark, d):
+    """Distribution with linear quantiles."""
+    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
+    return _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), q(0.5).alias("median"), q(0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+_PREF = "case when (i.s >= 0.05) = (j.s >= 0.05) then 0 when abs(i.s - 0.05) {0} 0.01 or abs(j.s - 0.05) {0} 0.01 then 0 when i.s >= 0.05 then 1 else -1 end"
+
+
+@query(f"""with m as (select l_orderkey g, l_linenumber n, l_discount s from lineitem) select {_PREF.format('<')} open, {_PREF.format('<=')} closed, count(*) n from m i join m j on i.g = j.g and i.n > j.n group by 1, 2""")
+def preference_pairs(spark, d):
+    """Pair preferences under both band rules."""
+    p = inference.pairs_in_group(_t(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_discount")
+    f = lambda c: inference.preference(F.col("i_value"), F.col("j_value"), 0.05, 0.01, c)
+    return p.select(f(False).alias("open"), f(True).alias("closed")).groupBy("open", "closed").agg(F.count("*").alias("n"))
+
+
+@query("""select l_shipdate::date < date '1995-06-17' early, count(*) n, avg((l_quantity > 25)::int) "before", avg((l_extendedprice > 30000)::int) "after", count(*) filter (l_extendedprice > 30000) - count(*) filter (l_quantity > 25) net,
+count(*) filter (not l_quantity > 25 and l_extendedprice > 30000) / nullif(count(*) filter (not l_quantity > 25), 0) rescue_rate, count(*) filter (l_quantity > 25 and not l_extendedprice > 30000) / nullif(count(*) filter (l_quantity > 25), 0) damage_rate from lineitem group by 1""")
+def rescue_and_damage(spark, d):
+    """Accuracies, net change, rescue and damage rates."""
+    li = _t(spark, d, "lineitem").withColumn("early", F.to_date("l_shipdate") < F.lit("1995-06-17").cast("date"))
+    return inference.outcome_summary(li, ["early"], F.col("l_quantity") > 25, F.col("l_extendedprice") > 30000)
+
+
+@query("select round(sqrt(sum(v)) / count(*), 9) mcse, count(*) n from (select l_suppkey, var_samp(l_discount) / count(*) v from lineitem group by 1)")
+def monte_carlo_error(spark, d):
+    """Monte-Carlo standard error over units."""
+    return inference.mcse(_t(spark, d, "lineitem"), ["l_suppkey"], "l_discount").select(F.round("mcse", 9).alias("mcse"), "n")
+
+
+@query("""with q as (select row_number() over (order by s_suppkey) - 1 place, s_acctbal delta from supplier), n as (select count(*) n from q), s as (select i // n draw, i % n slot, n from n, range(200 * n) r(i)),
+p as (select draw, (('0x' || substr(sha256('boot|' || draw || '|' || slot), 1, 13))::bigint) % n place from s), m as (select draw, avg(delta) m from p join q using (place) group by 1)
+select count(*) draws, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high from m""")
+def paired_bootstrap(spark, d):
+    """K1: bootstrap interval of a mean of paired deltas, drawn by hash."""
+    s = _t(spark, d, "supplier")
+    n = s.count()
+    from pyspark.sql import Window
+
+    q = s.select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("long").alias("place"), F.col("s_acctbal").alias("delta"))
+    return inference.paired_bootstrap(q, "place", "delta", n, 200, "boot").select("draws", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("""select 'missing' kind, o_orderkey k from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber = 2) union all
+select 'duplicate', l_suppkey from lineitem where l_orderkey < 50 group by 2 having count(*) > 1 union all
+select 'unexpected', l_orderkey from lineitem where l_linenumber = 1 and l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')""")
+def key_reconciliation(spark, d):
+    """Anti-joins both ways and duplicates, as violation rows."""
+    li, o = _t(spark, d, "lineitem"), _t(spark, d, "orders")
+    missing = o.select(F.col("o_orderkey").alias("k")).join(li.where("l_linenumber = 2").select(F.col("l_orderkey").alias("k")), "k", "left_anti")
+    twice = li.where("l_orderkey < 50").groupBy(F.col("l_suppkey").alias("k")).count().where("count > 1").select("k")
+    extra = li.where("l_linenumber = 1").select(F.col("l_orderkey").alias("k")).join(o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k")), "k", "left_anti")
+    return missing.select(F.lit("missing").alias("kind"), "k").union(twice.select(F.lit("duplicate"), "k")).union(extra.select(F.lit("unexpected"), "k"))
+
+
+@query("""select url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '_', ' ', 'g') path from pages""")
+def url_family(spark, d):
+    """Host and path of a URL family."""
+    return _t(spark, d, "pages").select("url", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)).alias("host"), F.translate(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1), "_", " ").alias("path"))
+
+
+@query("""select count(*) n, sum(l_quantity) original, sum(l_quantity - floor(l_quantity * l_discount)) kept, round(avg(floor(l_quantity * l_discount) / l_quantity), 9) mean_drop, round(sum(floor(l_quantity * l_discount)) / sum(l_quantity), 9) weighted_drop,
+max(l_extendedprice) peak, bool_and(l_quantity > 0) warm, l_returnflag from lineitem group by l_returnflag""")
+def stage_metrics(spark, d):
+    """Sums, mean of drop rates and weighted drop rate."""
+    drop = F.floor(F.col("l_quantity") * F.col("l_discount"))
+    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), F.sum("l_quantity").alias("original"), F.sum(F.col("l_quantity") - drop).alias("kept"), F.round(F.avg(drop / F.col("l_quantity")), 9).alias("mean_drop"),
+        F.round(F.sum(drop) / F.sum("l_quantity"), 9).alias("weighted_drop"), F.max("l_extendedprice").alias("peak"), F.bool_and(F.col("l_quantity") > 0).alias("warm"))
