@@ -47,7 +47,7 @@ def answer_report(spark, d):
     return r.select("p_brand", "p_type", "n", F.round("em", 6).alias("em"), F.round("f1", 6).alias("f1"))
 
 
-@query("""with o as (select l_orderkey k, list(l_suppkey order by l_linenumber) r, coalesce(list_distinct(list(l_suppkey) filter (l_returnflag = 'R')), []) g from lineitem group by 1),
+@query("""with o as (select l_orderkey k, list(l_suppkey order by l_linenumber, l_suppkey) r, coalesce(list_distinct(list(l_suppkey) filter (l_returnflag = 'R')), []) g from lineitem group by 1),
 e as (select k, unnest([1, 2, 4, 5, 10]) cutoff, r, g from o)
 select cutoff, count(*) n, round(avg(case when len(g) = 0 then 0 else len(list_intersect(list_distinct(r[1:cutoff]), g)) / len(g) end), 9) recall from e group by 1""")
 def recall_at_k(spark, d):
