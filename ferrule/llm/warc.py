@@ -6,7 +6,8 @@ become revisits of the smallest page id, and every task sorts its records by
 URL key and time before it appends them to its archive. An archive is thus a
 locally sorted run. Records are written by Spark's own text writer, with the
 blank lines that end a record as its line end, so any store Spark can write to
-will do.
+will do. Archives are gzipped as a whole; offsets of records count from the
+start of the unpacked archive.
 
 Reading: archives are parsed by Content-Length, and the runs' entries are
 dealt out by ranges of (URL key, time, page id). Each range merges its runs
@@ -88,7 +89,7 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: s
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), body)
     records = joined.select(url_key(F.col("url")).alias("key"), "at", "id", record.alias("value"))
-    records.sortWithinPartitions("key", "at", "id").select("value").write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 20_000).text(path)
+    records.sortWithinPartitions("key", "at", "id").select("value").write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 20_000).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
@@ -118,11 +119,12 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
+        import gzip
         import hashlib
 
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = data.as_buffer().to_pybytes()
+                raw = gzip.decompress(data.as_buffer())
                 out = []
                 for head, start, size in parse(raw):
                     stored = head["WARC-Payload-Digest"].removeprefix("sha1:")
