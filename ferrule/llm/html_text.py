@@ -168,12 +168,15 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
 
     pairs = ranged.select("range", "host", "path", "row", "hashes", "sizes").mapInArrow(difference, "row long, near long, other long, shared array<int>")
     best = pairs.groupBy("row").agg(F.max_by("shared", F.struct("near", -F.col("other"))).alias("shared")).where(F.size("shared") > 0)
-    joined = parsed.join(best, "row", "left")
     inside = F.exists("zones", lambda z: z == INSIDE)
+    # Only lines outside articles can be deleted: pages with an article need no join.
+    settled = parsed.where(inside).withColumn("kept", F.filter(F.arrays_zip("lines", "zones"), lambda x: x["zones"] == INSIDE))
+    settled = settled.select("id", "url", F.array_join(F.transform("kept", lambda x: x["lines"]), " ").alias("text"))
+    joined = parsed.where(~inside).join(best, "row", "left").withColumn("k", F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))))
     kept = F.filter(
         F.arrays_zip("lines", "zones", "k"),
-        lambda x: F.when(F.col("inside"), x["zones"] == INSIDE).otherwise((x["zones"] == PLAIN) & ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), x["k"])),
+        lambda x: (x["zones"] == PLAIN) & ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), x["k"]),
     )
-    text = F.array_join(F.transform(kept, lambda x: x["lines"]), " ")
-    out = joined.withColumn("inside", inside).withColumn("k", F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0)))).withColumn("text", F.coalesce(text, F.lit("")))
+    differenced = joined.select("id", "url", F.coalesce(F.array_join(F.transform(kept, lambda x: x["lines"]), " "), F.lit("")).alias("text"))
+    out = settled.unionByName(differenced)
     return out.select(F.col("id").alias(id_column), F.col("url").alias(url_column), "text", F.char_length("text").cast("long").alias("n_chars"))
