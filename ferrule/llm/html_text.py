@@ -9,8 +9,8 @@ page (more than COPY of its text shared). Elements that are menus, headers,
 footers, sidebars, notices, adverts, forms or comments by name are dropped as
 well; where a page has an article or main element with words, only those count.
 
-The order is cut into ranges for tasks; the first page of a range is also given
-to the range before, so that the result doesn't depend on the cuts.
+The order is cut into ranges for tasks; the last page of a range is compared
+with the first of the next, so that the result doesn't depend on the cuts.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,56 +126,110 @@ def _near(a: str, b: str) -> int:
     return n
 
 
+def _wanted(page: str) -> tuple[list[str], list[int] | None]:
+    """Lines that may be text: those of articles (places None: all stay), or of pages without one, with their places."""
+    texts, zones = lines(page)
+    if INSIDE in zones:
+        return [t for t, z in zip(texts, zones, strict=True) if z == INSIDE], None
+    places = [k for k, z in enumerate(zones) if z == PLAIN]
+    return [texts[k] for k in places], places
+
+
+def _signed(line: str) -> int:
+    h = xxhash.xxh64_intdigest(line)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [lines(p)[0] for p in batch.column(4).to_pylist()]
+        hashes, sizes = [[_signed(t) for t in f] for f in found], [[len(t) for t in f] for f in found]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["id", "key", "host", "path", "hashes", "sizes"])
+
+
+def _pair(a: dict, b: dict) -> list[dict]:
+    """What each of two neighbours of one host shares with the other."""
+    near = _near(a["path"], b["path"])
+    out = []
+    for page, places, other in zip((a, b), common_lines(a["hashes"], b["hashes"]), (b, a), strict=True):
+        copy = sum(page["sizes"][k] for k in places) > COPY * sum(page["sizes"])
+        out.append({"id": page["id"], "key": page["key"], "near": near - (1 << 20) * copy, "other": other["key"], "shared": [] if copy else places})
+    return out
+
+
+def _compare_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours within a sorted range; its first and last page follow as edges."""
+    from pyspark import TaskContext
+
+    part, first, last = TaskContext.get().partitionId(), None, None
+    for batch in batches:
+        out = []
+        for now in batch.to_pylist():
+            if last and last["host"] == now["host"]:
+                out += _pair(last, now)
+            first, last = first or now, now
+        yield pa.RecordBatch.from_pylist(out, _FOUND)
+    if first:
+        yield pa.RecordBatch.from_pylist([first | {"range": part, "edge": "first"}, last | {"range": part, "edge": "last"}], _FOUND)
+
+
+def _compare_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pylist([p for row in batch.to_pylist() for p in _pair(row["a"], row["b"])], _PAIRS)
+
+
+_PAIRS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("near", pa.int64()), ("other", pa.int64()), ("shared", pa.list_(pa.int32()))])
+_FOUND = pa.schema([*_PAIRS, ("range", pa.int32()), ("edge", pa.string()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+_PAIRS_SQL = "id long, key long, near long, other long, shared array<int>"
+_FOUND_SQL = f"{_PAIRS_SQL}, range int, edge string, host string, path string, hashes array<long>, sizes array<int>"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=6).compress
+    for batch in batches:
+        found = [_wanted(p) for p in batch.column(3).to_pylist()]
+        blobs = [press("\n".join(t).encode(errors="surrogatepass")) for t, _ in found]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary()), pa.array([p for _, p in found], pa.list_(pa.int32()))], names=["id", "url", "key", "blob", "places"])
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts = []
+        for blob, places, shared in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+            found = open_(blob).decode(errors="surrogatepass").split("\n")
+            if places is not None and shared:
+                gone = set(shared)
+                found = [t for t, k in zip(found, places, strict=False) if k not in gone]
+            texts.append(" ".join(found))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
+
+
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row of ``pages``.
 
     Null and empty pages have empty texts. A null URL is of the empty host.
     Rows that repeat an id are treated each; repeated pages are copies of each
-    other, which delete nothing.
+    other, which delete nothing. Only line hashes are sorted by URL; pages are
+    parsed once more for their text, which moves once, packed by zstd, to meet
+    the places of its shared lines.
     """
     url = F.lower(F.coalesce(F.col(url_column), F.lit("")))
     bare = F.regexp_replace(url, r"^[a-z][a-z0-9+.-]*://", "")
-    rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.regexp_extract(bare, r"^[^/?#]*", 0).alias("host"),
+    rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.xxhash64(F.col(url_column), F.col(html_column)).alias("key"), F.regexp_extract(bare, r"^[^/?#]*", 0).alias("host"),
                         F.regexp_replace(F.regexp_replace(bare, r"^[^/?#]*", ""), r"#.*$", "").alias("path"), F.coalesce(F.col(html_column), F.lit("")).alias("html"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [lines(p) for p in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([t for t, _ in found], pa.list_(pa.string())), pa.array([z for _, z in found], pa.list_(pa.int32()))], names=["id", "url", "host", "path", "lines", "zones"])
-
-    parsed = rows.mapInArrow(parse, "id long, url string, host string, path string, lines array<string>, zones array<int>")
-    parsed = stage(parsed.withColumn("row", F.monotonically_increasing_id()), "html-lines")
-    keyed = parsed.select("row", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", F.length).alias("sizes"))
-    ordered = keyed.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
-    ordered = stage(ordered.withColumn("range", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "html-order")
-    ends = ordered.groupBy("range").agg(F.min("place").alias("place")).withColumn("before", F.lag("range").over(Window.orderBy("range")))  # a row a range
-    borders = ordered.join(F.broadcast(ends.where("before is not null").select("place", "before")), "place").drop("range").withColumnRenamed("before", "range")
-    ranged = ordered.unionByName(borders).repartition("range").sortWithinPartitions("range", "place")
-
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            out = []
-            for now in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if last and last[0] == now[0] and last[1] == now[1]:
-                    mine, theirs = common_lines(last[4], now[4])
-                    near = _near(last[2], now[2])
-                    for page, places, other in ((last, mine, now), (now, theirs, last)):
-                        total = sum(page[5])
-                        copy = sum(page[5][k] for k in places) > COPY * total
-                        out.append((page[3], near - (1 << 20) * copy, other[3], [] if copy else places))
-                last = now
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["row", "near", "other", "shared"])
-
-    pairs = ranged.select("range", "host", "path", "row", "hashes", "sizes").mapInArrow(difference, "row long, near long, other long, shared array<int>")
-    best = pairs.groupBy("row").agg(F.max_by("shared", F.struct("near", -F.col("other"))).alias("shared")).where(F.size("shared") > 0)
-    joined = parsed.join(best, "row", "left")
-    inside = F.exists("zones", lambda z: z == INSIDE)
-    kept = F.filter(
-        F.arrays_zip("lines", "zones", "k"),
-        lambda x: F.when(F.col("inside"), x["zones"] == INSIDE).otherwise((x["zones"] == PLAIN) & ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), x["k"])),
-    )
-    text = F.array_join(F.transform(kept, lambda x: x["lines"]), " ")
-    out = joined.withColumn("inside", inside).withColumn("k", F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0)))).withColumn("text", F.coalesce(text, F.lit("")))
+    keyed = rows.select("id", "key", "host", "path", "html").mapInArrow(_fingerprints, "id long, key long, host string, path string, hashes array<long>, sizes array<int>")
+    keyed = stage(keyed, "html-lines", "zstd")
+    order = ["host", "path", "id", "key"]
+    found = stage(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare_range, _FOUND_SQL), "html-pairs", "zstd")
+    page = F.struct("id", "key", "host", "path", "hashes", "sizes")
+    firsts, lasts = (found.where(F.col("edge") == e) for e in ("first", "last"))
+    before = firsts.select("range", *order).withColumn("before", F.lag("range").over(Window.orderBy(*order))).select("range", "before")  # a row a range
+    edges = firsts.select("range", page.alias("b")).join(before, "range").join(lasts.select(F.col("range").alias("before"), page.alias("a")), "before")
+    pairs = found.where("edge is null").select(*_PAIRS.names).unionByName(edges.where("a.host = b.host").select("a", "b").mapInArrow(_compare_edges, _PAIRS_SQL))
+    best = pairs.groupBy(F.col("id").alias("best_id"), F.col("key").alias("best_key")).agg(F.max_by("shared", F.struct("near", "other")).alias("shared")).where(F.size("shared") > 0)
+    packed = rows.select("id", "url", "key", "html").mapInArrow(_pack, "id long, url string, key long, blob binary, places array<int>")
+    joined = packed.join(best, (F.col("key") == F.col("best_key")) & F.col("id").eqNullSafe(F.col("best_id")), "left")
+    out = joined.select("id", "url", "blob", "places", "shared").mapInArrow(_finish, "id long, url string, text string")
     return out.select(F.col("id").alias(id_column), F.col("url").alias(url_column), "text", F.char_length("text").cast("long").alias("n_chars"))
