@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,11 +137,11 @@ def _unpack(data: bytes) -> np.ndarray:
 def _encode_words(path: str):
     """Rows (word, block, number) sorted by word: each distinct word is encoded once.
 
-    A batch's answers are put together by block: numbers, counts of ids and ids, packed.
+    A batch's answers are put together by block: numbers, counts of ids and ids, packed and pressed by zstd.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _whole_piece_encoder(path)
+        encode, press = _whole_piece_encoder(path), zstandard.ZstdCompressor(level=6).compress
         last, ids = None, b""
         for batch in batches:
             found = []
@@ -157,7 +158,8 @@ def _encode_words(path: str):
                 at = at[np.argsort(numbers[at])]
                 mine = [found[i] for i in at]
                 steps = np.diff(numbers[at], prepend=0).astype(np.uint32)
-                out.append((blocks[at[0]], _pack(steps), _pack(np.array([len(x) for x in mine], np.uint32)), _pack(np.concatenate(mine))))
+                packed = (steps, np.array([len(x) for x in mine], np.uint32), np.concatenate(mine))
+                out.append((blocks[at[0]], *(press(_pack(x)) for x in packed)))
             if out:
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "counts", "ids"])
@@ -246,9 +248,10 @@ def _assemble(path: str, finish: Callable[[Document], tuple], fields: list):
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         table, ids, seen = _token_bytes(path), {}, {}
+        open_ = zstandard.ZstdDecompressor().decompress
         for numbers, counts, tokens in zip(*(found.column(c).to_pylist() for c in ("numbers", "counts", "ids")), strict=True):
-            pieces = np.split(_unpack(tokens).astype(np.int32), np.cumsum(_unpack(counts))[:-1])
-            ids.update(zip(np.cumsum(_unpack(numbers)).tolist(), pieces, strict=True))
+            pieces = np.split(_unpack(open_(tokens)).astype(np.int32), np.cumsum(_unpack(open_(counts)))[:-1])
+            ids.update(zip(np.cumsum(_unpack(open_(numbers))).tolist(), pieces, strict=True))
         out = [
             (key, *finish(Document(_unpack(codes), ids, table, seen)))
             for key, codes in zip(texts.column("id").to_pylist(), texts.column("codes").to_pylist(), strict=True)
