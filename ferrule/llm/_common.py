@@ -63,7 +63,7 @@ def stage_buckets(df: DataFrame, name: str, key: str, compression: str = "zstd")
     table = f"ferrule_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = new_path(spark, name)
-    df.write.bucketBy(buckets, key).option("path", path).option("compression", compression).saveAsTable(table)
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", compression).option("parquet.compression.codec.zstd.level", "9").saveAsTable(table)
     staged = spark.table(table)
     spark.sql(f"drop table {table}")
     return staged
