@@ -1,0 +1,55 @@
+"""Budgeted selection within a question's regions, and masks drawn by hash.
+
+A group holds the regions of one question, so its arrays are short; groups are
+dealt over all tasks.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+
+_FOUND = StructType().add("spent", LongType()).add("places", ArrayType(IntegerType()))
+
+
+def best_subset(costs: list[int], scores: list[float], budget: int) -> tuple[int, list[int]]:
+    """(spent, places): the largest cost within ``budget`` that some subset has, and the best scored subset of that cost.
+
+    Ties keep the subset found first: an item is taken only for a strictly higher score.
+    """
+    best = np.full(budget + 1, -np.inf)
+    best[0] = 0.0
+    taken = np.zeros((len(costs), budget + 1), bool)
+    for k, (cost, score) in enumerate(zip(costs, scores, strict=True)):
+        if 0 < cost <= budget:
+            with_it = best[: budget + 1 - cost] + score
+            taken[k, cost:] = with_it > best[cost:]
+            best[cost:] = np.where(taken[k, cost:], with_it, best[cost:])
+    spent = int(np.flatnonzero(np.isfinite(best))[-1])
+    places, left = [], spent
+    for k in range(len(costs) - 1, -1, -1):
+        if taken[k, left]:
+            places.append(k)
+            left -= costs[k]
+    return spent, places[::-1]
+
+
+@F.pandas_udf(_FOUND)
+def knapsack(costs: pd.Series, scores: pd.Series, budgets: pd.Series) -> pd.DataFrame:
+    """``best_subset`` of each row's arrays."""
+    found = [best_subset([int(c) for c in cs], list(ss), int(b)) for cs, ss, b in zip(costs, scores, budgets, strict=True)]
+    return pd.DataFrame({"spent": [s for s, _ in found], "places": [p for _, p in found]})
+
+
+def hash_bit(prefix: str, *parts: Column) -> Column:
+    """A fair bit by the key: the lowest bit of the first digit of its SHA-256."""
+    digit = F.substring(F.sha2(F.concat_ws("|", F.lit(prefix), *[p.cast("string") for p in parts]), 256), 1, 1)
+    return F.conv(digit, 16, 10).cast("int") % 2
+
+
+def additive_score(mask: Column, scores: Column) -> Column:
+    """Sum of the scores whose mask is true."""
+    return F.aggregate(F.zip_with(mask, scores, lambda m, s: F.when(m, s).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.operators import graph, inference, ranking, scoring, spatial, vectors
+from ferrule.operators import containment, graph, inference, ranking, scoring, selection, spatial, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -242,3 +242,67 @@ def stage_metrics(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(
         F.count("*").alias("n"), F.sum("l_quantity").alias("original"), F.sum(F.col("l_quantity") - drop).alias("kept"), F.round(F.avg(drop / F.col("l_quantity")), 9).alias("mean_drop"),
         F.round(F.sum(drop) / F.sum("l_quantity"), 9).alias("weighted_drop"), F.max("l_extendedprice").alias("peak"), F.bool_and(F.col("l_quantity") > 0).alias("warm"))
+
+
+@query("""with recursive i as (select l_orderkey k, l_quantity::bigint cost, l_extendedprice score, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_extendedprice) n from lineitem),
+m as (select k, max(n) m from i group by 1), r(k, n, spent, score) as (select k, 0::bigint, 0::bigint, 0.0::double from m union all
+select r.k, r.n + 1, r.spent + t.take * i.cost, r.score + t.take * i.score from r join i on i.k = r.k and i.n = r.n + 1, (values (0), (1)) t(take) where r.spent + t.take * i.cost <= 60),
+f as (select r.k, spent, max(score) score from r join m on m.k = r.k and m.m = r.n group by 1, 2)
+select k l_orderkey, spent, round(score, 2) score from f qualify row_number() over (partition by k order by spent desc) = 1""")
+def best_at_budget(spark, d):
+    """The largest cost within a budget and the best scored subset of that cost."""
+    items = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))).alias("i"))
+    found = items.withColumn("f", selection.knapsack(F.col("i.l_quantity"), F.col("i.l_extendedprice"), F.lit(60)))
+    score = F.aggregate("f.places", F.lit(0.0), lambda a, x: a + F.element_at(F.col("i.l_extendedprice"), x + 1))
+    return found.select("l_orderkey", F.col("f.spent").alias("spent"), F.round(score, 2).alias("score"))
+
+
+@query("""select l_suppkey, draw, count(*) n, sum(b)::bigint kept, round(sum(b * l_discount), 6) score from (select *, (('0x' || substr(sha256('mask|' || draw || '|' || l_orderkey || '|' || l_linenumber), 1, 1))::int) % 2 b
+from lineitem, range(4) g(draw)) group by 1, 2""")
+def mask_scores(spark, d):
+    """Fair masks drawn by hash and their additive scores."""
+    li = _t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_discount", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("draw"))
+    bit = li.withColumn("b", selection.hash_bit("mask", F.col("draw"), F.col("l_orderkey"), F.col("l_linenumber")))
+    return bit.groupBy("l_suppkey", "draw").agg(F.count("*").alias("n"), F.sum("b").alias("kept"), F.round(F.sum(F.col("b") * F.col("l_discount")), 6).alias("score"))
+
+
+_TURNS = "turns as (select conv_id doc, turn page, lower(regexp_replace(trim(text, ' '), ' +', ' ', 'g')) text from conversations where text is not null and text <> '')"
+
+
+@query(f"""with {_TURNS}, t as (select *, lead(text) over (partition by doc order by page) t1, lead(text, 2) over (partition by doc order by page) t2 from turns),
+p as (select doc, page passage, case when t1 is null then right(text, 30) else right(text, 20) || ' ' || left(t1, 20) end needle from t),
+w as (select doc, page first, page last, text s from t union all select doc, page, page + 1, text || ' ' || t1 from t where t1 is not null union all select doc, page, page + 2, text || ' ' || t1 || ' ' || t2 from t where t2 is not null),
+h as (select p.doc, passage, first, last from p join w on w.doc = p.doc and length(needle) >= 24 and contains(s, needle))
+select * from h where not exists (select 1 from h g where g.doc = h.doc and g.passage = h.passage and g.first >= h.first and g.last <= h.last and (g.first > h.first or g.last < h.last))""")
+def passage_windows(spark, d):
+    """Passages inside one to three consecutive pages, minimal windows only."""
+    text = F.lower(F.regexp_replace(F.trim("text"), " +", " "))
+    pages = _t(spark, d, "conversations").where("text is not null and text <> ''").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), text.alias("text"))
+    after = F.lead("text").over(Window.partitionBy("doc").orderBy("page"))
+    needle = F.when(after.isNull(), F.right("text", F.lit(30))).otherwise(F.concat_ws(" ", F.right("text", F.lit(20)), F.left(after, F.lit(20))))
+    return containment.minimal_windows(pages, pages.select("doc", F.col("page").alias("passage"), needle.alias("needle")))
+
+
+@query("""select o_custkey, count(*) n, count(l.k) predicted, sum(coalesce(l.q, 0)) total from orders left join (select l_orderkey k, sum(l_quantity) q from lineitem where l_shipdate < timestamp '1995-01-01' group by 1) l on l.k = o_orderkey group by 1""")
+def default_for_missing(spark, d):
+    """Every source row, with a default where the prediction is missing."""
+    made = _t(spark, d, "lineitem").where("l_shipdate < timestamp '1995-01-01'").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("q"))
+    j = _t(spark, d, "orders").join(made, F.col("o_orderkey") == F.col("k"), "left")
+    return j.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count("k").alias("predicted"), F.sum(F.coalesce("q", F.lit(0.0))).alias("total"))
+
+
+@query("""with a as (select l_orderkey k, avg(l_discount) x from lineitem where l_linenumber % 2 = 1 group by 1), b as (select l_orderkey k, avg(l_discount) y from lineitem where l_linenumber % 2 = 0 group by 1)
+select o_orderpriority, count(*) n, round(avg(y - x), 9) delta, count(*) filter (y > x) better from a join b using (k) join orders on o_orderkey = k group by 1""")
+def paired_arms(spark, d):
+    """Paired differences of two arms over the keys that both have."""
+    li = _t(spark, d, "lineitem")
+    both = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.avg(F.when(F.col("l_linenumber") % 2 == 1, F.col("l_discount"))).alias("x"), F.avg(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount"))).alias("y"))
+    j = both.where("x is not null and y is not null").join(_t(spark, d, "orders"), F.col("o_orderkey") == F.col("k"))
+    return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(F.col("y") - F.col("x")), 9).alias("delta"), F.count_if(F.col("y") > F.col("x")).alias("better"))
+
+
+@query("""select l_partkey family, count(distinct l_orderkey % 3) splits from lineitem where l_shipdate >= timestamp '1998-01-01' group by 1 having count(distinct l_orderkey % 3) > 1""")
+def split_overlaps(spark, d):
+    """Families that more than one split holds, as violation rows."""
+    s = _t(spark, d, "lineitem").where("l_shipdate >= timestamp '1998-01-01'").select(F.col("l_partkey").alias("family"), (F.col("l_orderkey") % 3).alias("split"))
+    return s.groupBy("family").agg(F.count_distinct("split").alias("splits")).where("splits > 1")

@@ -1,6 +1,9 @@
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
-from ferrule.operators import graph, ranking, scoring, spatial
+from ferrule.operators import containment, graph, ranking, scoring, selection, spatial
 
 
 def test_scores(spark):
@@ -37,3 +40,26 @@ def test_components_and_owners(spark):
     t = spark.createDataFrame([(0, 1, 0, 0, 4, 4), (0, 2, 50, 50, 54, 54)], "page int, token int, tx0 int, ty0 int, tx1 int, ty1 int")
     r = spark.createDataFrame([(0, 9, 0, 0, 3, 3), (0, 8, 0, 0, 20, 20)], "page int, region int, rx0 int, ry0 int, rx1 int, ry1 int")
     assert {(x.token, x.region, x.area) for x in spatial.owners(t, r).collect()} == {(1, 8, 16), (2, None, None)}
+
+
+def test_best_subset_equals_enumeration():
+    rng = random.Random(2)
+    for _ in range(60):
+        n, budget = rng.randrange(7), rng.randrange(25)
+        costs, scores = [rng.randrange(1, 12) for _ in range(n)], [float(rng.randrange(-5, 9)) for _ in range(n)]
+        subsets = [p for k in range(n + 1) for p in itertools.combinations(range(n), k) if sum(costs[i] for i in p) <= budget]
+        most = max(sum(costs[i] for i in p) for p in subsets)
+        spent, places = selection.best_subset(costs, scores, budget)
+        assert spent == most == sum(costs[i] for i in places)
+        assert sum(scores[i] for i in places) == max(sum(scores[i] for i in p) for p in subsets if sum(costs[i] for i in p) == most)
+
+
+def test_additive_score(spark):
+    df = spark.createDataFrame([([True, False, True], [1.0, 2.0, 4.0]), ([], [])], "m array<boolean>, s array<double>")
+    assert [r[0] for r in df.select(selection.additive_score(F.col("m"), F.col("s"))).collect()] == [5.0, 0.0]
+
+
+def test_windows_are_minimal(spark):
+    pages = spark.createDataFrame([(1, k, t) for k, t in enumerate(["aaaa the long passage that", "goes over two pages here", "zzz", "the long passage that goes over all"])], "doc int, page int, text string")
+    needles = spark.createDataFrame([(1, 0, "the long passage that goes over"), (1, 1, "zzz"), (1, 2, "no such passage is anywhere in it")], "doc int, passage int, needle string")
+    assert {(r.passage, r.first, r.last) for r in containment.minimal_windows(pages, needles).collect()} == {(0, 0, 1), (0, 3, 3)}
