@@ -141,6 +141,17 @@ def test_passages(spark):
     assert 5 not in left and left[1].text == texts[0][1] and len(left[2].text.split()) == 10 and left[2].n_chars == len(left[2].text) and 4 in left
 
 
+def test_every_passage_of_a_chain(spark):
+    rng = random.Random(10)
+    one, two = words(rng, 60, 10_000), words(rng, 60, 10_000)
+    texts = [(1, " ".join(one + words(rng, 20, 9999) + two)), (2, " ".join(one + words(rng, 20, 9999) + two))]
+    out = sorted((r.start_word, r.end_word) for r in substring_dedup.passages(docs_of(spark, texts)).collect())
+    assert out == [(0, 60), (80, 140)]
+    far = np.array([*range(0, 300, 5), 310]), np.array([*range(0, 300, 5), 900])
+    near = np.append(far[0], 320), np.append(far[1], 910)
+    assert sorted(substring_dedup.chains(*near)) == [(0, 295, 0, 295), (310, 320, 900, 910)]
+
+
 def test_quality_and_toxicity(spark):
     rng = random.Random(4)
     good = [(i, " ".join(words(rng, 120)) + ".") for i in range(60)]
