@@ -152,6 +152,32 @@ def test_every_passage_of_a_chain(spark):
     assert sorted(substring_dedup.chains(*near)) == [(0, 295, 0, 295), (310, 320, 900, 910)]
 
 
+def test_passage_whose_parts_are_elsewhere(spark):
+    rng = random.Random(11)
+    w = [f"u{k}" for k in range(120)]
+    texts = [*((k + 1, " ".join(w[40 * k : 40 * k + 40])) for k in range(3)), (4, " ".join(words(rng, 9, 9999) + w)), (5, " ".join(w))]
+    out = [(r.doc_id, r.source_id, r.start_word, r.end_word) for r in substring_dedup.passages(docs_of(spark, texts)).collect()]
+    assert out == [(5, 4, 0, 120)]
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 40])
+def test_links_by_range(spark, ranges):
+    rng = random.Random(12)
+    rows = sorted({(h, rng.randrange(6), rng.randrange(4)) for h in (1, 1, 1, 2, 3, 3) for _ in range(12)})
+    expected = set()
+    for h, i, p in rows:
+        less = [(j, q) for g, j, q in rows if g == h and j < i]
+        expected |= {(i, j, p, q) for j, q in ({min(less), max(less)} if less else ())}
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = {tuple(r) for r in substring_dedup._matches(spark.createDataFrame(rows, "h long, id long, pos int")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out == expected
+
+
 def test_quality_and_toxicity(spark):
     rng = random.Random(4)
     good = [(i, " ".join(words(rng, 120)) + ".") for i in range(60)]
