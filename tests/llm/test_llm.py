@@ -160,6 +160,15 @@ def test_passage_whose_parts_are_elsewhere(spark):
     assert out == [(5, 4, 0, 120)]
 
 
+def test_passage_held_twice(spark):
+    rng = random.Random(13)
+    shared = words(rng, 60, 10_000)
+    texts = [(1, " ".join(words(rng, 30, 9999) + shared)), (2, " ".join(shared + words(rng, 90, 9999) + shared + words(rng, 7, 9999)))]
+    out = sorted((r.start_word, r.end_word) for r in substring_dedup.passages(docs_of(spark, texts)).collect())
+    assert out == [(0, 60), (150, 210)]
+    assert len({r.doc_id: r.text for r in substring_dedup.cut_repeats(docs_of(spark, texts)).collect()}[2].split()) == 97
+
+
 @pytest.mark.parametrize("ranges", [1, 2, 7, 40])
 def test_links_by_range(spark, ranges):
     rng = random.Random(12)
