@@ -160,6 +160,16 @@ def test_passage_whose_parts_are_elsewhere(spark):
     assert out == [(5, 4, 0, 120)]
 
 
+def test_passages_at_the_promised_identity(spark):
+    rng = random.Random(14)
+    texts = []
+    for n in (5, 6, 7, 8, 10) * 8:
+        shared = words(rng, 60, 100_000)
+        texts += [words(rng, 30, 99_999) + shared, [f"e{rng.randrange(9999)}" if k % n == n - 1 else w for k, w in enumerate(shared)] + words(rng, 30, 99_999)]
+    out = {(r.source_id, r.doc_id) for r in substring_dedup.passages(docs_of(spark, list(enumerate(" ".join(t) for t in texts)))).collect()}
+    assert out == {(k, k + 1) for k in range(0, len(texts), 2)}
+
+
 def test_passage_held_twice(spark):
     rng = random.Random(13)
     shared = words(rng, 60, 10_000)
