@@ -10,6 +10,7 @@ forest. Large buckets are cut into square tiles.
 
 Tables are added until a pair at the threshold itself is missed with a
 probability of less than MISS, bits being as likely to differ as the angle by pi.
+Where a low threshold would take over MANY_TABLES, substrings are narrowed instead.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ferrule.llm._common import complete_groups, connected_components, fixed_bytes, flat_bytes, stage
 
 SAMPLE_VECTORS, ITERATIONS, SEED = 10_000, 40, 7
-MISS, MOST_TABLES, BUCKET_TILE = 0.05, 64, 1_024
+MISS, MANY_TABLES, BUCKET_TILE = 0.05, 1_024, 1_024
 
 
 def learn_rotations(sample: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +58,13 @@ def plan(n: int, dimensions: int, cosine: float) -> tuple[int, int, int]:
     """(bits of a substring, tables, codes) for ``n`` vectors."""
     bits = min(64, dimensions)
     width = max(1, min(bits, 24, math.ceil(math.log2(max(2, n))) + 1))
-    alike = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** width
-    tables = 1 if alike >= 1 else min(MOST_TABLES, math.ceil(math.log(MISS) / math.log(1 - alike)))
+    same = 1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    while True:
+        alike = same**width
+        tables = 1 if alike >= 1 else math.ceil(math.log(MISS) / math.log1p(-alike))
+        if tables <= MANY_TABLES or width == 1:
+            break
+        width -= 1
     return width, tables, -(-tables // (bits // width))
 
 

@@ -83,6 +83,22 @@ def test_near_vectors(spark):
     assert all(out[i].n_links == 0 and out[i].kept for i in (90, 91, 92, 93, 94))
 
 
+@pytest.mark.parametrize("n", [1_000, 262_145, 1_000_000, 4_300_000, 1_000_000_000])
+def test_tables_hold_the_miss(n):
+    width, tables, codes = embedding_dedup.plan(n, 64, 0.9)
+    assert (1 - (1 - np.arccos(0.9) / np.pi) ** width) ** tables <= embedding_dedup.MISS
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    mean, projections = np.zeros(64), np.stack([np.linalg.qr(rng.standard_normal((64, 64)))[0] for _ in range(codes)])
+    ka, kb = (embedding_dedup.keys(x, mean, projections, width, tables) for x in (a, b))
+    recall = (ka == kb).any(1).mean()
+    print(n, width, tables, codes, recall, (ka[:, :64] == kb[:, :64]).any(1).mean())
+    assert recall >= 0.92
+
+
 def test_bpe_is_tiktoken(spark, corpus):
     import base64
 
