@@ -98,9 +98,35 @@ def cosine_relevance(spark, d):
     return scored.groupBy(F.col("id").alias("vec_id")).agg(F.round(F.sum("score"), 6).alias("relevance"))
 
 
-def _tokens(spark, d):
+@query()
+def token_knn_whole(spark, d):
+    """H1 over the whole query set: every id divisible by 20."""
+    return vectors.knn(*_tokens(spark, d, 20), 4).select("q", "t", "id", "page", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def indexed_maxsim_whole(spark, d):
+    """H2 over the whole query set."""
+    return vectors.indexed_maxsim(vectors.knn(*_tokens(spark, d, 20), 4)).select("q", "page", F.round("score", 6).alias("score"))
+
+
+@query()
+def full_maxsim_whole(spark, d):
+    """H3 over the whole query set."""
+    return vectors.full_maxsim(*_tokens(spark, d, 20)).select("q", "page", F.round("score", 6).alias("score"))
+
+
+@query()
+def cosine_relevance_whole(spark, d):
+    """H5 over the whole query set."""
+    q, r = _tokens(spark, d, 20)
+    scored = vectors.against_all(q, r, vectors.cosine(F.col("qv"), F.col("v")))
+    return scored.groupBy(F.col("id").alias("vec_id")).agg(F.round(F.sum("score"), 6).alias("relevance"))
+
+
+def _tokens(spark, d, step=100):
     e = _t(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("label").alias("q"), F.col("vec_id").alias("t"), F.col("embedding").alias("qv"))
+    q = e.where(F.col("vec_id") % step == 0).select(F.col("label").alias("q"), F.col("vec_id").alias("t"), F.col("embedding").alias("qv"))
     return q, e.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 5).alias("page"), F.col("embedding").alias("v"))
 
 
@@ -171,6 +197,12 @@ def shared_components(spark, d):
     return graph.components(e)
 
 
+@query()
+def shared_components_whole(spark, d):
+    """L3 over all of lineitem with true ids: orders as 2 * id, parts as 2 * id + 1."""
+    return graph.components(_t(spark, d, "lineitem").selectExpr("2 * l_orderkey a", "2 * l_partkey + 1 b"))
+
+
 @query("""select event_type, count(*) n, round(quantile_cont(value, 0.5), 6) median, round(quantile_cont(value, 0.95), 6) p95, round(avg(value), 6) mean, min(value) least, max(value) most from events group by 1""")
 def distribution(spark, d):
     """Distribution with linear quantiles."""
@@ -221,9 +253,19 @@ select 'duplicate', l_suppkey from lineitem where l_orderkey < 50 group by 2 hav
 select 'unexpected', l_orderkey from lineitem where l_linenumber = 1 and l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')""")
 def key_reconciliation(spark, d):
     """Anti-joins both ways and duplicates, as violation rows."""
+    return _reconciled(spark, d, F.col("l_orderkey") < 50)
+
+
+@query()
+def key_reconciliation_whole(spark, d):
+    """C21, C22, C24, D31 with duplicates looked for in all of lineitem."""
+    return _reconciled(spark, d, F.lit(True))
+
+
+def _reconciled(spark, d, looked_at):
     li, o = _t(spark, d, "lineitem"), _t(spark, d, "orders")
     missing = o.select(F.col("o_orderkey").alias("k")).join(li.where("l_linenumber = 2").select(F.col("l_orderkey").alias("k")), "k", "left_anti")
-    twice = li.where("l_orderkey < 50").groupBy(F.col("l_suppkey").alias("k")).count().where("count > 1").select("k")
+    twice = li.where(looked_at).groupBy(F.col("l_suppkey").alias("k")).count().where("count > 1").select("k")
     extra = li.where("l_linenumber = 1").select(F.col("l_orderkey").alias("k")).join(o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k")), "k", "left_anti")
     return missing.select(F.lit("missing").alias("kind"), "k").union(twice.select(F.lit("duplicate"), "k")).union(extra.select(F.lit("unexpected"), "k"))
 

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from ferrule.operators import containment, graph, ranking, scoring, selection, spatial
+from ferrule.plans import registry
 
 
 def test_scores(spark):
@@ -63,3 +64,45 @@ def test_windows_are_minimal(spark):
     pages = spark.createDataFrame([(1, k, t) for k, t in enumerate(["aaaa the long passage that", "goes over two pages here", "zzz", "the long passage that goes over all"])], "doc int, page int, text string")
     needles = spark.createDataFrame([(1, 0, "the long passage that goes over"), (1, 1, "zzz"), (1, 2, "no such passage is anywhere in it")], "doc int, passage int, needle string")
     assert {(r.passage, r.first, r.last) for r in containment.minimal_windows(pages, needles).collect()} == {(0, 0, 1), (0, 3, 3)}
+
+
+def test_queries_over_whole_tables(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [(k, n, rng.randrange(40), rng.randrange(30)) for k in range(100, 130) for n in range(1, 1 + rng.randrange(1, 4))]
+    orders = [(k, rng.choice("FO")) for k in range(100, 135)]
+    vecs = [(k, [rng.gauss(0, 1) for _ in range(4)], k % 3) for k in range(100)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: registry.QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect()
+
+    label = {x: x for k, _, p, _ in lines for x in (2 * k, 2 * p + 1)}
+    for k, _, p, _ in lines:
+        low, high = sorted((label[2 * k], label[2 * p + 1]))
+        label = {x: low if v == high else v for x, v in label.items()}
+    assert {(r.id, r.component) for r in run("shared_components")} == set(label.items())
+
+    suppliers = [s for *_, s in lines]
+    good = {("missing", k) for k, _ in orders if (k, 2) not in {x[:2] for x in lines}} | {("duplicate", s) for s in suppliers if suppliers.count(s) > 1}
+    good |= {("unexpected", k) for k, n, *_ in lines if n == 1 and (k, "F") not in orders}
+    assert sorted(tuple(r) for r in run("key_reconciliation")) == sorted(good)
+
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    top = {(t, i) for t, q, _ in vecs if t % 20 == 0 for i, *_ in sorted(vecs, key=lambda v: -dot(q, v[1]))[:4]}
+    assert {(r.t, r.id) for r in run("token_knn")} == top and len(top) == 20
+    best = {}
+    for t, q, label_ in vecs:
+        for i, v, _ in vecs if t % 20 == 0 else ():
+            best[label_, t, i // 5, (t, i) in top] = max(best.get((label_, t, i // 5, (t, i) in top), -9e9), dot(q, v))
+    for name, hits in (("indexed_maxsim", (True,)), ("full_maxsim", (True, False))):
+        most, sums = {}, {}
+        for (q, t, page, hit), s in best.items():
+            if hit in hits:
+                most[q, t, page] = max(most.get((q, t, page), -9e9), s)
+        for (q, _, page), s in most.items():
+            sums[q, page] = sums.get((q, page), 0) + s
+        out = {(r.q, r.page): r.score for r in run(name)}
+        assert set(out) == set(sums) and all(abs(out[k] - sums[k]) < 1e-5 for k in sums)
+    cosines = {i: sum(dot(q, v) / (dot(q, q) * dot(v, v)) ** 0.5 for t, q, _ in vecs if t % 20 == 0) for i, v, _ in vecs}
+    out = {r.vec_id: r.relevance for r in run("cosine_relevance")}
+    assert set(out) == set(cosines) and all(abs(out[i] - cosines[i]) < 1e-5 for i in cosines)
