@@ -3,14 +3,15 @@
 Pages are cut into lines (blocks of text) with the zone each stands in. Within
 a host, pages are sorted by URL path; neighbours in that order are aligned by
 the longest common subsequence of their lines, and each page is differenced
-against the neighbour with the longer common path. Shared lines are deleted,
-except inside an article or main element, and except against a copy of the
-page (more than COPY of its text shared). Elements that are menus, headers,
+against the neighbour with the longer common path. A page that has all lines of
+this one that could be text is a copy, which would delete everything: the
+neighbours are the nearest pages on either side that are no copies. Shared lines
+are deleted, except inside an article or main element. Elements that are menus, headers,
 footers, sidebars, notices, adverts, forms or comments by name are dropped as
 well; where a page has an article or main element with words, only those count.
 
-The order is cut into ranges for tasks; the last page of a range is compared
-with the first of the next, so that the result doesn't depend on the cuts.
+The order is cut into ranges for tasks; pages whose neighbour isn't in their own
+range look for it in the next ones, so that the result doesn't depend on the cuts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm._common import stage
@@ -38,7 +39,6 @@ RAW = frozenset(("script", "style", "textarea", "title"))
 _NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|banner|cookies?|consent|notices?|promo\w*|sidebar|side-bar|menu|nav\w*|footer|header|masthead|breadcrumbs?|comments?|disqus|share|social|related|newsletter|subscribe|popup|modal)(?=$|[\s_-])", re.I)
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-COPY = 0.8
 PLAIN, INSIDE, OUT = 0, 1, 2
 
 
@@ -142,46 +142,120 @@ def _signed(line: str) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [lines(p)[0] for p in batch.column(4).to_pylist()]
-        hashes, sizes = [[_signed(t) for t in f] for f in found], [[len(t) for t in f] for f in found]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["id", "key", "host", "path", "hashes", "sizes"])
-
-
-def _pair(a: dict, b: dict) -> list[dict]:
-    """What each of two neighbours of one host shares with the other."""
-    near = _near(a["path"], b["path"])
-    out = []
-    for page, places, other in zip((a, b), common_lines(a["hashes"], b["hashes"]), (b, a), strict=True):
-        copy = sum(page["sizes"][k] for k in places) > COPY * sum(page["sizes"])
-        out.append({"id": page["id"], "key": page["key"], "near": near - (1 << 20) * copy, "other": other["key"], "shared": [] if copy else places})
+        hashes, plain = [], []
+        for texts, zones in map(lines, batch.column(4).to_pylist()):
+            hashes.append([_signed(t) for t in texts])
+            plain.append([] if INSIDE in zones else sorted({h for h, z in zip(hashes[-1], zones, strict=True) if z == PLAIN}))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.array(plain, pa.list_(pa.int64()))], names=["id", "key", "host", "path", "hashes", "plain"])
+
+
+def _copied(page: dict, other: dict) -> bool:
+    """Whether ``other`` has every line of ``page`` that could be text."""
+    return bool(page["plain"]) and (page["plain"] == other["plain"] or set(page["plain"]) <= set(other["hashes"]))
+
+
+def _pair(page: dict, other: dict) -> dict:
+    """What a page shares with a neighbour of its host."""
+    return {"id": page["id"], "key": page["key"], "near": _near(page["path"], other["path"]), "other": other["key"], "shared": common_lines(page["hashes"], other["hashes"])[0]}
+
+
+def _asking(page: dict, where: int, step: int) -> dict:
+    return {k: page[k] for k in ("id", "key", "host", "path", "hashes", "plain")} | {"range": where, "step": step}
+
+
+def _within(pages: list[dict], step: int) -> list[dict]:
+    """Pairs with the nearest page in one direction that is no copy; pages that reach the end of the range ask on."""
+    out, size = [], len(pages)
+    goal = [0] * size
+    for i in range(size - 1, -1, -1) if step > 0 else range(size):
+        page, j = pages[i], i + step
+        while 0 <= j < size and pages[j]["host"] == page["host"] and _copied(page, pages[j]):
+            j = goal[j] if pages[j]["plain"] == page["plain"] else j + step
+        goal[i] = j
+        if not 0 <= j < size:
+            out.append(_asking(page, page["range"], step))
+        elif pages[j]["host"] == page["host"]:
+            out.append(_pair(page, pages[j]))
     return out
 
 
 def _compare_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours within a sorted range; its first and last page follow as edges."""
+    """The pages of a sorted range, numbered, then their pairs and what they ask of other ranges."""
     from pyspark import TaskContext
 
-    part, first, last = TaskContext.get().partitionId(), None, None
+    part, pages = TaskContext.get().partitionId(), []
     for batch in batches:
-        out = []
-        for now in batch.to_pylist():
-            if last and last["host"] == now["host"]:
-                out += _pair(last, now)
-            first, last = first or now, now
-        yield pa.RecordBatch.from_pylist(out, _FOUND)
-    if first:
-        yield pa.RecordBatch.from_pylist([first | {"range": part, "edge": "first"}, last | {"range": part, "edge": "last"}], _FOUND)
-
-
-def _compare_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [p | {"range": part, "place": len(pages) + k} for k, p in enumerate(batch.to_pylist())]
+        pages += rows
+        yield pa.RecordBatch.from_pylist(rows, _FOUND)
+    for step in (1, -1):
+        out = _within(pages, step)
+        for k in range(0, len(out), 1000):
+            yield pa.RecordBatch.from_pylist(out[k : k + 1000], _FOUND)
+
+
+def _compare_next(asks: pa.Table, there: pa.Table) -> pa.Table:
+    """Pairs of asking pages with the pages of one further range; pages that are through it ask on."""
+    pages, out, known = sorted(there.to_pylist(), key=lambda p: p["place"]), [], {}
+    for page in asks.to_pylist() if pages else ():
+        step, same = page["step"], (page["step"], page["host"], tuple(page["plain"]))
+        j = known.get(same)
+        if j is None:
+            j = 0 if step > 0 else len(pages) - 1
+            while 0 <= j < len(pages) and pages[j]["host"] == page["host"] and _copied(page, pages[j]):
+                j += step
+            known[same] = j
+        if not 0 <= j < len(pages):
+            out.append(_asking(page, pages[0]["range"], step))
+        elif pages[j]["host"] == page["host"]:
+            out.append(_pair(page, pages[j]))
+    return pa.Table.from_pylist(out, _FOUND)
+
+
+_PAIRS = ["id", "key", "near", "other", "shared"]
+_FOUND = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("near", pa.int64()), ("other", pa.int64()), ("shared", pa.list_(pa.int32())), ("range", pa.int32()), ("step", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("plain", pa.list_(pa.int64())), ("place", pa.int32())])
+_FOUND_SQL = "id long, key long, near long, other long, shared array<int>, range int, step int, host string, path string, hashes array<long>, plain array<long>, place int"
+_PAGE_SQL = "id long, key long, host string, path string, hashes array<long>, plain array<long>"
+
+
+def _pairs(pages: DataFrame) -> DataFrame:
+    """Pairs of every page with the nearest pages of its host on either side that are no copies of it.
+
+    The first range that is asked shows its end pages only; what these leave
+    open goes over whole ranges, a round for each range that a run of copies spans.
+    """
+    order = ["host", "path", "id", "key"]
+    found = stage(pages.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare_range, _FOUND_SQL), "html-pairs", "zstd")
+    placed = found.where("place is not null").select(*order, "hashes", "plain", "range", "place")
+    pairs, asks = found.where("place is null and step is null").select(*_PAIRS), found.where("step is not null")
+    ends = placed.groupBy("range").agg(F.min("place").alias("a"), F.max("place").alias("b"))
+    numbers = sorted(r["range"] for r in ends.select("range").collect())
+    steps = [(x, 1, y) for x, y in zip(numbers, numbers[1:], strict=False)] + [(y, -1, x) for x, y in zip(numbers, numbers[1:], strict=False)]
+    steps = pages.sparkSession.createDataFrame(steps, "range int, step int, target int")
+    edges = placed.join(F.broadcast(ends), "range").where("place = a or place = b").drop("a", "b")
+    at_end = asks.drop("place").join(F.broadcast(steps), ["range", "step"])
+    last = F.when(F.col("step") > 0, F.col("a")).otherwise(F.col("b"))
+    faced = at_end.join(F.broadcast(ends.withColumnRenamed("range", "target")), "target").withColumn("place", last)
+    faced = faced.join(edges.select(F.col("range").alias("target"), "place", F.struct(*edges.columns).alias("facing")), ["target", "place"])
+    met = stage(faced.where("host = facing.host").select(F.struct(*_FOUND.names).alias("page"), "facing").mapInArrow(_meet, _FOUND_SQL), "html-pairs", "zstd")
+    pairs, asks = pairs.union(met.where("step is null").select(*_PAIRS)), met.where("step is not null")
+    while not asks.isEmpty():
+        onward = asks.join(F.broadcast(steps), ["range", "step"]).select("target", *_ASK)
+        wanted = placed.join(F.broadcast(onward.select(F.col("target").alias("range")).distinct()), "range", "left_semi")
+        met = stage(onward.groupBy("target").cogroup(wanted.groupBy("range")).applyInArrow(_compare_next, _FOUND_SQL), "html-pairs", "zstd")
+        pairs, asks = pairs.union(met.where("step is null").select(*_PAIRS)), met.where("step is not null")
+    return pairs
+
+
+_ASK = ["id", "key", "host", "path", "hashes", "plain", "step"]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of asking pages with the end page that faces them; those that it copies ask the same range as a whole."""
     for batch in batches:
-        yield pa.RecordBatch.from_pylist([p for row in batch.to_pylist() for p in _pair(row["a"], row["b"])], _PAIRS)
-
-
-_PAIRS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("near", pa.int64()), ("other", pa.int64()), ("shared", pa.list_(pa.int32()))])
-_FOUND = pa.schema([*_PAIRS, ("range", pa.int32()), ("edge", pa.string()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
-_PAIRS_SQL = "id long, key long, near long, other long, shared array<int>"
-_FOUND_SQL = f"{_PAIRS_SQL}, range int, edge string, host string, path string, hashes array<long>, sizes array<int>"
+        rows = batch.to_pylist()
+        out = [_asking(r["page"], r["page"]["range"], r["page"]["step"]) if _copied(r["page"], r["facing"]) else _pair(r["page"], r["facing"]) for r in rows]
+        yield pa.RecordBatch.from_pylist(out, _FOUND)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +284,7 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
 
     Null and empty pages have empty texts. A null URL is of the empty host.
     Rows that repeat an id are treated each; repeated pages are copies of each
-    other, which delete nothing. Only line hashes are sorted by URL; pages are
+    other, which are passed over. Only line hashes are sorted by URL; pages are
     parsed once more for their text, which moves once, packed by zstd, to meet
     the places of its shared lines.
     """
@@ -219,15 +293,7 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.xxhash64(F.col(url_column), F.col(html_column)).alias("key"), F.regexp_extract(bare, r"^[^/?#]*", 0).alias("host"),
                         F.regexp_replace(F.regexp_replace(bare, r"^[^/?#]*", ""), r"#.*$", "").alias("path"), F.coalesce(F.col(html_column), F.lit("")).alias("html"))
 
-    keyed = rows.select("id", "key", "host", "path", "html").mapInArrow(_fingerprints, "id long, key long, host string, path string, hashes array<long>, sizes array<int>")
-    keyed = stage(keyed, "html-lines", "zstd")
-    order = ["host", "path", "id", "key"]
-    found = stage(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare_range, _FOUND_SQL), "html-pairs", "zstd")
-    page = F.struct("id", "key", "host", "path", "hashes", "sizes")
-    firsts, lasts = (found.where(F.col("edge") == e) for e in ("first", "last"))
-    before = firsts.select("range", *order).withColumn("before", F.lag("range").over(Window.orderBy(*order))).select("range", "before")  # a row a range
-    edges = firsts.select("range", page.alias("b")).join(before, "range").join(lasts.select(F.col("range").alias("before"), page.alias("a")), "before")
-    pairs = found.where("edge is null").select(*_PAIRS.names).unionByName(edges.where("a.host = b.host").select("a", "b").mapInArrow(_compare_edges, _PAIRS_SQL))
+    pairs = _pairs(rows.select("id", "key", "host", "path", "html").mapInArrow(_fingerprints, _PAGE_SQL))
     best = pairs.groupBy(F.col("id").alias("best_id"), F.col("key").alias("best_key")).agg(F.max_by("shared", F.struct("near", "other")).alias("shared")).where(F.size("shared") > 0)
     packed = rows.select("id", "url", "key", "html").mapInArrow(_pack, "id long, url string, key long, blob binary, places array<int>")
     joined = packed.join(best, (F.col("key") == F.col("best_key")) & F.col("id").eqNullSafe(F.col("best_id")), "left")

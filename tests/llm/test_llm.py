@@ -245,6 +245,21 @@ def test_html(spark):
     assert out == {1: "first& own text x x x", 2: "second own text that is long enough to differ", 3: "T Inline x", 4: ""}
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 12])
+def test_html_walks_past_copies(spark, ranges):
+    menu = "".join(f"<p>menu entry number {k} with many words in it</p>" for k in range(9))
+    page = lambda own: f"<body>{menu}<p>{own}</p></body>"
+    pages = [(k, f"http://h.org/b/{k}", page("the same text")) for k in range(10, 18)] + [(1, "http://h.org/a", page("short one")), (2, "http://h.org/c", page("short two")), (3, "http://i.org/", page("alone"))]
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.pop(3).endswith("alone") and out.pop(1) == "short one" and out.pop(2) == "short two" and set(out.values()) == {"the same text"}
+
+
 def test_common_lines_is_longest():
     rng = random.Random(6)
     for _ in range(50):
