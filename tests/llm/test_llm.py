@@ -186,6 +186,15 @@ def test_passages_at_the_promised_identity(spark):
     assert out == {(k, k + 1) for k in range(0, len(texts), 2)}
 
 
+def test_short_runs_count_for_identity():
+    a = np.arange(60, dtype=np.uint32)
+    b = a.copy()
+    b[[11, 14, 17, 30, 32, 35, 37, 45]] += 1000
+    assert substring_dedup.align(a, b) == [(0, 60, 0, 60, 52 / 60)]
+    c = np.delete(b, 31)
+    assert substring_dedup.align(a, c) == [(0, 60, 0, 59, 51 / 60)]
+
+
 def test_passage_held_twice(spark):
     rng = random.Random(13)
     shared = words(rng, 60, 10_000)
