@@ -69,24 +69,37 @@ def stage_buckets(df: DataFrame, name: str, key: str, compression: str = "zstd")
     return staged
 
 
+#: A table of at most this many bytes (rows times the width of its columns) is broadcast; an id with more links than this is joined apart.
+BROADCAST_BYTES, HOT_LINKS = 64 << 20, 1_000_000
+
+
+def small_enough(df: DataFrame) -> bool:
+    """Whether a table of numbers is small enough to be broadcast, by its rows and the width of its columns."""
+    return df.count() * sum(8 + 8 for _ in df.columns) <= BROADCAST_BYTES
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in ``edges``; component is the least id reachable.
 
     Each round takes the least label among neighbours (partial aggregation on
-    the map side, so a hub costs one row per task) and then follows labels of
-    labels once. Rounds end when no label changes. Null ends are ignored.
+    the map side) and then follows labels of labels once. Rounds end when no
+    label changes. The links of a hub, an id with over HOT_LINKS of them, get its
+    label by a broadcast of the hubs' labels, which are fewer than the links by
+    that factor; other links by a shuffle. Null ends are ignored.
     """
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     e = e.where("a is not null and b is not null and a <> b")
-    e = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    e = stage(e, "cc-edges")
+    e = stage(e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    hubs = stage(e.groupBy(F.col("b").alias("hub")).count().where(F.col("count") > HOT_LINKS).select("hub"), "cc-hubs")
+    hot = not hubs.isEmpty()
+    plain = e.join(F.broadcast(hubs), e.b == hubs.hub, "left_anti") if hot else e
     labels = stage(e.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "cc-labels")
     while True:
-        near = (
-            e.join(labels, e.b == labels.id)
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("label").alias("near"))
-        )
+        seen = plain.join(labels, plain.b == labels.id).select("a", "label")
+        if hot:
+            known = labels.join(F.broadcast(hubs), labels.id == hubs.hub, "left_semi")
+            seen = seen.union(e.join(F.broadcast(known), e.b == known.id).select("a", "label"))
+        near = seen.groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.least("label", "near").alias("l1"), F.col("label").alias("old"))
         jump = labels.select(F.col("id").alias("l1"), F.col("label").alias("l2"))
         new = stage(

@@ -2,22 +2,26 @@
 
 1. Rows with equal n-gram sets fall into one class, told by set size and two
    64-bit digests; only classes go on.
-2. Bounds from set sizes cut the matrix. Sets of sizes x and y with Jaccard >= t
-   overlap in a = ceil(t (x + y) / (1 + t)) n-grams, so in any one order of all
-   n-grams they share L among the first x - a + L of the one and y - a + L of
-   the other. L grows with the sizes. N-grams that are frequent in a bounded
-   sample come last in the order (the order affects work only). Columns with
-   one class go.
-3. Short columns add up these counts for their pairs, less those dropped by
-   sizes and by the parity sketch, whose differing bits bound the symmetric
-   difference from below; pairs with fewer than L go. Of a long column a
-   spanning forest of what sizes and sketch leave is kept, never all pairs; a
-   very long one is cut into square tiles.
-4. Components of these forests hold every link within one component. Each
+2. The matrix is cut by columns into blocks: a set of over ``_most_block`` n-grams
+   is split by hash into a power of two of blocks. If two sets have Jaccard >= t,
+   so has one of their blocks at least, as overlaps and unions add up over
+   blocks. Sets near a power's limit are split both ways, so that any two that
+   could link by size have one splitting in common.
+3. Bounds from set sizes cut each block: two blocks of sizes x and y overlap in
+   a = ceil(t (x + y) / (1 + t)) n-grams, so in any one order of all n-grams the
+   first common one is among the first x - a + 1 of the one and y - a + 1 of the
+   other. N-grams that are frequent in a bounded sample come last in the order
+   (the order affects work only). Columns with one class go.
+4. Of each column a spanning forest is kept of the pairs that sizes, places and
+   the block's parity sketch leave, never the pairs themselves; the sketch's
+   differing bits bound the symmetric difference from below. A task keeps one
+   forest for all its columns, so that it returns fewer links than it has
+   classes. Long columns are cut into square tiles.
+5. Components of these forests hold every link within one component. Each
    component's rows are multiplied with themselves in tiles of bounded size:
    the product's entries are the exact overlap counts. Links are counted and
    kept as forests.
-5. Components of the links are the groups.
+6. Components of the links are the groups.
 """
 
 from __future__ import annotations
@@ -29,20 +33,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._common import complete_groups, connected_components, fixed_bytes, flat_bytes, mix64, stage, word_blocks
+from ferrule.llm._common import complete_groups, connected_components, fixed_bytes, flat_bytes, mix64, small_enough, stage, word_blocks
 
-SKETCH_BYTES = 64
-#: Bounds of the sample that finds frequent n-grams, of a column's tile, of a component's tile, and of a broadcast list of ids.
+SKETCH_BITS = 256
+#: Bounds of the sample that finds frequent n-grams, of a column's tile, and of a component's tile.
 SAMPLE_DOCS, FREQUENT_SHARE = 16_000, 0.001
 COLUMN_TILE, TILE_CLASSES, TILE_GRAMS = 4_096, 256, 400_000
-BROADCAST_IDS = 4_000_000
-#: Columns of up to this many classes add up counts; above, they keep a forest.
-SHORT_COLUMN = 256
+#: Columns of up to this many classes are compared in bulk, longer ones class by class: the same links, another loop.
+BULK = 48
+#: A task's forest is put out and begun anew at this many classes.
+MOST_NODES = 2_000_000
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _level(n):
-    """L for a set of n n-grams; a pair takes the smaller one."""
-    return 1 + np.minimum(n // 150, 15)
+def _most_block(percent: int) -> int:
+    """Largest block whose pairs at the threshold differ in at most 0.29 of the sketch's bits; unlike blocks differ in about half of them."""
+    return max(16, SKETCH_BITS * 29 // 100 * (100 + percent) // (2 * (100 - percent))) if percent < 100 else 1 << 40
+
+
+def _splittings(n: int, percent: int) -> range:
+    """Powers of two of the blocks that a set of ``n`` is split into: its own, up to that of the largest set it may link to."""
+    most = _most_block(percent)
+    own, largest = (max(0, (-(-x // most) - 1).bit_length()) for x in (n, n * 100 // percent))
+    return range(own, largest + 1)
 
 
 def _least_overlap(total, percent: int):
@@ -65,7 +78,7 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s & np.uint64(8 * SKETCH_BYTES - 1)).astype(np.int64), minlength=8 * SKETCH_BYTES) & 1).tobytes()
+    return np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
 
 
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
@@ -85,34 +98,76 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
+def _blocks(s: np.ndarray, last: np.ndarray, percent: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(size, sketch, first n-grams in order) of the blocks of a set, in all its splittings; n-grams are marked by their splitting."""
+    for e in _splittings(len(s), percent):
+        cuts = np.searchsorted(s, np.arange(1, 1 << e, dtype=np.uint64) << np.uint64(64 - e)) if e else ()
+        for part in np.split(s, cuts):
+            m = len(part)
+            if m:
+                take, first = m - (percent * m + 99) // 100 + 1, part
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, part), len(last) - 1)] == part
+                    first = np.concatenate((part[~late][:take], part[late])) if late.any() else part
+                yield m, _sketch(part), first[:take] + np.uint64(e) * _SALT
+
+
 def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, n, s1, s2) of each row, and its blocks: sizes, sketches, counts of first n-grams, and these."""
     last = _frequent(docs, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, one, two, sketches, firsts = [], [], [], [], []
+            size, one, two, sketches, sizes, counts, firsts, blocks = [], [], [], [], [], [], [], []
             for s in _sets(batch.column(1), n):
-                m = len(s)
-                size.append(m)
+                size.append(len(s))
                 a, b = _digests(s)
                 one.append(a)
                 two.append(b)
-                sketches.append(_sketch(s))
-                take = min(m, m - (percent * m + 99) // 100 + int(_level(m)))
-                if len(last) and m:
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    late = last[at] == s
-                    s = np.concatenate((s[~late][:take], s[late][: max(0, take - int((~late).sum()))]))
-                firsts.append(s[:take].view(np.int64))
-            off = np.concatenate(([0], np.cumsum([len(x) for x in firsts]))).astype(np.int32)
-            flat = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+                found = list(_blocks(s, last, percent))
+                blocks.append(len(found))
+                sketches.append(b"".join(x[1] for x in found))
+                sizes += [x[0] for x in found]
+                counts += [len(x[2]) for x in found]
+                firsts.append(np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint64))
+            lists = lambda lengths, flat, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat, kind))
+            flat = np.concatenate(firsts).view(np.int64) if firsts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
-                names=["id", "n", "s1", "s2", "sketch", "first"],
+                 lists(blocks, sizes, pa.int32()), lists(blocks, counts, pa.int32()), lists([len(f) for f in firsts], flat, pa.int64())],
+                names=["id", "n", "s1", "s2", "sketches", "sizes", "counts", "first"],
             )
 
-    return docs.mapInArrow(run, "id long, n int, s1 long, s2 long, sketch binary, first array<long>")
+    return docs.mapInArrow(run, "id long, n int, s1 long, s2 long, sketches binary, sizes array<int>, counts array<int>, first array<long>")
+
+
+def _numbers(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row lengths of a list column."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per first n-gram: (h, pos, rep, s1, block)."""
+    for batch in batches:
+        counts, blocks = _numbers(batch.column(3))
+        h, _ = _numbers(batch.column(4))
+        block = np.arange(len(counts)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        pos = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+        rep, s1 = (np.repeat(np.repeat(batch.column(c).to_numpy(), blocks), counts) for c in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(pos.astype(np.int32)), pa.array(rep), pa.array(s1), pa.array(np.repeat(block, counts).astype(np.int32))], names=["h", "pos", "rep", "s1", "block"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block: (rep, s1, block, n, m, sketch)."""
+    for batch in batches:
+        sizes, blocks = _numbers(batch.column(4))
+        block = np.arange(len(sizes)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        width = SKETCH_BITS // 8
+        data, off = flat_bytes(batch.column(3))
+        flat = data[off[0] : off[-1]]
+        sketch = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer((np.arange(len(sizes) + 1, dtype=np.int64) * width).tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+        rep, s1, n = (pa.array(np.repeat(batch.column(c).to_numpy(), blocks)) for c in (0, 1, 2))
+        yield pa.RecordBatch.from_arrays([rep, s1, pa.array(block.astype(np.int32)), n, pa.array(sizes.astype(np.int32)), sketch], names=["rep", "s1", "block", "n", "m", "sketch"])
 
 
 class _Forest:
@@ -130,57 +185,95 @@ class _Forest:
             self.label[np.isin(self.label, roots[new])] = self.label[i]
 
 
-def _column_pairs(percent: int):
+class _Union:
+    """Classes met by a task: the least class that each is joined to."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = z = up.get(y, y)
+            x = z
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def links(self) -> pa.RecordBatch:
+        nodes = list(self.up)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([self.root(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+
+def _column_forests(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Union()
         for table, cuts in complete_groups(batches, ["h", "ti", "tj"]):
-            rep, n, part, pos = (table.column(c).to_numpy() for c in ("rep", "n", "part", "pos"))
-            sketch = fixed_bytes(table.column("sketch"), SKETCH_BYTES).view(np.uint64)
+            rep, n, m, part, pos = (table.column(c).to_numpy() for c in ("rep", "n", "m", "part", "pos"))
+            sketch = fixed_bytes(table.column("sketch"), SKETCH_BITS // 8).view(np.uint64)
             cross = table.column("ti").to_numpy() != table.column("tj").to_numpy()
-            level = _level(n)
+            n, m, left = n.astype(np.int64), m.astype(np.int64), (m - pos).astype(np.int64)
 
             def may_link(a, b):
-                total = n[a] + n[b]
-                spare = np.minimum(level[a], level[b]) - _least_overlap(total, percent)
-                ok = np.flatnonzero((pos[a] < n[a] + spare) & (pos[b] < n[b] + spare) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])))
+                """Which of the pairs (a, b) sizes, places and sketches leave."""
+                total = m[a] + m[b]
+                ok = (np.minimum(left[a], left[b]) >= _least_overlap(total, percent)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                ok = np.flatnonzero(ok & (rep[a] != rep[b]))
                 a, b = (a if np.ndim(a) == 0 else a[ok]), b[ok]
-                odd = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+                odd = np.bitwise_count(sketch[a] ^ sketch[b]).sum(-1, dtype=np.int64)
                 return ok[odd * (100 + percent) <= total[ok] * (100 - percent)]
 
             sizes = np.diff(cuts)
-            found = []
-            short = ~cross[cuts[:-1]] & (sizes <= SHORT_COLUMN)
-            for m in np.unique(sizes[short]):
-                i, j = np.triu_indices(m, 1)
-                starts = cuts[:-1][short & (sizes == m)]
-                step = max(1, 500_000 // len(i)) if m > 1 else len(starts)
+            short = ~cross[cuts[:-1]] & (sizes <= BULK)
+            for size in np.unique(sizes[short & (sizes > 1)]):
+                i, j = np.triu_indices(size, 1)
+                starts = cuts[:-1][short & (sizes == size)]
+                step = max(1, 500_000 // len(i))
                 for k in range(0, len(starts), step):
                     a, b = (starts[k : k + step, None] + i).ravel(), (starts[k : k + step, None] + j).ravel()
                     ok = may_link(a, b)
-                    a, b = a[ok], b[ok]
-                    found.append(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]), np.minimum(level[a], level[b])], 1))
-            if found:
-                pairs, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts), pa.array(pairs[:, 2])], names=["a", "b", "overlap", "least"])
-            edges = []
+                    if len(ok):
+                        pairs = np.stack([rep[a[ok]], rep[b[ok]]], 1)
+                        pairs.sort(1)
+                        for x, y in np.unique(pairs, axis=0).tolist():
+                            forest.join(x, y)
             for g in np.flatnonzero(~short):
-                rows = np.arange(cuts[g], cuts[g + 1])
-                side = part[rows]
-                forest = _Forest(len(rows))
-                for k, r in enumerate(rows):
-                    others = np.arange(k) if not cross[r] else np.flatnonzero(side[:k] != side[k])
-                    others = others[may_link(r, rows[others])] if len(others) else others
-                    if len(others):
-                        forest.join(k, others)
-                if forest.edges:
-                    edges.append(rep[rows[np.array(forest.edges)]])
-            if edges:
-                e = np.concatenate(edges)
-                e = np.unique(np.stack([e.min(1), e.max(1)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(np.ones(len(e), np.int64)), pa.array(np.ones(len(e), np.int64))], names=["a", "b", "overlap", "least"])
+                _long_column(np.arange(cuts[g], cuts[g + 1]), rep, part, bool(cross[cuts[g]]), may_link, forest)
+            if len(forest.up) > MOST_NODES:
+                yield forest.links()
+                forest = _Union()
+        if forest.up:
+            yield forest.links()
 
     return run
 
 
+def _long_column(rows: np.ndarray, rep: np.ndarray, part: np.ndarray, cross: bool, may_link, forest: _Union) -> None:
+    """Joins what may link in a column or tile; a class is compared with one class of each tree first, then with those of other trees only."""
+    label = np.array([forest.root(x) for x in rep[rows].tolist()])
+    side = part[rows]
+
+    def merge(k: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            a, b = label[k], label[j]
+            if a != b:
+                forest.join(int(rep[rows[k]]), int(rep[rows[j]]))
+                label[label == b] = a
+
+    for k in range(1, len(rows)):
+        others = np.flatnonzero((label[:k] != label[k]) & (side[:k] != side[k])) if cross else np.flatnonzero(label[:k] != label[k])
+        if not len(others):
+            continue
+        heads = others[np.unique(label[others], return_index=True)[1]]
+        merge(k, heads[may_link(rows[k], rows[heads])])
+        others = others[label[others] != label[k]]
+        if len(others):
+            merge(k, others[may_link(rows[k], rows[others])])
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Overlap counts of all pairs: the incidence matrix times its transpose, a block of columns at a time."""
     m = len(sets)
@@ -264,22 +357,22 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: st
     known = described.where("id is not null and n > 0")
     classes = stage(known.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies")), "ngram-classes")
     heads = known.alias("k").join(classes.alias("c"), (F.col("k.id") == F.col("c.rep")) & (F.col("k.s1") == F.col("c.s1")) & (F.col("k.s2") == F.col("c.s2")))
-    heads = stage(heads.select("rep", F.col("k.n").alias("n"), "k.s1", "k.s2", "copies", "sketch", "first").dropDuplicates(["rep", "s1", "s2"]), "ngram-heads")
+    heads = stage(heads.select("rep", "k.s1", F.col("k.n").alias("n"), "sketches", "sizes", "counts", "first"), "ngram-heads")
 
-    firsts = heads.select(F.posexplode("first").alias("pos", "h"), "rep", "s1")
+    firsts = heads.select("rep", "s1", "n", "counts", "first").mapInArrow(_cells, "h long, pos int, rep long, s1 long, block int")
     columns = firsts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    cells = firsts.join(columns, "h").join(heads.select("rep", "s1", "n", "sketch"), ["rep", "s1"]).drop("s1")
-    cells = _tiled(cells, F.ceil(F.col("c") / COLUMN_TILE), "rep").select("h", "ti", "tj", "part", "rep", "n", "pos", "sketch")
+    parts = heads.select("rep", "s1", "n", "sketches", "sizes").mapInArrow(_parts, "rep long, s1 long, block int, n int, m int, sketch binary")
+    cells = firsts.join(columns, "h").join(parts, ["rep", "s1", "block"])
+    cells = _tiled(cells, F.ceil(F.col("c") / COLUMN_TILE), "rep").select("h", "ti", "tj", "part", "rep", "n", "m", "pos", "sketch")
     cells = cells.repartition("h", "ti", "tj").sortWithinPartitions("h", "ti", "tj")
-    near = cells.mapInArrow(_column_pairs(percent), "a long, b long, overlap long, least long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.min("least").alias("least"))
-    near = near.where("overlap >= least")
+    near = cells.mapInArrow(_column_forests(percent), "a long, b long")
     clusters = connected_components(near).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
 
-    chosen = heads.select("rep", "s1", "s2", "n", "copies").join(clusters, "rep")
+    chosen = classes.select("rep", "s1", "s2", "n", "copies").join(clusters, "rep")
     sizes = chosen.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     tiles = F.greatest(F.ceil(F.col("m") / TILE_CLASSES), F.ceil(F.col("total") / TILE_GRAMS))
     chosen = stage(chosen.join(sizes, "cluster").withColumn("tiles", tiles), "ngram-chosen")
-    few = chosen.count() <= BROADCAST_IDS
+    few = small_enough(chosen)
     wanted = chosen.select(F.col("rep").alias("id"))
     texts = rows.join(F.broadcast(wanted.distinct()) if few else wanted.distinct(), "id", "left_semi")
 
