@@ -3,9 +3,11 @@
 Texts are split into pre-tokens, and each block of documents keeps a
 dictionary of its distinct pre-tokens with, per document, their numbers in
 order: the exploded (pre-token, position) relation in dictionary coding. Only
-dictionary entries are shuffled, by word. Each distinct word of the corpus is
-encoded once; its ids are joined back to the blocks, and the documents are put
-together by position. A word that is in every document costs one row a block.
+dictionary entries are shuffled, by word: a block's words are dealt to parts by
+hash, and those of one part move as one pressed list. Each distinct word of a
+part is encoded once; the ids go back to the blocks in the order of the list, and
+the documents are put together by position. A word that is in every document
+costs one entry a block.
 
 Decoding joins ids with the table of token bytes.
 """
@@ -14,8 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,12 @@ from ferrule.llm._common import stage_buckets
 
 #: White space as the tokenizer's regular expressions define it, without \x1c-\x1f.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A block's dictionary is closed at this many distinct words.
-MOST_WORDS = 400_000
+#: A block's dictionary is closed at this many distinct words; so many encoded words a task remembers.
+MOST_WORDS, MOST_KNOWN = 600_000, 1_000_000
+#: Parts for each partition of the shuffle, so that hashing evens out.
+PARTS = 2
+#: A byte that UTF-8 doesn't have stands between the words of a list.
+BETWEEN = b"\xff"
 
 
 @lru_cache(maxsize=2)
@@ -62,12 +70,14 @@ def pre_tokens(text: str, pattern: str) -> list[str]:
     return _splitter(pattern).findall(text)
 
 
-def _code_blocks(pattern: str):
+def _code_blocks(pattern: str, parts: int):
+    """Rows (block, id, codes) of texts and (block, part, words, numbers) of the lists of the block's words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        find = _splitter(pattern).findall
-        part = TaskContext.get().partitionId()
+        find, press = _splitter(pattern).findall, zstandard.ZstdCompressor(level=6).compress
+        task = TaskContext.get().partitionId()
         serial = 0
 
         class Numbers(dict):
@@ -79,24 +89,25 @@ def _code_blocks(pattern: str):
 
         def close():
             nonlocal serial, words, rows, size
-            block = (part << 24) + serial
+            block = (task << 24) + serial
             serial += 1
-            ids = pa.array([r[0] for r in rows], pa.int64())
+            listed = [w.encode() for w in words]
+            part = np.fromiter((crc32(w) % parts for w in listed), np.int64, len(listed))
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+            lists = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                at = order[a:b]
+                lists.append((int(part[at[0]]), press(BETWEEN.join([listed[i] for i in at])), press(_pack(np.diff(at, prepend=0).astype(np.uint32)))))
+            n, k = len(rows), len(lists)
+            some = list(zip(*lists, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(rows), pa.int64()), ids, pa.array([r[1] for r in rows], pa.binary()), pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int32())],
-                names=names,
-            )
-            listed = list(words)
-            for a in range(0, len(listed), 20_000):
-                piece = listed[a : a + 20_000]
-                k = len(piece)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(piece, pa.string()), pa.array(np.arange(a, a + k, dtype=np.int32))],
-                    names=names,
-                )
+                [pa.array([block] * (n + k), pa.int64()), pa.array([r[0] for r in rows] + [None] * k, pa.int64()), pa.array([r[1] for r in rows] + [None] * k, pa.binary()),
+                 *(pa.array([None] * n + list(c), t) for c, t in zip(some, (pa.int32(), pa.binary(), pa.binary()), strict=True))],
+                names=["block", "id", "codes", "part", "words", "numbers"],
+            )
             words, rows, size = Numbers(), [], 0
 
-        names = ["block", "id", "codes", "word", "number"]
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = np.fromiter(map(words.__getitem__, find(text or "")), np.uint32)
@@ -135,51 +146,38 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _encode_words(path: str):
-    """Rows (word, block, number) sorted by word: each distinct word is encoded once.
-
-    A batch's answers are put together by block: numbers, counts of ids and ids, packed and pressed by zstd.
-    """
+    """Rows (part, block, words): each distinct word is encoded once, and a list's ids are answered in its order, as counts and planes of bytes, pressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, press = _whole_piece_encoder(path), zstandard.ZstdCompressor(level=6).compress
-        last, ids = None, b""
+        encode, press, open_ = _whole_piece_encoder(path), zstandard.ZstdCompressor(level=6).compress, zstandard.ZstdDecompressor().decompress
+
+        class Known(dict):
+            def __missing__(self, word):
+                self[word] = ids = array("I", encode(word.decode())).tobytes()
+                return ids
+
+        known = Known()
         for batch in batches:
-            found = []
-            for word in batch.column(0).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encode(word), np.uint32)
-                found.append(ids)
-            blocks, numbers = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            order = np.argsort(blocks, kind="stable")
-            cuts = np.concatenate((np.flatnonzero(np.diff(blocks[order], prepend=-1)), [len(order)]))
-            out = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                at = order[a:b]
-                at = at[np.argsort(numbers[at])]
-                mine = [found[i] for i in at]
-                steps = np.diff(numbers[at], prepend=0).astype(np.uint32)
-                packed = (steps, np.array([len(x) for x in mine], np.uint32), np.concatenate(mine))
-                out.append((blocks[at[0]], *(press(_pack(x)) for x in packed)))
-            if out:
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "counts", "ids"])
+            counts, ids = [], []
+            for words in batch.column(2).to_pylist():
+                found = [known[w] for w in open_(words).split(BETWEEN)]
+                counts.append(press(_pack(np.fromiter(map(len, found), np.uint32, len(found)) // 4)))
+                ids.append(press(np.ascontiguousarray(np.frombuffer(b"".join(found), np.uint8).reshape(-1, 4).T).tobytes()))
+                if len(known) > MOST_KNOWN:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["block", "part", "counts", "ids"])
 
     return run
 
 
-def _joined(docs: DataFrame, vocabulary: str, pattern: str, id_column: str, text_column: str, finish: Callable[[Document], tuple], fields: list) -> DataFrame:
+def _joined(docs: DataFrame, vocabulary: str, pattern: str, id_column: str, text_column: str, finish: Callable[[Block, np.ndarray], tuple], fields: list) -> DataFrame:
+    parts = PARTS * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     coded = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     coded = stage_buckets(
-        coded.mapInArrow(_code_blocks(pattern), "block long, id long, codes binary, word string, number int"), "bpe-blocks", "block"
+        coded.mapInArrow(_code_blocks(pattern, parts), "block long, id long, codes binary, part int, words binary, numbers binary"), "bpe-blocks", "block"
     )
-    found = (
-        coded.where("word is not null")
-        .select("word", "block", "number")
-        .repartition("word")
-        .sortWithinPartitions("word")
-        .mapInArrow(_encode_words(vocabulary), "block long, numbers binary, counts binary, ids binary")
-    )
-    texts = coded.where("codes is not null").select("block", "id", "codes")
+    found = coded.where("part is not null").select("part", "block", "words").repartition("part").mapInArrow(_encode_words(vocabulary), "block long, part int, counts binary, ids binary")
+    texts = coded.select("block", "id", "codes", "part", "numbers")
     schema = ", ".join(f"{name} {kind}" for name, _, kind in fields)
     return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_assemble(vocabulary, finish, fields), schema)
 
@@ -192,13 +190,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
     repeat an id, and null ids, are encoded each; other columns are ignored.
     """
     fields = [(id_column, pa.int64(), "long"), ("n_tokens", pa.int64(), "long"), ("ids", pa.list_(pa.int32()), "array<int>")]
-    return _joined(docs, vocabulary, pattern, id_column, text_column, Document.encoded, fields)
+    return _joined(docs, vocabulary, pattern, id_column, text_column, Block.encoded, fields)
 
 
 def token_digests(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the text decoded from them."""
     fields = [(id_column, pa.int64(), "long"), ("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
-    return _joined(docs, vocabulary, pattern, id_column, text_column, Document.digest, fields)
+    return _joined(docs, vocabulary, pattern, id_column, text_column, Block.digest, fields)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -218,44 +216,61 @@ def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id", ids_c
     return rows.mapInArrow(run, f"{id_column} long, decoded binary")
 
 
-class Document:
-    """One document's pre-token numbers with its block's dictionary: ids of each number, and what was looked up for it."""
+class Block:
+    """A block's dictionary: the ids of each word number as stretches of one array, and their texts and bytes."""
 
-    def __init__(self, numbers: np.ndarray, ids: dict[int, np.ndarray], table: dict[int, bytes], seen: dict[int, tuple[int, str, bytes]]):
-        self.numbers, self.dictionary, self.table, self.seen = numbers.tolist(), ids, table, seen
+    def __init__(self, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray, table: dict[int, bytes]):
+        self.starts, self.counts, self.ids, self.table = starts, counts, ids, table
+        self.said: list[str] = []
+        self.spelled: list[bytes] = []
 
-    def encoded(self) -> tuple:
-        ids = np.concatenate([self.dictionary[n] for n in self.numbers]) if self.numbers else np.zeros(0, np.int32)
-        return len(ids), ids
+    def encoded(self, numbers: np.ndarray) -> tuple:
+        n = self.counts[numbers]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[numbers], n)
+        return len(at), self.ids[at].astype(np.int32)
 
-    def digest(self) -> tuple:
+    def digest(self, numbers: np.ndarray) -> tuple:
         """Each number's ids are joined with the token table once a block; the pieces follow in order."""
-        seen = self.seen
-        for n in set(self.numbers).difference(seen):
-            ids = self.dictionary[n].tolist()
-            seen[n] = len(ids), " ".join(map(str, ids)), b"".join([self.table[i] for i in ids])
-        found = [seen[n] for n in self.numbers]
+        if not self.said:
+            flat, names, table = self.ids.tolist(), _names(len(self.table)), self.table
+            for a, n in zip(self.starts.tolist(), self.counts.tolist(), strict=True):
+                ids = flat[a : a + n]
+                self.said.append(names[ids[0]] if n == 1 else " ".join([names[i] for i in ids]))
+                self.spelled.append(table[ids[0]] if n == 1 else b"".join([table[i] for i in ids]))
         ids_digest, text_digest = hashlib.sha256(), hashlib.sha256()
-        for a in range(0, len(found), 100_000):
-            piece = found[a : a + 100_000]
-            ids_digest.update(((" " if a else "") + " ".join([x[1] for x in piece])).encode())
-            text_digest.update(b"".join([x[2] for x in piece]))
-        return sum([x[0] for x in found]), ids_digest.hexdigest(), text_digest.hexdigest()
+        for a in range(0, len(numbers), 100_000):
+            piece = numbers[a : a + 100_000].tolist()
+            ids_digest.update(((" " if a else "") + " ".join([self.said[n] for n in piece])).encode())
+            text_digest.update(b"".join([self.spelled[n] for n in piece]))
+        return int(self.counts[numbers].sum()), ids_digest.hexdigest(), text_digest.hexdigest()
+
+
+class _Names(dict):
+    def __missing__(self, i: int) -> str:
+        self[i] = name = str(i)
+        return name
+
+
+@lru_cache(maxsize=2)
+def _names(size: int) -> dict[int, str]:
+    return _Names()
 
 
-def _assemble(path: str, finish: Callable[[Document], tuple], fields: list):
+def _assemble(path: str, finish: Callable[[Block, np.ndarray], tuple], fields: list):
     schema = pa.schema([(name, kind) for name, kind, _ in fields])
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        table, ids, seen = _token_bytes(path), {}, {}
         open_ = zstandard.ZstdDecompressor().decompress
-        for numbers, counts, tokens in zip(*(found.column(c).to_pylist() for c in ("numbers", "counts", "ids")), strict=True):
-            pieces = np.split(_unpack(open_(tokens)).astype(np.int32), np.cumsum(_unpack(open_(counts)))[:-1])
-            ids.update(zip(np.cumsum(_unpack(open_(numbers))).tolist(), pieces, strict=True))
-        out = [
-            (key, *finish(Document(_unpack(codes), ids, table, seen)))
-            for key, codes in zip(texts.column("id").to_pylist(), texts.column("codes").to_pylist(), strict=True)
-        ]
+        numbers = {part: np.cumsum(_unpack(open_(x))) for part, x in zip(texts.column("part").to_pylist(), texts.column("numbers").to_pylist(), strict=True) if part is not None}
+        size = sum(map(len, numbers.values()))
+        starts, counts, ids, at = np.zeros(size, np.int64), np.zeros(size, np.int64), [], 0
+        for part, n, planes in zip(*(found.column(c).to_pylist() for c in ("part", "counts", "ids")), strict=True):
+            n = _unpack(open_(n))
+            counts[numbers[part]], starts[numbers[part]] = n, at + np.cumsum(n) - n
+            ids.append(np.ascontiguousarray(np.frombuffer(open_(planes), np.uint8).reshape(4, -1).T).view(np.uint32).ravel())
+            at += len(ids[-1])
+        block = Block(starts, counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32), _token_bytes(path))
+        out = [(key, *finish(block, _unpack(codes))) for key, codes in zip(texts.column("id").to_pylist(), texts.column("codes").to_pylist(), strict=True) if codes is not None]
         columns = zip(*out, strict=True) if out else [[]] * len(schema)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
