@@ -3,10 +3,12 @@
 Rotations are learned on a bounded sample of unit vectors (principal axes, then
 alternating sign assignment and orthogonal Procrustes); each gives a balanced
 binary code, and substrings of the codes key the tables. Every vector is in
-every table. Vectors that share a substring are compared by cosine in double
-precision. A pair is counted in the first table that brings it together, so
-counts add up without a shuffle of pairs; links leave a bucket as a spanning
-forest. Large buckets are cut into square tiles.
+every table. Buckets first hold ids and short codes only: a vector without any
+other in reach by Hamming distance leaves the bucket. Those left fetch their
+vectors and are compared by cosine in double precision. A pair is counted in the
+first table that brings it together, so counts add up without a shuffle of
+pairs; links leave a bucket as a spanning forest. Large buckets are cut into
+square tiles.
 
 Tables are added until a pair at the threshold itself is missed with a
 probability of less than MISS, bits being as likely to differ as the angle by pi.
@@ -27,6 +29,8 @@ from ferrule.llm._common import complete_groups, connected_components, fixed_byt
 
 SAMPLE_VECTORS, ITERATIONS, SEED = 10_000, 40, 7
 MISS, MANY_TABLES, BUCKET_TILE = 0.05, 1_024, 1_024
+#: Codes that a bucket compares first, and by how many standard deviations a pair at the threshold may be further apart than expected.
+SHORT_CODES, SPARE = 4, 6.0
 
 
 def learn_rotations(sample: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,22 +86,36 @@ def keys(unit: np.ndarray, mean: np.ndarray, projections: np.ndarray, width: int
     return out
 
 
+def short_codes(unit: np.ndarray, mean: np.ndarray, projections: np.ndarray) -> np.ndarray:
+    """Bits of each vector's first SHORT_CODES codes, packed."""
+    return np.packbits(np.concatenate([(unit - mean) @ p >= 0 for p in projections[:SHORT_CODES]], axis=1), axis=1)
+
+
+def reach(bits: int, cosine: float) -> float:
+    """The Hamming distance within which pairs at the threshold are, but for SPARE deviations."""
+    p = math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    return bits * p + SPARE * math.sqrt(bits * p * (1 - p))
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row of ``vectors``.
 
     Null, empty and zero vectors, and those with null or non-finite components,
     link with nothing, as do vectors of different lengths. Rows that repeat an
-    id are one vector (the first found of it). Rows with a null id get nulls.
-    Equal vectors are compared once and counted each.
+    id are one vector (of different ones that with the least hash); each row is
+    returned. Rows with a null id get nulls. Any long is an id, negative ones
+    too. Equal vectors are compared once and counted each; a pair exactly at the
+    threshold links. Long vectors have codes of 64 bits. An empty table gives an
+    empty one; other columns don't matter.
     """
     v = F.col("v")
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = stage(rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & finite, F.lit(False))).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(7), "v")), "vectors")
     good = rows.where("ok")
-    known = good.select("id", "k1", "k2").dropDuplicates(["id"])
+    known = good.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2")
     classes = stage(known.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
-    heads = classes.join(good.select(F.col("id").alias("rep"), "k1", "k2", "v"), ["rep", "k1", "k2"]).dropDuplicates(["rep"])
+    heads = classes.join(good.select(F.col("id").alias("rep"), "k1", "k2", "v"), ["rep", "k1", "k2"]).dropDuplicates(["rep", "k1", "k2"])
     heads = stage(heads.select("rep", "copies", "v", F.size("v").alias("d")), "vector-heads")
     found = [_links(heads.where(F.col("d") == r["d"]), r["d"], r["count"], cosine) for r in heads.groupBy("d").count().where("count > 1").collect()]
     if found:
@@ -125,14 +143,17 @@ def _links(heads: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
     width, tables, codes = plan(n, d, cosine)
     mean, projections = learn_rotations(_unit(sample), codes)
 
+    short = min(codes, SHORT_CODES) * projections.shape[2]
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                k = keys(_unit(batch.column(1).flatten().to_numpy().reshape(-1, d)), mean, projections, width, tables)
+                unit = _unit(batch.column(1).flatten().to_numpy().reshape(-1, d))
+                k = keys(unit, mean, projections, width, tables)
                 off = pa.array(np.arange(0, k.size + 1, tables, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(off, pa.array(k.ravel()))], names=["rep", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(off, pa.array(k.ravel())), _binary(short_codes(unit, mean, projections))], names=["rep", "keys", "code"])
 
-    table = stage(heads.select("rep", "v").mapInArrow(coded, "rep long, keys array<long>"), "vector-keys")
+    table = stage(heads.select("rep", "v").mapInArrow(coded, "rep long, keys array<long>, code binary"), "vector-keys")
     entries = table.select("rep", F.posexplode("keys").alias("t", "key"))
     buckets = entries.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1")
     cells = entries.join(buckets, ["t", "key"]).withColumn("g", F.ceil(F.col("c") / BUCKET_TILE).cast("int"))
@@ -148,6 +169,8 @@ def _links(heads: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(_unit(x)), _binary(k)], names=["rep", "copies", "unit", "codes"])
 
     vectors = heads.join(table, "rep").select("rep", "copies", "v", "keys").mapInArrow(packed, "rep long, copies long, unit binary, codes binary")
+    cells = cells.join(table.select("rep", "code"), "rep").repartition("t", "key", "ti", "tj").sortWithinPartitions("t", "key", "ti", "tj")
+    cells = cells.select("t", "key", "ti", "tj", "part", "rep", "code").mapInArrow(_in_reach(short, reach(short, cosine)), "t int, key long, ti int, tj int, part int, rep long")
     cells = cells.join(vectors, "rep").repartition("t", "key", "ti", "tj").sortWithinPartitions("t", "key", "ti", "tj")
     return cells.select("t", "key", "ti", "tj", "part", "rep", "copies", "unit", "codes").mapInArrow(_compare(d, tables, cosine), "a long, b long, links long")
 
@@ -165,13 +188,39 @@ def _binary(x: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
 
 
+def _in_reach(bits: int, most: float):
+    """Rows of a bucket's tile that have another one within ``most`` bits, of the other part in a tile of two parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, cuts in complete_groups(batches, ["t", "key", "ti", "tj"]):
+            part, ti, tj = (block.column(c).to_numpy() for c in ("part", "ti", "tj"))
+            code = fixed_bytes(block.column("code"), -(-bits // 8))
+            keep = np.zeros(block.num_rows, bool)
+            sizes = np.diff(cuts)
+            pairs = cuts[:-1][(sizes == 2) & (ti[cuts[:-1]] == tj[cuts[:-1]])]
+            keep[pairs] = keep[pairs + 1] = np.bitwise_count(code[pairs] ^ code[pairs + 1]).sum(1, dtype=np.int64) <= most
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if end - start < 2 or (end - start == 2 and ti[start] == tj[start]):
+                    continue
+                x = 1 - 2 * np.unpackbits(code[start:end], axis=1, count=bits).astype(np.float32)
+                near = x @ x.T >= bits - 2 * most
+                np.fill_diagonal(near, False)
+                if ti[start] != tj[start]:
+                    near &= part[start:end, None] != part[None, start:end]
+                keep[start:end] = near.any(1)
+            if keep.any():
+                yield from block.filter(pa.array(keep)).drop_columns(["code"]).combine_chunks().to_batches()
+
+    return run
+
+
 def _compare(d: int, tables: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, cuts in complete_groups(batches, ["t", "key", "ti", "tj"]):
             t, part, rep, copies, ti, tj = (block.column(c).to_numpy() for c in ("t", "part", "rep", "copies", "ti", "tj"))
             unit = fixed_bytes(block.column("unit"), 8 * d).view(np.float64)
             code = fixed_bytes(block.column("codes"), 4 * tables).view(np.int32)
-            a_out, b_out, n_out = [], [], []
+            a_out, b_out, n_out, is_link = [], [], [], []
             for start, end in zip(cuts[:-1], cuts[1:], strict=True):
                 m = end - start
                 if m < 2:
@@ -191,8 +240,9 @@ def _compare(d: int, tables: int, cosine: float):
                 count = fresh @ copies[start:end]
                 some = np.flatnonzero(count)
                 a_out.append(rep[start:end][some])
-                b_out.append(np.full(len(some), -1))
+                b_out.append(rep[start:end][some])
                 n_out.append(count[some])
+                is_link.append(np.zeros(len(some), bool))
                 for i in range(1, m):
                     js = np.flatnonzero(fresh[i, :i])
                     if len(js):
@@ -202,9 +252,10 @@ def _compare(d: int, tables: int, cosine: float):
                             a_out.append(np.full(int(new.sum()), rep[start + i]))
                             b_out.append(rep[start + js[at[new]]])
                             n_out.append(np.zeros(int(new.sum()), np.int64))
+                            is_link.append(np.ones(int(new.sum()), bool))
                             label[np.isin(label, roots[new])] = label[i]
             if a_out:
-                a, b, n = (np.concatenate(z) for z in (a_out, b_out, n_out))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b == -1) if (b == -1).any() else pa.array(b), pa.array(n, pa.int64())], names=["a", "b", "links"])
+                a, b, n, both = (np.concatenate(z) for z in (a_out, b_out, n_out, is_link))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=~both), pa.array(n, pa.int64())], names=["a", "b", "links"])
 
     return run
