@@ -2,26 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators.settle import settled
+
+#: An id with more links than this gets its label by a broadcast of such ids' labels, which are fewer than the links by that factor.
+HOT_LINKS = 1_000_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for edges (a, b): the least id reachable. Lineage is cut by reliable checkpoints."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ferrule-"))
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")).checkpoint()
+    links = edges.where("a is not null and b is not null").select("a", "b")
+    both = settled(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = settled(both.groupBy(F.col("b").alias("hub")).count().where(F.col("count") > HOT_LINKS).select("hub"))
+    hot = not hubs.isEmpty()
+    plain = both.join(F.broadcast(hubs), both.b == hubs.hub, "left_anti") if hot else both
+    labels = settled(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        seen = plain.join(labels, plain.b == labels.id).select("a", "label")
+        if hot:
+            known = labels.join(F.broadcast(hubs), labels.id == hubs.hub, "left_semi")
+            seen = seen.union(both.join(F.broadcast(known), both.b == known.id).select("a", "label"))
+        near = seen.groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.least("label", "near").alias("l1"), F.col("label").alias("old"))
         jump = labels.select(F.col("id").alias("l1"), F.col("label").alias("l2"))
-        new = step.join(jump, "l1", "left").select("id", F.least("l1", "l2").alias("label"), "old").checkpoint()
+        new = settled(step.join(jump, "l1", "left").select("id", F.least("l1", "l2").alias("label"), "old"))
         if new.where("label <> old").limit(1).count() == 0:
             return new.select("id", F.col("label").alias("component"))
         labels = new.select("id", "label")
+
+
+def named_components(members: DataFrame) -> DataFrame:
+    """(component, name, size) of components of (id, component): the name is the SHA-256 of the members' ids, sorted as text and joined by line feeds.
+
+    A component's ids are gathered for its name, so this is for components of
+    bounded size, such as the questions that share documents.
+    """
+    ids = F.array_sort(F.collect_list(F.col("id").cast("string")))
+    return members.groupBy("component").agg(F.sha2(F.array_join(ids, "\n"), 256).alias("name"), F.count("*").alias("size"))
+
+
+def shared_by(df: DataFrame, item: str, document: str | Column) -> DataFrame:
+    """(id, component) of every item, alone or linked through shared documents: items link to the least item of each document."""
+    rows = df.select(F.col(item).alias("id"), (F.col(document) if isinstance(document, str) else document).alias("doc"))
+    least = rows.where("doc is not null").groupBy("doc").agg(F.min("id").alias("b"))
+    edges = rows.join(least, "doc").select(F.col("id").alias("a"), "b")
+    alone = rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return components(edges.union(alone).distinct())

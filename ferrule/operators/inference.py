@@ -1,8 +1,15 @@
-"""Pair mining, paired summaries, Monte-Carlo errors and hash-drawn bootstraps."""
+"""Pair mining, paired summaries, Monte-Carlo errors and hash-drawn bootstraps.
+
+Draws are made by hashes of (seed, draw, unit): a unit's weight in a draw is a
+Poisson(1) number, so that a bootstrap is one pass of weighted sums over
+units x draws made in place, without a join or a shuffle of rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,36 +27,193 @@ def preference(a: Column, b: Column, threshold: float, margin: float, closed: bo
     return F.when(pa == pb, 0).when(banded(a) | banded(b), 0).when(pa, 1).otherwise(-1)
 
 
+def direction(delta: Column, margin: float) -> Column:
+    return F.when(delta > margin, 1).when(delta < -margin, -1).otherwise(0)
+
+
+def supervised_preference(a: tuple[Column, Column], b: tuple[Column, Column], reference_g: Column, baseline_correct: Column, mode: str, tolerance: float, margin: float, preserve: str = "g") -> Column:
+    """Which of two outcomes (G, S) is preferred, by mode: "g_only", "pure_contrast" or "gold_aware".
+
+    Where the baseline is correct, G decides, or S if S is what is to be
+    preserved. Gold-aware: an admissible outcome beats one that isn't, unless one of
+    them is within the closed band about the threshold; two admissible ones are
+    compared by G - S, others by G.
+    """
+    if mode not in ("g_only", "pure_contrast", "gold_aware") or preserve not in ("g", "s"):
+        raise ValueError("unknown mode or channel")
+    by_g, contrast = direction(a[0] - b[0], margin), direction((a[0] - a[1]) - (b[0] - b[1]), margin)
+    bar = reference_g - tolerance
+    ok_a, ok_b = a[0] >= bar, b[0] >= bar
+    near = F.least(F.abs(a[0] - bar), F.abs(b[0] - bar)) <= margin
+    aware = F.when((ok_a != ok_b) & near, 0).when(ok_a & ~ok_b, 1).when(ok_b & ~ok_a, -1).when(ok_a, contrast).otherwise(by_g)
+    wrong = {"g_only": by_g, "pure_contrast": contrast, "gold_aware": aware}[mode]
+    kept = by_g if preserve == "g" else direction(a[1] - b[1], margin)
+    return F.when(baseline_correct, kept).otherwise(wrong)
+
+
 def pairs_in_group(df: DataFrame, group: str, item: str, value: str) -> DataFrame:
     """Unordered pairs (i > j) within groups; for groups bounded by the data model, as the masks of one question."""
     a, b = (df.select(F.col(group).alias("g"), F.col(item).alias(f"{s}_item"), F.col(value).alias(f"{s}_value")) for s in "ij")
-    return a.join(b, "g").where("i_item > j_item")
+    return a.join(b, "g").where(F.col("i_item") > F.col("j_item"))
+
+
+def outcome_summary(df: DataFrame, by: list[str], before: Column, after: Column) -> DataFrame:
+    """Counts, accuracies, net change, rescue and damage rates (null without a denominator)."""
+    b, a = before.cast("int"), after.cast("int")
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(b).alias("before"), F.avg(a).alias("after"), F.sum(a - b).alias("net"),
+        F.avg(F.when(~before, a)).alias("rescue_rate"), F.avg(F.when(before, 1 - a)).alias("damage_rate"),
+    )
 
 
-def outcome_summary(df: DataFrame, group: list[str], before: Column, after: Column) -> DataFrame:
-    """Accuracies, net change, rescue and damage rates (null without a denominator)."""
-    return df.groupBy(*group).agg(
-        F.count("*").alias("n"), F.avg(before.cast("double")).alias("before"), F.avg(after.cast("double")).alias("after"),
-        (F.count_if(after) - F.count_if(before)).alias("net"),
-        F.try_divide(F.count_if(~before & after), F.count_if(~before)).alias("rescue_rate"), F.try_divide(F.count_if(before & ~after), F.count_if(before)).alias("damage_rate"),
-    )
+def contrast(df: DataFrame, by: list[str], first: str, second: str) -> DataFrame:
+    """Means of two arms with wins, ties and losses of the second, and rescues and harms at 0."""
+    x, y = F.col(first), F.col(second)
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(x).alias("mean_first"), F.avg(y).alias("mean_second"), F.count_if(y > x).alias("wins"), F.count_if(y == x).alias("ties"),
+        F.count_if(y < x).alias("losses"), F.count_if((x == 0) & (y > 0)).alias("rescues"), F.count_if((x > 0) & (y == 0)).alias("harms"),
+    )
+
+
+def recombined(strata: DataFrame, weights: DataFrame, stratum: str, value: str, weight: str) -> DataFrame:
+    """Means of strata put together by given weights."""
+    j = strata.join(F.broadcast(weights.select(stratum, weight)), stratum)
+    return j.agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("value"))
 
 
 def mcse(df: DataFrame, unit: list[str], value: str) -> DataFrame:
-    """sqrt(sum of s^2/R over units) / N, and the number of units."""
-    per = df.groupBy(*unit).agg((F.var_samp(value) / F.count("*")).alias("v"))
+    """sqrt(sum of the units' sample variances by their counts) by the number of units."""
+    per = df.groupBy(*unit).agg((F.var_samp(value) / F.count(value)).alias("v"))
     return per.agg((F.sqrt(F.sum("v")) / F.count("*")).alias("mcse"), F.count("*").alias("n"))
 
 
-def paired_bootstrap(deltas: DataFrame, place: str, delta: str, n: int, draws: int, seed: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Mean, interval and number of draws of the mean of ``n`` deltas at places 0..n-1.
+def repetitions(mcse_value: Column, threshold: float = 0.25) -> Column:
+    """20 repetitions if the error is above the threshold, 10 if not."""
+    return F.when(mcse_value > threshold, 20).otherwise(10)
+
+
+def estimand(df: DataFrame, unit: str, value: str, repeated: str) -> DataFrame:
+    """Mean over units of the value less the mean of its repetitions (an array)."""
+    mean = F.aggregate(repeated, F.lit(0.0), lambda s, x: s + x) / F.size(repeated)
+    return df.agg(F.avg(F.col(value) - mean).alias("estimand"), F.count(unit).alias("units"))
+
+
+#: Cumulative Poisson(1) probabilities for weights 0 to 8; beyond them the weight is 9.
+_POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(9)]
+
+
+def weight(*parts: Column) -> Column:
+    """A Poisson(1) weight by hash of the parts."""
+    u = F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    out = F.when(u < _POISSON[0], 0)
+    for k, p in enumerate(_POISSON[1:], 1):
+        out = out.when(u < p, k)
+    return out.otherwise(9)
+
+
+def bootstrap(df: DataFrame, unit: Column, value: Column, draws: int, seed: str, size: Column | None = None) -> DataFrame:
+    """(draw, estimate): weighted means of units, or of clusters with their value sums and sizes.
 
-    Draw d takes for its i-th value the place that the SHA-256 of (seed, d, i)
-    names, so the draws are the same on any partitioning.
+    Each row's weights in all draws are an array, added up element by element
+    before anything is shuffled: ``draws`` numbers a task go on.
     """
-    spark = deltas.sparkSession
-    slots = spark.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), F.pmod("id", F.lit(n)).alias("slot"))
-    key = F.sha2(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("slot").cast("string")), 256)
-    picked = slots.withColumn(place, F.pmod(F.conv(F.substring(key, 1, 13), 16, 10).cast("long"), F.lit(n)))
-    means = picked.join(deltas, place).groupBy("draw").agg(F.avg(delta).alias("m"))
-    return means.agg(F.count("*").alias("draws"), F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
+    n = size if size is not None else F.lit(1)
+    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    rows = df.select(unit.alias("_u"), value.cast("double").alias("_v"), n.cast("long").alias("_n"))
+    weighted = rows.select("*", every).withColumn("_w", weight(F.lit(seed), F.col("draw"), F.col("_u")))
+    sums = weighted.groupBy("draw").agg(F.sum(F.col("_w") * F.col("_v")).alias("_total"), F.sum(F.col("_w") * F.col("_n")).alias("_size"))
+    return sums.select("draw", F.try_divide(F.col("_total"), F.col("_size")).alias("estimate"))
+
+
+def interval(draws: DataFrame, low: float, high: float) -> DataFrame:
+    """Linear quantiles of the draws."""
+    q = lambda p: F.percentile("estimate", F.lit(p))
+    return draws.agg(F.count("estimate").alias("draws"), q(low).alias("low"), q(high).alias("high"))
+
+
+def paired_bootstrap(df: DataFrame, unit: str, delta: str, draws: int, seed: str) -> DataFrame:
+    """(draws, low, high, lower): the 95 % interval of the mean of paired deltas, and its one-sided bound."""
+    q = lambda p: F.percentile("estimate", F.lit(p))
+    b = bootstrap(df, F.col(unit), F.col(delta), draws, seed)
+    return b.agg(F.count("estimate").alias("draws"), q(0.025).alias("low"), q(0.975).alias("high"), q(0.05).alias("lower"))
+
+
+def clustered(df: DataFrame, cluster: str, value: str) -> DataFrame:
+    """(cluster, total, size): what a bootstrap of clusters draws from."""
+    return df.groupBy(cluster).agg(F.sum(value).alias("total"), F.count(value).alias("size"))
+
+
+def nested_bootstrap(df: DataFrame, unit: str, cluster: str, value: str, repeated: str, draws: int, seed: str) -> DataFrame:
+    """(draw, estimate): clusters are drawn, and within each unit its repetitions."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    rows = df.select(unit, cluster, value, F.col(repeated).alias("_r"), every)
+    inner = F.transform("_r", lambda x, i: F.struct(weight(F.lit(seed), F.lit("inner"), F.col("draw"), F.col(unit), i).alias("w"), x.alias("x")))
+    total = lambda f: F.aggregate(inner, F.lit(0.0), lambda s, x: s + f(x))
+    plain = F.aggregate("_r", F.lit(0.0), lambda s, x: s + x) / F.size("_r")
+    mean = F.coalesce(F.try_divide(total(lambda x: x["w"] * x["x"]), total(lambda x: x["w"].cast("double"))), plain)
+    drawn = rows.withColumn("_d", F.col(value) - mean).withColumn("_w", weight(F.lit(seed), F.lit("outer"), F.col("draw"), F.col(cluster)))
+    return drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("_d")), F.sum("_w")).alias("estimate"))
+
+
+def stratified_bootstrap(df: DataFrame, unit: str, stratum: str, value: str, weights: dict[str, float], draws: int, seed: str) -> DataFrame:
+    """(draw, estimate): means of strata, each resampled within itself, put together by weights."""
+    share = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    rows = df.select(unit, stratum, value, every).withColumn("_w", weight(F.lit(seed), F.col("draw"), F.col(unit)))
+    means = rows.groupBy("draw", stratum).agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("_m")).withColumn("_s", share[F.col(stratum)])
+    return means.groupBy("draw").agg((F.sum(F.col("_m") * F.col("_s")) / F.sum("_s")).alias("estimate"))
+
+
+def simultaneous_bounds(df: DataFrame, cluster: str, boundaries: list[str], draws: int, seed: str, level: float = 0.95) -> DataFrame:
+    """(boundary, place, estimate, lower): lower bounds that hold together, by the greatest excess of each draw of clusters."""
+    per = df.groupBy(cluster).agg(F.count("*").alias("_n"), *[F.sum(b).alias(b) for b in boundaries])
+    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    w = per.select("*", every).withColumn("_w", weight(F.lit(seed), F.col("draw"), F.col(cluster)))
+    points = per.agg(*[(F.sum(b) / F.sum("_n")).alias(f"p_{b}") for b in boundaries])
+    drawn = w.groupBy("draw").agg(*[F.try_divide(F.sum(F.col("_w") * F.col(b)), F.sum(F.col("_w") * F.col("_n"))).alias(b) for b in boundaries])
+    excess = drawn.join(F.broadcast(points)).select(F.greatest(*[F.col(b) - F.col(f"p_{b}") for b in boundaries]).alias("excess"))
+    critical = excess.agg(F.percentile("excess", F.lit(level)).alias("critical"))
+    rows = F.explode(F.array(*[F.struct(F.lit(b).alias("boundary"), F.lit(i).alias("place"), F.col(f"p_{b}").alias("estimate")) for i, b in enumerate(boundaries)])).alias("x")
+    return points.join(F.broadcast(critical)).select("critical", rows).select("x.*", (F.col("x.estimate") - F.col("critical")).alias("lower"))
+
+
+def pair_families(distance: Column) -> Column:
+    """The family of a pair by Hamming distance: one, two or more."""
+    return F.when(distance == 1, "one").when(distance == 2, "two").otherwise("more")
+
+
+def balanced(df: DataFrame, levels: list[list[str]], value: str, name: str = "value") -> DataFrame:
+    """Means of means: over rows within the first level's groups, then within each coarser level, and at last over all."""
+    out = df
+    for by in levels:
+        out = out.groupBy(*by).agg(F.avg(value).alias(value))
+    return out.agg(F.avg(value).alias(name), F.count(value).alias("groups"))
+
+
+def rmse(df: DataFrame, by: list[str], predicted: str, actual: str) -> DataFrame:
+    """Root mean square errors of the prediction and of the constant mean, by group."""
+    mean = F.avg(actual).over(Window.partitionBy(*by))
+    rows = df.select(*by, (F.col(predicted) - F.col(actual)).alias("_e"), (mean - F.col(actual)).alias("_c"))
+    return rows.groupBy(*by).agg(F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.sqrt(F.avg(F.col("_c") * F.col("_c"))).alias("constant_rmse"))
+
+
+def equivalence_size(spread: float, margin: float, true_difference: float = 0.0, alpha: float = 0.05, power: float = 0.8, most: int = 1_000_000) -> int | None:
+    """The least number of units at which two one-sided tests have the power, by the normal approximation; None beyond ``most``."""
+    from statistics import NormalDist
+
+    normal = NormalDist()
+    z = normal.inv_cdf(1 - alpha)
+
+    def reached(n: int) -> bool:
+        error = spread / math.sqrt(n)
+        return normal.cdf((margin - true_difference) / error - z) + normal.cdf((margin + true_difference) / error - z) - 1 >= power
+
+    low, high = 1, 1
+    while high < most and not reached(high):
+        low, high = high, min(most, 2 * high)
+    if not reached(high):
+        return None
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if reached(middle) else (middle + 1, high)
+    return high

@@ -1,42 +1,46 @@
-"""Answer normalisation, bag scores, and sliced reports."""
+"""Answer scores of predictions and their slices."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The articles that answers lose.
-ARTICLES = ("a", "an", "the")
+from ferrule.functions import answers
 
 
-def answer_bag(text: Column) -> Column:
-    """Distinct words of an answer: lower case, cut at spaces and hyphens, without punctuation and articles."""
-    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ -]"), lambda w: F.regexp_replace(w, r"[!-/:-@\[-`{-~]", ""))
-    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*ARTICLES)))
+def scored(df: DataFrame, predicted: str, gold: str) -> DataFrame:
+    """Adds ``em`` and ``f1`` of single answers."""
+    return df.withColumn("em", answers.text_em(F.col(predicted), F.col(gold))).withColumn("f1", answers.text_f1(F.col(predicted), F.col(gold)))
 
 
-def bag_f1(predicted: Column, gold: Column) -> Column:
-    """F1 of two bags; an empty prediction has precision 1, an empty gold bag recall 1."""
-    both = F.size(F.array_intersect(predicted, gold)).cast("double")
-    precision = F.when(F.size(predicted) == 0, 1.0).otherwise(both / F.size(predicted))
-    recall = F.when(F.size(gold) == 0, 1.0).otherwise(both / F.size(gold))
-    return F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+def sliced_report(df: DataFrame, slices: list[str]) -> DataFrame:
+    """Mean scores x 100 overall and by each slice alone, one row a value; slices of one row may overlap."""
+    sets = [[F.col(s)] for s in slices] + [[]]
+    return df.groupingSets(sets, *[F.col(s) for s in slices]).agg(F.count("*").alias("n"), (F.avg("em") * 100).alias("em"), (F.avg("f1") * 100).alias("f1"))
 
 
-def scored(df: DataFrame, predicted: str, gold: str) -> DataFrame:
-    """Adds ``em`` (equal bags) and ``f1`` (two decimals, half to even)."""
-    p, g = answer_bag(F.col(predicted)), answer_bag(F.col(gold))
-    return df.withColumn("_p", p).withColumn("_g", g).withColumn("em", (F.array_sort("_p") == F.array_sort("_g")).cast("double")).withColumn("f1", F.bround(bag_f1(F.col("_p"), F.col("_g")), 2)).drop("_p", "_g")
+def overlapping_report(df: DataFrame, slices: dict[str, Column]) -> DataFrame:
+    """Mean scores x 100 by named predicates that may hold together: each row is exploded to the slices that it is in."""
+    named = F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in slices.items()]))
+    return df.withColumn("slice", F.explode(named)).groupBy("slice").agg(F.count("*").alias("n"), (F.avg("em") * 100).alias("em"), (F.avg("f1") * 100).alias("f1"))
 
 
-def sliced_report(df: DataFrame, slices: list[str]) -> DataFrame:
-    """Mean EM and F1 times 100 over all rows and by each slice, in one pass over grouping sets."""
-    sets = [[F.col(s)] for s in slices] + [[]]
-    out = df.groupingSets(sets, *slices).agg(F.count("*").alias("n"), (F.avg("em") * 100).alias("em"), (F.avg("f1") * 100).alias("f1"))
-    return out
+def recall_at(retrieved: Column, relevant: Column, k: int) -> Column:
+    """Share of the relevant documents among the distinct ones of the first k; 0 if none is relevant."""
+    found = F.size(F.array_intersect(F.slice(retrieved, 1, k), relevant)).cast("double")
+    return F.when(F.size(relevant) == 0, 0.0).otherwise(F.try_divide(found, F.size(relevant)))
+
+
+def with_predictions(source: DataFrame, predictions: DataFrame, key: str, value: str) -> DataFrame:
+    """Every source row with its prediction, "" where there is none. Unknown and repeated keys are errors, told by ``prediction_violations``."""
+    one = predictions.select(key, F.coalesce(F.col(value), F.lit("")).alias(value))
+    return source.join(one, key, "left").fillna({value: ""})
 
 
-def recall_at(ranked: Column, relevant: Column, k: int) -> Column:
-    """Share of relevant documents among the distinct ones of the first k; 0 where none is relevant."""
-    found = F.size(F.array_intersect(F.array_distinct(F.slice(ranked, 1, k)), relevant))
-    return F.when(F.size(relevant) == 0, 0.0).otherwise(found / F.size(relevant))
+def prediction_violations(source: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """(kind, key): predictions without a source row, and keys that occur more than once on either side."""
+    twice = lambda df, kind: df.groupBy(key).count().where("count > 1").select(F.lit(kind).alias("kind"), key)
+    unknown = predictions.select(key).distinct().join(source.select(key), key, "left_anti").select(F.lit("unknown prediction").alias("kind"), key)
+    return reduce(DataFrame.union, [unknown, twice(predictions, "repeated prediction"), twice(source, "repeated source")])

@@ -6,11 +6,15 @@ dealt over all tasks.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
+
+from ferrule.operators.ranking import greedy_prefix
 
 _FOUND = StructType().add("spent", LongType()).add("places", ArrayType(IntegerType()))
 
@@ -53,3 +57,148 @@ def hash_bit(prefix: str, *parts: Column) -> Column:
 def additive_score(mask: Column, scores: Column) -> Column:
     """Sum of the scores whose mask is true."""
     return F.aggregate(F.zip_with(mask, scores, lambda m, s: F.when(m, s).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+
+
+def achievable(costs: list[int], budget: int) -> int:
+    """The largest cost within ``budget`` that some subset has, by the bits of reachable sums."""
+    reach = 1
+    for cost in costs:
+        reach |= reach << cost
+    return (reach & ((1 << budget + 1) - 1)).bit_length() - 1
+
+
+@F.pandas_udf(LongType())
+def achievable_budget(costs: pd.Series, budgets: pd.Series) -> pd.Series:
+    return pd.Series([achievable([int(c) for c in cs], int(b)) for cs, b in zip(costs, budgets, strict=True)], dtype="int64")
+
+
+def extreme_subsets(ids: list, costs: list[int], scores: list[float], budget: int) -> tuple[list, list]:
+    """The best and the worst scored subset of exactly the achievable cost; of equal scores the first by its sorted ids."""
+    goal = achievable(costs, budget)
+    order = sorted(range(len(ids)), key=lambda k: ids[k], reverse=True)
+    out = []
+    for sign in (-1, 1):
+        at: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+        for k in order:  # ids are put in front, so that the order of two lists stays when both get the same id
+            for spent, (total, chosen) in list(at.items()):
+                there, option = spent + costs[k], (total + sign * scores[k], (ids[k], *chosen))
+                if there <= goal and (there not in at or option < at[there]):
+                    at[there] = option if there != spent else at[there]
+        out.append(list(at[goal][1]))
+    return out[0], out[1]
+
+
+_SETS = StructType().add("best", ArrayType(LongType())).add("worst", ArrayType(LongType()))
+
+
+@F.pandas_udf(_SETS)
+def extremes(ids: pd.Series, costs: pd.Series, scores: pd.Series, budgets: pd.Series) -> pd.DataFrame:
+    """``extreme_subsets`` of each row's arrays."""
+    found = [extreme_subsets([int(i) for i in i_], [int(c) for c in c_], [float(s) for s in s_], int(b)) for i_, c_, s_, b in zip(ids, costs, scores, budgets, strict=True)]
+    return pd.DataFrame(found, columns=["best", "worst"])
+
+
+def sampled_subset(costs: list[int], budget: int, seed: str, tilts: list[float] | None = None) -> list[bool]:
+    """A subset of exactly the achievable cost, drawn uniformly, or with weights exp(sum of the tilts of its items).
+
+    Backwards over a table of summed weights by item and cost, in logarithms.
+    """
+    rng = np.random.Generator(np.random.PCG64(int.from_bytes(sha256(seed.encode()).digest()[:8], "big")))
+    goal, n = achievable(costs, budget), len(costs)
+    logs = np.full((n + 1, goal + 1), -np.inf)
+    logs[0, 0] = 0.0
+    for k, cost in enumerate(costs):
+        logs[k + 1] = logs[k]
+        if cost <= goal:
+            logs[k + 1, cost:] = np.logaddexp(logs[k, cost:], logs[k, : goal + 1 - cost] + (tilts[k] if tilts else 0.0))
+    taken, left = [False] * n, goal
+    for k in range(n - 1, -1, -1):
+        if costs[k] <= left:
+            share = np.exp(logs[k, left - costs[k]] + (tilts[k] if tilts else 0.0) - logs[k + 1, left])
+            if rng.random() < share:
+                taken[k], left = True, left - costs[k]
+    return taken
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def sampled(costs: pd.Series, budgets: pd.Series, seeds: pd.Series, tilts: pd.Series) -> pd.Series:
+    """``sampled_subset`` of each row's arrays; null tilts draw uniformly."""
+    return pd.Series([sampled_subset([int(c) for c in cs], int(b), s, None if t is None else [float(x) for x in t]) for cs, b, s, t in zip(costs, budgets, seeds, tilts, strict=True)])
+
+
+def quota_sample(items: DataFrame, quotas: DataFrame, strata: list[str], item: str, seed: str) -> DataFrame:
+    """As many items of each stratum as its quota ``n``, first by hash: the law of drawing without replacement."""
+    w = Window.partitionBy(*strata).orderBy(F.sha2(F.concat(F.lit(f"{seed}|"), F.col(item).cast("string")), 256), item)
+    return items.withColumn("_n", F.row_number().over(w)).join(quotas.select(*strata, "n"), strata).where(F.col("_n") <= F.col("n")).drop("_n", "n")
+
+
+def like_reference(items: DataFrame, strata: list[str], item: str, kept: Column, seed: str) -> DataFrame:
+    """A sample with the reference selection's counts by stratum (page, or page and cell)."""
+    return quota_sample(items, items.where(kept).groupBy(*strata).agg(F.count("*").alias("n")), strata, item, seed)
+
+
+def spread_quotas(items: DataFrame, strata: list[str], budget: int, seed: str) -> DataFrame:
+    """(strata, n): one for each stratum, the rest by largest remainders of what else it holds (ties by hash); with fewer than the strata, one for some by hash."""
+    sizes = items.groupBy(*strata).agg(F.count("*").alias("_c"))
+    tie = F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(s).cast("string") for s in strata]), 256)
+    whole = Window.partitionBy(F.lit(0))
+    j = sizes.withColumn("_tie", tie).withColumn("_k", F.count("*").over(whole)).withColumn("_rest", F.lit(budget) - F.col("_k"))
+    room = F.sum(F.col("_c") - 1).over(whole)
+    j = j.withColumn("_q", F.coalesce(F.try_divide(F.col("_rest") * (F.col("_c") - 1), room), F.lit(0.0))).withColumn("_f", F.floor("_q"))
+    extra = F.row_number().over(whole.orderBy(F.desc(F.round(F.col("_q") - F.col("_f"), 9)), "_tie")) <= F.col("_rest") - F.sum("_f").over(whole)
+    some = F.row_number().over(whole.orderBy("_tie")) <= budget
+    n = F.when(F.col("_rest") < 0, some.cast("long")).otherwise(1 + F.col("_f") + extra.cast("long"))
+    return j.select(*strata, n.alias("n")).where("n > 0")
+
+
+def arms(items: DataFrame, group: str, item: str, cost: str, score: str, shares: tuple[float, ...], seed: str) -> DataFrame:
+    """(group, arm, item, kept): the whole set, and for each share of the cost the best by score and a random selection that still fits, in order."""
+    base = items.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(cost).cast("long").alias("c"), F.col(score).alias("s"))
+    total = base.groupBy("g").agg(F.sum("c").alias("total"))
+    out = base.select("g", F.lit("whole").alias("arm"), "i", F.lit(True).alias("kept"))
+    for share in shares:
+        for name, first in (("best", -F.col("s")), ("random", F.sha2(F.concat_ws("|", F.lit(seed), "g", "i"), 256))):
+            order = F.array_sort(F.collect_list(F.struct(first.alias("o"), F.col("i").alias("id"), F.col("c").alias("cost"))))
+            chosen = base.groupBy("g").agg(F.transform(order, lambda x: F.struct(x["id"].alias("id"), x["cost"].alias("cost"))).alias("items")).join(total, "g")
+            ids = chosen.select("g", greedy_prefix(F.col("items"), F.floor(F.col("total") * share)).alias("ids"))
+            out = out.union(base.join(ids, "g").select("g", F.lit(f"{name} {share:g}"), "i", F.array_contains("ids", F.col("i"))))
+    return out
+
+
+def exchange_groups(regions: DataFrame, share: float = 0.05) -> DataFrame:
+    """(page, region, unit): units for exchange moves from (page, tile, kind, region, cost, priority).
+
+    The top fifth by priority, and regions of over ``share`` of the cost, stand
+    alone; others of one page, tile and kind are packed in order up to that cost.
+    """
+    whole = Window.partitionBy("page")
+    ranked = regions.withColumn("_cap", F.sum("cost").over(whole) * share).withColumn("_top", F.percent_rank().over(whole.orderBy(F.desc("priority"), "region")) < 0.2)
+    alone = ranked.where(F.col("_top") | (F.col("cost") > F.col("_cap"))).select("page", "region", F.concat(F.lit("r"), F.col("region").cast("string")).alias("unit"))
+    rest = ranked.where(~(F.col("_top") | (F.col("cost") > F.col("_cap"))))
+    listed = rest.groupBy("page", "tile", "kind").agg(F.array_sort(F.collect_list(F.struct("region", "cost"))).alias("items"), F.first("_cap").alias("cap"))
+    start = F.struct(F.lit(0).alias("pack"), F.lit(0.0).alias("used"), F.array().cast("array<struct<region:bigint,pack:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (acc["used"] + x["cost"] <= F.col("cap")) | (acc["used"] == 0)
+        pack = F.when(fits, acc["pack"]).otherwise(acc["pack"] + 1)
+        return F.struct(pack.alias("pack"), F.when(fits, acc["used"] + x["cost"]).otherwise(x["cost"].cast("double")).alias("used"), F.concat(acc["out"], F.array(F.struct(x["region"].cast("long").alias("region"), pack.alias("pack")))).alias("out"))
+
+    packed = listed.select("page", "tile", "kind", F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("x"))
+    return alone.union(packed.select("page", "x.region", F.concat_ws(":", F.lit("p"), "tile", "kind", "x.pack")))
+
+
+def token_mask(tokens: DataFrame, regions: DataFrame) -> DataFrame:
+    """(page, token, kept) from each token's owner and the regions' mask; tokens without an owner stay."""
+    j = tokens.join(regions.select("page", F.col("region").alias("owner"), "kept"), ["page", "owner"], "left")
+    return j.select("page", "token", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def mask_digest(masks: DataFrame) -> DataFrame:
+    """(page, digest): SHA-256 of each page's mask as ones and noughts in order of token."""
+    bits = F.transform(F.array_sort(F.collect_list(F.struct("token", "kept"))), lambda x: x["kept"].cast("int").cast("string"))
+    return masks.groupBy("page").agg(F.sha2(F.array_join(bits, ""), 256).alias("digest"))
+
+
+def inert(masks: DataFrame) -> DataFrame:
+    """(region,): regions whose flag never changes over the masks (mask, region, kept)."""
+    return masks.groupBy("region").agg(F.min("kept").alias("a"), F.max("kept").alias("b")).where("a = b").select("region", F.col("a").alias("always"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions.numbers import grid_cell
 
-def overlap_join(tokens: DataFrame, regions: DataFrame, cell: int = 16) -> DataFrame:
+
+def overlap_join(tokens: DataFrame, regions: DataFrame, cell: float = 16) -> DataFrame:
     """Pairs on one page with a positive intersection area.
 
     Boxes (x0, y0, x1, y1; tokens' columns start with t, regions' with r) meet in
@@ -24,8 +26,88 @@ def overlap_join(tokens: DataFrame, regions: DataFrame, cell: int = 16) -> DataF
     return pairs.where((F.col("cx") == F.floor(x0 / cell)) & (F.col("cy") == F.floor(y0 / cell))).withColumn("area", w * h).drop("cx", "cy")
 
 
-def owners(tokens: DataFrame, regions: DataFrame, token: str = "token", order: list[str] | None = None) -> DataFrame:
+def owners(tokens: DataFrame, regions: DataFrame, token: str = "token", order: list[str] | None = None, cell: float = 16) -> DataFrame:
     """(page, token, region, area): each token's region of largest overlap, ties by ``order``; null where none overlaps."""
     w = Window.partitionBy("page", token).orderBy(F.desc("area"), *(order or ["region"]))
-    best = overlap_join(tokens, regions).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page", token, "region", "area")
+    best = overlap_join(tokens, regions, cell).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page", token, "region", "area")
     return tokens.select("page", token).join(best, ["page", token], "left")
+
+
+def owners_or_tiles(tokens: DataFrame, regions: DataFrame, height: Column, width: Column, order: list[str] | None = None) -> DataFrame:
+    """(page, token, source): the owner as "region:id", or, where none overlaps, the residual tile of a 4 x 4 page grid as "tile:row,column"."""
+    found = owners(tokens, regions, order=order).join(tokens.select("page", "token", "tx0", "ty0", "tx1", "ty1"), ["page", "token"])
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2 - 0.5
+    tile = F.concat(F.lit("tile:"), grid_cell(middle("ty0", "ty1"), height).cast("string"), F.lit(","), grid_cell(middle("tx0", "tx1"), width).cast("string"))
+    return found.select("page", "token", F.when(F.col("region").isNotNull(), F.concat(F.lit("region:"), F.col("region").cast("string"))).otherwise(tile).alias("source"))
+
+
+def first_owners(tokens: DataFrame, regions: DataFrame, priority: str, most: int) -> DataFrame:
+    """(page, token, owner): the overlapping region of the least priority; tokens without one are dealt to buckets of ``most`` in order of token, from -1 downwards."""
+    first = overlap_join(tokens, regions).groupBy("page", "token").agg(F.min(priority).alias("_p"))
+    j = tokens.select("page", "token").join(first, ["page", "token"], "left")
+    place = F.row_number().over(Window.partitionBy("page", F.col("_p").isNull()).orderBy("token")) - 1
+    return j.withColumn("_n", place).select("page", "token", F.coalesce(F.col("_p"), -1 - F.floor(F.col("_n") / most)).cast("long").alias("owner"))
+
+
+def mapped_grid(fine: DataFrame, coarse: DataFrame, cell: float = 16) -> DataFrame:
+    """(page, token, owner, area): the owner of a new grid's cells by the summed overlap with the old grid's cells of each owner; ties by owner.
+
+    ``fine`` has the new cells (t...), ``coarse`` the old ones (r...) with their ``owner``.
+    """
+    sums = overlap_join(fine, coarse, cell).groupBy("page", "token", "owner").agg(F.sum("area").alias("area"))
+    w = Window.partitionBy("page", "token").orderBy(F.desc("area"), "owner")
+    return sums.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def lost_owners(mapped: DataFrame, coarse: DataFrame) -> DataFrame:
+    """Owners that have no cell after a re-mapping, as violation rows."""
+    return coarse.select("page", "owner").distinct().join(mapped.select("page", "owner").distinct(), ["page", "owner"], "left_anti")
+
+
+def owned_fractions(tokens: DataFrame, regions: DataFrame, cell: float = 16) -> DataFrame:
+    """(page, token, region, fraction): the share of each token's box that each region covers."""
+    j = overlap_join(tokens, regions, cell)
+    box = (F.col("tx1") - F.col("tx0")) * (F.col("ty1") - F.col("ty0"))
+    return j.groupBy("page", "token", "region").agg(F.sum(F.col("area") / box).alias("fraction"))
+
+
+def profiles(members: DataFrame, scores: DataFrame, regions: DataFrame) -> DataFrame:
+    """(page, region, q, score, valid): each region's greatest score by query token over its patches; without any the score is null.
+
+    ``members`` has (page, region, patch), ``scores`` (page, patch, q, s).
+    """
+    best = members.join(scores, ["page", "patch"]).groupBy("page", "region", "q").agg(F.max("s").alias("score"))
+    queries = scores.select("page", "q").distinct()
+    return regions.select("page", "region").distinct().join(queries, "page").join(best, ["page", "region", "q"], "left").withColumn("valid", F.col("score").isNotNull())
+
+
+def similar_boxes(a: DataFrame, b: DataFrame, least: float = 0.85, cell: float = 16) -> DataFrame:
+    """Pairs of boxes on one page whose intersection by union is above ``least``."""
+    j = overlap_join(a, b, cell)
+    size = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    return j.withColumn("iou", F.col("area") / (size("t") + size("r") - F.col("area"))).where(F.col("iou") > least)
+
+
+def audit(owned: DataFrame, limit: int) -> DataFrame:
+    """By page: tokens, share owned and share left over, the largest region, and how many regions exceed ``limit`` tokens."""
+    sizes = owned.groupBy("page", "region").agg(F.count("*").alias("n"))
+    own = F.col("region").isNotNull()
+    return sizes.groupBy("page").agg(
+        F.sum("n").alias("tokens"), (F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) / F.sum("n")).alias("covered"), (F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)) / F.sum("n")).alias("left_over"),
+        F.coalesce(F.max(F.when(own, F.col("n"))), F.lit(0)).alias("largest"), F.count_if(own & (F.col("n") > limit)).alias("oversized"),
+    )
+
+
+def coverage(tokens: DataFrame, kept: Column, reference: Column) -> DataFrame:
+    """By page: kept tokens, occupied cells of the 4 x 4 grid, centre, spread, and the Jaccard index with a reference selection (1 for two empty ones).
+
+    ``tokens`` has (page, row, column, height, width); pages without kept tokens stay, without centre.
+    """
+    y, x = (F.col("row") + 0.5) / F.col("height"), (F.col("column") + 0.5) / F.col("width")
+    cell = grid_cell(F.col("row"), F.col("height")) * 4 + grid_cell(F.col("column"), F.col("width"))
+    of = lambda v: F.when(kept, v)
+    sums = tokens.groupBy("page").agg(
+        F.count_if(kept).alias("kept"), F.count_distinct(of(cell)).alias("cells"), F.avg(of(y)).alias("center_y"), F.avg(of(x)).alias("center_x"),
+        F.var_pop(of(y)).alias("_vy"), F.var_pop(of(x)).alias("_vx"), F.count_if(kept & reference).alias("_both"), F.count_if(kept | reference).alias("_any"),
+    )
+    return sums.select("page", "kept", "cells", "center_y", "center_x", F.sqrt(F.col("_vy") + F.col("_vx")).alias("spread"), F.when(F.col("_any") == 0, 1.0).otherwise(F.try_divide(F.col("_both"), F.col("_any"))).alias("overlap"))

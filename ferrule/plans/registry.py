@@ -2,49 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ferrule.operators import containment, graph, inference, ranking, scoring, selection, spatial, vectors
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers the function under its name, with the SQL for the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-_BAG = "list_distinct(list_filter(list_transform(string_split_regex(lower({0}), '[ -]'), lambda w: regexp_replace(w, '[!-/:-@\\[-`{{-~]', '', 'g')), lambda w: w <> '' and w not in ('a', 'an', 'the')))"
-_SCORED = f"""
-s as (select p_partkey, p_brand, p_type, {_BAG.format('p_type')} p, {_BAG.format('p_name')} g from part),
-c as (select *, len(list_intersect(p, g))::double b from s),
-f as (select p_partkey, p_brand, p_type, (list_sort(p) = list_sort(g))::int::double em,
-  case when len(p) = 0 then 1.0 else b / len(p) end pr, case when len(g) = 0 then 1.0 else b / len(g) end re from c),
-x as (select p_partkey, p_brand, p_type, em, round_even(case when pr + re = 0 then 0 else 2 * pr * re / (pr + re) end, 2) f1 from f)
-"""
-
-
-@query(f"with {_SCORED} select p_brand, p_type, count(*) n, round(avg(em) * 100, 6) em, round(avg(f1) * 100, 6) f1 from x group by grouping sets ((p_brand), (p_type), ())")
-def answer_report(spark, d):
-    """EM and F1 overall and by slices."""
-    s = scoring.scored(_t(spark, d, "part"), "p_type", "p_name")
-    r = scoring.sliced_report(s, ["p_brand", "p_type"])
-    return r.select("p_brand", "p_type", "n", F.round("em", 6).alias("em"), F.round("f1", 6).alias("f1"))
+from ferrule.functions import text
+from ferrule.operators import containment, graph, inference, integrity, metrics, ranking, scoring, selection, surrogates
+from ferrule.plans import answer_queries, inference_queries, retrieval_queries, selection_queries, source_queries, spatial_queries, window_queries  # noqa: F401
+from ferrule.plans.catalogue import ORACLES, QUERIES, query  # noqa: F401
+from ferrule.plans.catalogue import table as _t
 
 
 @query("""with o as (select l_orderkey k, list(l_suppkey order by l_linenumber, l_suppkey) r, coalesce(list_distinct(list(l_suppkey) filter (l_returnflag = 'R')), []) g from lineitem group by 1),
@@ -65,84 +30,6 @@ def top_m_per_order(spark, d):
     return ranking.top_m(_t(spark, d, "lineitem"), ["l_orderkey"], "l_extendedprice", ["l_linenumber"], 3).select("l_orderkey", "l_linenumber", "page_rank")
 
 
-@query("""with q as (select label q, vec_id t, embedding::double[] qv from embeddings where vec_id % 100 = 0), r as (select vec_id id, vec_id // 5 page, embedding::double[] v from embeddings),
-s as (select q, t, id, page, list_dot_product(qv, v) score from q, r), k as (select *, row_number() over (partition by q, t order by score desc, id) rank from s)
-select q, t, id, page, rank, round(score, 6) score from k where rank <= 4""")
-def token_knn(spark, d):
-    """H1: exact k-NN of query tokens by inner product."""
-    return vectors.knn(*_tokens(spark, d), 4).select("q", "t", "id", "page", "rank", F.round("score", 6).alias("score"))
-
-
-@query("""with q as (select label q, vec_id t, embedding::double[] qv from embeddings where vec_id % 100 = 0), r as (select vec_id id, vec_id // 5 page, embedding::double[] v from embeddings),
-s as (select q, t, id, page, list_dot_product(qv, v) score from q, r), k as (select *, row_number() over (partition by q, t order by score desc, id) rank from s),
-m as (select q, t, page, max(score) s from k where rank <= 4 group by 1, 2, 3) select q, page, round(sum(s), 6) score from m group by 1, 2""")
-def indexed_maxsim(spark, d):
-    """H2: MaxSim over the hits of each token."""
-    return vectors.indexed_maxsim(vectors.knn(*_tokens(spark, d), 4)).select("q", "page", F.round("score", 6).alias("score"))
-
-
-@query("""with q as (select label q, vec_id t, embedding::double[] qv from embeddings where vec_id % 100 = 0), r as (select vec_id // 5 page, embedding::double[] v from embeddings),
-m as (select q, t, page, max(list_dot_product(qv, v)) s from q, r group by 1, 2, 3) select q, page, round(sum(s), 6) score from m group by 1, 2""")
-def full_maxsim(spark, d):
-    """H3: MaxSim over all rows."""
-    return vectors.full_maxsim(*_tokens(spark, d)).select("q", "page", F.round("score", 6).alias("score"))
-
-
-@query("""with q as (select embedding::double[] qv from embeddings where vec_id % 100 = 0)
-select vec_id, round(sum(case when sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(qv, qv)) = 0 then 0 else list_dot_product(embedding::double[], qv) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(qv, qv))) end), 6) relevance
-from embeddings, q group by 1""")
-def cosine_relevance(spark, d):
-    """H5: summed cosine with the query tokens."""
-    q, r = _tokens(spark, d)
-    scored = vectors.against_all(q, r, vectors.cosine(F.col("qv"), F.col("v")))
-    return scored.groupBy(F.col("id").alias("vec_id")).agg(F.round(F.sum("score"), 6).alias("relevance"))
-
-
-@query()
-def token_knn_whole(spark, d):
-    """H1 over the whole query set: every id divisible by 20."""
-    return vectors.knn(*_tokens(spark, d, 20), 4).select("q", "t", "id", "page", "rank", F.round("score", 6).alias("score"))
-
-
-@query()
-def indexed_maxsim_whole(spark, d):
-    """H2 over the whole query set."""
-    return vectors.indexed_maxsim(vectors.knn(*_tokens(spark, d, 20), 4)).select("q", "page", F.round("score", 6).alias("score"))
-
-
-@query()
-def full_maxsim_whole(spark, d):
-    """H3 over the whole query set."""
-    return vectors.full_maxsim(*_tokens(spark, d, 20)).select("q", "page", F.round("score", 6).alias("score"))
-
-
-@query()
-def cosine_relevance_whole(spark, d):
-    """H5 over the whole query set."""
-    q, r = _tokens(spark, d, 20)
-    scored = vectors.against_all(q, r, vectors.cosine(F.col("qv"), F.col("v")))
-    return scored.groupBy(F.col("id").alias("vec_id")).agg(F.round(F.sum("score"), 6).alias("relevance"))
-
-
-def _tokens(spark, d, step=100):
-    e = _t(spark, d, "embeddings")
-    q = e.where(F.col("vec_id") % step == 0).select(F.col("label").alias("q"), F.col("vec_id").alias("t"), F.col("embedding").alias("qv"))
-    return q, e.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 5).alias("page"), F.col("embedding").alias("v"))
-
-
-_BOXES = """tok as (select p_partkey % 40 page, p_partkey token, (p_partkey * 7) % 60 tx0, (p_partkey * 11) % 60 ty0, (p_partkey * 7) % 60 + 4 tx1, (p_partkey * 11) % 60 + 4 ty1 from part),
-reg as (select s_suppkey % 40 page, s_suppkey region, (s_suppkey * 13) % 40 rx0, (s_suppkey * 17) % 40 ry0, (s_suppkey * 13) % 40 + 10 + s_suppkey % 20 rx1, (s_suppkey * 17) % 40 + 12 ry1 from supplier)"""
-
-
-@query(f"""with {_BOXES}, p as (select t.page, token, region, (least(tx1, rx1) - greatest(tx0, rx0)) * (least(ty1, ry1) - greatest(ty0, ry0)) area from tok t join reg r on t.page = r.page and least(tx1, rx1) > greatest(tx0, rx0) and least(ty1, ry1) > greatest(ty0, ry0)),
-b as (select *, row_number() over (partition by page, token order by area desc, region) n from p) select t.page, t.token, b.region, b.area from tok t left join b on b.page = t.page and b.token = t.token and n = 1""")
-def region_owners(spark, d):
-    """Spatial overlap join and largest-overlap ownership."""
-    p = _t(spark, d, "part").selectExpr("p_partkey % 40 page", "p_partkey token", "(p_partkey * 7) % 60 tx0", "(p_partkey * 11) % 60 ty0", "(p_partkey * 7) % 60 + 4 tx1", "(p_partkey * 11) % 60 + 4 ty1")
-    s = _t(spark, d, "supplier").selectExpr("s_suppkey % 40 page", "s_suppkey region", "(s_suppkey * 13) % 40 rx0", "(s_suppkey * 17) % 40 ry0", "(s_suppkey * 13) % 40 + 10 + s_suppkey % 20 rx1", "(s_suppkey * 17) % 40 + 12 ry1")
-    return spatial.owners(p, s)
-
-
 @query("""select l_suppkey, round(corr(x, y), 6) rho from (select l_suppkey, rank() over (partition by l_suppkey order by l_quantity) + (count(*) over (partition by l_suppkey, l_quantity) - 1) / 2 x,
 rank() over (partition by l_suppkey order by l_discount) + (count(*) over (partition by l_suppkey, l_discount) - 1) / 2 y from lineitem) group by 1""")
 def rank_correlation(spark, d):
@@ -182,27 +69,6 @@ def event_runs(spark, d):
     return ranking.runs(_t(spark, d, "events"), ["user_id"], "event_id", "event_type")
 
 
-@query()
-def greedy_budget(spark, d):
-    """Greedy budgeted prefix that skips what doesn't fit."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("p"), F.col("l_linenumber").cast("long").alias("id"), F.col("l_quantity").cast("long").alias("cost")))), lambda x: F.struct(x["id"].alias("id"), x["cost"].alias("cost")))
-    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(items.alias("items")).select("l_orderkey", ranking.greedy_prefix(F.col("items"), 60).alias("ids"))
-
-
-@query("""with recursive e as (select distinct l_orderkey % 500 x, 1000000 + l_partkey % 397 y from lineitem where l_orderkey % 7 = 0 and l_linenumber = 1), b as (select x, y from e union select y, x from e),
-r(id, c) as (select x, x from b union select b.y, r.c from r join b on b.x = r.id) select id, min(c) component from r group by 1""")
-def shared_components(spark, d):
-    """L3: components of questions that share documents."""
-    e = _t(spark, d, "lineitem").where("l_orderkey % 7 = 0 and l_linenumber = 1").selectExpr("l_orderkey % 500 a", "1000000 + l_partkey % 397 b")
-    return graph.components(e)
-
-
-@query()
-def shared_components_whole(spark, d):
-    """L3 over all of lineitem with true ids: orders as 2 * id, parts as 2 * id + 1."""
-    return graph.components(_t(spark, d, "lineitem").selectExpr("2 * l_orderkey a", "2 * l_partkey + 1 b"))
-
-
 @query("""select event_type, count(*) n, round(quantile_cont(value, 0.5), 6) median, round(quantile_cont(value, 0.95), 6) p95, round(avg(value), 6) mean, min(value) least, max(value) most from events group by 1""")
 def distribution(spark, d):
     """Distribution with linear quantiles."""
@@ -235,57 +101,6 @@ def monte_carlo_error(spark, d):
     return inference.mcse(_t(spark, d, "lineitem"), ["l_suppkey"], "l_discount").select(F.round("mcse", 9).alias("mcse"), "n")
 
 
-@query("""with q as (select row_number() over (order by s_suppkey) - 1 place, s_acctbal delta from supplier), n as (select count(*) n from q), s as (select i // n draw, i % n slot, n from n, range(200 * n) r(i)),
-p as (select draw, (('0x' || substr(sha256('boot|' || draw || '|' || slot), 1, 13))::bigint) % n place from s), m as (select draw, avg(delta) m from p join q using (place) group by 1)
-select count(*) draws, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high from m""")
-def paired_bootstrap(spark, d):
-    """K1: bootstrap interval of a mean of paired deltas, drawn by hash."""
-    s = _t(spark, d, "supplier")
-    n = s.count()
-    from pyspark.sql import Window
-
-    q = s.select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("long").alias("place"), F.col("s_acctbal").alias("delta"))
-    return inference.paired_bootstrap(q, "place", "delta", n, 200, "boot").select("draws", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
-
-
-@query("""select 'missing' kind, o_orderkey k from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber = 2) union all
-select 'duplicate', l_suppkey from lineitem where l_orderkey < 50 group by 2 having count(*) > 1 union all
-select 'unexpected', l_orderkey from lineitem where l_linenumber = 1 and l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')""")
-def key_reconciliation(spark, d):
-    """Anti-joins both ways and duplicates, as violation rows."""
-    return _reconciled(spark, d, F.col("l_orderkey") < 50)
-
-
-@query()
-def key_reconciliation_whole(spark, d):
-    """C21, C22, C24, D31 with duplicates looked for in all of lineitem."""
-    return _reconciled(spark, d, F.lit(True))
-
-
-def _reconciled(spark, d, looked_at):
-    li, o = _t(spark, d, "lineitem"), _t(spark, d, "orders")
-    missing = o.select(F.col("o_orderkey").alias("k")).join(li.where("l_linenumber = 2").select(F.col("l_orderkey").alias("k")), "k", "left_anti")
-    twice = li.where(looked_at).groupBy(F.col("l_suppkey").alias("k")).count().where("count > 1").select("k")
-    extra = li.where("l_linenumber = 1").select(F.col("l_orderkey").alias("k")).join(o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k")), "k", "left_anti")
-    return missing.select(F.lit("missing").alias("kind"), "k").union(twice.select(F.lit("duplicate"), "k")).union(extra.select(F.lit("unexpected"), "k"))
-
-
-@query("""select url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '_', ' ', 'g') path from pages""")
-def url_family(spark, d):
-    """Host and path of a URL family."""
-    return _t(spark, d, "pages").select("url", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)).alias("host"), F.translate(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1), "_", " ").alias("path"))
-
-
-@query("""select count(*) n, sum(l_quantity) original, sum(l_quantity - floor(l_quantity * l_discount)) kept, round(avg(floor(l_quantity * l_discount) / l_quantity), 9) mean_drop, round(sum(floor(l_quantity * l_discount)) / sum(l_quantity), 9) weighted_drop,
-max(l_extendedprice) peak, bool_and(l_quantity > 0) warm, l_returnflag from lineitem group by l_returnflag""")
-def stage_metrics(spark, d):
-    """Sums, mean of drop rates and weighted drop rate."""
-    drop = F.floor(F.col("l_quantity") * F.col("l_discount"))
-    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.count("*").alias("n"), F.sum("l_quantity").alias("original"), F.sum(F.col("l_quantity") - drop).alias("kept"), F.round(F.avg(drop / F.col("l_quantity")), 9).alias("mean_drop"),
-        F.round(F.sum(drop) / F.sum("l_quantity"), 9).alias("weighted_drop"), F.max("l_extendedprice").alias("peak"), F.bool_and(F.col("l_quantity") > 0).alias("warm"))
-
-
 @query("""with recursive i as (select l_orderkey k, l_quantity::bigint cost, l_extendedprice score, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_extendedprice) n from lineitem),
 m as (select k, max(n) m from i group by 1), r(k, n, spent, score) as (select k, 0::bigint, 0::bigint, 0.0::double from m union all
 select r.k, r.n + 1, r.spent + t.take * i.cost, r.score + t.take * i.score from r join i on i.k = r.k and i.n = r.n + 1, (values (0), (1)) t(take) where r.spent + t.take * i.cost <= 60),
@@ -308,23 +123,6 @@ def mask_scores(spark, d):
     return bit.groupBy("l_suppkey", "draw").agg(F.count("*").alias("n"), F.sum("b").alias("kept"), F.round(F.sum(F.col("b") * F.col("l_discount")), 6).alias("score"))
 
 
-_TURNS = "turns as (select conv_id doc, turn page, lower(regexp_replace(trim(text, ' '), ' +', ' ', 'g')) text from conversations where text is not null and text <> '')"
-
-
-@query(f"""with {_TURNS}, t as (select *, lead(text) over (partition by doc order by page) t1, lead(text, 2) over (partition by doc order by page) t2 from turns),
-p as (select doc, page passage, case when t1 is null then right(text, 30) else right(text, 20) || ' ' || left(t1, 20) end needle from t),
-w as (select doc, page first, page last, text s from t union all select doc, page, page + 1, text || ' ' || t1 from t where t1 is not null union all select doc, page, page + 2, text || ' ' || t1 || ' ' || t2 from t where t2 is not null),
-h as (select p.doc, passage, first, last from p join w on w.doc = p.doc and length(needle) >= 24 and contains(s, needle))
-select * from h where not exists (select 1 from h g where g.doc = h.doc and g.passage = h.passage and g.first >= h.first and g.last <= h.last and (g.first > h.first or g.last < h.last))""")
-def passage_windows(spark, d):
-    """Passages inside one to three consecutive pages, minimal windows only."""
-    text = F.lower(F.regexp_replace(F.trim("text"), " +", " "))
-    pages = _t(spark, d, "conversations").where("text is not null and text <> ''").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), text.alias("text"))
-    after = F.lead("text").over(Window.partitionBy("doc").orderBy("page"))
-    needle = F.when(after.isNull(), F.right("text", F.lit(30))).otherwise(F.concat_ws(" ", F.right("text", F.lit(20)), F.left(after, F.lit(20))))
-    return containment.minimal_windows(pages, pages.select("doc", F.col("page").alias("passage"), needle.alias("needle")))
-
-
 @query("""select o_custkey, count(*) n, count(l.k) predicted, sum(coalesce(l.q, 0)) total from orders left join (select l_orderkey k, sum(l_quantity) q from lineitem where l_shipdate < timestamp '1995-01-01' group by 1) l on l.k = o_orderkey group by 1""")
 def default_for_missing(spark, d):
     """Every source row, with a default where the prediction is missing."""
@@ -343,8 +141,265 @@ def paired_arms(spark, d):
     return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(F.col("y") - F.col("x")), 9).alias("delta"), F.count_if(F.col("y") > F.col("x")).alias("better"))
 
 
-@query("""select l_partkey family, count(distinct l_orderkey % 3) splits from lineitem where l_shipdate >= timestamp '1998-01-01' group by 1 having count(distinct l_orderkey % 3) > 1""")
+@query("""with recursive i as (select l_orderkey k, l_linenumber::bigint id, l_quantity::bigint cost, row_number() over (partition by l_orderkey order by -l_extendedprice, l_linenumber::bigint, l_quantity::bigint) n from lineitem),
+r as (select k, 0::bigint n, 0::bigint used, []::bigint[] ids from (select distinct k from i) union all select r.k, r.n + 1, case when used + cost <= 60 then used + cost else used end, case when used + cost <= 60 then list_append(ids, i.id) else ids end from r join i on i.k = r.k and i.n = r.n + 1)
+select k l_orderkey, ids from r qualify row_number() over (partition by k order by n desc) = 1""")
+def greedy_budget(spark, d):
+    """Greedy budgeted prefix that skips what doesn't fit."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("p"), F.col("l_linenumber").cast("long").alias("id"), F.col("l_quantity").cast("long").alias("cost")))), lambda x: F.struct(x["id"].alias("id"), x["cost"].alias("cost")))
+    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(items.alias("items")).select("l_orderkey", ranking.greedy_prefix(F.col("items"), 60).alias("ids"))
+
+
+@query()
+def shared_components(spark, d):
+    """L3 over all of lineitem with true ids: orders as 2 * id, parts as 2 * id + 1; held by a brute-force test."""
+    return graph.components(_t(spark, d, "lineitem").selectExpr("2 * l_orderkey a", "2 * l_partkey + 1 b"))
+
+
+@query("""with e as (select o_orderkey k, row_number() over (order by o_orderkey) p from orders), o as (select l_orderkey + (l_orderkey % 50 = 7)::int * 1000000 k, l_orderkey + l_linenumber // 100 + (l_orderkey % 30 = 3)::int + 1 p from lineitem),
+f as (select k, min(p) p, count(*) n from o group by 1), j as (select coalesce(e.k, f.k) k, e.p ep, f.p fp, n from e full join f on e.k = f.k)
+select unnest(list_filter([case when n is null then 'missing' end, case when ep is null then 'unexpected' end, case when n > 1 then 'repeated' end, case when ep <> fp then 'moved' end], lambda x: x is not null)) kind, k from j""")
+def key_reconciliation(spark, d):
+    """Missing, unexpected, repeated and moved keys as violation rows."""
+    key = F.col("l_orderkey")
+    e = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") + 1).alias("p"))
+    o = _t(spark, d, "lineitem").select((key + F.when(key % 50 == 7, 1_000_000).otherwise(0)).alias("k"), (key + F.when(key % 30 == 3, 2).otherwise(1)).alias("p"))
+    return integrity.expected_keys(e, o, "k", "p")
+
+
+@query("""select url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) host, lower(replace(url_decode(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '_', ' ')) title from pages""")
+def url_family(spark, d):
+    """Host and decoded path of a URL family."""
+    return _t(spark, d, "pages").select("url", text.url_host(F.col("url")).alias("host"), text.url_title(F.col("url")).alias("title"))
+
+
+@query("""select l_partkey family, count(distinct l_orderkey % 3) splits from lineitem group by 1 having count(distinct l_orderkey % 3) > 1""")
 def split_overlaps(spark, d):
     """Families that more than one split holds, as violation rows."""
-    s = _t(spark, d, "lineitem").where("l_shipdate >= timestamp '1998-01-01'").select(F.col("l_partkey").alias("family"), (F.col("l_orderkey") % 3).alias("split"))
+    s = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("family"), (F.col("l_orderkey") % 3).alias("split"))
     return s.groupBy("family").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+
+
+_TURNS = "turns as (select conv_id doc, turn page, lower(regexp_replace(trim(text, ' '), ' +', ' ', 'g')) text from conversations where text is not null and text <> '')"
+
+
+@query(f"""with {_TURNS}, t as (select *, lead(text) over (partition by doc order by page) t1, lead(text, 2) over (partition by doc order by page) t2 from turns),
+p as (select doc, page passage, case when t1 is null then text else text || ' ' || t1 end needle from t),
+w as (select doc, page first, page last, text s from t union all select doc, page, page + 1, text || ' ' || t1 from t where t1 is not null union all select doc, page, page + 2, text || ' ' || t1 || ' ' || t2 from t where t2 is not null),
+h as (select p.doc, passage, first, last from p join w on w.doc = p.doc and length(needle) >= 24 and contains(s, needle))
+select * from h where not exists (select 1 from h g where g.doc = h.doc and g.passage = h.passage and g.first >= h.first and g.last <= h.last and (g.first > h.first or g.last < h.last))""")
+def passage_windows(spark, d):
+    """Passages (a turn with the next one) inside one to three consecutive pages, minimal windows only."""
+    plain = F.lower(F.regexp_replace(F.trim("text"), " +", " "))
+    pages = _t(spark, d, "conversations").where("text is not null and text <> ''").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), plain.alias("text"))
+    after = F.lead("text").over(Window.partitionBy("doc").orderBy("page"))
+    return containment.minimal_windows(pages, pages.select("doc", F.col("page").alias("passage"), F.concat_ws(" ", "text", after).alias("needle")))
+
+
+_ROWS = """row_ as (select l_returnflag policy, l_orderkey k, l_quantity * 100 original, l_quantity * 100 - floor(l_quantity * l_discount * 50) post_btp, l_quantity * 100 - floor(l_quantity * l_discount * 100) post_qtp, l_quantity * 40 post_ctp,
+l_tax retrieval_seconds, 0.5 page_load_seconds, l_discount qa_seconds, l_discount * 2 encoder_seconds, 0.0 decoder_seconds, l_tax + l_discount total_seconds, l_extendedprice peak_bytes, l_quantity > 0 warmup_excluded, l_returnflag = 'A' profiler_enabled, case when l_returnflag = 'A' then l_extendedprice end flops from lineitem)"""
+
+
+def _rows(spark, d):
+    q = F.col("l_quantity")
+    return _t(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("policy"), F.col("l_orderkey").alias("k"), (q * 100).alias("original"), (q * 100 - F.floor(q * F.col("l_discount") * 50)).alias("post_btp"), (q * 100 - F.floor(q * F.col("l_discount") * 100)).alias("post_qtp"), (q * 40).alias("post_ctp"),
+        F.col("l_tax").alias("retrieval_seconds"), F.lit(0.5).alias("page_load_seconds"), F.col("l_discount").alias("qa_seconds"), (F.col("l_discount") * 2).alias("encoder_seconds"), F.lit(0.0).alias("decoder_seconds"), (F.col("l_tax") + F.col("l_discount")).alias("total_seconds"),
+        F.col("l_extendedprice").alias("peak_bytes"), (q > 0).alias("warmup_excluded"), (F.col("l_returnflag") == "A").alias("profiler_enabled"), F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice")).alias("flops"))
+
+
+_SUMS = ", ".join(f"round(sum({c}), 4) {c}" for c in ("original", *metrics.STAGES, *metrics.TIMES))
+_DROPS = ", ".join(f"round(avg(1 - {s} / original), 9) mean_drop_{s[5:]}, round(1 - sum({s}) / sum(original), 9) weighted_drop_{s[5:]}" for s in metrics.STAGES)
+
+
+@query(f"""with {_ROWS} select policy, count(*) samples, {_SUMS}, {_DROPS}, round(count(*) / sum(encoder_seconds), 6) encoder_rate, 0.0::double decoder_rate, round(sum(original) / sum(total_seconds), 6) token_rate, max(peak_bytes) peak_bytes, bool_and(warmup_excluded) warmup_excluded, bool_or(profiler_enabled) profiler_enabled, round(sum(flops), 2) flops from row_ group by 1""")
+def stage_metrics(spark, d):
+    """Stage sums, mean and token-weighted drop rates, throughput, peak, warm-up and FLOPs by policy."""
+    m = metrics.stage_metrics(_rows(spark, d), ["policy"])
+    nine, four = [c for c in m.columns if "_drop_" in c], ["original", *metrics.STAGES, *metrics.TIMES]
+    return m.select(*[F.round(c, 9).alias(c) if c in nine else F.round(c, 4).alias(c) if c in four else F.round(c, 6).alias(c) if c.endswith("_rate") else F.round(c, 2).alias(c) if c == "flops" else F.col(c) for c in m.columns])
+
+
+@query(f"""with {_ROWS}, m as (select k * 10 key, * from row_), v as (select key, unnest(list_filter([case when not (original > 0 and post_btp > 0 and post_qtp > 0 and post_ctp > 0) then 'counts must be positive' end, case when not (original >= post_btp and post_btp >= post_qtp and post_qtp >= post_ctp) then 'counts must not grow' end,
+case when not (retrieval_seconds > 0 and page_load_seconds > 0 and qa_seconds > 0 and encoder_seconds > 0 and decoder_seconds >= 0 and total_seconds > 0) then 'times must be finite' end], lambda x: x is not null)) violation from m) select violation, count(*) n from v group by 1""")
+def trace_violations(spark, d):
+    """Violations of traces and timings, counted by rule."""
+    rows = _rows(spark, d).withColumn("decoder_seconds", F.lit(1.0))
+    return metrics.trace_violations(rows, "k", positive_times=True).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@query("""select coalesce(s.stage, r.stage) stage, coalesce(calls, 0) calls, round("seconds", 6) "seconds", s.stage is null missing from (select l_linestatus stage, count(*) calls, sum(l_tax) "seconds" from lineitem group by 1) s full join (values ('F'), ('O'), ('allocation')) r(stage) on s.stage = r.stage""")
+def stage_ledger(spark, d):
+    """Costs and calls by stage, required stages without calls too."""
+    c = _t(spark, d, "lineitem").select("l_linestatus", F.col("l_tax").alias("seconds"))
+    return metrics.cost_ledger(c, "l_linestatus", ["seconds"], ["F", "O", "allocation"]).select("stage", "calls", F.round("seconds", 6).alias("seconds"), "missing")
+
+
+_CELLS = "cell as (select case when l_linestatus = 'F' then 'all' else 'pruned' end mode, [1, 2, 4][l_linenumber] pages, avg(l_discount) em, avg(l_tax) f1 from lineitem where l_linenumber <= 3 group by 1, 2)"
+
+
+def _cells(spark, d):
+    mode, pages = F.when(F.col("l_linestatus") == "F", "all").otherwise("pruned"), F.get(F.array(F.lit(1), F.lit(2), F.lit(4)), F.col("l_linenumber") - 1)
+    return _t(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(mode.alias("mode"), pages.alias("pages")).agg(F.avg("l_discount").alias("em"), F.avg("l_tax").alias("f1"))
+
+
+@query(f"with {_CELLS} select a.pages, metric, round(case metric when 'em' then b.em else b.f1 end - case metric when 'em' then a.em else a.f1 end, 9) delta from cell a join cell b on a.pages = b.pages and a.mode = 'all' and b.mode = 'pruned', (values ('em'), ('f1')) m(metric)")
+def matrix_deltas(spark, d):
+    """Deltas of nested summaries of two modes by page count."""
+    c = _cells(spark, d).select("mode", "pages", "em", "f1")
+    out = metrics.deltas(c.where("mode = 'all'").drop("mode"), c.where("mode = 'pruned'").drop("mode"), ["pages"])
+    return out.select("pages", "metric", F.round("delta", 9).alias("delta"))
+
+
+@query(f"with {_CELLS}, w as (select * from (values ('all'), ('pruned'), ('random')) m(mode), (values (1), (2), (4)) p(pages)) select coalesce(c.mode, w.mode) mode, coalesce(c.pages, w.pages) pages, case when c.mode is null then 'missing' else 'unexpected' end violation from (select distinct mode, pages from cell) c full join w on c.mode = w.mode and c.pages = w.pages where c.mode is null or w.mode is null")
+def matrix_violations(spark, d):
+    """Cells of a matrix of runs that are missing or unexpected."""
+    return metrics.matrix_violations(_cells(spark, d), ["all", "pruned", "random"], [1, 2, 4])
+
+
+@query("""select l_returnflag mode, round(sum(l_extendedprice) / sum(l_tax) / 1e12, 15) tflops from lineitem group by 1""")
+def throughputs(spark, d):
+    """FLOPs by time."""
+    r = _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("mode")).agg(F.sum("l_extendedprice").alias("flops"), F.sum("l_tax").alias("total_seconds"))
+    return metrics.throughput(r).select("mode", F.round("tflops", 15).alias("tflops"))
+
+
+@query("""with h as (select l_orderkey question, l_suppkey + (l_partkey % 97 = 0)::int * 100000 document, l_linenumber page from lineitem) select question, document, page, case when s_suppkey is null then 'unknown document' else 'no such page' end violation from h left join supplier on s_suppkey = document where s_suppkey is null or page >= 5 + s_suppkey % 3""")
+def corpus_violations(spark, d):
+    """Retrieved pages that the corpus lacks."""
+    h = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("question"), (F.col("l_suppkey") + F.when(F.col("l_partkey") % 97 == 0, 100_000).otherwise(0)).alias("document"), F.col("l_linenumber").alias("page"))
+    return integrity.corpus_violations(h, _t(spark, d, "supplier").select(F.col("s_suppkey").alias("document"), (5 + F.col("s_suppkey") % 3).alias("page_count")))
+
+
+@query("""with a as (select o_orderkey k, o_orderstatus s from orders where o_orderkey % 41 <> 0), b as (select o_orderkey + (o_orderkey % 43 = 0)::int * 1000000 k, case when o_orderkey % 47 = 0 then 'X' else o_orderstatus end s from orders),
+j as (select coalesce(a.k, b.k) k, a.s x, b.s y, a.k is not null l, b.k is not null r from a full join b on a.k = b.k)
+select k, unnest(list_filter([case when not r then 'left only' end, case when not l then 'right only' end, case when l and r and x <> y then 's differs' end], lambda v: v is not null)) violation from j""")
+def identity_join(spark, d):
+    """A one-to-one join by identity, with equal columns, as violation rows."""
+    o, k = _t(spark, d, "orders"), F.col("o_orderkey")
+    a = o.where("o_orderkey % 41 <> 0").select(k.alias("k"), F.col("o_orderstatus").alias("s"))
+    b = o.select((k + F.when(k % 43 == 0, 1_000_000).otherwise(0)).alias("k"), F.when(k % 47 == 0, "X").otherwise(F.col("o_orderstatus")).alias("s"))
+    return integrity.identity_join(a, b, "k", ["s"])
+
+
+@query("""select o_orderkey k, case when o_orderkey % 5 = 0 then 'eligible' else o_orderstatus end s, o_custkey c from orders""")
+def merged_eligibility(spark, d):
+    """Results overridden by eligibility where there is any."""
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c"))
+    return integrity.overridden(o, o.where("k % 5 = 0").select("k", F.lit("eligible").alias("s")), "k", ["s"])
+
+
+@query("""select l_orderkey k, l_linenumber i, min(l_partkey) id, min(l_quantity) f from lineitem group by 1, 2""")
+def zipped_features(spark, d):
+    """Pages and features side by side, equal identities required."""
+    g = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).agg(F.min("l_partkey").alias("id"), F.min("l_quantity").alias("f"))
+    return integrity.zipped(g.select("k", "i", "id"), g.select("k", "i", "id", "f"), "k", "i", "id")
+
+
+@query("""with t as (select vec_id, vec_id // 5 page, vec_id % 5 + (vec_id % 35 = 4)::int pos, case when vec_id % 5 = 0 then -1 when vec_id % 55 = 2 then 0 else vec_id % 5 end raster, len(embedding) n from embeddings), g as (select *, pos - lag(pos) over w gap, max(raster) over (partition by page order by pos rows between unbounded preceding and 1 preceding) before from t window w as (partition by page order by pos))
+select page, unnest(list_filter([case when bool_or(gap <> 1) then 'positions have gaps' end, case when bool_or(raster >= 0 and before >= 0 and raster <= before) then 'raster does not rise' end, case when bool_or(n <> 64) then 'wrong dimensions' end], lambda x: x is not null)) violation from g group by 1""")
+def index_violations(spark, d):
+    """Gaps, rasters that don't rise and wrong vectors of an index."""
+    v = F.col("vec_id")
+    t = _t(spark, d, "embeddings").select(F.lit("d").alias("document"), F.floor(v / 5).alias("page"), (v % 5 + F.when(v % 35 == 4, 1).otherwise(0)).alias("position"), F.when(v % 5 == 0, -1).when(v % 55 == 2, 0).otherwise(v % 5).alias("raster"), "embedding")
+    return integrity.index_violations(t, 64).select("page", "violation")
+
+
+@query("""with a as (select l_suppkey k, avg(l_discount) v from lineitem group by 1), b as (select l_suppkey k, avg(l_discount) + (l_suppkey % 9 = 0)::int * 0.001 v from lineitem group by 1) select k, round(abs(a.v - b.v), 9) delta, abs(a.v - b.v) <= 0.0005 ok from a join b using (k)""")
+def reproduction(spark, d):
+    """Whether two runs agree within a tolerance."""
+    a = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.avg("l_discount").alias("v"))
+    b = a.withColumn("v", F.col("v") + F.when(F.col("k") % 9 == 0, 0.001).otherwise(0.0))
+    return integrity.reproduced(a, b, ["k"], "v", 0.0005).select("k", F.round("delta", 9).alias("delta"), "ok")
+
+
+@query("""with s as (select l_suppkey k, 'mean' metric, avg(l_discount) v from lineitem group by 1 union all select l_suppkey, 'most', max(l_discount) from lineitem group by 1), t as (select k, metric, v + (k % 11 = 0 and metric = 'mean')::int * 0.01 v from s where k % 13 <> 0 or metric <> 'most')
+select k, metric, case when t.v is null then 'not stated' else 'differs' end violation from s left join t using (k, metric) where t.v is null or abs(s.v - t.v) > 0.001""")
+def run_violations(spark, d):
+    """Stated summaries against recomputed ones."""
+    r = metrics.melted(_t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.avg("l_discount").alias("mean"), F.max("l_discount").alias("most")), ["k"])
+    s = r.where("k % 13 <> 0 or metric <> 'most'").withColumn("value", F.col("value") + F.when((F.col("k") % 11 == 0) & (F.col("metric") == "mean"), 0.01).otherwise(0.0))
+    return integrity.run_violations(s, r, ["k"], 0.001).select("k", "metric", "violation")
+
+
+@query("""select s_suppkey shard, unnest(list_filter([case when s_suppkey % 7 = 0 then 'not run' end, case when s_suppkey % 7 <> 0 and s_suppkey % 5 = 0 then 'other plan' end, case when s_suppkey % 7 <> 0 and s_suppkey % 3 = 0 then 'other hardware' end], lambda x: x is not null)) violation from supplier""")
+def provenance_violations(spark, d):
+    """Shards that don't belong to the plan."""
+    s = F.col("s_suppkey")
+    plan = _t(spark, d, "supplier").select(s.alias("shard"), F.lit("p").alias("plan_sha256"), s.cast("string").alias("ids_sha256"), F.lit("a100").alias("hardware"))
+    run = _t(spark, d, "supplier").where("s_suppkey % 7 <> 0").select(s.alias("shard"), F.when(s % 5 == 0, "q").otherwise("p").alias("plan_sha256"), s.cast("string").alias("ids_sha256"), F.when(s % 3 == 0, "h200").otherwise("a100").alias("hardware"))
+    return integrity.provenance_violations(run, plan)
+
+
+@query()
+def bank_violations(spark, d):
+    """P5: masks of banks that are repeated, incomplete or off the budget; checked by tests."""
+    q = _t(spark, d, "part").select((F.col("p_partkey") % 30).alias("question"), (F.floor(F.col("p_partkey") / 30) % 5).alias("region")).distinct()
+    costs = q.withColumn("cost", F.col("region") + 1)
+    bank = q.withColumn("mask", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("kept", selection.hash_bit("b", F.col("question"), F.col("mask"), F.col("region")) == 1)
+    return integrity.bank_violations(bank, costs, q.select("question").distinct().withColumn("budget", F.lit(7)))
+
+
+@query("""with r as (select l_orderkey k, l_linenumber - 1 + (l_orderkey % 13 = 0)::int rank, max(l_extendedprice) s from lineitem group by 1, 2), n as (select *, row_number() over w - 1 n, lag(s) over w p from r window w as (partition by k order by rank))
+select k, unnest(list_filter([case when bool_or(rank <> n) then 'ranks are not 0, 1, ...' end, case when bool_or(s > p) then 'scores rise' end], lambda x: x is not null)) violation from n group by 1""")
+def rank_violations(spark, d):
+    """Rankings whose ranks or scores are out of order. Lines of one order with one number, which have no order, are left out first."""
+    one = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).agg(F.max("l_extendedprice").alias("s"))
+    return integrity.rank_violations(one.select("k", (F.col("i") - 1 + F.when(F.col("k") % 13 == 0, 1).otherwise(0)).alias("rank"), "s"), ["k"], "rank", "s")
+
+
+@query("""with p as (select l_orderkey q, l_linenumber i, l_returnflag f from lineitem), n as (select q, f, count(*) n from p group by 1, 2), g as (select q, count(*) g from n group by 1) select q, f, round(sum(1.0 / (g * n)), 9) weight from p join n using (q, f) join g using (q) group by 1, 2""")
+def pair_weights(spark, d):
+    """Weights by which each question's families weigh alike."""
+    p = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("i"), F.col("l_returnflag").alias("f"))
+    return integrity.pair_weights(p, "q", "f").groupBy("q", "f").agg(F.round(F.sum("weight"), 9).alias("weight"))
+
+
+@query("""select stratum, count(*) n, list_sort(list(s_suppkey)) keys from (select s_suppkey, unnest(list_filter(['all', case when s_acctbal > 5000 then 'rich' end, case when s_suppkey % 2 = 0 and s_acctbal > 0 then 'even' end], lambda x: x is not null)) stratum from supplier) group by 1""")
+def opportunity_strata(spark, d):
+    """Keys by strata that may overlap."""
+    return integrity.opportunities(_t(spark, d, "supplier"), "s_suppkey", {"all": F.lit(True), "rich": F.col("s_acctbal") > 5000, "even": (F.col("s_suppkey") % 2 == 0) & (F.col("s_acctbal") > 0)})
+
+
+@query("""select 'n_regionkey' "column", 5::bigint "values", false ok union all select 'kind', 1, true""")
+def report_identity(spark, d):
+    """Whether parts of a report carry one identity."""
+    n = _t(spark, d, "nation").withColumn("kind", F.lit("nation"))
+    return integrity.same_identity([n.where("n_nationkey % 2 = 0"), n.where("n_nationkey % 2 = 1")], ["n_regionkey", "kind"])
+
+
+def _banks(spark, d):
+    """Masks of eight regions for each supplier's lines, with the line's discount and a share of two regions as the outcome."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.conv(F.substring(F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", i), 256), 1, 1), 16, 10).cast("int") % 2 == 1))
+    b = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("group"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), bits.alias("mask"), "l_discount")
+    return b.withColumn("y", F.col("l_discount") + F.get("mask", 2).cast("int") - 0.5 * F.get("mask", 5).cast("int")).drop("l_discount")
+
+
+@query()
+def lasso_surrogates(spark, d):
+    """Lasso surrogates of each group's masks; checked by tests."""
+    return surrogates.fitted(_banks(spark, d))
+
+
+@query()
+def matching_pursuits(spark, d):
+    """The regions that a pursuit takes first; checked by tests."""
+    return surrogates.pursued(_banks(spark, d))
+
+
+@query()
+def ridge_folds(spark, d):
+    """Errors of ridges on rows of other folds; checked by tests."""
+    return inference.rmse(surrogates.cross_fitted(_banks(spark, d)), ["group"], "predicted", "y")
+
+
+@query()
+def refit_stability(spark, d):
+    """How alike refits are; checked by tests."""
+    return surrogates.stability(_banks(spark, d))
+
+
+@query()
+def sign_permutations(spark, d):
+    """K6: permutation nulls within matched groups; checked by tests."""
+    return surrogates.permuted(_t(spark, d, "lineitem"), "l_suppkey", "l_discount", "l_tax")
