@@ -78,6 +78,18 @@ def small_enough(df: DataFrame) -> bool:
     return df.count() * sum(8 + 8 for _ in df.columns) <= BROADCAST_BYTES
 
 
+def without(docs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
+    """``docs`` without the rows whose id is among ``ids`` (one column); rows with a null id stay.
+
+    The ids are written once, and broadcast if they are few enough; else both
+    sides are shuffled by id. Column names may clash.
+    """
+    gone = stage(ids.toDF("_gone").where("_gone is not null").distinct(), "gone")
+    gone = F.broadcast(gone) if small_enough(gone) else gone
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    return whole.join(gone, whole["doc"][id_column] == gone["_gone"], "left_anti").select("doc.*")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in ``edges``; component is the least id reachable.
 

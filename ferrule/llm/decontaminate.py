@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._common import stage
+from ferrule.llm._common import stage, without
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Blocks of the fingerprint: one more than half the radius, so one differs in one bit at most.
@@ -119,5 +119,4 @@ def _matches(rows: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", **columns) -> DataFrame:
     """``docs`` without the documents that hold an item; rows with null ids stay."""
-    hit = contaminated(docs, benchmark, similarity, id_column=id_column, **columns).select(F.col(id_column).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_column] == hit["_hit"], "left_anti")
+    return without(docs, contaminated(docs, benchmark, similarity, id_column=id_column, **columns).select(id_column), id_column)

@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from ferrule.llm import bpe, decontaminate, embedding_dedup, html_text, licenses, ngram_join, quality, substring_dedup, toxicity, warc
@@ -83,6 +85,26 @@ def test_near_vectors(spark):
     assert all(out[i].n_links == 0 and out[i].kept for i in (90, 91, 92, 93, 94))
 
 
+def test_vectors_of_any_id_repeats_and_clashing_columns(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(-1, v, 9, "x"), (5, v, 9, "x"), (7, [1.0, 2.0, 3.01], 9, "x"), (2**62, [2.0, 4.0, 6.0], 9, "x"), (5, v, 9, "y"), (8, [-1.0, 0.0, 0.0], 9, "z"), (8, [0.0, -1.0, 0.0], 9, "z"), (None, v, 9, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep long, id string")
+    out = sorted((tuple(r) for r in embedding_dedup.near_duplicates(df).collect() if r.vec_id is not None))
+    assert out == [(-1, 3, -1, True), (5, 3, -1, False), (5, 3, -1, False), (7, 3, -1, False), (8, 0, 8, True), (8, 0, 8, True), (2**62, 3, -1, False)]
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_buckets_in_tiles_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BUCKET_TILE", 8)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((1, 32)) + 0.1 * rng.standard_normal((60, 32)), rng.standard_normal((60, 32))])
+    out = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert [out[i].n_links for i in range(120)] == link.sum(1).tolist()
+
+
 @pytest.mark.parametrize("n", [1_000, 262_145, 1_000_000, 4_300_000, 1_000_000_000])
 def test_tables_hold_the_miss(n):
     width, tables, codes = embedding_dedup.plan(n, 64, 0.9)
@@ -204,22 +226,40 @@ def test_passage_held_twice(spark):
     assert len({r.doc_id: r.text for r in substring_dedup.cut_repeats(docs_of(spark, texts)).collect()}[2].split()) == 97
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 7, 40])
-def test_links_by_range(spark, ranges):
+@pytest.mark.parametrize("per_block", [1, 3, 100])
+def test_links_of_seeds(per_block):
+    """Every place of a seed meets the seed's first holder and an earlier one nearest to it, however documents are dealt to blocks by id."""
     rng = random.Random(12)
-    rows = sorted({(h, rng.randrange(6), rng.randrange(4)) for h in (1, 1, 1, 2, 3, 3) for _ in range(12)})
-    expected = set()
-    for h, i, p in rows:
-        less = [(j, q) for g, j, q in rows if g == h and j < i]
-        expected |= {(i, j, p, q) for j, q in ({min(less), max(less)} if less else ())}
-    spark.conf.set("spark.sql.shuffle.partitions", ranges)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        out = {tuple(r) for r in substring_dedup._matches(spark.createDataFrame(rows, "h long, id long, pos int")).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "3")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert out == expected
+    texts = [" ".join(words(rng, 40, 6)) for _ in range(9)]
+    parts, found, blocks = 4, set(), []
+    for a in range(0, len(texts), per_block):
+        own = [t.encode() for t in texts[a : a + per_block]]
+        row = {"block": 50 + a, "ids": list(range(a, a + len(own))), "keys": [0] * len(own), "sizes": list(map(len, own)), "text": substring_dedup.zstandard.ZstdCompressor().compress(b"".join(own))}
+        blocks.append(pa.Table.from_pylist([row]))
+    batches = [b for t in blocks for b in substring_dedup._all_seeds(parts)(t.to_batches())]
+    lists = pa.Table.from_batches(batches)
+    by = lambda t, c: {v: t.filter(pc.equal(t.column(c), v)) for v in set(t.column(c).to_pylist())}
+    bits = pa.concat_tables([substring_dedup._in_two(t) for t in by(lists, "part").values()])
+    firsts = pa.concat_tables([substring_dedup._first_holders(parts)(t, by(bits, "block")[50 + per_block * k]) for k, t in enumerate(blocks)])
+    answers = pa.concat_tables([substring_dedup._earlier(t) for t in by(firsts, "part").values()]) if len(firsts) else firsts
+    for k, t in enumerate(blocks):
+        mine = by(answers, "block").get(50 + per_block * k)
+        block = substring_dedup.Block(t.to_pylist()[0])
+        (doc, pos, s_block, s_doc, s_id, s_pos), _ = substring_dedup._matches(block, mine.column("list").to_pylist() if mine else [])
+        assert (s_block + s_doc == s_id + 50).all()
+        found |= set(zip(block.ids[doc].tolist(), pos.tolist(), s_id.tolist(), s_pos.tolist(), strict=True))
+    places = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for p in range(len(w) - substring_dedup.K + 1):
+            places.setdefault(tuple(w[p : p + substring_dedup.K]), {}).setdefault(i, []).append(p)
+    for at in places.values():
+        for i in sorted(at)[1:]:
+            less = [j for j in at if j < i]
+            for p in at[i]:
+                assert (i, p, min(less), at[min(less)][0]) in found
+                assert any((i, p, max(less), q) in found for q in at[max(less)])
+    assert all(j < i for i, _, j, _ in found)
 
 
 def test_quality_and_toxicity(spark):
