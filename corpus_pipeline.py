@@ -8,24 +8,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ferrule.llm import bpe, decontaminate, ngram_join, quality, substring_dedup
-from ferrule.llm._common import new_path, read_table
+from ferrule.llm._common import new_path, read_table, without
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; rows with null ids stay, as they can't be told apart."""
     scored = quality.score(docs, read_table(spark, sf_dir, "labels"))
-    bad = scored.where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    return without(docs, scored.where("predicted = 0").select("doc_id"), "doc_id")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
     groups = ngram_join.jaccard_groups(docs)
-    later = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, docs["doc_id"] == later["_later"], "left_anti")
+    return without(docs, groups.where("doc_id <> component_id").select("doc_id"), "doc_id")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
