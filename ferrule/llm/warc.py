@@ -3,20 +3,26 @@
 Writing: payload digests are grouped (partial aggregation first, so one payload
 in a third of the pages costs a row a task), records that repeat a payload
 become revisits of the smallest page id, and every task sorts its records by
-URL key and time before it appends them to its archive. An archive is thus a
-locally sorted run. Records are written by Spark's own text writer, with the
-blank lines that end a record as its line end, so any store Spark can write to
-will do. Archives are gzipped as a whole; offsets of records count from the
-start of the unpacked archive.
-
-Reading: archives are parsed by Content-Length, and the runs' entries are
+URL key and time before it appends them to its archives. An archive is thus a
+locally sorted run. Each record is a gzip member of its own, so that it can be
+read from its offset alone. Members are written by Spark's own text writer, so
+any store Spark can write to will do: the last byte of a member, the top byte of
+its length, is 0 for a record under 16 MB, and is what the writer puts at a
+line's end; longer records take several members. Archives are cut by a number
+of records that depends on the records' size class, and so by bytes.
+
+Reading: archives are parsed member by member, and the runs' entries are
 dealt out by ranges of (URL key, time, page id). Each range merges its runs
 with a loser tree, which gives the capture history in global order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+import gzip
+import hashlib
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,11 @@ from ferrule.llm._common import new_path, stage
 
 #: Fixed values of the formats: the base-32 alphabet, and what ends a WARC record.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
+#: Payloads up to so many bytes go to archives of so many records: at most about 256 MB each, or one record.
+CLASSES = ((1 << 16, 4_000), (1 << 22, 64), (1 << 62, 1))
+#: Bytes of a record in one gzip member; capture times without a column repeat after so many seconds, so that years have four digits.
+MEMBER, SECONDS = (1 << 24) - 1, 250_000_000_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -61,9 +71,12 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: s
     at least ``min_payload`` bytes the smallest id is the response (a null id
     comes last), others are revisits without payload. Rows that repeat an id
     with one payload are one response each if the id is the smallest. Without a
-    time column, the capture time counts seconds from 2000 by id.
+    time column, the capture time counts seconds from 2000 by id, modulo SECONDS,
+    so any long is an id. Long payloads are whole. An empty table gives an empty
+    folder; other columns don't matter.
     """
-    when = F.col(time_column).cast("timestamp") if time_column else F.timestamp_seconds(F.lit(946684800) + F.coalesce(F.col(id_column), F.lit(0)).cast("long"))
+    seconds = F.pmod(F.coalesce(F.col(id_column), F.lit(0)).cast("long"), F.lit(SECONDS))
+    when = F.col(time_column).cast("timestamp") if time_column else F.timestamp_seconds(F.lit(946684800) + seconds)
     rows = pages.select(
         F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(url_column), F.lit("")).alias("url"),
         F.coalesce(F.col(payload_column), F.lit("")).alias("payload"), when.alias("at"),
@@ -87,23 +100,50 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: s
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">"))),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
-    record = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), body)
-    records = joined.select(url_key(F.col("url")).alias("key"), "at", "id", record.alias("value"))
-    records.sortWithinPartitions("key", "at", "id").select("value").write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 20_000).option("compression", "gzip").text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
-    """(header, offset of the payload, its length) of each record of an archive."""
+    record = F.encode(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), body), "utf-8")
+    sorted_by = ["key", "at", "id"]
+    sizes = rows.agg(*[F.count_if(F.col("size") > most).alias(str(k)) for k, (most, _) in enumerate(CLASSES)]).first()
+    low = -1
+    for k, (most, count) in enumerate(CLASSES):
+        if k == 0 or sizes[str(k - 1)]:
+            mine = joined.where((F.col("size") > low) & (F.col("size") <= most)).select(url_key(F.col("url")).alias("key"), "at", "id", record.alias("value"))
+            pressed = mine.sortWithinPartitions(*sorted_by).select("value").mapInArrow(_members, "value binary")
+            pressed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", count).mode("append").text(path)
+        low = most
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records as gzip members without their last byte, which is 0."""
+    for batch in batches:
+        out = []
+        for value in batch.column(0):
+            data = value.as_py() + RECORD_END
+            parts = [gzip.compress(data[a : a + MEMBER], 6, mtime=0) for a in range(0, len(data), MEMBER)]
+            out.append(b"".join(parts)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+
+def records(data: memoryview) -> Iterator[tuple[dict[str, str], int, bytes]]:
+    """(header, offset of the record's first member, payload) of each record of an archive, one in memory at a time."""
     at, end = 0, len(data)
     while at < end:
-        stop = data.index(b"\r\n\r\n", at)
-        head = data[at:stop].decode("utf-8", "replace").split("\r\n")
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head[1:])
-        size = int(fields["Content-Length"])
-        yield fields, stop + 4, size
-        at = stop + 4 + size + 4
+        start, record = at, b""
+        while True:
+            member = zlib.decompressobj(31)
+            while not member.eof:
+                if at >= end:
+                    raise ValueError(f"broken gzip member at byte {start}")
+                record += member.decompress(data[at : at + (1 << 14)])
+                at = min(end, at + (1 << 14))
+            at -= len(member.unused_data)
+            stop = record.find(b"\r\n\r\n")
+            if not record.startswith(b"WARC/") or (stop < 0 and at >= end):
+                raise ValueError(f"no WARC record at byte {start}")
+            fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in record[:stop].decode("utf-8", "replace").split("\r\n")[1:])
+            whole = stop + 4 + int(fields["Content-Length"])
+            if stop >= 0 and len(record) >= whole + 4:
+                break
+        yield fields, start, record[stop + 4 : whole]
 
 
 def _page(urn: str) -> int | None:
@@ -118,21 +158,16 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """An entry per record of the archives under ``path``, in each run's own order; stored digests are recomputed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-        import gzip
-        import hashlib
-
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = gzip.decompress(data.as_buffer())
                 out = []
-                for head, start, size in parse(raw):
+                for head, start, payload in records(memoryview(data.as_buffer())):
                     stored = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     kind = head["WARC-Type"]
-                    if kind == "response" and base64.b32encode(hashlib.sha1(raw[start : start + size]).digest()).decode() != stored:
+                    if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != stored:
                         raise ValueError(f"damaged record at byte {start} of {name}")
                     out.append((name, start, None, head["WARC-Date"], _page(head["WARC-Record-ID"]), head["WARC-Target-URI"], kind, stored,
-                                int(head["WARC-Payload-Length"]), _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None, size))
+                                int(head["WARC-Payload-Length"]), _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None, len(payload)))
                 if out:
                     kinds = [pa.string() if k == "string" else pa.int64() for k in (f.split()[1] for f in _ENTRY.split(", "))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _ENTRY.split(", ")])
@@ -142,19 +177,16 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 class LoserTree:
-    """Merges sorted runs: the winner's path is replayed against the losers kept at the inner nodes."""
+    """Merges sorted runs: the winner's path is replayed against the losers kept at the inner nodes. Only the runs' heads are held."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.at = runs, [0] * len(runs)
+    def __init__(self, runs: list[Iterable[tuple]]):
+        self.runs = [iter(r) for r in runs]
         self.k = max(1, len(runs))
+        self.head = [(0, x, leaf) if (x := next(r, None)) is not None else (1, (), leaf) for leaf, r in enumerate(self.runs)]
         self.loser = [-1] * self.k
         for leaf in range(len(runs)):
             self._enter(leaf)
 
-    def _key(self, leaf: int):
-        run = self.runs[leaf]
-        return (0, run[self.at[leaf]], leaf) if self.at[leaf] < len(run) else (1, (), leaf)
-
     def _enter(self, leaf: int) -> None:
         node, winner = (leaf + self.k) // 2, leaf
         while node > 0:
@@ -162,7 +194,7 @@ class LoserTree:
             if other == -1:
                 self.loser[node] = winner
                 return
-            if self._key(other) < self._key(winner):
+            if self.head[other] < self.head[winner]:
                 self.loser[node], winner = winner, other
             node //= 2
         self.loser[0] = winner
@@ -170,13 +202,15 @@ class LoserTree:
     def __iter__(self) -> Iterator[tuple]:
         while self.runs:
             winner = self.loser[0]
-            if self.at[winner] >= len(self.runs[winner]):
+            over, item, _ = self.head[winner]
+            if over:
                 return
-            yield self.runs[winner][self.at[winner]]
-            self.at[winner] += 1
+            yield item
+            item = next(self.runs[winner], None)
+            self.head[winner] = (0, item, winner) if item is not None else (1, (), winner)
             node = (winner + self.k) // 2
             while node > 0:
-                if self._key(self.loser[node]) < self._key(winner):
+                if self.head[self.loser[node]] < self.head[winner]:
                     self.loser[node], winner = winner, self.loser[node]
                 node //= 2
             self.loser[0] = winner
@@ -186,7 +220,8 @@ def merge_runs(entries: DataFrame) -> DataFrame:
     """``entries`` in the global order of (URL key, time, page id), partition after partition.
 
     Ranges are cut on all three, so the captures of one host, or of one URL, are
-    split among tasks. A range holds index entries only, never payloads.
+    split among tasks. A range holds index entries only, never payloads, in
+    columns; keys are made for a few entries of each run at a time.
     """
     names = entries.columns
     order = ["url_key", "captured", "page_id", "run", "file_offset"]
@@ -197,12 +232,17 @@ def merge_runs(entries: DataFrame) -> DataFrame:
         if not table:
             return
         table = pa.Table.from_batches(table).combine_chunks()
-        keys = [[(v is not None, v) if v is not None else (False, 0) for v in table.column(c).to_pylist()] for c in order]
-        rows = list(zip(*keys, range(table.num_rows), strict=True))
         which = table.column("run").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(rows)]
-        runs = [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-        merged = np.fromiter((x[-1] for x in LoserTree(runs)), np.int64, len(rows))
+        cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), table.num_rows]
+
+        def entries_of(first: int, last: int) -> Iterator[tuple]:
+            for at in range(first, last, 1024):
+                piece = table.slice(at, min(1024, last - at))
+                columns = ([(v is not None, v) if v is not None else (False, 0) for v in piece.column(c).to_pylist()] for c in order)
+                yield from zip(*columns, range(at, at + piece.num_rows), strict=True)
+
+        runs = [entries_of(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+        merged = np.fromiter((x[-1] for x in LoserTree(runs)), np.int64, table.num_rows)
         yield from table.take(pa.array(merged)).to_batches(max_chunksize=10_000)
 
     ranged = entries.repartitionByRange("url_key", "captured", "page_id")
