@@ -6,7 +6,8 @@ the longest common subsequence of their lines, and each page is differenced
 against the neighbour with the longer common path. A page that has all lines of
 this one that could be text is a copy, which would delete everything: the
 neighbours are the nearest pages on either side that are no copies. Shared lines
-are deleted, except inside an article or main element. Elements that are menus, headers,
+are deleted, except inside an article or main element, whose lines may recur and
+are text all the same. Elements that are menus, headers,
 footers, sidebars, notices, adverts, forms or comments by name are dropped as
 well; where a page has an article or main element with words, only those count.
 
@@ -33,20 +34,41 @@ from ferrule.llm._common import stage
 #: HTML elements by what they do here.
 DROPPED = frozenset("nav header footer aside form script style noscript template svg iframe button select textarea dialog title head".split())
 MAIN = frozenset(("article", "main"))
-NESTED = frozenset("div section article main nav header footer aside form ul ol table figure dialog noscript template svg select button head body".split())
-BLOCKS = NESTED | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd dl tr td th thead tbody pre blockquote figcaption hr br address caption option html title".split())
+NESTED = frozenset("div section article main nav header footer aside form ul ol table figure dialog noscript template svg iframe select button head body details fieldset".split())
+BLOCKS = NESTED | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd dl tr td th thead tbody pre blockquote figcaption hr br address caption option html title summary legend".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
-_NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|banner|cookies?|consent|notices?|promo\w*|sidebar|side-bar|menu|nav\w*|footer|header|masthead|breadcrumbs?|comments?|disqus|share|social|related|newsletter|subscribe|popup|modal)(?=$|[\s_-])", re.I)
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Which starts of elements end an open one that has no end tag.
+ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
+#: Names (class, id or role) of what isn't text: words that stand alone or begin a name, words that are a whole name, and their usual compounds.
+_COMMENTS = r"comments?(?:[-_][\w-]*)?|disqus[\w-]*|repl(?:y|ies)|respond"
+_NAMED = re.compile(
+    rf"(?:^|\s)(?:(?:ads?|advert\w*|sponsor\w*|cookies?|consent|sidebar|newsletter|breadcrumbs?|popup|subscribe|masthead|promo)(?:[-_][\w-]*)?|{_COMMENTS}"
+    r"|(?:notices?|banner|menu|nav|navbar|navigation|footer|header|share|social|related|modal|contentinfo|complementary|search|side-bar)"
+    r"|(?:site|page|global|main|top|bottom|primary|secondary|user)[-_](?:header|footer|nav|navigation|menu|banner|notice|bar)|nav[-_](?:bar|menu|links?|list)|menu[-_](?:bar|list|items?)"
+    r"|related[-_](?:posts?|articles?|links?|stories|content)|(?:share|social)[-_](?:bar|buttons?|links?|icons?|media|share)|(?:cookie|privacy|gdpr)[-_]\w+[\w-]*)(?=$|\s)",
+    re.I,
+)
+_COMMENT = re.compile(rf"(?:^|\s)(?:{_COMMENTS})(?=$|\s)", re.I)
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PLAIN, INSIDE, OUT = 0, 1, 2
 
 
+def _matches(pattern: re.Pattern, attributes: str) -> bool:
+    return bool(attributes) and any(pattern.search(v) for a in _ATTRIBUTE.findall(attributes) for v in a if v)
+
+
 def lines(page: str) -> tuple[list[str], list[int]]:
-    """Lines of a page in order, and their zones: PLAIN, INSIDE an article or main element, or OUT."""
-    texts, zones, stack = [], [], []
+    """Lines of a page in order, and their zones: PLAIN, INSIDE an article or main element, or OUT.
+
+    Elements of every kind are OUT by their names, inline ones too, whose text
+    goes without a break; an article or main element is OUT only as a comment.
+    """
+    texts, zones = [], []
+    stack: list[tuple[str, int, int]] = []  # name, zone and muting before it
     pieces: list[str] = []
-    zone = PLAIN
+    zone, muted = PLAIN, 0
 
     def close() -> None:
         nonlocal pieces
@@ -61,30 +83,42 @@ def lines(page: str) -> tuple[list[str], list[int]]:
     while at < size:
         m = _MARKUP.search(page, at)
         if m is None:
-            pieces.append(page[at:])
+            if not muted:
+                pieces.append(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not muted:
             pieces.append(page[at : m.start()])
         at = m.end()
         name = m[2].lower() if m[2] else ""
-        if name not in BLOCKS and name not in RAW:
-            continue
-        close()
+        block = name in BLOCKS or name in RAW
+        if block:
+            close()
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    zone = stack[k][1]
+                    _, zone, muted = stack[k]
                     del stack[k:]
                     break
+                if not block and stack[k][0] in BLOCKS:
+                    break
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else size
-        elif name in NESTED and not m[3].endswith("/"):
-            stack.append((name, zone))
-            if zone != OUT:
-                named = any(_NAMED.search(v) for a in _ATTRIBUTE.findall(m[3]) for v in a if v) if m[3] else False
-                zone = OUT if name in DROPPED or (named and name not in MAIN and name != "body") else INSIDE if name in MAIN else zone
+            continue
+        if not name or name in VOID or m[3].endswith("/"):
+            continue
+        if block and stack and name in ENDED_BY.get(stack[-1][0], ()):
+            _, zone, muted = stack.pop()
+        named = zone != OUT and not muted and (_matches(_COMMENT if name in MAIN else _NAMED, m[3]) if name not in ("body", "html") else False)
+        if block:
+            if name in NESTED or named:
+                stack.append((name, zone, muted))
+                if zone != OUT:
+                    zone = OUT if name in DROPPED or named else INSIDE if name in MAIN else zone
+        elif named or muted:
+            stack.append((name, zone, muted))
+            muted += 1
     close()
     return texts, zones
 
@@ -282,9 +316,11 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row of ``pages``.
 
-    Null and empty pages have empty texts. A null URL is of the empty host.
-    Rows that repeat an id are treated each; repeated pages are copies of each
-    other, which are passed over. Only line hashes are sorted by URL; pages are
+    Null and empty pages have empty texts, an empty table gives an empty one. A
+    null URL is of the empty host. Rows that repeat an id are treated each;
+    repeated pages are copies of each other, which are passed over. Of two
+    neighbours that are equally near that with the greater hash decides. A long
+    page is read whole; other columns don't matter. Only line hashes are sorted by URL; pages are
     parsed once more for their text, which moves once, packed by zstd, to meet
     the places of its shared lines.
     """
