@@ -9,6 +9,7 @@ only where the words that the text has of it can't reach the coverage.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -18,16 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Notices of well-known licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "All-Rights-Reserved": "All rights reserved.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
+from ferrule.llm.license_texts import templates as known
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -74,56 +67,72 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def matches(text: list[str], template: list[str], coverage: float) -> tuple[float, int, int] | None:
-    """(coverage, start, end) of the best stretch; stretches start where a rare word of the template stands in the text."""
+    """(coverage, start, end) of the best stretch, the first of equals.
+
+    Of the template's words so many may be missing; of one more than those,
+    taken by how rarely they stand in the text, one is there at its place. Each
+    of their places is tried in line, and with half the template's length to spare
+    on either side, unless an earlier try with room held that one whole.
+    """
     n = len(template)
     places: dict[str, list[int]] = {w: [] for w in template}
     for i, w in enumerate(text):
         if w in places:
             places[w].append(i)
-    if sum(1 for w in template if places[w]) < coverage * n:
+    most = math.floor(n - coverage * n + 1e-9)
+    if sum(1 for w in template if not places[w]) > most:
         return None
     order = sorted(range(n), key=lambda k: (len(places[template[k]]), k))
-    allowed = n - int(-(-coverage * n // 1))  # so many template words may be missing: one of the next ones is there
-    best, seen = None, set()
-    for k in order[: allowed + 1]:
-        for i in places[template[k]]:
-            low = max(0, i - k - n // 2)
-            if (low // max(1, n // 2)) in seen:
-                continue
-            seen.add(low // max(1, n // 2))
-            high = min(len(text), i + (n - k) + n // 2)
+    spare = max(1, n // 2)
+    best, tried = None, -1
+    for start in sorted({i - k for k in order[: most + 1] for i in places[template[k]]}):
+        spans = [(max(0, start), min(len(text), start + n))]
+        if start > tried:
+            tried = start + spare // 2
+            spans.append((max(0, start - spare), min(len(text), tried + n + spare)))
+        for low, high in spans:
             found = patience(text[low:high], template)
             share = len(found) / n
             if found and share >= coverage and (best is None or share > best[0]):
                 best = (share, low + found[0][0], low + found[-1][0] + 1)
+        if best is not None and best[0] == 1:
+            break
     return best
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, license, coverage, start_word, end_word): the best stretch of each template that a text covers far enough.
+def scan(docs: DataFrame, templates: list[tuple[str, str, str, float | None]] | None = None, coverage: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, license, kind, coverage, start_word, end_word): for each license and kind the best stretch of a template that a text covers far enough.
 
-    Null and empty texts have none; rows that repeat an id, and null ids, are
-    scanned each. Words are runs of letters and digits in lower case.
+    Kinds are whole texts, notices, names and stated identifiers; the last two
+    need every word. Null and empty texts have none; rows that repeat an id, and
+    null ids, are scanned each; of equally good stretches the first counts. A
+    long text is scanned whole; an empty table gives an empty one; other columns
+    don't matter. Words are runs of letters and digits in lower case.
     """
-    prepared = {name: words_of(t) for name, t in templates.items() if words_of(t)}
+    prepared = []
+    for name, kind, text, least in templates if templates is not None else known():
+        words = words_of(text)
+        if words:
+            counts = Counter(words)
+            least = coverage if least is None else least
+            prepared.append((name, kind, words, least, set(counts), counts, math.floor(len(words) - least * len(words) + 1e-9)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                low = (text or "").lower()
-                # A template counts if enough of its words occur in the text at all, as parts of words even.
-                near = [(name, t) for name, t in prepared.items() if sum(w in low for w in t) >= coverage * len(t)]
-                if near:
-                    words = words_of(low)
-                    for name, t in near:
-                        found = matches(words, t, coverage)
-                        if found:
-                            out.append((key, name, *found))
+                words = words_of((text or "").lower())
+                there, found = set(words), {}
+                for name, kind, template, least, distinct, counts, most in prepared:
+                    if len(words) >= len(template) - most and sum(counts[w] for w in distinct - there) <= most:
+                        best = matches(words, template, least)
+                        if best and (best[0], -best[1]) > (found.get((name, kind), (0, 0))[0], -found.get((name, kind), (0, 0))[1]):
+                            found[name, kind] = best
+                out += [(key, *k, *v) for k, v in found.items()]
             if out:
-                kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    names = [id_column, "license", "coverage", "start_word", "end_word"]
+    names = [id_column, "license", "kind", "coverage", "start_word", "end_word"]
     rows = docs.select(F.col(id_column).cast("long").alias(id_column), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"{id_column} long, license string, coverage double, start_word long, end_word long")
+    return rows.mapInArrow(run, f"{id_column} long, license string, kind string, coverage double, start_word long, end_word long")
