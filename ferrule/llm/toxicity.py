@@ -4,8 +4,9 @@ Texts are folded first: case, accents, homoglyphs and digits or signs that
 stand for letters. Entries are whole words and word beginnings with a weight
 each; matches inside an exception phrase don't count. Summed weights, as they
 are and by length, go through a logistic curve. Entries, weights and curve are
-learned from a bounded sample of labelled rows: one half gives the entries,
-the other the curve.
+learned from a bounded sample of labelled rows: one half gives the entries and,
+from where these stand in rows of label 0, further exceptions; the other the
+curve.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ READ_AS = {
     "ı": "i", "ß": "ss", "ø": "o", "ł": "i", "đ": "d", "æ": "ae", "œ": "oe",
 }
 #: Phrases in which an entry is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "trash collection", "class clown", "clown fish", "pond scum", "scum of algae", "sore loser rule", "disgusting taste test")
-#: At most this many entries are learned.
-MOST_ENTRIES = 2_000
+EXCEPTIONS = ("trash can", "trash bin", "trash collection", "class clown", "clown fish", "pond scum")
+#: At most this many entries, and as many exceptions, are learned; an exception stands in so many rows of label 0 at least, and in none of label 1 for each so many.
+MOST_ENTRIES, LEAST_CLEAN, MORE_CLEAN = 2_000, 3, 20
 
 
 class _Fold(dict):
@@ -90,7 +91,7 @@ class Lexicon:
             self.automaton.make_automaton()
 
     def measure(self, text: str | None) -> tuple[float, int]:
-        """(summed weights, words) of a text; the heaviest entry at each place counts."""
+        """(summed weights, words) of a text; the heaviest entry at each place counts, unless it starts inside an exception."""
         plain = folded(text or "")
         words = plain.count(" ") - 1 if len(plain) > 2 else 0
         if not len(self.automaton) or not words:
@@ -103,7 +104,26 @@ class Lexicon:
                 safe.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        return sum(w for at, w in best.items() if not any(a <= at < b for a, b in safe)), words
+        if safe:
+            ends = np.zeros(len(plain) + 1, np.int32)  # how many exceptions a place is inside of
+            for a, b in safe:
+                ends[a] += 1
+                ends[b] -= 1
+            inside = np.cumsum(ends)
+            return sum(w for at, w in best.items() if not inside[at]), words
+        return sum(best.values()), words
+
+    def phrases(self, text: str | None) -> set[str]:
+        """The entries' words in a text, each with the word before it and with the one after it."""
+        plain, out = folded(text or ""), set()
+        for end, (size, weight) in self.automaton.iter(plain) if len(self.automaton) else ():
+            if weight is not None:
+                start = end - size + 2
+                stop = plain.index(" ", start)
+                before, after = plain.rfind(" ", 0, start - 1) + 1, plain.find(" ", stop + 1)
+                out |= {plain[before:stop]} if before < start - 1 else set()
+                out |= {plain[start:after]} if after > stop + 1 else set()
+        return out
 
 
 def learn(texts: DataFrame, least_weight: float = 3.0, least_share: float = 0.01) -> dict[str, float]:
@@ -145,6 +165,24 @@ def learn(texts: DataFrame, least_weight: float = 3.0, least_share: float = 0.01
     return kept
 
 
+def learn_exceptions(texts: DataFrame, lexicon: dict[str, float]) -> tuple[str, ...]:
+    """Phrases of two words around entries that stand in at least LEAST_CLEAN rows of label 0, and in those MORE_CLEAN times as often as in rows of label 1."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, counts = Lexicon(lexicon, ()).phrases, (Counter(), Counter())
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[y].update(found(text))
+        listed = sorted(counts[0].keys() | counts[1].keys())
+        for a in range(0, len(listed), 20_000):
+            piece = listed[a : a + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(piece), *(pa.array([c[e] for e in piece], pa.int64()) for c in counts)], names=["phrase", "clean", "toxic"])
+
+    totals = texts.select("text", "y").mapInArrow(count, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rows = totals.where((F.col("clean") >= LEAST_CLEAN) & (F.col("clean") >= MORE_CLEAN * F.col("toxic"))).orderBy(F.desc("clean"), "phrase").limit(MOST_ENTRIES).collect()
+    return tuple(r["phrase"] for r in rows)
+
+
 def curve(measures: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights (bias, log sum, log sum by length) by ridge-regularised Newton steps."""
     x = _inputs(measures)
@@ -169,12 +207,16 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
 
     ``seeds`` are entries besides the learned ones. Null and empty texts have no
     matches and get the curve's value there. Rows that repeat an id, and null
-    ids, are scored each.
+    ids, are scored each; an empty table gives an empty one. Of entries of one
+    weight the first by spelling are kept. A long text is matched whole; other
+    columns don't matter.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     chosen = stage(labelled.sample(labels, "toxic", folds, held_out, most).withColumn("half", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2))), "toxicity-sample")
     texts = rows.join(F.broadcast(chosen.where("half = 0")), "id")
-    lexicon = (seeds or {}) | learn(stage(texts.select("text", "y"), "toxicity-texts"))
+    texts = stage(texts.select("text", "y"), "toxicity-texts")
+    lexicon = (seeds or {}) | learn(texts)
+    exceptions = (*exceptions, *learn_exceptions(texts, lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Lexicon(lexicon, exceptions).measure
