@@ -10,9 +10,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +124,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = new.select("id", "label")
 
 
+def tidied(run: Callable) -> Callable:
+    """A function of batches that gives freed memory back when it ends: workers are used again, and would hold it."""
+
+    def tidy_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidy_run
+
+
+def tidy() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def complete_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Blocks of whole groups from batches that are sorted by ``keys``.
 
@@ -262,7 +285,7 @@ def _multiplier(j: int) -> np.uint64:
     return np.uint64(((2 * j + 1) * 0xA0761D6478BD642F | 1) & 0xFFFFFFFFFFFFFFFF)
 
 
-def word_blocks(column, most_bytes: int = 1 << 21) -> Iterator[WordBlock]:
+def word_blocks(column, most_bytes: int = (1 << 20) - 1) -> Iterator[WordBlock]:
     """Word blocks of a text column in pieces of about ``most_bytes``; a longer row is a piece of its own."""
     np.seterr(over="ignore")
     data, offsets = flat_bytes(column)
@@ -274,5 +297,13 @@ def word_blocks(column, most_bytes: int = 1 << 21) -> Iterator[WordBlock]:
         i = j
 
 
+#: Rows of an Arrow batch: rows here are texts, so a batch of Spark's own 10,000 takes tens of MB, several times over.
+BATCH_ROWS = 2_000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Arrow batches of the session are made no larger than BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

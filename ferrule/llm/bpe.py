@@ -27,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._common import stage_buckets
+from ferrule.llm._common import stage_buckets, tidied, tidy
 
 #: White space as the tokenizer's regular expressions define it, without \x1c-\x1f.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A block's dictionary is closed at this many distinct words; so many encoded words a task remembers.
-MOST_WORDS, MOST_KNOWN = 600_000, 1_000_000
+MOST_WORDS, MOST_KNOWN = 450_000, 300_000
 #: Parts for each partition of the shuffle, so that hashing evens out.
 PARTS = 2
 #: A byte that UTF-8 doesn't have stands between the words of a list.
@@ -174,9 +174,9 @@ def _joined(docs: DataFrame, vocabulary: str, pattern: str, id_column: str, text
     parts = PARTS * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     coded = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     coded = stage_buckets(
-        coded.mapInArrow(_code_blocks(pattern, parts), "block long, id long, codes binary, part int, words binary, numbers binary"), "bpe-blocks", "block"
+        coded.mapInArrow(tidied(_code_blocks(pattern, parts)), "block long, id long, codes binary, part int, words binary, numbers binary"), "bpe-blocks", "block"
     )
-    found = coded.where("part is not null").select("part", "block", "words").repartition("part").mapInArrow(_encode_words(vocabulary), "block long, part int, counts binary, ids binary")
+    found = coded.where("part is not null").select("part", "block", "words").repartition("part").mapInArrow(tidied(_encode_words(vocabulary)), "block long, part int, counts binary, ids binary")
     texts = coded.select("block", "id", "codes", "part", "numbers")
     schema = ", ".join(f"{name} {kind}" for name, _, kind in fields)
     return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_assemble(vocabulary, finish, fields), schema)
@@ -271,6 +271,8 @@ def _assemble(path: str, finish: Callable[[Block, np.ndarray], tuple], fields: l
             at += len(ids[-1])
         block = Block(starts, counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32), _token_bytes(path))
         out = [(key, *finish(block, _unpack(codes))) for key, codes in zip(texts.column("id").to_pylist(), texts.column("codes").to_pylist(), strict=True) if codes is not None]
+        del block, ids, starts, counts, numbers
+        tidy()
         columns = zip(*out, strict=True) if out else [[]] * len(schema)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._common import complete_groups, connected_components, fixed_bytes, flat_bytes, mix64, small_enough, stage, word_blocks
+from ferrule.llm._common import complete_groups, connected_components, fixed_bytes, flat_bytes, mix64, small_enough, stage, tidied, word_blocks
 
 SKETCH_BITS = 256
 #: Bounds of the sample that finds frequent n-grams, of a column's tile, and of a component's tile.
@@ -138,7 +138,7 @@ def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 names=["id", "n", "s1", "s2", "sketches", "sizes", "counts", "first"],
             )
 
-    return docs.mapInArrow(run, "id long, n int, s1 long, s2 long, sketches binary, sizes array<int>, counts array<int>, first array<long>")
+    return docs.mapInArrow(tidied(run), "id long, n int, s1 long, s2 long, sketches binary, sizes array<int>, counts array<int>, first array<long>")
 
 
 def _numbers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -365,7 +365,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: st
     cells = firsts.join(columns, "h").join(parts, ["rep", "s1", "block"])
     cells = _tiled(cells, F.ceil(F.col("c") / COLUMN_TILE), "rep").select("h", "ti", "tj", "part", "rep", "n", "m", "pos", "sketch")
     cells = cells.repartition("h", "ti", "tj").sortWithinPartitions("h", "ti", "tj")
-    near = cells.mapInArrow(_column_forests(percent), "a long, b long")
+    near = cells.mapInArrow(tidied(_column_forests(percent)), "a long, b long")
     clusters = connected_components(near).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
 
     chosen = classes.select("rep", "s1", "s2", "n", "copies").join(clusters, "rep")
@@ -385,12 +385,12 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: st
                 names=["rep", "s1", "s2", "grams"],
             )
 
-    sets = texts.mapInArrow(grams, "rep long, s1 long, s2 long, grams binary")
+    sets = texts.mapInArrow(tidied(grams), "rep long, s1 long, s2 long, grams binary")
     small = chosen.select("rep", "s1", "s2", "cluster", "copies", "tiles")
     cells = sets.join(F.broadcast(small) if few else small, ["rep", "s1", "s2"])
     cells = _tiled(cells, F.col("tiles"), "rep").select("cluster", "ti", "tj", "part", "rep", "s1", "copies", "grams")
     cells = cells.repartition("cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj", "rep", "s1")
-    links = stage(cells.mapInArrow(_tile_links(percent), "a long, b long, links long"), "ngram-links")
+    links = stage(cells.mapInArrow(tidied(_tile_links(percent)), "a long, b long, links long"), "ngram-links")
 
     groups = connected_components(links.where("b is not null").select("a", "b"))
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links")).where("links > 0")

@@ -149,6 +149,30 @@ def test_warc_round_trip(spark):
     assert warc.capture_history(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_ids_members_and_clashing_columns(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "CLASSES", ((10, 2), (40, 1), (1 << 62, 1)))
+    ids = [10**13, 2**62, 253402300800, -5, 7, 7, 8]
+    pages = [(i, f"http://h.org/{k}", "same" if k < 5 else "x" * 30 * (k - 4), "key", "value") for k, i in enumerate(ids)] + [(None, None, "same", "a", "b")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, key string, value string")
+    out = warc.capture_history(df).collect()
+    assert sorted((r.page_id, r.record_type) for r in out if r.page_id is not None) == sorted([(-5, "response"), (7, "revisit"), (7, "response"), (8, "response"), *((i, "revisit") for i in ids[:3])])
+    assert all(r.refers_to == -5 for r in out if r.record_type == "revisit")
+    monkeypatch.setattr(warc, "MEMBER", 50)
+    warc.write(df, str(tmp_path / "w"))
+    found = []
+    for f in (tmp_path / "w").glob("part-*"):
+        data = f.read_bytes()
+        whole = gzip.decompress(data)
+        for head, start, payload in warc.records(memoryview(data)):
+            assert gzip.decompress(data[start:]).startswith(b"WARC/1.1\r\n") and payload + b"\r\n\r\n" in whole
+            found.append((head["WARC-Target-URI"], len(payload)))
+    assert sorted(n for _, n in found) == [0, 0, 0, 0, 0, 4, 30, 60]
+    with pytest.raises(ValueError):
+        list(warc.records(memoryview(data[:-3])))
+
+
 def test_loser_tree():
     rng = random.Random(5)
     runs = [sorted((rng.randrange(50),) for _ in range(rng.randrange(8))) for _ in range(7)]
@@ -294,6 +318,66 @@ def test_html(spark):
     assert out == {1: "first& own text x x x", 2: "second own text that is long enough to differ", 3: "T Inline x", 4: ""}
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><p>a</p><p class="advert">no<p>b<span class="ad">no</span>c</article>', "a bc"),
+    ('<article>a<iframe>no</iframe> b<article class="comment">no</article><details class="comments"><p>no</p></details> c</article>', "a b c"),
+    ('<article><section class="related-work"><p>kept</p></section><div class="post-header">kept too</div><div class="site-header">no</div></article>', "kept kept too"),
+    ('<main><ul><li>a<li class="ad">no<li>b</ul><span id="share">no<span>no</span></span>c<b class="menu">no</b></main>', "a b c"),
+    ('<div class="comment-list"><article>no</article></div><article class="post">yes</article>', "yes"),
+    ('<body class="menu"><p>a&lt;b&nbsp;&#x41;</p><table><tr><td class="sponsor">no<td>c</table>', "a<b A c"),
+    ("<article><p>x<div role='complementary'>no</div>y", "x y"), ("<article></article><p>plain", "plain"), ("no markup", "no markup"), ("<", "<"),
+])
+def test_html_names(page, text):
+    texts, zones = html_text.lines(page)
+    zone = html_text.INSIDE if html_text.INSIDE in zones else html_text.PLAIN
+    assert " ".join(t for t, z in zip(texts, zones, strict=True) if z == zone) == text
+
+
+def test_html_equals_a_plain_differ(spark):
+    """Every page against the nearest of its two neighbours by URL, by the standard library's parser-free lines and a quadratic LCS."""
+    rng = random.Random(21)
+    menus = [f"menu {k} of the host" for k in range(6)]
+    pages = {}
+    for k in range(40):
+        own = [f"own line {k} {j} " + " ".join(words(rng, 6)) for j in range(rng.randrange(1, 5))]
+        body = sorted(rng.sample(menus, rng.randrange(6))) + own + (["the end"] if k % 2 else [])
+        pages[k] = (f"http://h{k % 3}.org/{rng.choice('ab')}/{rng.choice('xyz')}/{k}", body)
+    rows = [(k, u, "".join(f"<p>{x}</p>" for x in b)) for k, (u, b) in pages.items()]
+    out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    order = sorted(pages, key=lambda k: (pages[k][0].split("/")[2], "/" + "/".join(pages[k][0].split("/")[3:]), k))
+    changed = 0
+    for at, k in enumerate(order):
+        url, mine = pages[k]
+        near = []
+        for step in (-1, 1):
+            j = at + step
+            while 0 <= j < len(order) and pages[order[j]][0].split("/")[2] == url.split("/")[2] and set(mine) <= set(pages[order[j]][1]):
+                j += step
+            if 0 <= j < len(order) and pages[order[j]][0].split("/")[2] == url.split("/")[2]:
+                other, theirs = pages[order[j]]
+                near.append((sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(url.split("/", 3)[3], other.split("/", 3)[3], strict=False))), theirs))
+        best = max((n for n, _ in near), default=0)
+        options = set()
+        for n, theirs in near:
+            if n == best:
+                table = [[0] * (len(theirs) + 1) for _ in range(len(mine) + 1)]
+                for i, j in itertools.product(range(len(mine)), range(len(theirs))):
+                    table[i + 1][j + 1] = table[i][j] + 1 if mine[i] == theirs[j] else max(table[i][j + 1], table[i + 1][j])
+                i, j, gone = len(mine), len(theirs), set()
+                while i and j:
+                    if mine[i - 1] == theirs[j - 1]:
+                        gone.add(i - 1)
+                        i, j = i - 1, j - 1
+                    elif table[i - 1][j] >= table[i][j - 1]:
+                        i -= 1
+                    else:
+                        j -= 1
+                options.add(" ".join(x for q, x in enumerate(mine) if q not in gone))
+        assert out[k] in (options or {" ".join(mine)})
+        changed += out[k] != " ".join(mine)
+    assert changed > 20
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 12])
 def test_html_walks_past_copies(spark, ranges):
     menu = "".join(f"<p>menu entry number {k} with many words in it</p>" for k in range(9))
@@ -321,6 +405,32 @@ def test_common_lines_is_longest():
 
 
 def test_licenses(spark):
-    texts = [(1, "x y Licensed under the Apache License, Version 2.0. z"), (2, "nothing"), (3, None), (4, "released under  the\nMIT license"), (5, "license the under")]
-    out = {(r.doc_id, r.license, r.start_word, r.end_word) for r in licenses.scan(docs_of(spark, texts)).collect()}
-    assert out == {(1, "Apache-2.0", 2, 10), (4, "MIT", 0, 5)}
+    from ferrule.llm.license_texts import NOTICES, TEXTS
+
+    mit = TEXTS["MIT"].replace("\n", "\n * ")
+    texts = [(1, "x y Licensed under the Apache License, Version 2.0. z"), (2, "nothing"), (3, None), (4, "released under  the\nMIT license"), (5, "license the under"), (6, ""),
+             (7, "under the Mozilla Public License 2.0 and SPDX-License-Identifier: LGPL-2.1-only"), (8, f"Copyright 2020 A\n{mit}\n" + "word " * 3000), (8, f"Copyright 2020 A\n{mit}"), (9, NOTICES["GPL-2.0-or-later"].replace("program", "library")), (None, "MIT License is released under")]
+    out = {(r.doc_id, r.license, r.kind, r.start_word, r.end_word) for r in licenses.scan(docs_of(spark, texts)).collect()}
+    n = len(licenses.words_of(TEXTS["MIT"]))
+    assert {x for x in out if x[0] in (1, 2, 3, 4, 5, 6, None)} == {(1, "Apache-2.0", "name", 2, 10), (4, "MIT", "name", 0, 5)}
+    assert {x[1:3] for x in out if x[0] == 7} == {("MPL-2.0", "name"), ("LGPL-2.1-only", "identifier")}
+    assert (8, "MIT", "text", 3, 3 + n) in out and (9, "GPL-2.0-or-later", "notice") in {x[:3] for x in out}
+    assert licenses.scan(docs_of(spark, [])).count() == 0
+
+
+def test_patience_is_common_and_scans_equal_all_windows():
+    rng = random.Random(31)
+    for _ in range(150):
+        template = [rng.choice("abcdefghijkl") for _ in range(rng.randrange(1, 12))]
+        text = [rng.choice("abcdefghijkl") for _ in range(rng.randrange(30))]
+        at = rng.randrange(len(text) + 1)
+        noisy = [w if rng.random() < 0.9 else "z" for w in template]
+        text = text[:at] + noisy + text[at:]
+        pairs = licenses.patience(text, template)
+        assert all(text[i] == template[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in itertools.pairwise(pairs))
+        found = licenses.matches(text, template, 0.8)
+        most = max(len(licenses.patience(text[a : a + len(template)], template)) for a in range(len(text)))
+        if most >= 0.8 * len(template):
+            assert found is not None and found[0] >= 0.8
+        if found:
+            assert len(licenses.patience(text[found[1] : found[2]], template)) >= 1
