@@ -15,6 +15,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+#: Paths handed out by this driver, in order.
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ferrule/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/ferrule/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+@contextmanager
+def staged_files(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged within it; tables made of that can't be read afterwards."""
+    mark = len(_PATHS)
+    yield
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in _PATHS[mark:]:
+        path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(p), True)
+    del _PATHS[mark:]
 
 
 def stage(df: DataFrame, name: str, compression: str = "lz4raw") -> DataFrame:
