@@ -158,10 +158,10 @@ def complete_answers(spark, d):
     return _t(spark, d, "part").select("p_partkey", answers.complete_correct(said, F.array(F.array(F.lit("Red"), F.lit("ring ")))).alias("complete"))
 
 
-@query("""select doc_id, regexp_replace(lower(regexp_replace(text, '\\[\\d+\\]', '', 'g')), '[^\\p{L}\\p{N}]', '', 'g') letters, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_\\p{Pc}]+'), ' ') words from documents where lang in ('en', 'es')""")
+@query("""select doc_id, regexp_replace(replace(lower(regexp_replace(text, '\\[\\d+\\]', '', 'g')), 'ß', 'ss'), '[^\\p{L}\\p{N}]', '', 'g') letters, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_\\p{Pc}]+'), ' ') words from documents""")
 def text_forms(spark, d):
     """Letters only, and words only."""
-    return _t(spark, d, "documents").where("lang in ('en', 'es')").select("doc_id", text.letters_only(F.col("text")).alias("letters"), text.words_only(F.col("text")).alias("words"))
+    return _t(spark, d, "documents").select("doc_id", text.letters_only(F.col("text")).alias("letters"), text.words_only(F.col("text")).alias("words"))
 
 
 @query("""select o_orderkey, 'doc_' || o_custkey document, (o_orderkey % 9)::int page from orders""")
