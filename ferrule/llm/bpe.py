@@ -187,7 +187,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
 
     ``vocabulary`` is the path of a rank file (base64 token and rank a line),
     ``pattern`` splits the text. Null and empty texts have no tokens; rows that
-    repeat an id, and null ids, are encoded each; other columns are ignored.
+    repeat an id, and null ids, are encoded each; other columns are ignored. A
+    long text is encoded whole, an empty table gives an empty one.
     """
     fields = [(id_column, pa.int64(), "long"), ("n_tokens", pa.int64(), "long"), ("ids", pa.list_(pa.int32()), "array<int>")]
     return _joined(docs, vocabulary, pattern, id_column, text_column, Block.encoded, fields)

@@ -80,7 +80,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Items and documents without words, and rows with null ids, match nothing.
     Rows that repeat an id are one document (or item): the best of all counts;
-    of equally good windows, the first.
+    of equally good windows, the first. Texts are read whole; an empty table
+    gives an empty one, and other columns don't matter.
     """
     items = benchmark.where(F.col(item_column).isNotNull()).select(F.col(item_column).cast("long").alias("item"), F.col(item_text_column).alias("_t"))
     items = shingles(items, "_t").select("item", F.col("s").alias("si"), F.size("s").alias("m"), F.col("_n").alias("item_words"), simhash(F.col("s")).alias("fi"))

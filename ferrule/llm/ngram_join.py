@@ -348,9 +348,10 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: st
     Two rows link when 100 * overlap >= ``percent`` * union of their sets of
     ``n``-word shingles (fewer words: all of them as one). ``n_links`` counts the
     other rows linked, copies included; ``component_id`` is the smallest id
-    reachable. Null and empty texts have no shingles and no links. Rows with one
-    id are one node of the graph, and each is returned; rows with a null id have
-    null components. Other columns don't matter.
+    reachable. Null and empty texts have no shingles and no links. Rows that
+    repeat an id are returned each, and with one text are one node; rows with a
+    null id have null components. Texts are read whole, an empty table gives an
+    empty one, and other columns don't matter.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     described = stage(_described(rows, n, percent), "ngram-described")
