@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def minimal_windows(pages: DataFrame, passages: DataFrame, least: int = 24, widest: int = 3) -> DataFrame:
+def minimal_windows(pages: DataFrame, passages: DataFrame, least: int = 24, widest: int = 3, between: str = " ") -> DataFrame:
     """(doc, passage, first, last): windows of up to ``widest`` pages that hold the passage and hold no smaller such window.
 
     ``pages`` has doc, page and text; ``passages`` has doc, passage and needle.
-    Both are normalised by the caller; passages under ``least`` characters match nothing.
+    Both are normalised by the caller; passages under ``least`` characters
+    match nothing. Pages stand together with ``between`` between them.
     """
     w = Window.partitionBy("doc").orderBy("page")
     spans = [F.col("text"), *[F.lead("text", k).over(w) for k in range(1, widest)]]
     wide = pages.select("doc", "page", *[s.alias(f"s{k}") for k, s in enumerate(spans)])
     held = passages.where(F.length("needle") >= least).join(wide, "doc")
-    whole = [F.concat_ws(" ", *[f"s{j}" for j in range(k + 1)]) for k in range(widest)]
+    whole = [F.concat_ws(between, *[f"s{j}" for j in range(k + 1)]) for k in range(widest)]
     width = F.coalesce(*[F.when(F.col(f"s{k}").isNotNull() & F.contains(whole[k], F.col("needle")), F.lit(k)) for k in range(widest)])
     hits = held.select("doc", "passage", F.col("page").alias("first"), width.alias("more")).where("more is not null")
     hits = hits.select("doc", "passage", "first", (F.col("first") + F.col("more")).alias("last"))

@@ -98,26 +98,34 @@ def extremes(ids: pd.Series, costs: pd.Series, scores: pd.Series, budgets: pd.Se
     return pd.DataFrame(found, columns=["best", "worst"])
 
 
-def sampled_subset(costs: list[int], budget: int, seed: str, tilts: list[float] | None = None) -> list[bool]:
-    """A subset of exactly the achievable cost, drawn uniformly, or with weights exp(sum of the tilts of its items).
+class Sampler:
+    """Draws subsets of exactly the achievable cost, uniformly or with weights exp(sum of the tilts of their items).
 
-    Backwards over a table of summed weights by item and cost, in logarithms.
+    A draw goes backwards over a table of summed weights by item and cost, in
+    logarithms, that is made once.
     """
-    rng = np.random.Generator(np.random.PCG64(int.from_bytes(sha256(seed.encode()).digest()[:8], "big")))
-    goal, n = achievable(costs, budget), len(costs)
-    logs = np.full((n + 1, goal + 1), -np.inf)
-    logs[0, 0] = 0.0
-    for k, cost in enumerate(costs):
-        logs[k + 1] = logs[k]
-        if cost <= goal:
-            logs[k + 1, cost:] = np.logaddexp(logs[k, cost:], logs[k, : goal + 1 - cost] + (tilts[k] if tilts else 0.0))
-    taken, left = [False] * n, goal
-    for k in range(n - 1, -1, -1):
-        if costs[k] <= left:
-            share = np.exp(logs[k, left - costs[k]] + (tilts[k] if tilts else 0.0) - logs[k + 1, left])
-            if rng.random() < share:
-                taken[k], left = True, left - costs[k]
-    return taken
+
+    def __init__(self, costs: list[int], budget: int, tilts: list[float] | None = None):
+        self.costs, self.tilts, self.goal = costs, tilts or [0.0] * len(costs), achievable(costs, budget)
+        self.logs = np.full((len(costs) + 1, self.goal + 1), -np.inf)
+        self.logs[0, 0] = 0.0
+        for k, cost in enumerate(costs):
+            self.logs[k + 1] = self.logs[k]
+            if cost <= self.goal:
+                self.logs[k + 1, cost:] = np.logaddexp(self.logs[k, cost:], self.logs[k, : self.goal + 1 - cost] + self.tilts[k])
+
+    def draw(self, seed: str) -> list[bool]:
+        rng = np.random.Generator(np.random.PCG64(int.from_bytes(sha256(seed.encode()).digest()[:8], "big")))
+        taken, left, chance = [False] * len(self.costs), self.goal, rng.random(len(self.costs))
+        for k in range(len(self.costs) - 1, -1, -1):
+            if self.costs[k] <= left and chance[k] < np.exp(self.logs[k, left - self.costs[k]] + self.tilts[k] - self.logs[k + 1, left]):
+                taken[k], left = True, left - self.costs[k]
+        return taken
+
+
+def sampled_subset(costs: list[int], budget: int, seed: str, tilts: list[float] | None = None) -> list[bool]:
+    """One draw of a ``Sampler``."""
+    return Sampler(costs, budget, tilts).draw(seed)
 
 
 @F.pandas_udf(ArrayType(BooleanType()))

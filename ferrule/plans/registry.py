@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text
 from ferrule.operators import containment, graph, inference, integrity, metrics, ranking, scoring, selection, surrogates
-from ferrule.plans import answer_queries, inference_queries, retrieval_queries, selection_queries, source_queries, spatial_queries, window_queries  # noqa: F401
+from ferrule.plans import answer_queries, inference_queries, policy_queries, retrieval_queries, selection_queries, source_queries, spatial_queries, window_queries  # noqa: F401
 from ferrule.plans.catalogue import ORACLES, QUERIES, query  # noqa: F401
 from ferrule.plans.catalogue import table as _t
 
