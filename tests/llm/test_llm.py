@@ -105,7 +105,7 @@ def test_buckets_in_tiles_equal_brute_force(spark, monkeypatch):
     assert [out[i].n_links for i in range(120)] == link.sum(1).tolist()
 
 
-@pytest.mark.parametrize("n", [1_000, 262_145, 1_000_000, 4_300_000, 1_000_000_000])
+@pytest.mark.parametrize("n", [1_000, 262_145, 1_000_000, 4_300_000, 8_000_000, 1_000_000_000])
 def test_tables_hold_the_miss(n):
     width, tables, codes = embedding_dedup.plan(n, 64, 0.9)
     assert (1 - (1 - np.arccos(0.9) / np.pi) ** width) ** tables <= embedding_dedup.MISS
@@ -118,7 +118,7 @@ def test_tables_hold_the_miss(n):
     ka, kb = (embedding_dedup.keys(x, mean, projections, width, tables) for x in (a, b))
     recall = (ka == kb).any(1).mean()
     print(n, width, tables, codes, recall, (ka[:, :64] == kb[:, :64]).any(1).mean())
-    assert recall >= 0.92
+    assert recall >= 0.95
 
 
 def test_bpe_is_tiktoken(spark, corpus):
