@@ -197,7 +197,7 @@ def passage_windows(spark, d):
 
 
 _ROWS = """row_ as (select l_returnflag policy, l_orderkey k, l_quantity * 100 original, l_quantity * 100 - floor(l_quantity * l_discount * 50) post_btp, l_quantity * 100 - floor(l_quantity * l_discount * 100) post_qtp, l_quantity * 40 post_ctp,
-l_tax retrieval_seconds, 0.5 page_load_seconds, l_discount qa_seconds, l_discount * 2 encoder_seconds, 0.0 decoder_seconds, l_tax + l_discount total_seconds, l_extendedprice peak_bytes, l_quantity > 0 warmup_excluded, l_returnflag = 'A' profiler_enabled, case when l_returnflag = 'A' then l_extendedprice end flops from lineitem)"""
+l_tax retrieval_seconds, 0.5::double page_load_seconds, l_discount qa_seconds, l_discount * 2 encoder_seconds, 0.0::double decoder_seconds, l_tax + l_discount total_seconds, l_extendedprice peak_bytes, l_quantity > 0 warmup_excluded, l_returnflag = 'A' profiler_enabled, case when l_returnflag = 'A' then l_extendedprice end flops from lineitem)"""
 
 
 def _rows(spark, d):
