@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a folder for tests where none is set; a cluster must name a shared one."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+    """Takes the folder that spark.checkpoint.dir names; sets one for tests where none is, and refuses a cluster that names none."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        spark.sparkContext.setCheckpointDir(named)
         return
     master = spark.conf.get("spark.master", "local")
     if not (master == "local" or master.startswith("local[")):
