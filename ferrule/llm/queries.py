@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import bpe, decontaminate, embedding_dedup, html_text, licenses, ngram_join, quality, substring_dedup, toxicity, warc
+from ferrule.llm import bpe, decontaminate, embedding_dedup, fill_middle, html_text, lexical_search, licenses, ngram_join, quality, sentencepiece_bpe, substring_dedup, toxicity, warc
 from ferrule.llm._common import read_table
 
 
@@ -101,6 +101,47 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(read_table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = """
+with t as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) t from documents where text is not null),
+q as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) t from benchmark where text is not null),
+d as (select doc_id, count(*) n from t group by 1),
+c as (select count(*) docs, sum(n)::bigint words from d),
+m as (select doc_id, 25 + (75 * n * docs) // words m from d, c),
+p as (select t, doc_id, count(*) tf from t where t in (select t from q) group by 1, 2),
+w as (select t, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint w from p, c group by 1),
+s as (select item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+      from (select item_id, t, count(*) r from q group by 1, 2) join p using (t) join w using (t) join m using (doc_id) group by 1, 2),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id) "rank" from s where score > 0)
+select item_id, "rank"::int "rank", doc_id, score from k where "rank" <= 10
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+with t as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') u, sha256('1:' || doc_id) h from documents),
+d as (select *, len(u) n, list_transform([0, 1, 2, 3], lambda k: ('0x' || substr(h, 8 * k + 1, 8))::bigint) r from t),
+c as (select *, case when t = '' or regexp_matches(t, '<[PSM]>') or r[3] % 100 >= 90 then 'plain' when r[4] % 100 < 20 then 'spm' else 'psm' end form,
+    least(r[1] % (n + 1), r[2] % (n + 1)) a, greatest(r[1] % (n + 1), r[2] % (n + 1)) b from d),
+x as (select *, array_to_string(u[1:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:], '') s from c)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(p) end::bigint prefix_chars, case when form <> 'plain' then length(m) end::bigint middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256
+from x
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
@@ -112,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_licenses": op9_licenses,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_fill_middle": op13_fill_middle,
 }
 
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL, "op5_warc": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL, "op5_warc": OP5_SQL, "op12_lexical_search": OP12_SQL, "op13_fill_middle": OP13_SQL}
