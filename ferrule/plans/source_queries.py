@@ -9,7 +9,7 @@ from ferrule.operators.settle import scratch
 from ferrule.plans.catalogue import query
 from ferrule.plans.catalogue import table as _t
 from ferrule.sources import jsonl, stores
-from ferrule.streaming import replay
+from ferrule.streaming import committed, observation, replay
 
 
 @query("select c_custkey, c_name, c_acctbal from customer")
@@ -129,27 +129,40 @@ def page_fixture(spark, d):
 
 @query("select user_id, count(distinct event_id) seen, round(sum(value), 4) total, max(value) best from events group by 1")
 def observed_cases(spark, d):
-    """M3: a stream of observations replayed into each case's state, read from the stream's table at the end."""
-    source, checkpoint, name = scratch(spark, "events"), scratch(spark, "state"), f"observed_{scratch(spark, 'm')[-32:]}"
-    _t(spark, d, "events").select("user_id", "event_id", "value").repartition(3).write.parquet(source)
+    """M3: a stream of observations replayed into each case's state, in a table that takes each batch once; the second half of the files repeats the first's last rows."""
+    source, path, checkpoint = (scratch(spark, x) for x in ("events", "states", "checkpoint"))
+    e = _t(spark, d, "events").select("user_id", "event_id", "value")
+    e.repartition(2).write.parquet(source)
+    e.where("event_id % 5 = 0").repartition(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema("user_id long, event_id long, value double").option("maxFilesPerTrigger", 1).parquet(source)
-    q = replay.observed(stream, "user_id", "event_id", "value").writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.table(name)
-    return out.groupBy("user_id").agg(F.max("seen").cast("long").alias("seen"), F.round(F.max_by("total", "seen"), 4).alias("total"), F.max("best").alias("best"))
+    committed.written(observation.observed(stream, "user_id", "event_id", "value", spread=2), path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    out = observation.current(committed.committed(spark, path), "user_id")
+    return out.select("user_id", "seen", F.round("total", 4).alias("total"), "best")
+
+
+@query("""with a as (select user_id, event_type arm, event_id % 40 item, (event_id % 40 * 7919 % 1000) / 10.0 score from events), s as (select distinct user_id, arm, item, score from a)
+select user_id, count(*)::bigint logical, count(distinct item)::bigint physical, count(*)::bigint - count(distinct item)::bigint known, max(score)::double best, 0::bigint drift from s group by 1""")
+def observation_arms(spark, d):
+    """M3: arms that share the physical scores of their case: what each sees counts, what is scored counts once."""
+    source, path, checkpoint = (scratch(spark, x) for x in ("events", "states", "checkpoint"))
+    item = F.col("event_id") % 40
+    _t(spark, d, "events").select("user_id", "event_type", item.alias("item"), ((item * 7919) % 1000 / 10).alias("score")).repartition(2).write.parquet(source)
+    stream = spark.readStream.schema("user_id long, event_type string, item long, score double").option("maxFilesPerTrigger", 1).parquet(source)
+    states = observation.observed(stream, "user_id", "item", "score", arm="event_type", spread=2)
+    committed.written(states, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    out = observation.current(committed.committed(spark, path), "user_id")
+    return out.select("user_id", F.col("seen").alias("logical"), (F.col("seen") - F.col("known")).alias("physical"), "known", "best", "drift")
 
 
 @query("select event_id, user_id, value from events")
 def resumed_stream(spark, d):
-    """M1: a stream to a table, each key once, over two runs with one checkpoint."""
+    """A stream to a table, each key once, over three runs with one checkpoint and keys that come again."""
     source, path, checkpoint = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "cp")
     e = _t(spark, d, "events").select("event_id", "user_id", "value")
-    for part in (e.where("event_id % 2 = 0"), e.where("event_id % 3 > 0")):
+    for part in (e.where("event_id % 2 = 0"), e.where("event_id % 3 > 0"), e.where("event_id % 2 = 1 and event_id % 3 = 0")):
         part.write.mode("append").parquet(source)
         replay.resumed(spark.readStream.schema(e.schema).parquet(source), path, checkpoint, "event_id").awaitTermination()
-    e.where("event_id % 2 = 1 and event_id % 3 = 0").write.mode("append").parquet(source)
-    replay.resumed(spark.readStream.schema(e.schema).parquet(source), path, checkpoint, "event_id").awaitTermination()
-    return spark.read.schema(e.schema).parquet(path)
+    return committed.committed(spark, path)
 
 
 @query("""with n as (select user_id, count(distinct event_id) n, arg_max(event_id, [value, -event_id]) best from events group by 1)

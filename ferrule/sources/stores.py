@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import time
 import tomllib
 import uuid
 import zipfile
@@ -97,20 +98,61 @@ def publish(df: DataFrame, path: str) -> str:
 
 
 class SingleWriter:
-    """A lock: a file that only one writer can create, taken away at the end."""
+    """A lock: a file that only one writer can create, taken away at the end.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, f"{path}.lock"
+    A writer that dies leaves its file. It is good for ``lease`` seconds after
+    it was last renewed, by the file system's clock as far as the machines' clocks agree; then another writer may take over. A writer that
+    works longer calls ``renew`` in time, which fails if the lock was lost.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, lease: float = 600.0):
+        self.spark, self.path, self.lease, self.token = spark, f"{path}.lock", lease, uuid.uuid4().hex
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _stale(self, path: str) -> bool:
+        return time.time() * 1000 - self.fs.getFileStatus(self._path(path)).getModificationTime() > 1000 * self.lease
+
+    def _create(self) -> bool:
+        """Writes the token beside and renames it, which fails if the lock is there."""
+        beside = f"{self.path}.{self.token}"
+        out = self.fs.create(self._path(beside), True)
+        out.write(self.token.encode())
+        out.close()
+        if not self.fs.exists(self._path(self.path)) and self.fs.rename(self._path(beside), self._path(self.path)) and self._holder() == self.token:
+            return True
+        self.fs.delete(self._path(beside), False)
+        return False
+
+    def _holder(self) -> str:
+        stream = self.fs.open(self._path(self.path))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def __enter__(self) -> SingleWriter:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        self.fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not self.fs.createNewFile(p):
-            raise RuntimeError(f"{self.path} is held by another writer")
-        return self
+        if self._create():
+            return self
+        # Of those who find it stale one gets to move it away.
+        aside = f"{self.path}.{self.token}.stale"
+        if self._stale(self.path) and self.fs.rename(self._path(self.path), self._path(aside)):
+            if not self._stale(aside):  # somebody took over in between: give it back
+                self.fs.rename(self._path(aside), self._path(self.path))
+            else:
+                self.fs.delete(self._path(aside), False)
+                if self._create():
+                    return self
+        raise RuntimeError(f"{self.path} is held by another writer")
+
+    def renew(self) -> None:
+        if not self.fs.exists(self._path(self.path)) or self._holder() != self.token:
+            raise RuntimeError(f"{self.path} was lost to another writer")
+        self.fs.setTimes(self._path(self.path), int(time.time() * 1000), -1)
 
     def __exit__(self, *_) -> None:
-        self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path), False)
+        if self.fs.exists(self._path(self.path)) and self._holder() == self.token:
+            self.fs.delete(self._path(self.path), False)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -1,59 +1,21 @@
-"""Observation logs as streams: idempotent resumption, stateful replay, probes from history."""
+"""Observation logs as streams: idempotent resumption, probes from history, warm-up rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ferrule.sources.stores import exists
+from ferrule.streaming.committed import written
 
 
 def resumed(stream: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Runs a stream of rows to a table, each key once: a batch that is repeated after a crash, or a key seen before, adds nothing."""
-
-    def add(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates([key])
-        if exists(batch.sparkSession, path):
-            rows = rows.join(batch.sparkSession.read.parquet(path).select(key), key, "left_anti")
-        rows.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-STATE = "seen int, total double, best double, best_item long"
+    """Runs a stream of rows to the table at ``path`` (read by ``committed``), each key once.
 
-
-def observed(stream: DataFrame, case: str, item: str, score: str, seconds: int | None = None) -> DataFrame:
-    """(case, seen, total, best, best_item) after every batch with news of a case: the running state of its observations.
-
-    An item that comes again within a batch counts once, with its least score;
-    the sink's checkpoint keeps batches from being counted twice. With
-    ``seconds`` a case without news that long gives up its state.
+    Keys seen before are told by the stream's state, and a batch that is
+    repeated after a crash by the table's log; neither reads the table, so a batch costs what its own rows cost.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, total, best, which = state.get if state.exists else (0, 0.0, float("-inf"), -1)
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values([item, score]).drop_duplicates(item)
-            seen, total = seen + len(rows), total + float(rows[score].sum())
-            top = rows.sort_values([score, item], ascending=[False, True]).iloc[0]
-            if float(top[score]) > best:
-                best, which = float(top[score]), int(top[item])
-            state.update((seen, total, best, which))
-            if seconds:
-                state.setTimeoutDuration(1000 * seconds)
-        yield pd.DataFrame({case: [key[0]], "seen": [seen], "total": [total], "best": [best], "best_item": [which]})
-
-    kind = stream.schema[case].dataType.simpleString()
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if seconds else GroupStateTimeout.NoTimeout
-    return stream.groupBy(case).applyInPandasWithState(step, f"{case} {kind}, {STATE}", STATE, "update", timeout)
+    return written(stream.dropDuplicates([key]), path, checkpoint).trigger(availableNow=True).start()
 
 
 #: Observations of each phase of a case's schedule: seeds, controls, a broad and a focussed round.
