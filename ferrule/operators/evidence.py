@@ -47,7 +47,8 @@ def _shrunk(pixels: np.ndarray, size: int = 64) -> np.ndarray:
         w = np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None)
         return w / w.sum(1, keepdims=True)
 
-    return np.einsum("yh,hwc,xw->yxc", weights(pixels.shape[0]), pixels / 255.0, weights(pixels.shape[1]))
+    narrow = np.tensordot(weights(pixels.shape[0]), pixels / 255.0, 1)
+    return np.einsum("xw,ywc->yxc", weights(pixels.shape[1]), narrow, optimize=True)
 
 
 def matched_pictures(pairs: DataFrame, aspect: float = 0.03, mean: float = 0.01, tail: float = 0.08) -> DataFrame:
@@ -81,6 +82,72 @@ def matched_pictures(pairs: DataFrame, aspect: float = 0.03, mean: float = 0.01,
     return pairs.mapInPandas(compare, "source long, candidate long, rotation int, mean_error double, tail_error double, status string")
 
 
+#: Signs of a picture's four square rings, inner to outer, and three channels: what stays the same when it is turned.
+_SIGNS = [((1, 1, 1, 1), (1, 1, 1)), ((1, 1, -1, -1), (1, 1, 1)), ((1, -1, -1, 1), (1, 1, 1)), ((1, -1, 1, -1), (1, 1, 1)), ((1, 1, 1, 1), (1, 1, -1)), ((1, 1, 1, 1), (1, -1, 1))]
+#: Widths of a signature's cells, for the logarithm of the aspect and for signed means; each is several times what a match can differ by.
+ASPECT_CELL, MEAN_CELL = 0.25, 0.08
+
+
+def _rings(size: int = 64) -> np.ndarray:
+    """The ring of each pixel: squares about the middle with about equal areas between them."""
+    away = np.abs(np.arange(size) - (size - 1) / 2)
+    return np.digitize(np.maximum(away[:, None], away[None, :]), [size * x / 2 for x in (0.5, 0.72, 0.875)])
+
+
+def _signatures(probes: bool, aspect: float, mean: float):
+    """Rows (picture, means, cells): signed means of rings, and the signature's cell, or with ``probes`` every cell that a match's may be in."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ring = _rings()
+        shares = np.bincount(ring.ravel(), minlength=4) / ring.size
+        room = np.array([-np.log(1 - aspect), *[mean] * len(_SIGNS)]) + 1e-9
+        width = np.array([ASPECT_CELL, *[MEAN_CELL] * len(_SIGNS)])
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                small = _shrunk(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3))
+                # Of a ring and channel the sum over its pixels, as a share of all pixels.
+                sums = np.stack([np.bincount(ring.ravel(), small[..., c].ravel(), 4) for c in range(3)], 1) / small.size
+                point = np.array([abs(np.log(r.width / r.height)), *[np.outer(a, b).ravel() @ sums.ravel() for a, b in _SIGNS]])
+                low, high = (np.floor((point + x) / width).astype(int) for x in ((-room, room) if probes else (0, 0)))
+                cells = [[]]
+                for a, b in zip(low.tolist(), high.tolist(), strict=True):
+                    cells = [[*c, k] for c in cells for k in range(a, b + 1)]
+                out.append((r.picture, sums.ravel().tolist(), cells))
+            yield pd.DataFrame(out, columns=["picture", "means", "cells"])
+
+    if -np.log(1 - aspect) * 2 >= ASPECT_CELL or mean * 2 >= MEAN_CELL:
+        raise ValueError("tolerances are wider than the cells")
+    return run
+
+
+def same_pictures(pictures: DataFrame) -> DataFrame:
+    """(picture, first): pictures equal pixel by pixel, by size and digest, and the least of them; rows of (picture, height, width, rgb)."""
+    keyed = pictures.select("picture", "height", "width", F.sha2("rgb", 256).alias("_d"))
+    first = keyed.groupBy("height", "width", "_d").agg(F.min("picture").alias("first"))
+    return keyed.join(first, ["height", "width", "_d"]).select("picture", "first")
+
+
+def picture_pairs(sources: DataFrame, candidates: DataFrame, aspect: float = 0.03, mean: float = 0.01, tail: float = 0.08) -> DataFrame:
+    """(source, candidate, rotation, mean_error, tail_error, status) of all pictures that are "exact" or "near", by ``matched_pictures``.
+
+    Rows of both tables are (picture, height, width, rgb). Equal pictures are
+    looked at once: pairs are of the least of each (``same_pictures`` tells the
+    others). A mean error within the tolerance bounds the difference of every
+    signed mean of pixels by as much, and rings stay as they are when a picture is
+    turned: so a match lies in the source's own cell or beside it, whatever
+    the rotation, and nothing is lost. Pairs of a cell must also be close ring by ring before their pixels are
+    fetched. Pictures that are null or have no pixels match nothing.
+    """
+    whole = F.col("rgb").isNotNull() & (F.length("rgb") == F.col("height") * F.col("width") * 3) & (F.length("rgb") > 0)
+    kept = [p.where(whole).groupBy("height", "width", F.sha2("rgb", 256).alias("_d")).agg(F.min("picture").alias("picture"), F.first("rgb").alias("rgb")).select("picture", "height", "width", "rgb") for p in (sources, candidates)]
+    s, c = (p.mapInPandas(_signatures(probes, aspect, mean), "picture long, means array<double>, cells array<array<int>>").select(F.col("picture").alias(name), F.col("means").alias(f"{name}_means"), F.explode("cells").alias("cell")) for p, name, probes in zip(kept, ("source", "candidate"), (True, False), strict=True))
+    gap = F.aggregate(F.zip_with("source_means", "candidate_means", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda x, y: x + y)
+    close = s.join(c, "cell").where(gap <= mean + 1e-9).select("source", "candidate")
+    s, c = (p.select(F.col("picture").alias(name), *[F.col(x).alias(f"{name[0]}_{x}") for x in ("height", "width", "rgb")]) for p, name in zip(kept, ("source", "candidate"), strict=True))
+    return matched_pictures(close.join(s, "source").join(c, "candidate"), aspect, mean, tail).where("status <> 'none'")
+
+
 def modal_sizes(pages: DataFrame) -> DataFrame:
     """(document, height, width): the commonest page size of a document, the first seen of equals."""
     n = pages.groupBy("document", "height", "width").agg(F.count("*").alias("n"), F.min("page").alias("first"))

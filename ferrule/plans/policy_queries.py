@@ -57,3 +57,23 @@ def modal_page_sizes(spark, d):
     """The commonest page size of each document."""
     k = F.col("c_custkey")
     return evidence.modal_sizes(_t(spark, d, "customer").select(F.col("c_nationkey").alias("document"), k.alias("page"), (k % 3 + 10).alias("height"), (k % 2 + 20).alias("width")))
+
+
+def _pictures(spark, d):
+    """Pictures of 8 x 8 or 4 x 16 pixels from vectors, every fourth one turned."""
+    e = _t(spark, d, "embeddings").where("embedding is not null and size(embedding) >= 64")
+    grey = F.transform(F.slice("embedding", 1, 64), lambda x: F.least(F.greatest(F.round(127 + 400 * F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))), F.lit(0.0)), F.lit(255.0)).cast("int"))
+    # A quarter turn of 8 x 8 pixels: the pixel at (y, x) comes from (x, 7 - y).
+    turned = F.transform("grey", lambda _, i: F.get(F.col("grey"), ((i % 8) * 8 + 7 - F.floor(i / 8)).cast("int")))
+    k = F.col("vec_id")
+    rows = e.select(k, grey.alias("grey")).select(k, F.when(k % 4 == 1, turned).otherwise(F.col("grey")).alias("grey"))
+    rgb = F.unhex(F.array_join(F.transform("grey", lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3))), ""))
+    flat = k % 5 == 4
+    return rows.select(k.alias("picture"), F.when(flat, 4).otherwise(8).alias("height"), F.when(flat, 16).otherwise(8).alias("width"), rgb.alias("rgb"))
+
+
+@query()
+def picture_matches(spark, d):
+    """C20: pictures of every 20th vector found among all pictures, whatever way they are turned; checked by tests against all pairs."""
+    p = _pictures(spark, d)
+    return evidence.picture_pairs(p.where("picture % 20 = 0"), p)
