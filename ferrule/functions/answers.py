@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ferrule.functions.assignment import span_scores
+
 #: ASCII punctuation, articles, and the numbers that words stand for.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARTICLES = "a|an|the"
@@ -82,41 +84,25 @@ def _gated(predicted: Column, gold: Column) -> Column:
     return F.when(numbers_match(predicted, gold), bag_f1(predicted, gold)).otherwise(0.0)
 
 
-def _best_assignment(rows: Column, columns: Column) -> Column:
-    """Greatest sum of a score matrix with each row and column used once at most; ``columns`` is its width, the shorter side.
+def list_scores(predicted: Column, gold: Column) -> Column:
+    """(em, f1) of two lists of spans.
 
-    Row by row, the best sum within every set of columns, as an array by the sets' bits.
+    em is 1 if both have the same set of normal forms and the same length. f1 is
+    the best assignment's sum by the longer list's length, to two places, 0 if
+    both are empty; more than MOST_SPANS predicted spans are an error.
     """
-    bit = lambda j: F.call_function("shiftleft", F.lit(1), j)
-    sets = F.sequence(F.lit(0), bit(columns) - 1)
-
-    def step(best: Column, row: Column) -> Column:
-        def within(m: Column) -> Column:
-            taken = F.transform(row, lambda score, j: F.when(m.bitwiseAND(bit(j)) != 0, F.get(best, m - bit(j)) + score).otherwise(0.0))
-            return F.greatest(F.get(best, m), F.array_max(taken))
-
-        return F.transform(sets, within)
-
-    return F.element_at(F.aggregate(rows, F.transform(sets, lambda m: F.lit(0.0)), step), -1)
+    s = span_scores(F.transform(predicted, normalized), F.transform(gold, normalized), NUMBER)
+    longest = F.greatest(F.size(predicted), F.size(gold), F.lit(1))
+    total = F.when(F.size(predicted) > MOST_SPANS, F.raise_error(F.lit("too many predicted spans")).cast("double")).otherwise(s["total"])
+    return F.struct(s["em"].alias("em"), F.bround(total / longest, 2).alias("f1"))
 
 
 def list_em(predicted: Column, gold: Column) -> Column:
-    """1 if both lists of spans have the same set of normal forms and the same length."""
-    p, g = (F.transform(x, normalized) for x in (predicted, gold))
-    same = F.array_sort(F.array_distinct(p)) == F.array_sort(F.array_distinct(g))
-    return (same & (F.size(predicted) == F.size(gold))).cast("double")
+    return list_scores(predicted, gold)["em"]
 
 
 def list_f1(predicted: Column, gold: Column) -> Column:
-    """The best assignment's sum by the longer list's length, to two places; more than MOST_SPANS predicted spans are an error.
-    """
-    p, g = (F.transform(x, lambda s: bag(normalized(s))) for x in (predicted, gold))
-    longest, shortest = F.greatest(F.size(p), F.size(g)), F.least(F.size(p), F.size(g))
-    by_gold = F.transform(g, lambda a: F.transform(p, lambda b: _gated(b, a)))
-    by_prediction = F.transform(p, lambda b: F.transform(g, lambda a: _gated(b, a)))
-    total = F.when(shortest == 0, 0.0).otherwise(_best_assignment(F.when(F.size(g) >= F.size(p), by_gold).otherwise(by_prediction), shortest))
-    total = F.when(F.size(p) > MOST_SPANS, F.raise_error(F.lit("too many predicted spans")).cast("double")).otherwise(total)
-    return F.when(longest == 0, 0.0).otherwise(F.bround(total / F.greatest(longest, F.lit(1)), 2))
+    return list_scores(predicted, gold)["f1"]
 
 
 def text_em(predicted: Column, gold: Column) -> Column:

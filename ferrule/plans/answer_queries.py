@@ -59,7 +59,7 @@ def list_answers(spark, d):
     li = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     names = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "p_name"))), lambda x: x["p_name"])
     lists = li.groupBy("l_orderkey").agg(names.alias("names")).select("l_orderkey", F.slice("names", 2, 2).alias("p"), F.slice("names", 1, 3).alias("g"))
-    return lists.select("l_orderkey", answers.list_em(F.col("p"), F.col("g")).alias("em"), answers.list_f1(F.col("p"), F.col("g")).alias("f1"))
+    return lists.select("l_orderkey", answers.list_scores(F.col("p"), F.col("g")).alias("s")).select("l_orderkey", "s.em", "s.f1")
 
 
 @query("""select o_orderkey, coalesce(k::varchar, '') prediction, (k is not null) predicted from orders left join (select l_orderkey k, count(*) n from lineitem group by 1) on k = o_orderkey and n > 3""")
