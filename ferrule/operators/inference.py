@@ -1,8 +1,7 @@
 """Pair mining, paired summaries, Monte-Carlo errors and hash-drawn bootstraps.
 
-Draws are made by hashes of (seed, draw, unit): a unit's weight in a draw is a
-Poisson(1) number, so that a bootstrap is one pass of weighted sums over
-units x draws made in place, without a join or a shuffle of rows.
+Bootstraps draw n of n units, by ``resampling``: a pass of weighted sums, without
+a join of draws and rows.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators import resampling
+
 
 def preference(a: Column, b: Column, threshold: float, margin: float, closed: bool) -> Column:
     """1, -1 or 0: which of two scores is preferred; one inside the band about the threshold decides nothing.
@@ -98,31 +99,11 @@ def estimand(df: DataFrame, unit: str, value: str, repeated: str) -> DataFrame:
     return df.agg(F.avg(F.col(value) - mean).alias("estimand"), F.count(unit).alias("units"))
 
 
-#: Cumulative Poisson(1) probabilities for weights 0 to 8; beyond them the weight is 9.
-_POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(9)]
-
-
-def weight(*parts: Column) -> Column:
-    """A Poisson(1) weight by hash of the parts."""
-    u = F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    out = F.when(u < _POISSON[0], 0)
-    for k, p in enumerate(_POISSON[1:], 1):
-        out = out.when(u < p, k)
-    return out.otherwise(9)
-
-
 def bootstrap(df: DataFrame, unit: Column, value: Column, draws: int, seed: str, size: Column | None = None) -> DataFrame:
-    """(draw, estimate): weighted means of units, or of clusters with their value sums and sizes.
-
-    Each row's weights in all draws are an array, added up element by element
-    before anything is shuffled: ``draws`` numbers a task go on.
-    """
-    n = size if size is not None else F.lit(1)
-    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    rows = df.select(unit.alias("_u"), value.cast("double").alias("_v"), n.cast("long").alias("_n"))
-    weighted = rows.select("*", every).withColumn("_w", weight(F.lit(seed), F.col("draw"), F.col("_u")))
-    sums = weighted.groupBy("draw").agg(F.sum(F.col("_w") * F.col("_v")).alias("_total"), F.sum(F.col("_w") * F.col("_n")).alias("_size"))
-    return sums.select("draw", F.try_divide(F.col("_total"), F.col("_size")).alias("estimate"))
+    """(draw, estimate): means over n units drawn from n, or of as many clusters with their value sums and sizes."""
+    rows = df.select(unit.alias("_u"), value.cast("double").alias("_v"), (size if size is not None else F.lit(1)).cast("long").alias("_n"))
+    sums = resampling.resampled(rows, ["_u", "_v", "_n"], ["_v", "_n"], draws, seed)
+    return sums.select("draw", F.try_divide("_v", "_n").alias("estimate"))
 
 
 def interval(draws: DataFrame, low: float, high: float) -> DataFrame:
@@ -144,33 +125,29 @@ def clustered(df: DataFrame, cluster: str, value: str) -> DataFrame:
 
 
 def nested_bootstrap(df: DataFrame, unit: str, cluster: str, value: str, repeated: str, draws: int, seed: str) -> DataFrame:
-    """(draw, estimate): clusters are drawn, and within each unit its repetitions."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    rows = df.select(unit, cluster, value, F.col(repeated).alias("_r"), every)
-    inner = F.transform("_r", lambda x, i: F.struct(weight(F.lit(seed), F.lit("inner"), F.col("draw"), F.col(unit), i).alias("w"), x.alias("x")))
-    total = lambda f: F.aggregate(inner, F.lit(0.0), lambda s, x: s + f(x))
-    plain = F.aggregate("_r", F.lit(0.0), lambda s, x: s + x) / F.size("_r")
-    mean = F.coalesce(F.try_divide(total(lambda x: x["w"] * x["x"]), total(lambda x: x["w"].cast("double"))), plain)
-    drawn = rows.withColumn("_d", F.col(value) - mean).withColumn("_w", weight(F.lit(seed), F.lit("outer"), F.col("draw"), F.col(cluster)))
-    return drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("_d")), F.sum("_w")).alias("estimate"))
+    """(draw, estimate): clusters are drawn, n of n, and within each unit its repetitions, all of all; a unit without repetitions isn't there."""
+    rows = df.select(F.col(unit).alias("_u"), F.col(cluster).alias("_c"), F.col(value).cast("double").alias("_v"), F.col(repeated).cast("array<double>").alias("_r"))
+    drawn = resampling.own_means(rows, "_u", "_r", draws, f"{seed}|inner").where("means is not null and _v is not null")
+    each = drawn.select("_c", F.posexplode(F.transform("means", lambda m: F.col("_v") - m)).alias("_d", "_x")).groupBy("_c", "_d").agg(F.sum("_x").alias("_x"), F.count("*").alias("_k"))
+    clusters = each.groupBy("_c").agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_x"))), lambda p: p["_x"]).alias("_x"), F.max("_k").alias("_k"))
+    sums = resampling.resampled(clusters, ["_c"], ["_x", "_k"], draws, f"{seed}|outer")
+    return sums.select("draw", F.try_divide("_x", "_k").alias("estimate"))
 
 
 def stratified_bootstrap(df: DataFrame, unit: str, stratum: str, value: str, weights: dict[str, float], draws: int, seed: str) -> DataFrame:
-    """(draw, estimate): means of strata, each resampled within itself, put together by weights."""
+    """(draw, estimate): means of strata, n of n drawn within each, put together by weights."""
     share = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    rows = df.select(unit, stratum, value, every).withColumn("_w", weight(F.lit(seed), F.col("draw"), F.col(unit)))
-    means = rows.groupBy("draw", stratum).agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("_m")).withColumn("_s", share[F.col(stratum)])
-    return means.groupBy("draw").agg((F.sum(F.col("_m") * F.col("_s")) / F.sum("_s")).alias("estimate"))
+    rows = df.select(F.col(stratum).alias("_s"), F.col(unit).alias("_u"), F.col(value).cast("double").alias("_v"), F.lit(1).cast("long").alias("_n"))
+    sums = resampling.resampled(rows, ["_u", "_v"], ["_v", "_n"], draws, seed, stratum="_s")
+    means = sums.select("draw", (F.col("_v") / F.col("_n")).alias("_m"), share[F.col("_s")].alias("_w"))
+    return means.groupBy("draw").agg((F.sum(F.col("_m") * F.col("_w")) / F.sum("_w")).alias("estimate"))
 
 
 def simultaneous_bounds(df: DataFrame, cluster: str, boundaries: list[str], draws: int, seed: str, level: float = 0.95) -> DataFrame:
     """(boundary, place, estimate, lower): lower bounds that hold together, by the greatest excess of each draw of clusters."""
-    per = df.groupBy(cluster).agg(F.count("*").alias("_n"), *[F.sum(b).alias(b) for b in boundaries])
-    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    w = per.select("*", every).withColumn("_w", weight(F.lit(seed), F.col("draw"), F.col(cluster)))
+    per = df.groupBy(cluster).agg(F.count("*").alias("_n"), *[F.sum(b).cast("double").alias(b) for b in boundaries])
     points = per.agg(*[(F.sum(b) / F.sum("_n")).alias(f"p_{b}") for b in boundaries])
-    drawn = w.groupBy("draw").agg(*[F.try_divide(F.sum(F.col("_w") * F.col(b)), F.sum(F.col("_w") * F.col("_n"))).alias(b) for b in boundaries])
+    drawn = resampling.resampled(per, [cluster], ["_n", *boundaries], draws, seed).select("draw", *[F.try_divide(F.col(b), F.col("_n")).alias(b) for b in boundaries])
     excess = drawn.join(F.broadcast(points)).select(F.greatest(*[F.col(b) - F.col(f"p_{b}") for b in boundaries]).alias("excess"))
     critical = excess.agg(F.percentile("excess", F.lit(level)).alias("critical"))
     rows = F.explode(F.array(*[F.struct(F.lit(b).alias("boundary"), F.lit(i).alias("place"), F.col(f"p_{b}").alias("estimate")) for i, b in enumerate(boundaries)])).alias("x")

@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrule.functions import labels, numbers
-from ferrule.operators import inference, ranking, windows
+from ferrule.operators import inference, ranking, resampling, windows
 from ferrule.plans.catalogue import query
 from ferrule.plans.catalogue import table as _t
 
 
-def _weight(text: str) -> str:
-    """A Poisson(1) weight by hash in SQL."""
-    u = f"(('0x' || substr(sha256({text}), 1, 13))::bigint / 4503599627370496.0)"
-    return "case " + " ".join(f"when {u} < {p!r} then {k}" for k, p in enumerate(inference._POISSON)) + " else 9 end"
+def _drawn(seed: str, tops: str, key: str = "key", name: str = "t") -> str:
+    """Recursive tables in SQL that split each top (``key``, draw, n) down to single places: rows (key, draw, place, w) of ``name``."""
+    u = f"('0x' || substr(sha256({seed} || '|' || lo || '|' || hi || '|' || (draw // 4)), 16 * (draw % 4) + 1, 13))::bigint / 4503599627370496.0"
+    mass = "exp(lgamma(c + 1) - lgamma(j + 1) - lgamma(c - j + 1) + j * ln(p) + (c - j) * ln(1 - p))"
+    left = f"len(list_filter(range(0, c), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: {mass})) <= u))"
+    return f"""{name}_ as (select {key}, draw, 0::bigint lo, n::bigint hi, n::bigint c from {tops}
+  union all select {key}, draw, unnest([lo, mid]), unnest([mid, hi]), unnest([l, c - l]) from (
+    select *, case when c = 0 then 0 else {left} end l from (select *, (lo + hi) // 2 mid, ((lo + hi) // 2 - lo)::double / (hi - lo) p, {u} u from {name}_ where hi - lo > 1))),
+{name} as (select {key}, draw, lo place, c w from {name}_ where hi - lo = 1)"""
 
 
-@query(f"""with w as (select draw, s_acctbal v, {_weight("'boot|' || draw || '|' || s_suppkey")} w from supplier, range(200) r(draw)), m as (select draw, sum(w * v) / nullif(sum(w), 0) m from w group by 1)
-select count(m) draws, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high, round(quantile_cont(m, 0.05), 6) "lower" from m""")
+@query(f"""with recursive x as (select s_acctbal v, row_number() over (order by s_suppkey) - 1 place from supplier), n as (select 0 key, draw, (select count(*) from x) n from range(200) r(draw)), {_drawn("'boot'", "n")},
+m as (select draw, sum(w * v) / sum(w) m from t join x using (place) group by 1)
+select count(m) draws, round(quantile_cont(m, 0.025), 8) low, round(quantile_cont(m, 0.975), 8) high, round(quantile_cont(m, 0.05), 8) "lower" from m""")
 def paired_bootstrap(spark, d):
     """K1: interval and one-sided bound of a mean of paired deltas."""
     b = inference.paired_bootstrap(_t(spark, d, "supplier"), "s_suppkey", "s_acctbal", 200, "boot")
-    return b.select("draws", *[F.round(c, 6).alias(c) for c in ("low", "high", "lower")])
+    return b.select("draws", *[F.round(c, 8).alias(c) for c in ("low", "high", "lower")])
 
 
-@query(f"""with c as (select c_nationkey g, sum(c_acctbal) t, count(*) n from customer group by 1), w as (select draw, t, n, {_weight("'fam|' || draw || '|' || g")} w from c, range(200) r(draw)),
-m as (select draw, sum(w * t) / nullif(sum(w * n), 0) m from w group by 1) select count(m) draws, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high from m""")
+@query(f"""with recursive c as (select c_nationkey g, sum(c_acctbal) t, count(*) n, row_number() over (order by c_nationkey) - 1 place from customer group by 1), n as (select 0 key, draw, (select count(*) from c) n from range(200) r(draw)), {_drawn("'fam'", "n", name="d")},
+m as (select draw, sum(w * t) / sum(w * n) m from d join c using (place) group by 1) select count(m) draws, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high from m""")
 def family_bootstrap(spark, d):
     """K2: families are drawn, and their questions pooled."""
     c = inference.clustered(_t(spark, d, "customer"), "c_nationkey", "c_acctbal")
@@ -33,10 +39,11 @@ def family_bootstrap(spark, d):
     return inference.interval(b, 0.025, 0.975).select("draws", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query(f"""with q as (select l_suppkey u, l_suppkey % 7 g, max(l_discount) v, list(l_discount order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) r from lineitem where l_linenumber = 1 group by 1),
-e as (select draw, u, g, v, r[i] x, {_weight("'nest|inner|' || draw || '|' || u || '|' || (i - 1)")} w from q, range(20) d(draw), range(1, len(r) + 1) s(i)),
-m as (select draw, u, g, any_value(v) - coalesce(sum(w * x) / nullif(sum(w), 0), avg(x)) d from e group by 1, 2, 3),
-o as (select draw, d, {_weight("'nest|outer|' || draw || '|' || g")} w from m), f as (select draw, sum(w * d) / nullif(sum(w), 0) m from o group by 1)
+@query(f"""with recursive q as (select l_suppkey u, l_suppkey % 7 g, max(l_discount) v, list(l_discount order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) r from lineitem where l_linenumber = 1 group by 1),
+i as (select u key, draw, len(r) n from q, range(20) d(draw)), {_drawn("'nest|inner|' || key", "i", name="x")},
+e as (select draw, g, sum(d) d, count(*) k from (select draw, u, any_value(g) g, any_value(v) - sum(w * r[place + 1]) / sum(w) d from x join q on u = key group by 1, 2) group by 1, 2),
+g as (select g, row_number() over (order by g) - 1 place from (select distinct g from q)), n as (select 0 key, draw, (select count(*) from g) n from range(20) r(draw)), {_drawn("'nest|outer'", "n", name="o")},
+f as (select draw, sum(w * d) / sum(w * k) m from o join g using (place) join e using (draw, g) group by 1)
 select count(m) draws, round(quantile_cont(m, 0.05), 9) low, round(quantile_cont(m, 0.95), 9) high from f""")
 def nested_inference(spark, d):
     """K3: components are drawn, and masks within each question; the interval of two one-sided tests."""
@@ -49,8 +56,8 @@ def nested_inference(spark, d):
 _CURVE = "select l_partkey % 50 g, l_discount - 0.05 b0, l_tax - 0.04 b1, l_quantity / 1000 - 0.02 b2 from lineitem"
 
 
-@query(f"""with x as ({_CURVE}), c as (select g, count(*) n, sum(b0) b0, sum(b1) b1, sum(b2) b2 from x group by 1), p as (select sum(b0) / sum(n) p0, sum(b1) / sum(n) p1, sum(b2) / sum(n) p2 from c),
-w as (select draw, c.*, {_weight("'curve|' || draw || '|' || g")} w from c, range(100) r(draw)),
+@query(f"""with recursive x as ({_CURVE}), c as (select g, count(*) n, sum(b0) b0, sum(b1) b1, sum(b2) b2, row_number() over (order by g) - 1 place from x group by 1), p as (select sum(b0) / sum(n) p0, sum(b1) / sum(n) p1, sum(b2) / sum(n) p2 from c),
+m as (select 0 key, draw, (select count(*) from c) n from range(100) r(draw)), {_drawn("'curve'", "m")}, w as (select draw, c.*, w from t join c using (place)),
 e as (select draw, greatest(sum(w * b0) / sum(w * n) - any_value(p0), sum(w * b1) / sum(w * n) - any_value(p1), sum(w * b2) / sum(w * n) - any_value(p2)) e from w, p group by 1), k as (select quantile_cont(e, 0.95) k from e),
 f as (select 'b0' boundary, 0 place, p0 est, p0 - k lo from p, k union all select 'b1', 1, p1, p1 - k from p, k union all select 'b2', 2, p2, p2 - k from p, k)
 select boundary, place, round(est, 9) estimate, round(lo, 9) "lower", (select min(place) from f a where not exists (select 1 from f b where b.place >= a.place and b.lo <= -0.001)) persistent from f""")
@@ -62,9 +69,10 @@ def removal_curve(spark, d):
     return bounds.join(F.broadcast(lasting)).select("boundary", "place", F.round("estimate", 9).alias("estimate"), F.round("lower", 9).alias("lower"), "persistent")
 
 
-@query(f"""with w as (select draw, o_orderstatus s, o_totalprice v, {_weight("'strata|' || draw || '|' || o_orderkey")} w from orders where o_custkey % 10 = o_orderkey % 10, range(20) r(draw)),
-m as (select draw, s, sum(w * v) / nullif(sum(w), 0) m from w group by 1, 2), e as (select draw, sum(m * case s when 'F' then 0.5 when 'O' then 0.3 else 0.2 end) / sum(case s when 'F' then 0.5 when 'O' then 0.3 else 0.2 end) e from m group by 1)
-select count(e) draws, round(quantile_cont(e, 0.025), 4) low, round(quantile_cont(e, 0.975), 4) high from e""".replace("from orders where o_custkey % 10 = o_orderkey % 10, range(20) r(draw)", "from orders, range(20) r(draw) where o_custkey % 10 = o_orderkey % 10"))
+@query(f"""with recursive x as (select o_orderstatus s, o_totalprice v, row_number() over (partition by o_orderstatus order by o_orderkey) - 1 place from orders where o_custkey % 10 = o_orderkey % 10),
+n as (select s key, draw, count(*) n from x, range(20) r(draw) group by 1, 2), {_drawn("'strata|' || key", "n")}, m as (select draw, s, sum(w * v) / sum(w) m from t join x on s = key and t.place = x.place group by 1, 2),
+e as (select draw, sum(m * case s when 'F' then 0.5 when 'O' then 0.3 else 0.2 end) / sum(case s when 'F' then 0.5 when 'O' then 0.3 else 0.2 end) e from m group by 1)
+select count(e) draws, round(quantile_cont(e, 0.025), 4) low, round(quantile_cont(e, 0.975), 4) high from e""")
 def stratified_interval(spark, d):
     """K5: strata are resampled each, and put together by weights."""
     o = _t(spark, d, "orders").where("o_custkey % 10 = o_orderkey % 10")
@@ -260,3 +268,32 @@ def holm_family(spark, d):
     n = h.agg(F.count("*").alias("n"))
     p = h.withColumn("r", ranking.average_rank("d", ["g"])).join(F.broadcast(n)).withColumn("p", F.col("r") / F.col("n"))
     return ranking.holm(p, ["g"], "p", "s").select("s", F.round("adjusted", 9).alias("adjusted"))
+
+
+@query(f"""with recursive e as (select event_type b, event_id % 2 = 0 p, event_id % 3 = 0 q, value v, event_type || '|' || (event_id % 2 = 0)::int || '|' || (event_id % 3 = 0)::int s, event_id u from events),
+x as (select *, row_number() over (partition by s order by u) - 1 place from e), n as (select s key, draw, count(*) n from x, range(12) r(draw) group by 1, 2), {_drawn("'cells|' || key", "n")},
+c as (select b, draw, p, q, sum(w * v) / sum(w) m from t join x on s = key and t.place = x.place group by 1, 2, 3, 4),
+k as (select b, draw, sum(case when p = q then m else -m end) i from c group by 1, 2), l as (select b, round(quantile_cont(i, 0.025), 8) low, round(quantile_cont(i, 0.975), 8) high from k group by 1),
+a as (select b, p, q, count(*) n, avg(v) m from e group by 1, 2, 3)
+select b event_type, sum(n) filter (not p and not q)::bigint n00, sum(n) filter (not p and q)::bigint n01, sum(n) filter (p and not q)::bigint n10, sum(n) filter (p and q)::bigint n11,
+  round(sum(case when q then m else -m end) filter (p), 8) effect_present, round(sum(case when q then m else -m end) filter (not p), 8) effect_absent, round(sum(case when p = q then m else -m end), 8) interaction, any_value(low) low, any_value(high) high
+from a join l using (b) group by 1""")
+def interaction_cells(spark, d):
+    """K6: what one mask adds with and without another, and the interval of the difference by draws within the four cells."""
+    e = _t(spark, d, "events").select("event_type", "event_id", "value", (F.col("event_id") % 2 == 0).alias("p"), (F.col("event_id") % 3 == 0).alias("q"))
+    out = resampling.interactions(e, "event_type", "p", "q", "value", "event_id", 12, "cells")
+    return out.select("event_type", "n00", "n01", "n10", "n11", *[F.round(c, 8).alias(c) for c in ("effect_present", "effect_absent", "interaction", "low", "high")])
+
+
+@query("""with e as (select user_id c, event_id i, event_type kind, event_id * 7919 % 97 cost, value s, (event_id * 31 % 101) / 100.0 m from events),
+q as (select c, quantile_cont(cost, [0.2, 0.4, 0.6, 0.8]) q, (count(*) + 4) // 5 k, sum(m) total from e group by 1), f as (select e.*, len(list_filter(q, lambda x: x < cost)) bin, k, total from e join q using (c)),
+b as (select *, row_number() over (partition by c, kind, bin order by i) r from f), d as (select c, i, kind, bin, m, k, total, draw, row_number() over (partition by c, kind, bin, draw order by sha256('match|' || draw || '|' || i), i) r from b, range(40) r(draw)),
+p as (select d.c, draw, d.i, d.m, d.k, d.total, b.s from d join b on d.c = b.c and d.kind = b.kind and d.bin = b.bin and d.r = b.r), t as (select *, row_number() over (partition by c, draw order by s desc, i) n from p),
+v as (select c, draw, sum(case when n <= k then m else 0 end) / any_value(total) v from t group by 1, 2), o as (select *, row_number() over (partition by c order by s desc, i) n from b), a as (select c, sum(case when n <= k then m else 0 end) / any_value(total) v from o group by 1)
+select c user_id, round(any_value(a.v)::double, 9) actual, round(avg(v.v)::double, 9) null_mean, round(quantile_cont(v.v, 0.025)::double, 9) null_low, round(quantile_cont(v.v, 0.975)::double, 9) null_high from v join a using (c) group by 1""")
+def matched_permutations(spark, d):
+    """K6: mass that the best fifth holds, against scores permuted among items of one kind and cost."""
+    k = F.col("event_id")
+    e = _t(spark, d, "events").select("user_id", k, "event_type", (k * 7919 % 97).alias("cost"), "value", ((k * 31 % 101) / 100).alias("mass"))
+    out = resampling.matched_null(e, "user_id", "event_id", "event_type", "cost", "value", "mass", 40, "match")
+    return out.select("user_id", *[F.round(c, 9).alias(c) for c in ("actual", "null_mean", "null_low", "null_high")])

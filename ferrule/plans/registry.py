@@ -401,5 +401,5 @@ def refit_stability(spark, d):
 
 @query()
 def sign_permutations(spark, d):
-    """K6: permutation nulls within matched groups; checked by tests."""
+    """Paired differences within groups, and how often flipped signs give as much; checked by tests."""
     return surrogates.permuted(_t(spark, d, "lineitem"), "l_suppkey", "l_discount", "l_tax")

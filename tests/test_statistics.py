@@ -58,12 +58,6 @@ def test_arms_pages_and_units(spark):
     assert all(v <= 0.1 * sum(1 + k % 3 for k in range(30)) for u, v in sizes.items() if u.startswith("p"))
 
 
-def test_weights_are_poisson(spark):
-    n = spark.range(20_000).select(inference.weight(F.lit("w"), F.col("id")).alias("w")).groupBy("w").count().collect()
-    share = {r.w: r["count"] / 20_000 for r in n}
-    assert abs(share[0] - 0.3679) < 0.012 and abs(share[1] - 0.3679) < 0.012 and abs(share[2] - 0.1839) < 0.01
-
-
 def test_bootstraps_have_the_right_spread(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal(400)
