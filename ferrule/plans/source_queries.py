@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ferrule.operators.settle import scratch
 from ferrule.plans.catalogue import query
 from ferrule.plans.catalogue import table as _t
-from ferrule.sources import jsonl, stores
+from ferrule.sources import jsonl, stores, zips
 from ferrule.streaming import committed, observation, replay
 
 
@@ -176,3 +176,14 @@ def next_probes(spark, d):
 def measured_rows(spark, d):
     """M8: rows without each group's warm-up."""
     return replay.measured(_t(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id")
+
+
+@query("select c_custkey k, c_nationkey n, strlen(c_name)::bigint \"size\", c_name \"name\" from customer where c_custkey % 3 = 0")
+def zipped_rows(spark, d):
+    """Members of archives read by ranges; those whose names don't begin with "a/" are never fetched."""
+    path, k = scratch(spark, "zips"), F.col("c_custkey")
+    rows = _t(spark, d, "customer").select("c_nationkey", F.concat(F.when(k % 3 == 0, "a/").otherwise("b/"), k.cast("string")).alias("member"), F.encode("c_name", "UTF-8").alias("content"))
+    zips.write_archives(rows, path, "c_nationkey", "member", "content")
+    m = zips.members(spark, path).where(F.col("name").startswith("a/"))
+    number = F.regexp_extract("archive", r"(\d+)\.zip$", 1).cast("long")
+    return m.select(F.substring("name", 3, 20).cast("long").alias("k"), number.alias("n"), "size", F.decode("content", "UTF-8").alias("name"))

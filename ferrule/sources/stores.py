@@ -9,13 +9,14 @@ import time
 import tomllib
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import fields
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.sources import zips
+
 BUCKETS = 64
 
 
@@ -168,20 +169,8 @@ def markdown(df: DataFrame, title: str, most: int = 1_000) -> str:
 
 
 def zip_members(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
-    """(archive, name, size, content) of the members of ZIP archives whose name matches."""
-    import re
-
-    wanted = re.compile(pattern)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
-                    for m in z.infolist():
-                        if wanted.fullmatch(m.filename):
-                            yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([m.filename]), pa.array([m.file_size], pa.int64()), pa.array([z.read(m)], pa.binary())], names=["archive", "name", "size", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, name string, size long, content binary")
+    """(archive, name, size, content) of the members of ZIP archives whose name matches, read by ranges (``zips``)."""
+    return zips.members(spark, path, pattern)
 
 
 def ranged_member(read: Callable[[int, int], bytes], size: int, name: str) -> bytes:
