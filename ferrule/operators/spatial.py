@@ -1,4 +1,4 @@
-"""Rectangle overlaps by page and grid cell, and ownership of tokens by regions."""
+"""Rectangle overlaps by page and cells of a hierarchy of grids, and ownership of tokens by regions."""
 
 from __future__ import annotations
 
@@ -8,22 +8,48 @@ from pyspark.sql import functions as F
 from ferrule.functions.numbers import grid_cell
 
 
+def level(p: str, cell: float) -> Column:
+    """The least level whose cells, of side cell * 2^level, are as long as the box is: it lies in two of them at most, either way."""
+    longest = F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0"))
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(longest / cell, F.lit(1.0))))).cast("int")
+
+
+def in_cells(df: DataFrame, p: str, cell: float, at: str) -> DataFrame:
+    """Each box in its cells (cx, cy) of the grid of level ``at``."""
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col(at))
+    span = lambda x: F.sequence(F.floor(F.col(f"{p}{x}0") / side), F.floor(F.col(f"{p}{x}1") / side))
+    return df.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+
+
 def overlap_join(tokens: DataFrame, regions: DataFrame, cell: float = 16) -> DataFrame:
     """Pairs on one page with a positive intersection area.
 
-    Boxes (x0, y0, x1, y1; tokens' columns start with t, regions' with r) meet in
-    grid cells; a pair is made in the cell of its intersection's corner only.
+    Boxes (x0, y0, x1, y1; tokens' columns start with t, regions' with r) lie in a
+    hierarchy of grids, each on the level of its own size, in at most four
+    cells. A pair meets on the level of the larger box, where the smaller one is looked up, and is made in the cell
+    of its intersection's corner only. Boxes with a null corner meet nothing.
     """
-
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        xs = F.sequence(F.floor(F.col(f"{p}x0") / cell), F.floor(F.col(f"{p}x1") / cell))
-        ys = F.sequence(F.floor(F.col(f"{p}y0") / cell), F.floor(F.col(f"{p}y1") / cell))
-        return df.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
-
     x0, y0 = F.greatest("tx0", "rx0"), F.greatest("ty0", "ry0")
     w, h = F.least("tx1", "rx1") - x0, F.least("ty1", "ry1") - y0
-    pairs = cells(tokens, "t").join(cells(regions, "r"), ["page", "cx", "cy"]).where((w > 0) & (h > 0))
-    return pairs.where((F.col("cx") == F.floor(x0 / cell)) & (F.col("cy") == F.floor(y0 / cell))).withColumn("area", w * h).drop("cx", "cy")
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    corner = (F.col("cx") == F.floor(x0 / side)) & (F.col("cy") == F.floor(y0 / side))
+
+    def leveled(df: DataFrame, p: str) -> DataFrame:
+        return df.where(" and ".join(f"{p}{c} is not null" for c in ("x0", "y0", "x1", "y1"))).withColumn("_own", level(p, cell))
+
+    t, r = leveled(tokens, "t"), leveled(regions, "r")
+
+    def met(small: DataFrame, p: str, large: DataFrame, q: str, strictly: bool) -> DataFrame:
+        # The levels of the larger side are one row, a few dozen numbers at most.
+        there = F.broadcast(large.agg(F.collect_set("_own").alias("_levels")))
+        up = F.filter("_levels", lambda x: (x > F.col("_own")) if strictly else (x >= F.col("_own")))
+        probes = small.crossJoin(there).withColumn("_level", F.explode(up)).drop("_own", "_levels")
+        least = F.broadcast(small.agg(F.min("_own").alias("_least")))
+        held = large.crossJoin(least).where((F.col("_own") > F.col("_least")) if strictly else F.col("_own") >= F.col("_least")).drop("_least").withColumnRenamed("_own", "_level")
+        return in_cells(probes, p, cell, "_level").join(in_cells(held, q, cell, "_level"), ["page", "_level", "cx", "cy"])
+
+    pairs = met(t, "t", r, "r", False).unionByName(met(r, "r", t, "t", True))
+    return pairs.where((w > 0) & (h > 0) & corner).withColumn("area", w * h).drop("cx", "cy", "_level")
 
 
 def owners(tokens: DataFrame, regions: DataFrame, token: str = "token", order: list[str] | None = None, cell: float = 16) -> DataFrame:
