@@ -1,13 +1,17 @@
 """Rasters as rows (page, y, x, v): scatter, resize, smoothing, backgrounds, group decisions.
 
-Every step is a join with a small table of offsets or a grouped aggregate, so
-pages are dealt over all tasks.
+Resizing and smoothing are products of a matrix for each axis with a page's
+array: cells are shuffled once, by page, and a page is one array there. Other steps
+are grouped aggregates. Pages are dealt over all tasks; a page's size is its raster's.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +36,70 @@ def scatter_violations(tokens: DataFrame, height: int, width: int) -> DataFrame:
     return outside.union(tokens.groupBy("page", "place").count().where("count > 1").select(F.lit("repeated"), "page", "place"))
 
 
+def resize_weights(n: int, m: int) -> np.ndarray:
+    """(m, n): what each of m cells takes of n by linear interpolation, cell centres at halves."""
+    at = np.maximum((np.arange(m) + 0.5) * (n / m) - 0.5, 0.0)
+    low = np.minimum(np.floor(at), n - 1).astype(int)
+    out = np.zeros((m, n))
+    np.add.at(out, (np.arange(m), low), 1 - (at - low))
+    np.add.at(out, (np.arange(m), np.minimum(low + 1, n - 1)), at - low)
+    return out
+
+
+def smooth_weights(n: int, sigma: float, truncate: float = 3.0) -> np.ndarray:
+    """(n, n): a Gaussian along an axis, border cells repeated."""
+    taps = np.arange(-(radius := max(1, math.ceil(truncate * sigma))), radius + 1)
+    w = np.exp(-(taps * taps) / (2 * sigma * sigma))
+    out = np.zeros((n, n))
+    np.add.at(out, (np.repeat(np.arange(n), len(taps)), np.clip(np.arange(n)[:, None] + taps, 0, n - 1).ravel()), np.tile(w / w.sum(), n))
+    return out
+
+
+def nearest_cells(n: int, m: int) -> np.ndarray:
+    return np.floor(np.arange(m) * (n / m)).astype(int)
+
+
+def _summed(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``w @ v`` over the values that are there: NaN where no cell with a weight has one; infinite ones stay so."""
+    there, endless = ~np.isnan(v), np.isinf(v)
+    out = w @ np.where(there & ~endless, v, 0.0)
+    if endless.any():
+        for sign in (np.inf, -np.inf):
+            out = np.where((w > 0).astype(float) @ (v == sign) > 0, out + sign, out)
+    return np.where((w > 0).astype(float) @ there > 0, out, np.nan)
+
+
+def _paged(raster: DataFrame, shape: tuple[int, int], step: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(page, y, x, v) after ``step``, which makes of a page's values (NaN: none) and of whether its cells are there new ones."""
+    kind = raster.schema["page"].dataType.simpleString()
+
+    def run(rows: pa.Table) -> pa.Table:
+        v, there = np.full(shape, np.nan), np.zeros(shape, bool)
+        at = rows.column("y").to_numpy(), rows.column("x").to_numpy()
+        v[at], there[at] = rows.column("v").cast(pa.float64()).to_numpy(), True
+        out, kept = step(v, there)
+        y, x = np.nonzero(kept)
+        page = rows.column("page").slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(y), np.int64)))
+        values = out[y, x]
+        return pa.table({"page": page, "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "v": pa.array(values, pa.float64(), mask=np.isnan(values))})
+
+    return raster.select("page", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v")).groupBy("page").applyInArrow(run, f"page {kind}, y int, x int, v double")
+
+
 def resized(raster: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
-    """Bilinear resize with pixel centres at halves: each target cell joins its four neighbours with their weights."""
+    """Bilinear resize with pixel centres at halves, over the values that are there; a cell none of whose neighbours is a row is no row."""
+    y, x = (resize_weights(n, m) for n, m in zip(source, target, strict=True))
 
-    def axis(name: str, n: int, m: int) -> list[Column]:
-        at = F.greatest((F.col(name) + 0.5) * (n / m) - 0.5, F.lit(0.0))
-        low = F.least(F.floor(at), F.lit(n - 1)).cast("int")
-        part = at - low
-        return [F.struct(low.alias("at"), (1 - part).alias("w")), F.struct(F.least(low + 1, F.lit(n - 1)).alias("at"), part.alias("w"))]
+    def step(v: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = (y > 0).astype(float) @ there @ (x > 0).astype(float).T > 0
+        endless = np.isinf(v)
+        value = y @ np.where(np.isnan(v) | endless, 0.0, v) @ x.T
+        for sign in (np.inf, -np.inf):
+            value = np.where((y > 0).astype(float) @ (v == sign) @ (x > 0).astype(float).T > 0, value + sign, value)
+        some = (y > 0).astype(float) @ ~np.isnan(v) @ (x > 0).astype(float).T > 0
+        return np.where(some, value, np.nan), near
 
-    ys, xs = axis("y", source[0], target[0]), axis("x", source[1], target[1])
-    near = F.explode(F.array(*[F.struct(b["at"].alias("y0"), a["at"].alias("x0"), (a["w"] * b["w"]).alias("w")) for a in xs for b in ys]))
-    wanted = grid(raster, *target).withColumn("near", near).select("page", "y", "x", "near.*").where("w > 0")
-    found = wanted.join(raster.select("page", F.col("y").alias("y0"), F.col("x").alias("x0"), "v"), ["page", "y0", "x0"])
-    return found.groupBy("page", "y", "x").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    return _paged(raster, source, step)
 
 
 def nearest(raster: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
@@ -56,18 +110,14 @@ def nearest(raster: DataFrame, source: tuple[int, int], target: tuple[int, int])
 
 
 def smoothed(raster: DataFrame, height: int, width: int, sigma: float, truncate: float = 3.0) -> DataFrame:
-    """Gaussian smoothing with repeated borders, one axis after the other, as the kernel is a product."""
-    radius = max(1, math.ceil(truncate * sigma))
-    raw = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    taps = F.array(*[F.struct(F.lit(k).alias("d"), F.lit(w / sum(raw)).alias("w")) for k, w in zip(range(-radius, radius + 1), raw, strict=True)])
+    """Gaussian smoothing with repeated borders, one axis after the other, as the kernel is a product; over the values that are there, for the cells that are rows."""
+    y, x = (smooth_weights(n, sigma, truncate) for n in (height, width))
 
-    def along(df: DataFrame, axis: str, size: int) -> DataFrame:
-        other = "x" if axis == "y" else "y"
-        wanted = df.select("page", "y", "x", F.explode(taps).alias("tap")).withColumn("at", F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(axis) + F.col("tap.d"))))
-        values = df.select("page", F.col(axis).alias("at"), other, "v")
-        return wanted.join(values, ["page", "at", other]).groupBy("page", "y", "x").agg(F.sum(F.col("tap.w") * F.col("v")).alias("v"))
+    def step(v: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.where(there, _summed(y, v), np.nan)
+        return _summed(x, first.T).T, there
 
-    return along(along(raster, "y", height), "x", width)
+    return _paged(raster, (height, width), step)
 
 
 def backgrounds(pixels: DataFrame, patch: int, tolerance: float) -> DataFrame:
@@ -92,12 +142,36 @@ def group_keep(cells: DataFrame, keep: Column, retention: str, mean_keep: Column
 
 
 def relevant_groups(tokens: DataFrame, source: tuple[int, int], target: tuple[int, int], threshold: float, sigma: float, retention: str = "any", merge: int = 2) -> DataFrame:
-    """(page, gy, gx, keep): scatter, resize, smooth and threshold relevance; a group also needs that all its cells had a token nearest to them."""
-    dense = scattered(tokens, *source)
-    smooth = smoothed(resized(dense.fillna({"v": 0.0}), source, target), *target, sigma)
-    kept = group_keep(smooth, F.col("v") >= threshold, retention, F.col("v") >= threshold, merge)
-    valid = group_keep(nearest(dense.withColumn("v", F.col("v").isNotNull()), source, target), F.col("v"), "all", merge=merge).withColumnRenamed("keep", "valid")
-    return kept.join(valid, ["page", "gy", "gx"]).select("page", "gy", "gx", (F.col("keep") & F.col("valid")).alias("keep"))
+    """(page, gy, gx, keep): scatter, resize, smooth and threshold relevance; a group also needs that all its cells had a token nearest to them.
+
+    The whole chain is one pass over a page's tokens (page, place, v); tokens without a place on the raster are
+    passed over, without a value count as 0.
+    """
+    if retention not in ("any", "all", "mean"):
+        raise ValueError("retention must be any, all or mean")
+    kind = tokens.schema["page"].dataType.simpleString()
+    spread = [smooth_weights(m, sigma) @ resize_weights(n, m) for n, m in zip(source, target, strict=True)]
+    near = np.ix_(*[nearest_cells(n, m) for n, m in zip(source, target, strict=True)])
+    edges = [np.arange(0, m, merge) for m in target]
+    over = lambda f, a: f.reduceat(f.reduceat(a, edges[0], axis=0), edges[1], axis=1)
+
+    def run(rows: pa.Table) -> pa.Table:
+        place, v = rows.column("place").to_numpy(), rows.column("v").to_numpy()
+        inside = (place >= 0) & (place < source[0] * source[1])
+        dense, there = np.zeros(source[0] * source[1]), np.zeros(source[0] * source[1], bool)
+        dense[place[inside]], there[place[inside]] = np.nan_to_num(v[inside], nan=0.0), ~np.isnan(v[inside])
+        smooth = spread[0] @ dense.reshape(source) @ spread[1].T
+        valid = over(np.logical_and, there.reshape(source)[near])
+        if retention == "mean":
+            keep = over(np.add, smooth) / over(np.add, np.ones(target)) >= threshold
+        else:
+            keep = over(np.logical_or if retention == "any" else np.logical_and, smooth >= threshold)
+        y, x = np.indices(keep.shape)
+        page = rows.column("page").slice(0, 1).combine_chunks().take(pa.array(np.zeros(keep.size, np.int64)))
+        return pa.table({"page": page, "gy": pa.array(y.ravel(), pa.int32()), "gx": pa.array(x.ravel(), pa.int32()), "keep": pa.array((keep & valid).ravel())})
+
+    rows = tokens.select("page", F.col("place").cast("long").alias("place"), F.col("v").cast("double").alias("v")).where("place is not null")
+    return rows.groupBy("page").applyInArrow(run, f"page {kind}, gy int, gx int, keep boolean")
 
 
 def kept_pages(background: DataFrame, relevant: DataFrame) -> DataFrame:

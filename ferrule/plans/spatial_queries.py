@@ -153,9 +153,16 @@ def smoothed_maps(spark, d):
     return raster.smoothed(_raster(spark, d), 6, 5, 1.0).select("page", "y", "x", F.round("v", 6).alias("v"))
 
 
-@query()
+@query(f"""with t as (select n_nationkey page, p::int place, (p * 3 % 7) / 7.0 v from nation, range(30) r(p) where (p + n_nationkey) % 7 > 0),
+ras as (select n_nationkey page, y::int y, x::int x, coalesce(t.v, 0)::double v, t.v is not null there from nation cross join range(6) a(y) cross join range(5) b(x) left join t on t.page = n_nationkey and t.place = y * 5 + x),
+g as (select page, y::int y, x::int x, {_axis('y', 6, 8)}, {_axis('x', 5, 10)} from (select n_nationkey page from nation), range(8) a(y), range(10) b(x)),
+z as (select g.page, g.y, g.x, sum(r.v * (case when r.y = y0 then 1 - yp else 0 end + case when r.y = y1 then yp else 0 end) * (case when r.x = x0 then 1 - xp else 0 end + case when r.x = x1 then xp else 0 end)) v from g join ras r on r.page = g.page and r.y in (y0, y1) and r.x in (x0, x1) group by 1, 2, 3),
+w as (select d, exp(-(d * d) / 2.0) / (select sum(exp(-(k * k) / 2.0)) from range(-3, 4) r(k)) w from range(-3, 4) r(d)),
+s as (select r.page, r.y, r.x, sum(a.w * b.w * n.v) v from z r, w a, w b, z n where n.page = r.page and n.y = greatest(0, least(7, r.y + a.d)) and n.x = greatest(0, least(9, r.x + b.d)) group by 1, 2, 3),
+k as (select page, y // 2 gy, x // 2 gx, bool_or(v >= 0.4) keep from s group by 1, 2, 3), n as (select g.page, g.y // 2 gy, g.x // 2 gx, bool_and(there) valid from g join ras r on r.page = g.page and r.y = floor(g.y * 0.75) and r.x = floor(g.x * 0.5) group by 1, 2, 3)
+select page, gy::int gy, gx::int gx, keep and valid keep from k join n using (page, gy, gx)""")
 def relevant_groups(spark, d):
-    """H9: the whole chain from sparse tokens to kept groups; checked by tests step by step."""
+    """H9: the whole chain from sparse tokens to kept groups."""
     p = _t(spark, d, "nation").select(F.col("n_nationkey").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("place")).where("(place + page) % 7 > 0")
     return raster.relevant_groups(p.withColumn("v", F.col("place") * 3 % 7 / 7.0), (6, 5), (8, 10), 0.4, 1.0)
 
