@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components by contraction of edges."""
 
 from __future__ import annotations
 
@@ -7,30 +7,42 @@ from pyspark.sql import functions as F
 
 from ferrule.operators.settle import settled
 
-#: An id with more links than this gets its label by a broadcast of such ids' labels, which are fewer than the links by that factor.
-HOT_LINKS = 1_000_000
-
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for edges (a, b): the least id reachable. Lineage is cut by reliable checkpoints."""
+    """(id, component) for edges (a, b): the least id reachable.
+
+    In each round every vertex points to the least of itself and its
+    neighbours in an order drawn by hash for that round, so that chains of pointers are
+    short whatever the ids; pointers are followed four steps, vertices become what
+    they point to, and edges within one vertex go. Edges and vertices shrink by a factor each round, and a
+    round's pointers are kept, of vertices that were still there; in the end they are
+    put together from the last round back. Rows with a null end are ignored, loops make
+    their vertex a component. Keys of hubs and of large components are hot on one side of
+    joins only, where adaptive execution splits them; least values are aggregated on the map side.
+    """
     links = edges.where("a is not null and b is not null").select("a", "b")
-    both = settled(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    hubs = settled(both.groupBy(F.col("b").alias("hub")).count().where(F.col("count") > HOT_LINKS).select("hub"))
-    hot = not hubs.isEmpty()
-    plain = both.join(F.broadcast(hubs), both.b == hubs.hub, "left_anti") if hot else both
-    labels = settled(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
-    while True:
-        seen = plain.join(labels, plain.b == labels.id).select("a", "label")
-        if hot:
-            known = labels.join(F.broadcast(hubs), labels.id == hubs.hub, "left_semi")
-            seen = seen.union(both.join(F.broadcast(known), both.b == known.id).select("a", "label"))
-        near = seen.groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("label", "near").alias("l1"), F.col("label").alias("old"))
-        jump = labels.select(F.col("id").alias("l1"), F.col("label").alias("l2"))
-        new = settled(step.join(jump, "l1", "left").select("id", F.least("l1", "l2").alias("label"), "old"))
-        if new.where("label <> old").limit(1).count() == 0:
-            return new.select("id", F.col("label").alias("component"))
-        labels = new.select("id", "label")
+    ids = settled(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    left = settled(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pointers: list[DataFrame] = []
+    while not left.isEmpty():
+        place = lambda c: F.struct(F.xxhash64(c, F.lit(len(pointers))).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(place("b")).alias("m"))
+        up = near.select(F.col("a").alias("id"), F.least("m", place("a"))["id"].alias("up"))
+        for _ in range(2):
+            up = settled(up)
+            up = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("_next")), "up").select("id", F.col("_next").alias("up"))
+        up = settled(up)
+        pointers.append(up)
+        moved = left.join(up.select(F.col("id").alias("a"), F.col("up").alias("_a")), "a").join(up.select(F.col("id").alias("b"), F.col("up").alias("_b")), "b").where("_a <> _b")
+        left = settled(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    root = ids.select("id", F.col("id").alias("up")).limit(0)
+    for up in reversed(pointers):
+        last = root.select(F.col("id").alias("up"), F.col("up").alias("_last"))
+        root = settled(up.join(last, "up", "left").select("id", F.coalesce("_last", "up").alias("up")))
+    whole = settled(ids.join(root, "id", "left").select("id", F.coalesce("up", "id").alias("up")))
+    least = whole.groupBy("up").agg(F.min("id").alias("component"))
+    return whole.join(least, "up").select("id", "component")
 
 
 def named_components(members: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,3 +195,12 @@ def equivalence_size(spread: float, margin: float, true_difference: float = 0.0,
         middle = (low + high) // 2
         low, high = (low, middle) if reached(middle) else (middle + 1, high)
     return high
+
+
+def equivalence_sizes(spread: Column, margin: float, true_difference: float = 0.0, alpha: float = 0.05, power: float = 0.8, most: int = 1_000_000) -> Column:
+    """``equivalence_size`` of each row's spread; null for a null or zero spread."""
+
+    def sizes(spreads: pa.Array) -> pa.Array:
+        return pa.array([equivalence_size(s, margin, true_difference, alpha, power, most) if s else None for s in spreads.to_pylist()], pa.int64())
+
+    return F.arrow_udf(sizes, "long")(spread)

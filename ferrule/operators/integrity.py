@@ -86,6 +86,29 @@ def opportunities(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFram
     return df.select(key, F.explode(named).alias("stratum")).groupBy("stratum").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("keys"))
 
 
+def arm_violations(first: DataFrame, second: DataFrame, key: str, family: str | None = None) -> DataFrame:
+    """(key, violation, n): why two arms can't be paired.
+
+    Keys that an arm has several times ("repeated in first", "... second"; n
+    rows), keys of one arm alone ("only in first", "only in second"), and, with
+    ``family``, keys whose families differ ("families differ"; null is a value). No rows: pairs are one to one.
+    Keys that are null are told as any other.
+    """
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        families = F.collect_set(F.coalesce(F.col(family).cast("string"), F.lit("\0"))) if family else F.array()
+        return df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias(f"_{name}"), families.alias(f"_f_{name}")).withColumn("_h", F.xxhash64(F.col("_k").cast("string"), F.col("_k").isNull()))
+
+    a, b = counted(first, "a"), counted(second, "b")
+    j = a.join(b, (a["_h"] == b["_h"]) & a["_k"].eqNullSafe(b["_k"]), "full")
+    one = lambda kind, when, n: F.when(when, F.struct(F.lit(kind).alias("violation"), n.alias("n")))
+    na, nb = F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0))
+    found = [one("repeated in first", na > 1, na), one("repeated in second", nb > 1, nb), one("only in first", nb == 0, na), one("only in second", na == 0, nb)]
+    if family:
+        found.append(one("families differ", (na > 0) & (nb > 0) & ((F.size(F.array_except("_f_a", "_f_b")) > 0) | (F.size(F.array_except("_f_b", "_f_a")) > 0)), na + nb))
+    rows = j.select(F.coalesce(a["_k"], b["_k"]).alias(key), F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return rows.select(key, "x.violation", "x.n")
+
+
 def same_identity(parts: list[DataFrame], columns: list[str]) -> DataFrame:
     """(column, values, ok): whether all parts carry one value in each column, as reports put together must."""
     rows = reduce(DataFrame.unionByName, [p.select(*[F.col(c).cast("string").alias(c) for c in columns]) for p in parts])

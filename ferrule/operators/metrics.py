@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.sources import jsonl
+
 STAGES = ("post_btp", "post_qtp", "post_ctp")
 TIMES = ("retrieval_seconds", "page_load_seconds", "qa_seconds", "encoder_seconds", "decoder_seconds", "total_seconds")
 
 
+#: Columns of a result row that stage metrics are made of.
+RESULT = "original double, " + ", ".join(f"{s} double" for s in (*STAGES, *TIMES)) + ", peak_bytes double, warmup_excluded boolean, profiler_enabled boolean, flops double"
+
+
+def metrics_of_files(spark: SparkSession, path: str, by: dict[str, str]) -> DataFrame:
+    """``stage_metrics`` straight from files of JSON lines, blank lines passed over; ``by`` names the grouping fields and their types."""
+    keys = ", ".join(f"{k} {kind}" for k, kind in by.items())
+    return stage_metrics(jsonl.lenient(spark, path, f"{keys}, {RESULT}" if keys else RESULT), list(by))
+
+
 def stage_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     """Sums of tokens and seconds, mean and token-weighted drop rates, throughput, peak memory, whether all rows are without warm-up, and FLOPs where any were profiled."""
     drop = lambda s: 1 - F.col(s) / F.col("original")

@@ -33,6 +33,11 @@ def recall_at(retrieved: Column, relevant: Column, k: int) -> Column:
     return F.when(F.size(relevant) == 0, 0.0).otherwise(F.try_divide(found, F.size(relevant)))
 
 
+def retrieval_depth(df: DataFrame, retrieved: str) -> DataFrame:
+    """(depth): the most that was retrieved for any row; null lists are empty, and 0 without rows."""
+    return df.agg(F.coalesce(F.max(F.size(F.coalesce(retrieved, F.array()))), F.lit(0)).alias("depth"))
+
+
 def with_predictions(source: DataFrame, predictions: DataFrame, key: str, value: str) -> DataFrame:
     """Every source row with its prediction, "" where there is none. Unknown and repeated keys are errors, told by ``prediction_violations``."""
     one = predictions.select(key, F.coalesce(F.col(value), F.lit("")).alias(value))

@@ -256,8 +256,8 @@ def combined_runs(spark, d):
 @query()
 def equivalence_power(spark, d):
     """K7: least numbers of units for two one-sided tests, from each supplier's spread; the search is arithmetic, checked by tests."""
-    spread = _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.stddev_samp("l_quantity").alias("sd")).collect()  # one row a flag
-    return spark.createDataFrame([(r["l_returnflag"], inference.equivalence_size(r["sd"], 1.0)) for r in spread], "flag string, units long")
+    spread = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.stddev_samp("l_quantity").alias("sd"))
+    return spread.select("l_suppkey", inference.equivalence_sizes(F.col("sd"), 1.0).alias("units"))
 
 
 @query("""with h as (select l_suppkey s, round(avg(l_discount), 9) d from lineitem group by 1), p as (select s, (rank() over (order by d) + (count(*) over (partition by d) - 1) / 2.0) / (select count(*) from h) p from h), r as (select s, p, row_number() over (order by p, s) - 1 k, count(*) over () n from p)

@@ -8,7 +8,7 @@ from ferrule.operators import banks, evidence, policies
 from ferrule.plans.catalogue import query
 from ferrule.plans.catalogue import table as _t
 
-_TOKENS = "tok as (select p_partkey % 20 q, p_partkey % 4 page, p_partkey token, (p_size * 7 % 50) / 50.0::double literal, p_size / 50.0::double aggregate from part)"
+_TOKENS = "tok as (select p_partkey // 20 q, p_partkey % 4 page, p_partkey token, (p_size * 7 % 50) / 50.0::double literal, p_size / 50.0::double aggregate from part)"
 
 
 @query(f"""with {_TOKENS}, n as (select *, aggregate >= 0.6 nat, aggregate = 0.6 tie, count(*) filter (aggregate >= 0.6) over (partition by q) b, row_number() over (partition by q order by aggregate desc, token) ra, row_number() over (partition by q order by literal desc, token) rl,
@@ -18,7 +18,7 @@ select q, x.p "policy", count(*) population, count(*) filter (x.k) kept, count(*
 def policy_selections(spark, d):
     """Every policy at one boundary, ties with the threshold, and differences from the native selection."""
     p = _t(spark, d, "part")
-    t = p.select((F.col("p_partkey") % 20).alias("q"), (F.col("p_partkey") % 4).alias("page"), F.col("p_partkey").alias("token"), (F.col("p_size") * 7 % 50 / 50.0).alias("literal"), (F.col("p_size") / 50.0).alias("aggregate"))
+    t = p.select(F.floor(F.col("p_partkey") / 20).alias("q"), (F.col("p_partkey") % 4).alias("page"), F.col("p_partkey").alias("token"), (F.col("p_size") * 7 % 50 / 50.0).alias("literal"), (F.col("p_size") / 50.0).alias("aggregate"))
     return policies.selection_records(policies.selected(t, ["q"], [x.value for x in policies.Policy], 0.6, "s"), ["q"])
 
 
@@ -49,7 +49,7 @@ def evidence_places(spark, d):
 def mask_banks(spark, d):
     """Banks of masks of equal cost by question; checked by tests."""
     p = _t(spark, d, "part")
-    return banks.banks(p.select((F.col("p_partkey") % 20).alias("question"), F.col("p_partkey").alias("region"), (F.col("p_size") % 9 + 1).alias("cost"), F.col("p_retailprice").alias("priority")))
+    return banks.banks(p.select(F.floor(F.col("p_partkey") / 20).alias("question"), F.col("p_partkey").alias("region"), (F.col("p_size") % 9 + 1).alias("cost"), F.col("p_retailprice").alias("priority")))
 
 
 @query("""select c_nationkey document, arg_max(height, [n, -f]) height, arg_max(width, [n, -f]) width from (select c_nationkey, c_custkey % 3 + 10 height, c_custkey % 2 + 20 width, count(*) n, min(c_custkey) f from customer group by 1, 2, 3) group by 1""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text
 from ferrule.operators import containment, graph, inference, integrity, metrics, ranking, scoring, selection, surrogates
+from ferrule.operators.settle import scratch
 from ferrule.plans import answer_queries, inference_queries, policy_queries, retrieval_queries, selection_queries, source_queries, spatial_queries, window_queries  # noqa: F401
 from ferrule.plans.catalogue import ORACLES, QUERIES, query  # noqa: F401
 from ferrule.plans.catalogue import table as _t
@@ -24,6 +25,13 @@ def recall_at_k(spark, d):
     return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("cutoff"), "n", F.round(f"r{k}", 9).alias("recall")) for k in ks])).alias("x")).select("x.*")
 
 
+@query("select max(n) depth from (select count(*) n from lineitem group by l_orderkey)")
+def retrieval_depth(spark, d):
+    """The greatest retrieval depth observed."""
+    o = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("r"))
+    return scoring.retrieval_depth(o, "r").select(F.col("depth").cast("long").alias("depth"))
+
+
 @query("select l_orderkey, l_linenumber, rn - 1 page_rank from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) rn from lineitem) where rn <= 3")
 def top_m_per_order(spark, d):
     """Top-M by (-score, id)."""
@@ -134,13 +142,23 @@ def default_for_missing(spark, d):
 @query("""with a as (select l_orderkey k, avg(l_discount) x from lineitem where l_linenumber % 2 = 1 group by 1), b as (select l_orderkey k, avg(l_discount) y from lineitem where l_linenumber % 2 = 0 group by 1)
 select o_orderpriority, count(*) n, round(avg(y - x), 9) delta, count(*) filter (y > x) better from a join b using (k) join orders on o_orderkey = k group by 1""")
 def paired_arms(spark, d):
-    """Paired differences of two arms over the keys that both have."""
+    """Paired differences of two arms over the keys that both have; ``arm_violations`` tells the others."""
     li = _t(spark, d, "lineitem")
     both = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.avg(F.when(F.col("l_linenumber") % 2 == 1, F.col("l_discount"))).alias("x"), F.avg(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount"))).alias("y"))
     j = both.where("x is not null and y is not null").join(_t(spark, d, "orders"), F.col("o_orderkey") == F.col("k"))
     return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(F.col("y") - F.col("x")), 9).alias("delta"), F.count_if(F.col("y") > F.col("x")).alias("better"))
 
 
+@query("""with a as (select l_orderkey k, count(*) n, list_sort(list_distinct(list(l_suppkey % 3))) f from lineitem where l_linenumber % 2 = 1 group by 1), b as (select l_orderkey k, count(*) n, list_sort(list_distinct(list(l_suppkey % 3))) f from lineitem where l_linenumber % 2 = 0 group by 1),
+j as (select coalesce(a.k, b.k) k, coalesce(a.n, 0) na, coalesce(b.n, 0) nb, a.f fa, b.f fb from a full join b on a.k = b.k)
+select k l_orderkey, 'repeated in first' violation, na n from j where na > 1 union all select k, 'repeated in second', nb from j where nb > 1 union all select k, 'only in first', na from j where nb = 0 union all select k, 'only in second', nb from j where na = 0
+union all select k, 'families differ', na + nb from j where na > 0 and nb > 0 and fa <> fb""")
+def arm_violations(spark, d):
+    """Keys of two arms that don't pair one to one, and keys whose families differ."""
+    li = _t(spark, d, "lineitem").withColumn("family", F.col("l_suppkey") % 3)
+    return integrity.arm_violations(li.where("l_linenumber % 2 = 1"), li.where("l_linenumber % 2 = 0"), "l_orderkey", "family")
+
+
 @query("""with recursive i as (select l_orderkey k, l_linenumber::bigint id, l_quantity::bigint cost, row_number() over (partition by l_orderkey order by -l_extendedprice, l_linenumber::bigint, l_quantity::bigint) n from lineitem),
 r as (select k, 0::bigint n, 0::bigint used, []::bigint[] ids from (select distinct k from i) union all select r.k, r.n + 1, case when used + cost <= 60 then used + cost else used end, case when used + cost <= 60 then list_append(ids, i.id) else ids end from r join i on i.k = r.k and i.n = r.n + 1)
 select k l_orderkey, ids from r qualify row_number() over (partition by k order by n desc) = 1""")
@@ -214,12 +232,24 @@ _DROPS = ", ".join(f"round(avg(1 - {s} / original), 9) mean_drop_{s[5:]}, round(
 
 @query(f"""with {_ROWS} select policy, count(*) samples, {_SUMS}, {_DROPS}, round(count(*) / sum(encoder_seconds), 6) encoder_rate, 0.0::double decoder_rate, round(sum(original) / sum(total_seconds), 6) token_rate, max(peak_bytes) peak_bytes, bool_and(warmup_excluded) warmup_excluded, bool_or(profiler_enabled) profiler_enabled, round(sum(flops), 2) flops from row_ group by 1""")
 def stage_metrics(spark, d):
-    """Stage sums, mean and token-weighted drop rates, throughput, peak, warm-up and FLOPs by policy."""
-    m = metrics.stage_metrics(_rows(spark, d), ["policy"])
+    """Stage sums, mean and token-weighted drop rates, throughput, peak, warm-up and FLOPs by policy."""
+    return _rounded(metrics.stage_metrics(_rows(spark, d), ["policy"]))
+
+
+def _rounded(m):
     nine, four = [c for c in m.columns if "_drop_" in c], ["original", *metrics.STAGES, *metrics.TIMES]
     return m.select(*[F.round(c, 9).alias(c) if c in nine else F.round(c, 4).alias(c) if c in four else F.round(c, 6).alias(c) if c.endswith("_rate") else F.round(c, 2).alias(c) if c == "flops" else F.col(c) for c in m.columns])
 
 
+@query(f"""with {_ROWS} select policy, count(*) samples, {_SUMS}, {_DROPS}, round(count(*) / sum(encoder_seconds), 6) encoder_rate, 0.0::double decoder_rate, round(sum(original) / sum(total_seconds), 6) token_rate, max(peak_bytes) peak_bytes, bool_and(warmup_excluded) warmup_excluded, bool_or(profiler_enabled) profiler_enabled, round(sum(flops), 2) flops from row_ group by 1""")
+def metrics_of_files(spark, d):
+    """The same from result files of JSON lines, some of them blank."""
+    path = scratch(spark, "results")
+    rows = _rows(spark, d).drop("k")
+    rows.select(F.explode(F.array(F.to_json(F.struct(*rows.columns)), F.lit(" "))).alias("value")).write.text(path)
+    return _rounded(metrics.metrics_of_files(spark, path, {"policy": "string"}))
+
+
 @query(f"""with {_ROWS}, m as (select k * 10 key, * from row_), v as (select key, unnest(list_filter([case when not (original > 0 and post_btp > 0 and post_qtp > 0 and post_ctp > 0) then 'counts must be positive' end, case when not (original >= post_btp and post_btp >= post_qtp and post_qtp >= post_ctp) then 'counts must not grow' end,
 case when not (retrieval_seconds > 0 and page_load_seconds > 0 and qa_seconds > 0 and encoder_seconds > 0 and decoder_seconds >= 0 and total_seconds > 0) then 'times must be finite' end], lambda x: x is not null)) violation from m) select violation, count(*) n from v group by 1""")
 def trace_violations(spark, d):
@@ -235,12 +265,12 @@ def stage_ledger(spark, d):
     return metrics.cost_ledger(c, "l_linestatus", ["seconds"], ["F", "O", "allocation"]).select("stage", "calls", F.round("seconds", 6).alias("seconds"), "missing")
 
 
-_CELLS = "cell as (select case when l_linestatus = 'F' then 'all' else 'pruned' end mode, [1, 2, 4][l_linenumber] pages, avg(l_discount) em, avg(l_tax) f1 from lineitem where l_linenumber <= 3 group by 1, 2)"
+_CELLS = "cell as (select case when l_linestatus = 'F' then 'all' else 'pruned' end mode, [1, 2, 4, 5, 10, 20, 40][l_linenumber] pages, avg(l_discount) em, avg(l_tax) f1 from lineitem group by 1, 2)"
 
 
 def _cells(spark, d):
-    mode, pages = F.when(F.col("l_linestatus") == "F", "all").otherwise("pruned"), F.get(F.array(F.lit(1), F.lit(2), F.lit(4)), F.col("l_linenumber") - 1)
-    return _t(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(mode.alias("mode"), pages.alias("pages")).agg(F.avg("l_discount").alias("em"), F.avg("l_tax").alias("f1"))
+    mode, pages = F.when(F.col("l_linestatus") == "F", "all").otherwise("pruned"), F.get(F.array(*[F.lit(n) for n in (1, 2, 4, 5, 10, 20, 40)]), F.col("l_linenumber") - 1)
+    return _t(spark, d, "lineitem").groupBy(mode.alias("mode"), pages.alias("pages")).agg(F.avg("l_discount").alias("em"), F.avg("l_tax").alias("f1"))
 
 
 @query(f"with {_CELLS} select a.pages, metric, round(case metric when 'em' then b.em else b.f1 end - case metric when 'em' then a.em else a.f1 end, 9) delta from cell a join cell b on a.pages = b.pages and a.mode = 'all' and b.mode = 'pruned', (values ('em'), ('f1')) m(metric)")
@@ -361,11 +391,11 @@ def opportunity_strata(spark, d):
     return integrity.opportunities(_t(spark, d, "supplier"), "s_suppkey", {"all": F.lit(True), "rich": F.col("s_acctbal") > 5000, "even": (F.col("s_suppkey") % 2 == 0) & (F.col("s_acctbal") > 0)})
 
 
-@query("""select 'n_regionkey' "column", 5::bigint "values", false ok union all select 'kind', 1, true""")
+@query("""select 'o_orderstatus' "column", count(distinct o_orderstatus) "values", count(distinct o_orderstatus) = 1 ok from orders union all select 'kind', count(distinct 'order' || (o_orderkey * 0)), count(distinct 'order' || (o_orderkey * 0)) = 1 from orders""")
 def report_identity(spark, d):
     """Whether parts of a report carry one identity."""
-    n = _t(spark, d, "nation").withColumn("kind", F.lit("nation"))
-    return integrity.same_identity([n.where("n_nationkey % 2 = 0"), n.where("n_nationkey % 2 = 1")], ["n_regionkey", "kind"])
+    o = _t(spark, d, "orders").withColumn("kind", F.concat(F.lit("order"), F.col("o_orderkey") * 0))
+    return integrity.same_identity([o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1")], ["o_orderstatus", "kind"])
 
 
 def _banks(spark, d):

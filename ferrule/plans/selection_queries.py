@@ -81,19 +81,19 @@ def baseline_arms(spark, d):
     return selection.arms(_t(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("long")), "l_orderkey", "l_linenumber", "q", "l_extendedprice", (0.75, 0.5), "arms")
 
 
-@query("""with t as (select p_partkey % 10 page, p_partkey token, (p_partkey // 10) % 5 "owner" from part), r as (select page, region, (page + region) % 2 = 0 kept from range(10) a(page), range(5) b(region)), m as (select t.page, token, coalesce(kept, true) kept from t left join r on r.page = t.page and r.region = t."owner")
+@query("""with t as (select p_partkey // 10 page, p_partkey token, p_partkey % 5 "owner" from part), r as (select distinct page, "owner" region, (page + "owner") % 2 = 0 kept from t where "owner" < 4), m as (select t.page, token, coalesce(kept, true) kept from t left join r on r.page = t.page and r.region = t."owner")
 select page, sha256(string_agg(case when kept then '1' else '0' end, '' order by token)) digest from m group by 1""")
 def token_masks(spark, d):
     """Token masks from region masks, and their digests."""
-    t = _t(spark, d, "part").select((F.col("p_partkey") % 10).alias("page"), F.col("p_partkey").alias("token"), (F.floor(F.col("p_partkey") / 10) % 5).alias("owner"))
-    r = spark.range(50).select((F.col("id") % 10).alias("page"), F.floor(F.col("id") / 10).alias("region")).withColumn("kept", (F.col("page") + F.col("region")) % 2 == 0)
+    t = _t(spark, d, "part").select(F.floor(F.col("p_partkey") / 10).alias("page"), F.col("p_partkey").alias("token"), (F.col("p_partkey") % 5).alias("owner"))
+    r = t.where("owner < 4").select("page", F.col("owner").alias("region")).distinct().withColumn("kept", (F.col("page") + F.col("region")) % 2 == 0)
     return selection.mask_digest(selection.token_mask(t, r))
 
 
 @query()
 def exchange_units(spark, d):
     """Units for exchange moves; checked by tests."""
-    r = _t(spark, d, "part").select((F.col("p_partkey") % 20).alias("page"), (F.col("p_partkey") % 4).alias("tile"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("region"), F.col("p_size").cast("long").alias("cost"), F.col("p_retailprice").alias("priority"))
+    r = _t(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("page"), (F.col("p_partkey") % 4).alias("tile"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("region"), F.col("p_size").cast("long").alias("cost"), F.col("p_retailprice").alias("priority"))
     return selection.exchange_groups(r)
 
 

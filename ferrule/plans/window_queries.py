@@ -133,22 +133,22 @@ def exclusion_registry(spark, d):
     return sets.relations(s, "label", "k")
 
 
-@query("""with s as (select l_suppkey, list_sort(list_distinct(list(l_linenumber) filter (l_returnflag = 'A'))) a, list_sort(list_distinct(list(l_linenumber) filter (l_returnflag <> 'A' and l_discount > 0.04))) b from lineitem where l_partkey % 5 = l_suppkey % 5 group by 1),
+@query("""with s as (select l_suppkey, list_sort(list_distinct(list(l_linenumber) filter (l_returnflag = 'A'))) a, list_sort(list_distinct(list(l_linenumber) filter (l_returnflag <> 'A' and l_discount > 0.04))) b from lineitem group by 1),
 t as (select l_suppkey, coalesce(a, []) a, coalesce(b, []) b from s)
 select l_suppkey, list_sort(list_concat(list_filter(a, lambda x: not list_contains(b, x)), list_filter(b, lambda x: not list_contains(a, x)))) difference, case when len(list_distinct(list_concat(a, b))) = 0 then 1.0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end jaccard,
 case when len(list_distinct(list_concat(a, b))) = 0 then 1.0 else coalesce(list_sum(list_intersect(a, b)), 0) / list_sum(list_distinct(list_concat(a, b))) end weighted from t""")
 def set_overlaps(spark, d):
     """Jaccard, weighted Jaccard and symmetric difference of id sets."""
-    li = _t(spark, d, "lineitem").where("l_partkey % 5 = l_suppkey % 5")
-    g = li.groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "A", F.col("l_linenumber"))).alias("a"), F.collect_set(F.when((F.col("l_returnflag") != "A") & (F.col("l_discount") > 0.04), F.col("l_linenumber"))).alias("b"))
+    g = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "A", F.col("l_linenumber"))).alias("a"), F.collect_set(F.when((F.col("l_returnflag") != "A") & (F.col("l_discount") > 0.04), F.col("l_linenumber"))).alias("b"))
     return g.select("l_suppkey", sets.symmetric_difference(F.col("a"), F.col("b")).alias("difference"), sets.jaccard(F.col("a"), F.col("b")).alias("jaccard"), sets.weighted_jaccard(F.col("a"), F.col("b")).alias("weighted"))
 
 
-@query("""select event_id, list_sort(list_distinct(list_filter(regexp_extract_all(props || ' q' || user_id || ' q999', '[A-Za-z0-9]+'), lambda x: x in (select 'q' || c_custkey from customer where c_custkey < 100)))) ids from events where user_id < 200""".replace("x in (select 'q' || c_custkey from customer where c_custkey < 100)", "regexp_full_match(x, 'q[0-9]{1,2}')"))
+@query("""with t as (select distinct event_id, unnest(regexp_extract_all(props || ' q' || user_id || ' q' || event_id, '[A-Za-z0-9]+')) t from events)
+select event_id, coalesce(list_sort(list(t) filter (c_custkey is not null)), []) ids from t left join customer on t = 'q' || c_custkey group by 1""")
 def harvested_ids(spark, d):
     """F8: known ids anywhere in a JSON text."""
-    known = _t(spark, d, "customer").where("c_custkey < 100").select(F.concat(F.lit("q"), "c_custkey").alias("id"))
-    e = _t(spark, d, "events").where("user_id < 200").select("event_id", F.concat("props", F.lit(" q"), "user_id", F.lit(" q999")).alias("json"))
+    known = _t(spark, d, "customer").select(F.concat(F.lit("q"), "c_custkey").alias("id"))
+    e = _t(spark, d, "events").select("event_id", F.concat("props", F.lit(" q"), "user_id", F.lit(" q"), "event_id").alias("json"))
     return sets.harvested(e, "event_id", "json", known, "id")
 
 

@@ -1,5 +1,6 @@
 """Evidence, pictures, banks, controllers and what users plug in."""
 
+import json
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule import extension
 from ferrule.functions import answers
-from ferrule.operators import banks, evidence, policies
+from ferrule.operators import banks, evidence, graph, inference, integrity, metrics, policies, scoring
 
 
 def test_evidence_prefers_retrieved_pages(spark):
@@ -103,3 +104,48 @@ def test_parts_are_plugged_in(spark, tmp_path):
     for _ in range(2):
         assert extension.remembered(spark, str(tmp_path / "r"), "id", lambda: made.append(1) or spark.range(2)).count() == 2
     assert made == [1]
+
+
+def test_metrics_straight_from_files(spark, tmp_path):
+    row = {"policy": "a", "original": 10, "post_btp": 8, "post_qtp": 6, "post_ctp": 5, **{t: 1.0 for t in metrics.TIMES}, "peak_bytes": 7, "warmup_excluded": True, "profiler_enabled": False, "flops": None}
+    (tmp_path / "r.jsonl").write_text("\n".join(["", json.dumps(row), "  ", json.dumps(row | {"policy": "b", "original": 20}), json.dumps(row), ""]))
+    out = {r.policy: r for r in metrics.metrics_of_files(spark, str(tmp_path / "r.jsonl"), {"policy": "string"}).collect()}
+    assert (out["a"].samples, out["a"].original, out["b"].original) == (2, 20.0, 20.0) and abs(out["a"].mean_drop_btp - 0.2) < 1e-12
+    assert metrics.metrics_of_files(spark, str(tmp_path / "r.jsonl"), {}).first().samples == 3
+
+
+def test_depth_of_retrieval(spark):
+    df = spark.createDataFrame([(1, [1, 2, 2]), (2, None), (3, [])], "k int, r array<int>")
+    assert scoring.retrieval_depth(df, "r").first().depth == 3 and scoring.retrieval_depth(df.limit(0), "r").first().depth == 0
+
+
+def test_arms_that_do_not_pair(spark):
+    a = spark.createDataFrame([(1, "f"), (2, "f"), (2, "f"), (3, None), (4, "g"), (None, "f")], "k int, family string")
+    b = spark.createDataFrame([(1, "f"), (2, "f"), (3, None), (4, "h"), (5, "f"), (5, "x")], "k int, family string")
+    got = {tuple(r) for r in integrity.arm_violations(a, b, "k", "family").collect()}
+    assert got == {(2, "repeated in first", 2), (4, "families differ", 2), (5, "only in second", 2), (5, "repeated in second", 2), (None, "only in first", 1)}
+    assert integrity.arm_violations(a.where("k = 1"), b.where("k = 1"), "k").count() == 0
+
+
+def test_sizes_of_each_spread(spark):
+    df = spark.createDataFrame([(10.0,), (None,), (0.0,), (1e9,)], "s double")
+    assert [r.n for r in df.coalesce(1).select(inference.equivalence_sizes(F.col("s"), 2.0).alias("n")).collect()] == [inference.equivalence_size(10.0, 2.0), None, None, None]
+
+
+def test_components_of_paths_stars_and_chance(spark):
+    draw = random.Random(5)
+    edges = [(k, k + 1) for k in range(1000, 1300)] + [(5000, k) for k in range(5001, 5200)] + [(draw.randrange(400), draw.randrange(400)) for _ in range(260)] + [(7, 7), (9999, 9999)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([*edges, (None, 3), (4, None)], "a long, b long").repartition(3)
+    assert {r.id: r.component for r in graph.components(df).collect()} == {k: find(k) for k in parent}
+    assert graph.components(df.limit(0)).count() == 0
