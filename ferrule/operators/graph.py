@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.operators.settle import settled
+from ferrule.operators.settle import Rounds
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     their vertex a component. Keys of hubs and of large components are hot on one side of
     joins only, where adaptive execution splits them; least values are aggregated on the map side.
     """
+    settled = Rounds(edges.sparkSession, "components")
     links = edges.where("a is not null and b is not null").select("a", "b")
     ids = settled(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     left = settled(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -41,6 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
         last = root.select(F.col("id").alias("up"), F.col("up").alias("_last"))
         root = settled(up.join(last, "up", "left").select("id", F.coalesce("_last", "up").alias("up")))
     whole = settled(ids.join(root, "id", "left").select("id", F.coalesce("up", "id").alias("up")))
+    settled.drop(but=whole)
     least = whole.groupBy("up").agg(F.min("id").alias("component"))
     return whole.join(least, "up").select("id", "component")
 

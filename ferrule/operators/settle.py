@@ -36,6 +36,28 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Rounds:
+    """Tables of an iteration, written to the shared folder and read back: a plan starts anew at each, and ``drop`` deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = scratch(self.spark, self.name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, but: DataFrame | None = None) -> None:
+        """Deletes all tables but the one given."""
+        kept = {f.rsplit("/", 1)[0] for f in but.inputFiles()} if but is not None else set()
+        for p in self.paths:
+            if not any(k.endswith(p.rsplit("/", 1)[1]) for k in kept):
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+
+
 def numbered(df: DataFrame, *order, name: str = "place") -> DataFrame:
     """Adds the 0-based place of each row in the global order, which should have no ties.
 
