@@ -7,18 +7,31 @@ from pyspark.sql import functions as F
 
 from ferrule.operators.settle import Rounds
 
+#: Rows of one key beyond which that key's rows are joined by a broadcast of such keys' values, which are fewer than the rows by that factor.
+HOT_LINKS = 1_000_000
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, settled: Rounds, how: str = "inner", many: DataFrame | None = None) -> DataFrame:
+    """``rows`` with what ``table``, one row a key, has for them; hot keys apart. ``many`` is a written table with as many rows, if ``rows`` isn't one."""
+    if (rows if many is None else many).count() > HOT_LINKS:
+        hot = settled(rows.groupBy(key).count().where(F.col("count") > HOT_LINKS).select(key))
+        if not hot.isEmpty():
+            some, few = rows.join(F.broadcast(hot), key, "left_anti"), table.join(F.broadcast(hot), key, "left_semi")
+            return some.join(table, key, how).unionByName(rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how))
+    return rows.join(table, key, how)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for edges (a, b): the least id reachable.
 
     In each round every vertex points to the least of itself and its
     neighbours in an order drawn by hash for that round, so that chains of pointers are
-    short whatever the ids; pointers are followed four steps, vertices become what
+    short whatever the ids; pointers are followed two steps, vertices become what
     they point to, and edges within one vertex go. Edges and vertices shrink by a factor each round, and a
     round's pointers are kept, of vertices that were still there; in the end they are
     put together from the last round back. Rows with a null end are ignored, loops make
-    their vertex a component. Keys of hubs and of large components are hot on one side of
-    joins only, where adaptive execution splits them; least values are aggregated on the map side.
+    their vertex a component. Hubs and large components are hot keys on one side of
+    joins only (HOT_LINKS); least values are aggregated on the map side.
     """
     settled = Rounds(edges.sparkSession, "components")
     links = edges.where("a is not null and b is not null").select("a", "b")
@@ -30,21 +43,24 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(place("b")).alias("m"))
         up = near.select(F.col("a").alias("id"), F.least("m", place("a"))["id"].alias("up"))
-        for _ in range(2):
-            up = settled(up)
-            up = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("_next")), "up").select("id", F.col("_next").alias("up"))
+        up = settled(up)
+        up = _looked_up(up, up.select(F.col("id").alias("up"), F.col("up").alias("_next")), "up", settled).select("id", F.col("_next").alias("up"))
         up = settled(up)
         pointers.append(up)
-        moved = left.join(up.select(F.col("id").alias("a"), F.col("up").alias("_a")), "a").join(up.select(F.col("id").alias("b"), F.col("up").alias("_b")), "b").where("_a <> _b")
+        moved = left
+        for end in "ab":
+            moved = _looked_up(moved, up.select(F.col("id").alias(end), F.col("up").alias(f"_{end}")), end, settled, many=left)
+        moved = moved.where("_a <> _b")
         left = settled(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
     root = ids.select("id", F.col("id").alias("up")).limit(0)
     for up in reversed(pointers):
         last = root.select(F.col("id").alias("up"), F.col("up").alias("_last"))
-        root = settled(up.join(last, "up", "left").select("id", F.coalesce("_last", "up").alias("up")))
+        root = settled(_looked_up(up, last, "up", settled, "left").select("id", F.coalesce("_last", "up").alias("up")))
     whole = settled(ids.join(root, "id", "left").select("id", F.coalesce("up", "id").alias("up")))
-    settled.drop(but=whole)
     least = whole.groupBy("up").agg(F.min("id").alias("component"))
-    return whole.join(least, "up").select("id", "component")
+    named = settled(_looked_up(whole, least, "up", settled).select("id", "component"))
+    settled.drop(but=named)
+    return named
 
 
 def named_components(members: DataFrame) -> DataFrame:
