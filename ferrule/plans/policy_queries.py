@@ -39,7 +39,7 @@ def evidence_places(spark, d):
     """Where turns of conversations stand among their pages, preferring pages already retrieved; checked by tests."""
     c = _t(spark, d, "conversations").where("text is not null")
     pages = c.select(F.col("conv_id").alias("document"), F.col("turn").alias("page"), "text")
-    first = c.where("turn = 0").select("conv_id", F.left("text", F.lit(20)).alias("title"))
+    first = c.where("turn = 0").select("conv_id", F.regexp_extract("text", r"^[^.!?\n]*", 0).alias("title"))
     passages = c.join(first, "conv_id").select(F.concat_ws("-", "conv_id", "turn").alias("question"), F.col("conv_id").alias("document"), "title", "text")
     retrieved = c.where("turn = 1").select(F.concat_ws("-", "conv_id", "turn").alias("question"), F.col("conv_id").alias("document"), F.col("turn").alias("page"))
     return evidence.located(passages, pages, retrieved)
