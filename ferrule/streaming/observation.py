@@ -33,26 +33,35 @@ class Observations(StatefulProcessor):
         self.handle = handle
         self.scored = handle.getMapState("scored", "item long", "score double, arms array<string>")
         self.tally = handle.getMapState("tally", "arm string", TALLY)
+        self.size = handle.getValueState("size", "items long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tally: dict[str, list] = {}
+        before = size = (self.size.get() or (0,))[0]
         for frame in rows:
+            # Where a frame has as many items as the map, the map is read at once; else item by item.
+            whole = size <= frame["item"].nunique()
+            held = {k[0]: v for k, v in self.scored.iterator()} if whole and size else {}
             # Within a batch an item's least score is its first; arms in order of their names.
             for arm, item, score in frame.sort_values(["item", "score", "arm"])[["arm", "item", "score"]].itertuples(index=False):
                 if arm not in tally:
                     tally[arm] = list(self.tally.getValue((arm,)) or (0, 0, 0.0, None, None, 0, 0))
                 own = tally[arm]
-                there = self.scored.getValue((item,))
+                there = held.get(item) if whole or item in held else self.scored.getValue((item,))
                 known, arms = there or (score, [])
                 own[6] += known != score
                 if arm in arms:
                     continue
-                self.scored.updateValue((item,), (known, [*arms, arm]))
+                held[item] = (known, [*arms, arm])
+                self.scored.updateValue((item,), held[item])
+                size += there is None
                 own[1] += 1
                 own[2] += known
                 own[5] += there is not None
                 if own[3] is None or (known, -item) > (own[3], -own[4]):
                     own[3], own[4] = known, item
+        if size > before:
+            self.size.update((size,))
         for arm, own in tally.items():
             own[0] += 1
             self.tally.updateValue((arm,), tuple(own))
@@ -67,6 +76,7 @@ class Observations(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Items are forgotten, tallies stay: an item that comes again after that counts again."""
         self.scored.clear()
+        self.size.clear()
         yield from ()
 
     def close(self) -> None:
