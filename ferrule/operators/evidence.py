@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,17 +39,18 @@ def located(passages: DataFrame, pages: DataFrame, retrieved: DataFrame) -> Data
     return out.select("question", "document", status.alias("status"), "found", "missing")
 
 
-def _shrunk(pixels: np.ndarray, size: int = 64) -> np.ndarray:
-    """A picture (height, width, 3) as size x size means of areas, in 0 to 1."""
+@lru_cache(maxsize=64)
+def _area_weights(n: int, size: int) -> np.ndarray:
+    edges = np.linspace(0, n, size + 1)
+    at = np.arange(n)
+    w = np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None)
+    return w / w.sum(1, keepdims=True)
 
-    def weights(n: int) -> np.ndarray:
-        edges = np.linspace(0, n, size + 1)
-        at = np.arange(n)
-        w = np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None)
-        return w / w.sum(1, keepdims=True)
 
-    narrow = np.tensordot(weights(pixels.shape[0]), pixels / 255.0, 1)
-    return np.einsum("xw,ywc->yxc", weights(pixels.shape[1]), narrow, optimize=True)
+def _shrunk(pixels: np.ndarray, size: int = 64) -> np.ndarray:
+    """A picture (height, width, 3) as size x size means of areas, in 0 to 1."""
+    narrow = np.tensordot(_area_weights(pixels.shape[0], size), pixels / 255.0, 1)
+    return np.matmul(_area_weights(pixels.shape[1], size), narrow)
 
 
 def matched_pictures(pairs: DataFrame, aspect: float = 0.03, mean: float = 0.01, tail: float = 0.08) -> DataFrame:
@@ -82,10 +84,15 @@ def matched_pictures(pairs: DataFrame, aspect: float = 0.03, mean: float = 0.01,
     return pairs.mapInPandas(compare, "source long, candidate long, rotation int, mean_error double, tail_error double, status string")
 
 
-#: Signs of a picture's four square rings, inner to outer, and three channels: what stays the same when it is turned.
-_SIGNS = [((1, 1, 1, 1), (1, 1, 1)), ((1, 1, -1, -1), (1, 1, 1)), ((1, -1, -1, 1), (1, 1, 1)), ((1, -1, 1, -1), (1, 1, 1)), ((1, 1, 1, 1), (1, 1, -1)), ((1, 1, 1, 1), (1, -1, 1))]
-#: Widths of a signature's cells, for the logarithm of the aspect and for signed means; each is several times what a match can differ by.
-ASPECT_CELL, MEAN_CELL = 0.25, 0.08
+#: Widths of a signature's cells: for the logarithm of the aspect, and for signed sums in tolerances; MEAN_CELL bounds the tolerance.
+ASPECT_CELL, SIGN_CELL, MEAN_CELL = 0.25, 4, 0.08
+#: A picture's blocks along an axis, and so its bands: diagonals of blocks, of which each has one of every row and column.
+BANDS = 8
+
+
+def _signs(n: int = BANDS) -> np.ndarray:
+    """n orthogonal patterns of signs."""
+    return np.kron([[1, 1], [1, -1]], _signs(n // 2)) if n > 1 else np.ones((1, 1), int)
 
 
 def _rings(size: int = 64) -> np.ndarray:
@@ -94,26 +101,44 @@ def _rings(size: int = 64) -> np.ndarray:
     return np.digitize(np.maximum(away[:, None], away[None, :]), [size * x / 2 for x in (0.5, 0.72, 0.875)])
 
 
+def _mixed(h: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    h = (h ^ cell.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _cells(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A number for every cell between ``low`` and ``high``, which are the same or neighbours in every column; the first column tells the band."""
+    row, h = np.arange(len(low)), np.zeros(len(low), np.uint64)
+    for a, b in zip(low.T, high.T, strict=True):
+        two = a[row] != b[row]
+        h = np.concatenate((_mixed(h, a[row]), _mixed(h[two], b[row[two]])))
+        row = np.concatenate((row, row[two]))
+    return np.unique(h).view(np.int64)
+
+
 def _signatures(probes: bool, aspect: float, mean: float):
-    """Rows (picture, means, cells): signed means of rings, and the signature's cell, or with ``probes`` every cell that a match's may be in."""
+    """Rows (picture, means, cells): means of rings, which stay when a picture is turned, and the cell of each band, or with ``probes`` every cell that a match's may be in, whatever way the picture is turned."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ring = _rings()
-        shares = np.bincount(ring.ravel(), minlength=4) / ring.size
-        room = np.array([-np.log(1 - aspect), *[mean] * len(_SIGNS)]) + 1e-9
-        width = np.array([ASPECT_CELL, *[MEAN_CELL] * len(_SIGNS)])
+        ring, signs, at = _rings(), _signs(), np.arange(BANDS)
+        bands = at[None, :], (at[:, None] + at[None, :]) % BANDS
+        room = np.array([-np.log(1 - aspect), *[mean / BANDS] * BANDS]) + 1e-9
+        width = np.array([ASPECT_CELL, *room[1:] * SIGN_CELL])
         for frame in frames:
             out = []
             for r in frame.itertuples():
                 small = _shrunk(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3))
                 # Of a ring and channel the sum over its pixels, as a share of all pixels.
                 sums = np.stack([np.bincount(ring.ravel(), small[..., c].ravel(), 4) for c in range(3)], 1) / small.size
-                point = np.array([abs(np.log(r.width / r.height)), *[np.outer(a, b).ravel() @ sums.ravel() for a, b in _SIGNS]])
-                low, high = (np.floor((point + x) / width).astype(int) for x in ((-room, room) if probes else (0, 0)))
-                cells = [[]]
-                for a, b in zip(low.tolist(), high.tolist(), strict=True):
-                    cells = [[*c, k] for c in cells for k in range(a, b + 1)]
-                out.append((r.picture, sums.ravel().tolist(), cells))
+                step = len(small) // BANDS
+                blocks = small.sum(2).reshape(BANDS, step, BANDS, step).sum((1, 3)) / small.size
+                low, high = [], []
+                for turn in range(4 if probes else 1):
+                    shape = np.full((BANDS, 1), np.log(r.width / r.height) * (-1) ** turn)
+                    points = np.hstack((shape, np.rot90(blocks, turn)[bands] @ signs))
+                    for side, x in ((low, -room), (high, room)) if probes else ((low, 0), (high, 0)):
+                        side.append(np.hstack((at[:, None], np.floor((points + x) / width).astype(int))))
+                out.append((r.picture, sums.ravel(), _cells(np.concatenate(low), np.concatenate(high))))
             yield pd.DataFrame(out, columns=["picture", "means", "cells"])
 
     if -np.log(1 - aspect) * 2 >= ASPECT_CELL or mean * 2 >= MEAN_CELL:
@@ -133,17 +158,18 @@ def picture_pairs(sources: DataFrame, candidates: DataFrame, aspect: float = 0.0
 
     Rows of both tables are (picture, height, width, rgb). Equal pictures are
     looked at once: pairs are of the least of each (``same_pictures`` tells the
-    others). A mean error within the tolerance bounds the difference of every
-    signed mean of pixels by as much, and rings stay as they are when a picture is
-    turned: so a match lies in the source's own cell or beside it, whatever
-    the rotation, and nothing is lost. Pairs of a cell must also be close ring by ring before their pixels are
+    others). The absolute differences of a match add up to the mean error, so one
+    at least of ``BANDS`` bands of a picture has at most its share of the tolerance, and
+    in that band every signed sum of blocks differs by no more: a match lies in the cell of
+    a source's band or beside it, of one of the four ways the source can be turned, and nothing is lost. As a
+    band has little room and many signs, cells of unlike pictures are seldom the same. Pairs of a cell must also be close ring by ring before their pixels are
     fetched. Pictures that are null or have no pixels match nothing.
     """
     whole = F.col("rgb").isNotNull() & (F.length("rgb") == F.col("height") * F.col("width") * 3) & (F.length("rgb") > 0)
     kept = [p.where(whole).groupBy("height", "width", F.sha2("rgb", 256).alias("_d")).agg(F.min("picture").alias("picture"), F.first("rgb").alias("rgb")).select("picture", "height", "width", "rgb") for p in (sources, candidates)]
-    s, c = (p.mapInPandas(_signatures(probes, aspect, mean), "picture long, means array<double>, cells array<array<int>>").select(F.col("picture").alias(name), F.col("means").alias(f"{name}_means"), F.explode("cells").alias("cell")) for p, name, probes in zip(kept, ("source", "candidate"), (True, False), strict=True))
+    s, c = (p.mapInPandas(_signatures(probes, aspect, mean), "picture long, means array<double>, cells array<long>").select(F.col("picture").alias(name), F.col("means").alias(f"{name}_means"), F.explode("cells").alias("cell")) for p, name, probes in zip(kept, ("source", "candidate"), (True, False), strict=True))
     gap = F.aggregate(F.zip_with("source_means", "candidate_means", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda x, y: x + y)
-    close = s.join(c, "cell").where(gap <= mean + 1e-9).select("source", "candidate")
+    close = s.join(c, "cell").where(gap <= mean + 1e-9).select("source", "candidate").distinct()
     s, c = (p.select(F.col("picture").alias(name), *[F.col(x).alias(f"{name[0]}_{x}") for x in ("height", "width", "rgb")]) for p, name in zip(kept, ("source", "candidate"), strict=True))
     return matched_pictures(close.join(s, "source").join(c, "candidate"), aspect, mean, tail).where("status <> 'none'")
 

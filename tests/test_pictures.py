@@ -44,3 +44,12 @@ def test_pairs_are_those_of_all_pairs(spark):
 def test_wide_tolerances_are_refused():
     with pytest.raises(ValueError):
         evidence._signatures(True, 0.03, 0.05)
+
+
+def test_cells_of_unlike_pictures_are_seldom_shared(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, 8, 8, np.repeat(np.clip(127 + 50 * rng.standard_normal((8, 8, 1)), 0, 255), 3, 2).astype(np.uint8).tobytes()) for k in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    s, c = (df.mapInPandas(evidence._signatures(probes, 0.03, 0.01), "picture long, means array<double>, cells array<long>").select("picture", F.explode("cells").alias("cell")) for probes in (True, False))
+    pairs = s.alias("s").join(c.alias("c"), "cell").select("s.picture", "c.picture").distinct().toDF("s", "c")
+    assert pairs.where("s = c").count() == 400 and pairs.where("s <> c").count() < 0.01 * 400 * 400
