@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Query tokens of one block; with 128 dimensions 4 MB.
 QUERY_BLOCK = 4_096
+#: Scores of a block of query tokens and a stretch of rows that a task holds at once: 8 MB of them, a few times over.
+MOST_SCORES = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,6 +41,12 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(a * b, axis=1)[:, -1]
 
 
+def _stretches(tokens: int, rows: int) -> Iterator[slice]:
+    """Stretches of rows whose scores with ``tokens`` query tokens are held at once."""
+    step = max(1, MOST_SCORES // max(1, tokens))
+    return (slice(a, min(a + step, rows)) for a in range(0, rows, step))
+
+
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(q, t, matrix) of the query tokens, QUERY_BLOCK at a time, split by a hash of the token."""
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -60,19 +68,23 @@ def knn(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     def nearest(q: np.ndarray, t: np.ndarray, m: np.ndarray) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]  # query, id, page, score
+            least = np.full(len(m), -np.inf)  # of a query's k best so far
             for batch in batches:
-                v = _matrix(batch.column(2)) if batch.num_rows else None
-                if v is None:
+                if not batch.num_rows:
                     continue
-                scores, n = m @ v.T, min(k, batch.num_rows)
-                bar = np.partition(scores, batch.num_rows - n, axis=1)[:, -n]
-                a, b = np.nonzero(scores >= bar[:, None] - 1e-9 * (1 + np.abs(bar[:, None])))
-                found = a, batch.column(0).to_numpy()[b], batch.column(1).to_numpy()[b], _exact(m[a], v[b])
-                best = [np.concatenate(x) for x in zip(best, found, strict=True)]
-                order = np.lexsort((best[1], -best[3], best[0]))
-                best = [x[order] for x in best]
-                place = np.arange(len(order)) - np.searchsorted(best[0], best[0])
-                best = [x[place < k] for x in best]
+                ids, pages, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+                for part in _stretches(len(m), len(rows)):
+                    v = rows[part]
+                    scores, n = m @ v.T, min(k, len(v))
+                    bar = np.maximum(np.partition(scores, len(v) - n, axis=1)[:, -n] if n == k else -np.inf, least)
+                    a, b = np.nonzero(scores >= bar[:, None] - 1e-9 * (1 + np.abs(bar[:, None])))
+                    found = a, ids[part][b], pages[part][b], _exact(m[a], v[b])
+                    best = [np.concatenate(x) for x in zip(best, found, strict=True)]
+                    order = np.lexsort((best[1], -best[3], best[0]))
+                    best = [x[order] for x in best]
+                    place = np.arange(len(order)) - np.searchsorted(best[0], best[0])
+                    least[best[0][place == k - 1]] = best[3][place == k - 1]
+                    best = [x[place < k] for x in best]
             if len(best[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q[best[0]], t[best[0]], *best[1:])], names=["q", "t", "id", "page", "score"])
 
@@ -106,13 +118,17 @@ def full_maxsim(queries: DataFrame, rows: DataFrame, where: Column | None = None
     def pages(q: np.ndarray, t: np.ndarray, m: np.ndarray) -> Callable:
         order = np.argsort(q, kind="stable")
         q, m = q[order], m[order]
-        starts = np.flatnonzero(np.diff(q, prepend=q[0] - 1))
-
-        def scored(page: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.diff(page, prepend=page[0] - 1))
-            sums = np.add.reduceat(np.maximum.reduceat(m @ v.T, cuts, axis=1), starts, axis=0)
-            qs, ps = np.repeat(q[starts], len(cuts)), np.tile(page[cuts], len(starts))
-            return pa.RecordBatch.from_arrays([pa.array(qs), pa.array(ps), pa.array(sums.ravel())], names=["q", "page", "score"])
+        qs, nth = np.unique(q, return_inverse=True)
+
+        def scored(page: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cuts = np.append(np.flatnonzero(np.diff(page, prepend=page[0] - 1)), len(page))
+            for part in _stretches(len(qs), len(cuts) - 1):
+                first, end = cuts[:-1][part], cuts[part.stop]
+                rows, sums = v[first[0] : end], np.zeros((len(qs), len(first)))
+                for some in _stretches(len(rows), len(m)):
+                    heads = np.flatnonzero(np.diff(nth[some], prepend=-1))
+                    sums[nth[some][heads]] += np.add.reduceat(np.maximum.reduceat(m[some] @ rows.T, first - first[0], axis=1), heads, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, len(first))), pa.array(np.tile(page[first], len(qs))), pa.array(sums.ravel())], names=["q", "page", "score"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: tuple | None = None
@@ -124,10 +140,10 @@ def full_maxsim(queries: DataFrame, rows: DataFrame, where: Column | None = None
                     page, v = np.concatenate((held[0], page)), np.concatenate((held[1], v))
                 cut = int(np.searchsorted(page, page[-1]))
                 if cut:
-                    yield scored(page[:cut], v[:cut])
+                    yield from scored(page[:cut], v[:cut])
                 held = page[cut:], v[cut:]
             if held is not None:
-                yield scored(*held)
+                yield from scored(*held)
 
         return run
 
