@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.numbers import grid_cell
 
+#: Tasks that the tokens of one class are dealt to.
+SHARES = 16
+
 
 def level(p: str, cell: float) -> Column:
     """The least level whose cells, of side cell * 2^level, are as long as the box is: it lies in two of them at most, either way."""
@@ -52,11 +55,36 @@ def overlap_join(tokens: DataFrame, regions: DataFrame, cell: float = 16) -> Dat
     return pairs.where((w > 0) & (h > 0) & corner).withColumn("area", w * h).drop("cx", "cy", "_level")
 
 
+def boxes(p: str) -> list[str]:
+    return ["page", *(f"{p}{c}" for c in ("x0", "y0", "x1", "y1"))]
+
+
+def met_boxes(tokens: DataFrame, regions: DataFrame, cell: float = 16) -> DataFrame:
+    """(page, t..., r..., area): ``overlap_join`` of the distinct boxes, whatever number of tokens and regions has each."""
+    return overlap_join(tokens.select(*boxes("t")).distinct(), regions.select(*boxes("r")).distinct(), cell)
+
+
+def expanded(pairs: DataFrame, tokens: DataFrame, regions: DataFrame, of_tokens: list[str], of_regions: list[str]) -> DataFrame:
+    """Pairs of classes (of boxes, say) as pairs of their tokens and regions. A class's tokens are dealt to SHARES tasks, so that none makes all its pairs."""
+    t = tokens.join(pairs, of_tokens).withColumn("_share", F.pmod(F.xxhash64(*tokens.columns), F.lit(SHARES)))
+    r = regions.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    # A number of partitions that is asked for stays: the few bytes before the join would be put together in one task.
+    keys, parts = [*of_regions, "_share"], max(SHARES, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return t.repartition(parts, *keys).join(r.repartition(parts, *keys), keys).drop("_share")
+
+
 def owners(tokens: DataFrame, regions: DataFrame, token: str = "token", order: list[str] | None = None, cell: float = 16) -> DataFrame:
-    """(page, token, region, area): each token's region of largest overlap, ties by ``order``; null where none overlaps."""
-    w = Window.partitionBy("page", token).orderBy(F.desc("area"), *(order or ["region"]))
-    best = overlap_join(tokens, regions, cell).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page", token, "region", "area")
-    return tokens.select("page", token).join(best, ["page", token], "left")
+    """(page, token, region, area): each token's region of largest overlap, ties by ``order``; null where none overlaps.
+
+    Of regions with one box only the first by ``order`` can own, and tokens with
+    one box have one owner: it is found for the distinct boxes.
+    """
+    order, t_box, r_box = order or ["region"], boxes("t"), boxes("r")
+    first = regions.groupBy(*r_box).agg(F.min(F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate([*order, "region"])])).alias("_first"))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("area"), "_first"))
+    by_box = met_boxes(tokens, regions, cell).join(first, r_box).withColumn("_n", rank(*t_box)).where("_n = 1").select(*t_box, "area", "_first")
+    best = tokens.select(token, *t_box).join(by_box, t_box).withColumn("_n", rank("page", token)).where("_n = 1")
+    return tokens.select("page", token).join(best.select("page", token, F.col("_first")[f"_{len(order)}"].alias("region"), "area"), ["page", token], "left")
 
 
 def owners_or_tiles(tokens: DataFrame, regions: DataFrame, height: Column, width: Column, order: list[str] | None = None) -> DataFrame:
@@ -69,7 +97,9 @@ def owners_or_tiles(tokens: DataFrame, regions: DataFrame, height: Column, width
 
 def first_owners(tokens: DataFrame, regions: DataFrame, priority: str, most: int) -> DataFrame:
     """(page, token, owner): the overlapping region of the least priority; tokens without one are dealt to buckets of ``most`` in order of token, from -1 downwards."""
-    first = overlap_join(tokens, regions).groupBy("page", "token").agg(F.min(priority).alias("_p"))
+    t_box, r_box = boxes("t"), boxes("r")
+    by_box = met_boxes(tokens, regions).join(regions.groupBy(*r_box).agg(F.min(priority).alias("_p")), r_box).groupBy(*t_box).agg(F.min("_p").alias("_p"))
+    first = tokens.select("token", *t_box).join(by_box, t_box).groupBy("page", "token").agg(F.min("_p").alias("_p"))
     j = tokens.select("page", "token").join(first, ["page", "token"], "left")
     place = F.row_number().over(Window.partitionBy("page", F.col("_p").isNull()).orderBy("token")) - 1
     return j.withColumn("_n", place).select("page", "token", F.coalesce(F.col("_p"), -1 - F.floor(F.col("_n") / most)).cast("long").alias("owner"))
@@ -90,11 +120,22 @@ def lost_owners(mapped: DataFrame, coarse: DataFrame) -> DataFrame:
     return coarse.select("page", "owner").distinct().join(mapped.select("page", "owner").distinct(), ["page", "owner"], "left_anti")
 
 
-def owned_fractions(tokens: DataFrame, regions: DataFrame, cell: float = 16) -> DataFrame:
-    """(page, token, region, fraction): the share of each token's box that each region covers."""
-    j = overlap_join(tokens, regions, cell)
+def owned_fractions(tokens: DataFrame, regions: DataFrame, cell: float = 16, digits: int | None = None) -> DataFrame:
+    """(page, token, region, fraction): the share of each token's box that each region covers, rounded to ``digits`` if given.
+
+    Shares are added up for the distinct sets of boxes of a token and of a region, then expanded; the pairs are as many as the result has rows.
+    """
+
+    def sets(df: DataFrame, key: str, p: str) -> DataFrame:
+        corners = boxes(p)[1:]
+        return df.dropna(subset=corners).groupBy("page", key).agg(F.sort_array(F.collect_list(F.struct(*corners))).alias(f"_{p}"))
+
+    t, r = sets(tokens, "token", "t"), sets(regions, "region", "r")
+    flat = lambda df, p: df.select("page", f"_{p}").distinct().select("page", f"_{p}", F.explode(f"_{p}").alias("_box")).select("page", f"_{p}", "_box.*")
     box = (F.col("tx1") - F.col("tx0")) * (F.col("ty1") - F.col("ty0"))
-    return j.groupBy("page", "token", "region").agg(F.sum(F.col("area") / box).alias("fraction"))
+    pairs = overlap_join(flat(t, "t"), flat(r, "r"), cell).groupBy("page", "_t", "_r").agg(F.sum(F.col("area") / box).alias("fraction"))
+    pairs = pairs if digits is None else pairs.withColumn("fraction", F.round("fraction", digits))
+    return expanded(pairs, t, r, ["page", "_t"], ["page", "_r"]).select("page", "token", "region", "fraction")
 
 
 def profiles(members: DataFrame, scores: DataFrame, regions: DataFrame) -> DataFrame:
@@ -109,9 +150,10 @@ def profiles(members: DataFrame, scores: DataFrame, regions: DataFrame) -> DataF
 
 def similar_boxes(a: DataFrame, b: DataFrame, least: float = 0.85, cell: float = 16) -> DataFrame:
     """Pairs of boxes on one page whose intersection by union is above ``least``."""
-    j = overlap_join(a, b, cell)
+    j = met_boxes(a, b, cell)
     size = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
-    return j.withColumn("iou", F.col("area") / (size("t") + size("r") - F.col("area"))).where(F.col("iou") > least)
+    like = j.withColumn("iou", F.col("area") / (size("t") + size("r") - F.col("area"))).where(F.col("iou") > least)
+    return expanded(like, a, b, boxes("t"), boxes("r"))
 
 
 def audit(owned: DataFrame, limit: int) -> DataFrame:

@@ -75,7 +75,7 @@ def region_profiles(spark, d):
 @query(f"with {_BOXES}, {_PAIRS} select page, token, region, round(sum(area / 16.0), 6) fraction from p group by 1, 2, 3")
 def owned_fractions(spark, d):
     """Shares of a token's box by owner."""
-    return spatial.owned_fractions(_tokens(spark, d), _regions(spark, d)).select("page", "token", "region", F.round("fraction", 6).alias("fraction"))
+    return spatial.owned_fractions(_tokens(spark, d), _regions(spark, d), digits=6)
 
 
 _BLOCKS = "blk as (select s_suppkey % 40 page, s_suppkey token, (s_suppkey * 13) % 40 tx0, (s_suppkey * 17) % 40 ty0, (s_suppkey * 13) % 40 + 10 + s_suppkey % 20 - s_suppkey % 4 tx1, (s_suppkey * 17) % 40 + 12 ty1 from supplier)"
