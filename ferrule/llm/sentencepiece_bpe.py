@@ -315,6 +315,8 @@ def _pieces(path: str, fields: list[tuple[str, pa.DataType]], finish):
         known = _Known(vocabulary(path))
 
         def flush(keys, segments, sizes):
+            if not keys:  # a batch without rows, or whose last row has filled up the segments before
+                return []
             ids, count = known.encoded(segments)
             upto = np.append(0, np.cumsum(count))[np.append(0, np.cumsum(sizes))]
             return zip(keys, *finish(known.v, ids, upto), strict=True)
