@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,20 @@ from pyspark.sql import functions as F
 
 from ferrule.operators.settle import numbered
 
-#: Units that a walk finds counts for at once; counts up to which binomial quantiles are looked up in a table.
-BLOCK, TABLE = 2_048, 48
+#: Units that a walk finds counts for at once; counts up to which binomial quantiles are looked up in a table;
+#: probabilities that are added up at once; splits that a task remembers.
+BLOCK, TABLE, CELLS, MOST_KNOWN = 2_048, 48, 1 << 19, 4_096
 
 
 def uniforms(seed: str, lo: int, hi: int, draws: int) -> np.ndarray:
     """For each draw 52 bits of a digest as a number in [0, 1), four draws a digest."""
-    raw = b"".join(hashlib.sha256(f"{seed}|{lo}|{hi}|{q}".encode()).digest() for q in range((draws + 3) // 4))
-    return (np.frombuffer(raw, ">u8")[:draws] >> np.uint64(12)).astype(np.float64) / float(1 << 52)
+    return _uniforms(seed, [lo], [hi], draws)[0]
+
+
+def _uniforms(seed: str, lo: list[int], hi: list[int], draws: int) -> np.ndarray:
+    """``uniforms`` of many ranges, as (range, draw)."""
+    raw = b"".join([hashlib.sha256(f"{seed}|{a}|{b}|{q}".encode()).digest() for a, b in zip(lo, hi, strict=True) for q in range((draws + 3) // 4)])
+    return (np.frombuffer(raw, ">u8").reshape(len(lo), -1)[:, :draws] >> np.uint64(12)).astype(np.float64) / float(1 << 52)
 
 
 def _log_factorial(k: np.ndarray) -> np.ndarray:
@@ -46,40 +53,62 @@ def _masses(c: np.ndarray, k: np.ndarray, share: float) -> np.ndarray:
     return np.where(inside, np.exp(logs), 0.0)
 
 
+@lru_cache(maxsize=512)
+def _cumulative(share: float) -> np.ndarray:
+    grid = np.arange(TABLE + 1)
+    return np.cumsum(_masses(grid[:, None], grid[None, :], share), axis=1)
+
+
 def quantiles(c: np.ndarray, share: float, u: np.ndarray) -> np.ndarray:
     """The least k of Binomial(c, share) whose cumulative probability is above u, elementwise."""
     out = np.zeros(c.shape, np.int64)
     few = c <= TABLE
     if few.any():
-        grid = np.arange(TABLE + 1)
-        cumulative = np.cumsum(_masses(grid[:, None], grid[None, :], share), axis=1)
-        out[few] = (cumulative[c[few]] <= u[few][:, None]).sum(axis=1)
+        out[few] = (_cumulative(share)[c[few]] <= u[few][:, None]).sum(axis=1)
     if not few.all():
         many, v = c[~few], u[~few]
         spread = int(12 * np.sqrt(many.max() * share * (1 - share))) + 12
         low = np.maximum((many * share).astype(np.int64) - spread, 0)
-        k = low[:, None] + np.arange(2 * spread + 1)
-        out[~few] = low + (np.cumsum(_masses(many[:, None], k, share), axis=1) <= v[:, None]).sum(axis=1)
+        found, step = np.zeros(len(many), np.int64), max(1, CELLS // (2 * spread + 1))
+        for a in range(0, len(many), step):
+            x = slice(a, a + step)
+            k = low[x, None] + np.arange(2 * spread + 1)
+            found[x] = (np.cumsum(_masses(many[x, None], k, share), axis=1) <= v[x, None]).sum(axis=1)
+        out[~few] = low + found
     return np.minimum(out, c)
 
 
-def counts(places: np.ndarray, n: int, draws: int, seed: str) -> np.ndarray:
-    """How often each of the rising ``places`` among 0 to n - 1 is taken, as (place, draw)."""
+def counts(places: np.ndarray, n: int, draws: int, seed: str, known: dict | None = None) -> np.ndarray:
+    """How often each of the rising ``places`` among 0 to n - 1 is taken, as (place, draw).
+
+    Ranges of one size are split together, level by level. ``known`` keeps the splits of
+    ranges larger than a block, for the next blocks of the same task.
+    """
     out = np.zeros((len(places), draws), np.int64)
-    todo = [(0, n, np.full(draws, n, np.int64))]
-    while todo:
-        below = []
-        for lo, hi, c in todo:
-            a, b = np.searchsorted(places, [lo, hi])
-            if a == b or not c.any():
-                continue
-            if hi - lo == 1:
-                out[a:b] = c
-                continue
-            middle = (lo + hi) // 2
-            left = quantiles(c, (middle - lo) / (hi - lo), uniforms(seed, lo, hi, draws))
-            below += [(lo, middle, left), (middle, hi, c - left)]
-        todo = below
+    known = {} if known is None else known
+    lo, hi, c = np.zeros(1, np.int64), np.full(1, n, np.int64), np.full((1, draws), n, np.int64)
+    while len(lo):
+        a, b = np.searchsorted(places, lo), np.searchsorted(places, hi)
+        there, single = (a < b) & c.any(axis=1), hi - lo == 1
+        held = np.flatnonzero(there & single)
+        wide = (b - a)[held]
+        out[np.repeat(a[held] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())] = np.repeat(c[held], wide, axis=0)
+        on = there & ~single
+        lo, hi, c = lo[on], hi[on], c[on]
+        size, left = hi - lo, np.zeros(c.shape, np.int64)
+        for k in np.flatnonzero(size > BLOCK).tolist():
+            key = seed, int(lo[k]), int(hi[k])
+            if key not in known:
+                if len(known) >= MOST_KNOWN:
+                    known.clear()
+                known[key] = quantiles(c[k], int(size[k] // 2) / int(size[k]), uniforms(*key, draws))
+            left[k] = known[key]
+        for s in np.unique(size[size <= BLOCK]).tolist():
+            own = np.flatnonzero(size == s)
+            left[own] = quantiles(c[own], (s // 2) / s, _uniforms(seed, lo[own].tolist(), hi[own].tolist(), draws))
+        middle = lo + size // 2
+        lo, hi = np.stack([lo, middle], 1).ravel(), np.stack([middle, hi], 1).ravel()
+        c = np.stack([left, c - left], 1).reshape(-1, draws)
     return out
 
 
@@ -99,6 +128,7 @@ def resampled(units: DataFrame, order: list[str], columns: list[str], draws: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict = {}
+        known: dict = {}
         for batch in batches:
             strata = np.array(batch.column(0).to_pylist(), object) if stratum else np.full(batch.num_rows, None, object)
             place = batch.column(int(bool(stratum))).to_numpy()
@@ -112,7 +142,7 @@ def resampled(units: DataFrame, order: list[str], columns: list[str], draws: int
                 own = own[np.argsort(place[own])]
                 text = seed if stratum is None else f"{seed}|{name}"
                 for at in np.array_split(own, -(-len(own) // BLOCK)):
-                    w = counts(place[at] - first, n, draws, text)
+                    w = counts(place[at] - first, n, draws, text, known)
                     part = np.stack([(w * v[at]).sum(axis=0) for v in values])
                     totals[name] = totals.get(name, 0) + part
         for name, part in totals.items():
