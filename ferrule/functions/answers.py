@@ -115,6 +115,13 @@ def text_f1(predicted: Column, gold: Column) -> Column:
     return F.bround(_gated(bag(normalized(predicted)), bag(normalized(gold))), 2)
 
 
+def text_scores(predicted: Column, gold: Column) -> Column:
+    """(em, f1) as ``text_em`` and ``text_f1`` have them; each normal form and each bag is made once."""
+    forms = F.array(F.struct(normalized(predicted).alias("p"), normalized(gold).alias("g")))
+    bags = F.transform(forms, lambda s: F.struct((s["p"] == s["g"]).cast("double").alias("em"), bag(s["p"]).alias("p"), bag(s["g"]).alias("g")))
+    return F.transform(bags, lambda s: F.struct(s["em"].alias("em"), F.bround(_gated(s["p"], s["g"]), 2).alias("f1")))[0]
+
+
 def prediction_spans(prediction: Column) -> Column:
     """A JSON list of scalars as its spans, anything else as one span."""
     text = F.trim(prediction)

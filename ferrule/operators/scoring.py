@@ -11,8 +11,10 @@ from ferrule.functions import answers
 
 
 def scored(df: DataFrame, predicted: str, gold: str) -> DataFrame:
-    """Adds ``em`` and ``f1`` of single answers."""
-    return df.withColumn("em", answers.text_em(F.col(predicted), F.col(gold))).withColumn("f1", answers.text_f1(F.col(predicted), F.col(gold)))
+    """Adds ``em`` and ``f1`` of single answers; each distinct pair of texts is scored once."""
+    told, right = F.col(predicted).cast("string"), F.col(gold).cast("string")
+    pairs = df.select(told.alias("_p"), right.alias("_g")).distinct().select("_p", "_g", answers.text_scores(F.col("_p"), F.col("_g")).alias("_s"))
+    return df.join(pairs, told.eqNullSafe(F.col("_p")) & right.eqNullSafe(F.col("_g")), "left").select(*[F.col(f"`{c}`") for c in df.columns], "_s.em", "_s.f1")
 
 
 def sliced_report(df: DataFrame, slices: list[str]) -> DataFrame:
