@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators.settle import dealt
+
 
 def top_m(df: DataFrame, group: list[str], score: str, tie: list[str], m: int) -> DataFrame:
     """The m best rows of each group by (-score, tie); adds ``page_rank`` from 0."""
@@ -21,7 +23,7 @@ def average_rank(value: Column | str, group: list[str], start: int = 1) -> Colum
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation by group, ties averaged; null without variance, within [-1, 1]."""
-    r = df.withColumn("_x", average_rank(x, group)).withColumn("_y", average_rank(y, group))
+    r = dealt(df.select(*dict.fromkeys([*group, x, y])), *group).withColumn("_x", average_rank(x, group)).withColumn("_y", average_rank(y, group))
     out = r.groupBy(*group).agg(F.corr("_x", "_y").alias("rho"), F.stddev_pop("_x").alias("_sx"), F.stddev_pop("_y").alias("_sy"))
     rho = F.when((F.col("_sx") > 0) & (F.col("_sy") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho"))))
     return out.select(*group, rho.alias("rho"))

@@ -58,6 +58,16 @@ class Rounds:
         self.paths = []
 
 
+#: Rows of a task of ``dealt``.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """``df`` dealt by ``keys`` to tasks of about TASK_ROWS rows, so that what a task sorts doesn't grow with the table; no fewer tasks than the session has. ``rows`` is how many there are, or will be."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-(df.count() if rows is None else rows) // TASK_ROWS)), *keys)
+
+
 def numbered(df: DataFrame, *order, name: str = "place") -> DataFrame:
     """Adds the 0-based place of each row in the global order, which should have no ties.
 
