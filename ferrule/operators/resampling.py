@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.operators.settle import numbered
+from ferrule.operators.settle import dealt, numbered
 
 #: Units that a walk finds counts for at once; counts up to which binomial quantiles are looked up in a table;
 #: probabilities that are added up at once; splits that a task remembers.
 BLOCK, TABLE, CELLS, MOST_KNOWN = 2_048, 48, 1 << 19, 4_096
+#: Tasks that share the draws of a case whose scores are permuted.
+SLOTS = 8
 
 
 def uniforms(seed: str, lo: int, hi: int, draws: int) -> np.ndarray:
@@ -202,17 +204,22 @@ def matched_null(df: DataFrame, case: str, item: str, kind: str, cost: str, scor
     (seed, draw, item) get the scores of its items in order. Cases without mass have null shares.
     """
     rows = df.select(F.col(case).alias("_c"), F.col(item).alias("_i"), F.col(kind).alias("_k"), F.col(cost).cast("double").alias("_x"), F.col(score).alias("_s"), F.col(mass).cast("double").alias("_m"))
+    size, slots = rows.count(), min(SLOTS, draws)
+    rows = dealt(rows, "_c", rows=size)
     per = rows.groupBy("_c").agg(F.percentile("_x", F.array(*[F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)])).alias("_q"), F.ceil(F.count("*") / F.lit(share)).alias("_top"), F.sum("_m").alias("_total"))
     same = ["_c", "_k", "_bin"]
     binned = rows.join(per, "_c").withColumn("_bin", F.size(F.filter("_q", lambda q: q < F.col("_x")))).drop("_q", "_x").withColumn("_r", F.row_number().over(Window.partitionBy(*same).orderBy("_i")))
     digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("draw"), F.col("_i")), 256)
-    dealt = binned.drop("_s", "_r").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_r", F.row_number().over(Window.partitionBy(*same, "draw").orderBy(digest, "_i")))
-    permuted = dealt.join(binned.select(*same, "_r", "_s"), [*same, "_r"]).select("_c", "draw", "_i", "_s", "_m", "_top", "_total")
+    # A case's draws are dealt to slots before they are made: what follows stays within a task.
+    binned_at = lambda *columns: dealt(binned.select(*same, *columns).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))), "_c", "_slot", rows=size * draws)
+    each = binned_at("_i", "_m", "_top", "_total").withColumn("draw", F.explode(F.sequence("_slot", F.lit(draws - 1), F.lit(slots))))
+    each = each.withColumn("_r", F.row_number().over(Window.partitionBy(*same, "_slot", "draw").orderBy(digest, "_i")))
+    permuted = each.join(binned_at("_r", "_s"), [*same, "_slot", "_r"]).select("_c", "_slot", "draw", "_i", "_s", "_m", "_top", "_total")
 
     def held(scored: DataFrame, *keys: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("_c", *keys).orderBy(F.desc("_s"), "_i"))
         share = F.when(F.max("_total") > 1e-12, F.coalesce(F.sum(F.when(F.col("_p") <= F.col("_top"), F.col("_m"))), F.lit(0.0)) / F.max("_total"))
         return scored.withColumn("_p", place).groupBy("_c", *keys).agg(share.alias("_v"))
 
-    null = held(permuted, "draw").groupBy("_c").agg(F.avg("_v").alias("null_mean"), F.percentile("_v", F.lit(0.025)).alias("null_low"), F.percentile("_v", F.lit(0.975)).alias("null_high"))
+    null = held(permuted, "_slot", "draw").groupBy("_c").agg(F.avg("_v").alias("null_mean"), F.percentile("_v", F.lit(0.025)).alias("null_low"), F.percentile("_v", F.lit(0.975)).alias("null_high"))
     return held(binned).withColumnRenamed("_v", "actual").join(null, "_c").select(F.col("_c").alias(case), "actual", "null_mean", "null_low", "null_high")
