@@ -87,3 +87,12 @@ def test_a_large_case_over_batches(spark, tmp_path):
         batches.append([(u, draw.choice("ab"), i := draw.randrange(900 if u else 20), float(i % 11) + (draw.random() < 0.02)) for u in (0, 1) for _ in range(600)])
         put(spark, source, batches[-1])
     assert told(observe(spark, source, path, checkpoint, spread=1)) == plain(batches)
+
+
+def test_arms_of_a_case_cost_no_calls_of_their_own():
+    store = Store()
+    batch = [(7, f"arm {k % 5}", k % 40, float(k % 40)) for k in range(200)]
+    for k in (1, 2):
+        store.calls = 0
+        assert run(store, batch) == plain([batch] * k)
+        assert store.calls == 2
