@@ -167,9 +167,11 @@ def picture_pairs(sources: DataFrame, candidates: DataFrame, aspect: float = 0.0
     """
     whole = F.col("rgb").isNotNull() & (F.length("rgb") == F.col("height") * F.col("width") * 3) & (F.length("rgb") > 0)
     kept = [p.where(whole).groupBy("height", "width", F.sha2("rgb", 256).alias("_d")).agg(F.min("picture").alias("picture"), F.first("rgb").alias("rgb")).select("picture", "height", "width", "rgb") for p in (sources, candidates)]
-    s, c = (p.mapInPandas(_signatures(probes, aspect, mean), "picture long, means array<double>, cells array<long>").select(F.col("picture").alias(name), F.col("means").alias(f"{name}_means"), F.explode("cells").alias("cell")) for p, name, probes in zip(kept, ("source", "candidate"), (True, False), strict=True))
+    # A picture costs much and its cells are many, which no estimate of a table's size tells: pictures are dealt over all tasks, and cells are never broadcast.
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s, c = (p.repartition(tasks, "picture").mapInPandas(_signatures(probes, aspect, mean), "picture long, means array<double>, cells array<long>").select(F.col("picture").alias(name), F.col("means").alias(f"{name}_means"), F.explode("cells").alias("cell")) for p, name, probes in zip(kept, ("source", "candidate"), (True, False), strict=True))
     gap = F.aggregate(F.zip_with("source_means", "candidate_means", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda x, y: x + y)
-    close = s.join(c, "cell").where(gap <= mean + 1e-9).select("source", "candidate").distinct()
+    close = s.hint("merge").join(c, "cell").where(gap <= mean + 1e-9).select("source", "candidate").distinct()
     s, c = (p.select(F.col("picture").alias(name), *[F.col(x).alias(f"{name[0]}_{x}") for x in ("height", "width", "rgb")]) for p, name in zip(kept, ("source", "candidate"), strict=True))
     return matched_pictures(close.join(s, "source").join(c, "candidate"), aspect, mean, tail).where("status <> 'none'")
 
