@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators import settle
 from ferrule.operators.settle import dealt, numbered
 
 #: Units that a walk finds counts for at once; counts up to which binomial quantiles are looked up in a table;
 #: probabilities that are added up at once; splits that a task remembers.
 BLOCK, TABLE, CELLS, MOST_KNOWN = 2_048, 48, 1 << 19, 4_096
-#: Tasks that share the draws of a case whose scores are permuted.
+#: Tasks that share the draws of a large case whose scores are permuted.
 SLOTS = 8
 
 
@@ -203,23 +204,35 @@ def matched_null(df: DataFrame, case: str, item: str, kind: str, cost: str, scor
     taken again. In each draw a group's items in order of a digest of
     (seed, draw, item) get the scores of its items in order. Cases without mass have null shares.
     """
-    rows = df.select(F.col(case).alias("_c"), F.col(item).alias("_i"), F.col(kind).alias("_k"), F.col(cost).cast("double").alias("_x"), F.col(score).alias("_s"), F.col(mass).cast("double").alias("_m"))
-    size, slots = rows.count(), min(SLOTS, draws)
-    rows = dealt(rows, "_c", rows=size)
-    per = rows.groupBy("_c").agg(F.percentile("_x", F.array(*[F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)])).alias("_q"), F.ceil(F.count("*") / F.lit(share)).alias("_top"), F.sum("_m").alias("_total"))
-    same = ["_c", "_k", "_bin"]
-    binned = rows.join(per, "_c").withColumn("_bin", F.size(F.filter("_q", lambda q: q < F.col("_x")))).drop("_q", "_x").withColumn("_r", F.row_number().over(Window.partitionBy(*same).orderBy("_i")))
+    rows = df.where(F.col(case).isNotNull()).select(F.col(case).alias("_c"), F.col(item).alias("_i"), F.col(kind).alias("_k"), F.col(cost).cast("double").alias("_x"), F.col(score).alias("_s"), F.col(mass).cast("double").alias("_m"))
+    slots, most = min(SLOTS, draws), settle.TASK_ROWS // (draws + 1)
+    n = rows.groupBy("_c").agg(F.count("*").alias("_n")).agg(F.sum("_n").alias("all"), F.sum(F.when(F.col("_n") > most, F.col("_n"))).alias("large")).first()
+    # Rows are shuffled once, to tasks that have room for all draws of their cases; what follows stays within a task.
+    rows = dealt(rows, "_c", rows=(n["all"] or 0) * (draws + 1))
+    own, same = Window.partitionBy("_c"), ["_c", "_k", "_bin"]
+    per = rows.withColumns({"_q": F.percentile("_x", F.array(*[F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)])).over(own), "_n": F.count("*").over(own), "_total": F.sum("_m").over(own)})
+    binned = per.withColumn("_top", F.ceil(F.col("_n") / F.lit(share))).withColumn("_bin", F.size(F.filter("_q", lambda q: q < F.col("_x")))).drop("_q", "_x")
     digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("draw"), F.col("_i")), 256)
-    # A case's draws are dealt to slots before they are made: what follows stays within a task.
-    binned_at = lambda *columns: dealt(binned.select(*same, *columns).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))), "_c", "_slot", rows=size * draws)
-    each = binned_at("_i", "_m", "_top", "_total").withColumn("draw", F.explode(F.sequence("_slot", F.lit(draws - 1), F.lit(slots))))
-    each = each.withColumn("_r", F.row_number().over(Window.partitionBy(*same, "_slot", "draw").orderBy(digest, "_i")))
-    permuted = each.join(binned_at("_r", "_s"), [*same, "_slot", "_r"]).select("_c", "_slot", "draw", "_i", "_s", "_m", "_top", "_total")
-
-    def held(scored: DataFrame, *keys: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("_c", *keys).orderBy(F.desc("_s"), "_i"))
-        share = F.when(F.max("_total") > 1e-12, F.coalesce(F.sum(F.when(F.col("_p") <= F.col("_top"), F.col("_m"))), F.lit(0.0)) / F.max("_total"))
-        return scored.withColumn("_p", place).groupBy("_c", *keys).agg(share.alias("_v"))
-
-    null = held(permuted, "_slot", "draw").groupBy("_c").agg(F.avg("_v").alias("null_mean"), F.percentile("_v", F.lit(0.025)).alias("null_low"), F.percentile("_v", F.lit(0.975)).alias("null_high"))
-    return held(binned).withColumnRenamed("_v", "actual").join(null, "_c").select(F.col("_c").alias(case), "actual", "null_mean", "null_low", "null_high")
+
+    def shares(each: DataFrame, *slot: str) -> DataFrame:
+        """(case, draw, share) of rows with a draw each, of which -1 stands for the scores as they are: the others take theirs from it, place by place."""
+        place = F.row_number().over(Window.partitionBy(*same, *slot, "draw").orderBy(F.when(F.col("draw") >= 0, digest), "_i"))
+        # No join: Spark deals both of its sides anew, by all of its keys, or broadcasts what it takes for small.
+        taken = F.first("_s").over(Window.partitionBy(*same, *slot, "_r").orderBy("draw"))
+        scored = each.withColumn("_r", place).withColumn("_s", taken).where("draw < 0 or (_k is not null and _bin is not null)").select("_c", *slot, "draw", "_i", "_s", "_m", "_top", "_total")
+        best = F.row_number().over(Window.partitionBy("_c", *slot, "draw").orderBy(F.desc("_s"), "_i"))
+        v = F.when(F.max("_total") > 1e-12, F.coalesce(F.sum(F.when(F.col("_p") <= F.col("_top"), F.col("_m"))), F.lit(0.0)) / F.max("_total"))
+        return scored.withColumn("_p", best).groupBy("_c", *slot, "draw").agg(v.alias("_v"))
+
+    def summed(v: DataFrame) -> DataFrame:
+        null = F.when(F.col("draw") >= 0, F.col("_v"))
+        ends = [F.percentile(null, F.lit(p)).alias(name) for p, name in ((0.025, "null_low"), (0.975, "null_high"))]
+        return v.groupBy("_c").agg(F.max(F.when(F.col("draw") < 0, F.col("_v"))).alias("actual"), F.avg(null).alias("null_mean"), *ends, F.max("draw").alias("_last")).where("_last >= 0").select(F.col("_c").alias(case), "actual", "null_mean", "null_low", "null_high")
+
+    out = summed(shares(binned.where(F.col("_n") <= most).withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))))))
+    if n["large"]:
+        # Draws of a large case are dealt to slots before they are made.
+        slotted = binned.where(F.col("_n") > most).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).drop("_n")
+        each = dealt(slotted, "_c", "_slot", rows=n["large"] * (draws + slots)).withColumn("draw", F.explode(F.concat(F.array(F.lit(-1)), F.sequence("_slot", F.lit(draws - 1), F.lit(slots)))))
+        out = out.union(summed(shares(each, "_slot").where("draw >= 0 or _slot = 0")))
+    return out
